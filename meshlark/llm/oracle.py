@@ -2,6 +2,33 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH kinds(kind, ord, re) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), ('card', 2, '[0-9](?:[ -]?[0-9])+'),
+  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'), ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')
+), texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (SELECT doc_id, kind, ord, t, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS p FROM texts, kinds WHERE regexp_matches(t, re)
+), spans AS (
+  SELECT doc_id, kind, ord, t, x, translate(x, ' -', '') AS d, s, s + length(x) AS e FROM (
+    SELECT doc_id, kind, ord, t, m[i] AS x, CAST(list_sum([length(y) for y in p[1:i]]) + coalesce(list_sum([length(y) for y in m[1:i - 1]]), 0) AS BIGINT) AS s
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut))
+), valid AS (
+  SELECT doc_id, kind, ord, s, e FROM spans WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN coalesce(list_max([try_cast(y AS HUGEINT) for y in string_split(x, '.')]) <= 255, false)
+    WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (length(d) - j) % 2 = 0 THEN CAST(d[j] AS INT) ELSE (CAST(d[j] AS INT) * 2) // 10 + (CAST(d[j] AS INT) * 2) % 10 END for j in range(1, length(d) + 1)]) % 10 = 0
+    WHEN 'phone' THEN length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
+    WHEN 'iban' THEN list_reduce([0] || [ascii(c) for c in string_split(substr(d, 5) || substr(d, 1, 4), '')], lambda a, b: CASE WHEN b < 58 THEN a * 10 + b - 48 ELSE a * 100 + b - 55 END % 97) = 1
+    ELSE regexp_matches(lower(t[greatest(s - 39, 1):s] || ' ' || t[e + 1:e + 40]), 'ssn|social security') END
+), sums AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+  FROM valid GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN sums USING (doc_id)
+"""
+
 OP3 = r"""
 WITH word_lists AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -36,6 +63,17 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM marked GROUP BY doc_id
 """
 
+OP5 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + 2 * length(role) - length(translate(role, '\<#' || chr(10), '')) + 2 * length(text) - length(translate(text, '\<#', ''))) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op4_line_dedup": OP4}
+    return {"op1_pii": OP1, "op5_chat_format": OP5, "op3_decontamination": OP3, "op4_line_dedup": OP4}
