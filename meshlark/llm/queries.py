@@ -82,6 +82,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_index(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from .token_index import look_up, read_ids, write_store
+
+    docs = table(spark, sf_dir, "documents")
+    store = write_store(docs, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(look_up(docs, store), store)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train_toxicity
 
