@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept in a task's word-hash cache before it is emptied (about 100 MB).
 WORD_CACHE = 600_000
@@ -42,11 +42,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_fingerprint(text: Column) -> Column:
-    """128 bits of a text, to tell apart rows that share an id."""
-    return F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(1), text))
-
-
 class WordCodes(dict):
     """Word (bytes) -> 64-bit hash. Emptied when full, so memory stays bounded."""
 
@@ -92,3 +87,21 @@ def utf8(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, all columns as they are.
+
+    ``make_keep`` is called once a task and returns a function from texts (bytes or None)
+    to booleans. No shuffle, no join.
+    """
+    import pyarrow as pa
+
+    at = docs.columns.index(text_col)
+
+    def task(batches):
+        keep = make_keep()
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(keep(utf8(b.column(at))), dtype=bool)))
+
+    return docs.mapInArrow(task, docs.schema)

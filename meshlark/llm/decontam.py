@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import filter_rows, utf8, written
 
 #: Characters of windows in one automaton: about 50 bytes of memory each.
 BLOCK_CHARS = 3_000_000
@@ -155,11 +155,22 @@ def _union(hits) -> list[dict]:
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns kept.
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns kept; null texts stay.
 
-    Works on rows: the scan runs inside a filter, so no join is needed. Takes the options
-    of ``contamination`` except those of several blocks, for which it joins on the id.
+    With one block of items the scan is a filter. With several, the rows with hits are
+    found block by block and taken out by their ids, so rows that share an id go together.
     """
-    found = contamination(docs, items, id_col, text_col, **options).filter("size(hits) > 0").select(F.col(id_col).alias("_id")).distinct()
+    blocks = _blocks(items, item_id_col, item_text_col, window, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
+
+        def make_keep():
+            auto = _automaton(key, sent)
+            return lambda texts: [not _scan(t, auto)[1] for t in texts]
+
+        return filter_rows(docs, text_col, make_keep)
+    found = contamination(docs, items, id_col, text_col, item_id_col, item_text_col, window, block_chars)
+    found = found.filter("size(hits) > 0").select(F.col(id_col).alias("_id")).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left_anti")

@@ -175,11 +175,17 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
     return docs.join(small, same, "left").drop("_id", "_fp")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text_col``; all rows and columns stay."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text_col``; all columns stay.
+
+    With ``drop_emptied``, rows that lost lines and have nothing but blanks left go too.
+    """
 
     @F.udf(T.StringType(), useArrow=True)
     def rest(text: str, bitmap: bytes) -> str:
         return text if bitmap is None else "\n".join(kept_lines(text, bitmap)[1])
 
-    return with_bitmaps(docs, bitmaps, id_col, text_col).withColumn(text_col, rest(text_col, "_bitmap")).drop("_bitmap", "_n_dropped")
+    out = with_bitmaps(docs, bitmaps, id_col, text_col).withColumn(text_col, rest(text_col, "_bitmap"))
+    if drop_emptied:
+        out = out.filter(F.col("_bitmap").isNull() | (F.btrim(F.col(text_col), F.lit(BLANKS)) != ""))
+    return out.drop("_bitmap", "_n_dropped")

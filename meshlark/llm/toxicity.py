@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, isotonic
-from .common import WORD_CACHE, WordCodes, shingle_set
+from .common import WORD_CACHE, WordCodes, filter_rows, shingle_set, written
 from .sampling import labelled_sample
 
 #: Bounds of the training sample: rows of each label; entries of the learned lexicon.
@@ -135,13 +135,12 @@ def _lexicon(sample: DataFrame, size: int) -> dict[bytes, float]:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, per_label: int = PER_LABEL) -> ToxicityModel:
     """A model from the labelled rows (those with ``where``, if given).
 
+    ``where`` is a condition on the labels, whose id is called ``id`` there.
     About ``per_label`` rows of each label are drawn; of copies of one text (rows with the
     same least shingle hash and label) one stays. Half of the sample builds the lexicon
     and the trees, the rest also the calibration, weighted back to the shares of the
     labels. Without rows of both labels all scores are 0.
     """
-    from .common import written
-
     wanted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     if where is not None:
         wanted = wanted.filter(F.coalesce(where, F.lit(False)))
@@ -175,7 +174,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return ToxicityModel(weights, trees, *isotonic(trees.raw(x[judge]), y[judge], weight))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1) of every row, from its whole text alone.
 
     Null and empty texts are scored like texts without words. Repeated rows give repeated
@@ -191,3 +190,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns kept. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make_keep():
+        words = _Words(sent.value.weights)
+        return lambda texts: sent.value.score([features((t or b"").decode(), words) for t in texts]) < limit
+
+    return filter_rows(docs, text_col, make_keep)
