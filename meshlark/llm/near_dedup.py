@@ -219,19 +219,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sketches.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "bands")).alias("least")).select("n", "f1", "f2", "least.id", "least.bands"))
     exploded = classes.select("id", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("docs"), F.min("id").alias("leader")).filter("docs > 1").select("band", "leader")
-    members = written(exploded.join(shared, "band").groupBy("id", "leader").agg(F.count("*").alias("shared")).filter("id <> leader"))
+    # Joined by sorting at every size: no side of these joins has a bound.
+    members = written(exploded.join(shared.hint("merge"), "band").groupBy("id", "leader").agg(F.count("*").alias("shared")).filter("id <> leader"))
     clusters = written(connected_components(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "id", "component": "cluster"}))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("docs"))
-    sized = clusters.join(sizes, "cluster")
-    small, large = sized.filter(F.col("docs") <= 2 * BLOCK), sized.filter(F.col("docs") > 2 * BLOCK).select("id", "cluster")
+    # The texts of all clusters, taken from the corpus once.
+    sized = written(texts.join(clusters.join(sizes, "cluster").hint("merge"), "id"))
 
     def verify(tasks: DataFrame) -> DataFrame:
         return _verified(tasks, shingle, rows, percent, miss)
 
-    whole = small.select(F.col("cluster").cast("string").alias("task"), F.lit(0).alias("side"), "id").join(texts, "id")
-    links = verify(whole)
+    links = verify(sized.filter(F.col("docs") <= 2 * BLOCK).select(F.col("cluster").cast("string").alias("task"), F.lit(0).alias("side"), "id", "text"))
+    large = sized.filter(F.col("docs") > 2 * BLOCK)
     if not large.isEmpty():
-        links = links.unionByName(_large_cluster_links(texts, members, written(large), verify))
+        links = links.unionByName(_large_cluster_links(large.select("id", "text"), members, large.select("id", "cluster").distinct(), verify))
     parts = connected_components(links)
     known = classes.select("n", "f1", "f2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
     out = sketches.select("id", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
