@@ -1,17 +1,22 @@
-"""Registered queries of the library and their SQL twins."""
+"""All registered queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ledger_queries, model_queries, object_queries, retrieval_queries, workflow_queries
+
+_PARTS = (object_queries.C, retrieval_queries.C, ledger_queries.C, model_queries.C, workflow_queries.C)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Order lines of one nation's customers: three links and a filter after the last."""
+    return object_queries.traverse_3hop(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for c in _PARTS for k, f in c.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for c in _PARTS for k, s in c.sql.items()}
