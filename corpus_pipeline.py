@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import written
+from meshlark.llm.common import small_batches, written
 from meshlark.llm.decontam import clean_documents
 from meshlark.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from meshlark.llm.near_dedup import near_duplicates
@@ -19,6 +19,7 @@ from meshlark.llm.toxicity import drop_toxic, train_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from four fifths of the labels."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels, where=F.crc32(F.col("id").cast("string")) % 5 != 0)
     return drop_toxic(docs, model)
@@ -29,22 +30,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of which no line is left go: all that they held is in other documents.
     """
+    small_batches(spark)
     return apply_bitmaps(docs, keep_bitmaps(docs), drop_emptied=True).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     kept = near_duplicates(docs, shingle=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat ten words in a row of a benchmark item go."""
+    small_batches(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of each remaining document."""
+    small_batches(spark)
     return pack(docs)
 
 
