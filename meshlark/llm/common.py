@@ -14,12 +14,23 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words kept in a task's word-hash cache before it is emptied (about 100 MB).
-WORD_CACHE = 600_000
+#: Words kept in a task's word-hash cache before it is emptied (about 25 MB).
+WORD_CACHE = 120_000
 
 _U = np.uint64
 
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 rows takes hundreds of MB
+#: in the JVM's direct memory and again in the Python worker.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to ``BATCH_ROWS``; for applications that run these operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path that the driver and all executors can reach.
 
