@@ -25,7 +25,9 @@ def word_count(text: Column) -> Column:
 def keyword_overlap(text: Column, query: Column) -> Column:
     """Share of the query's terms (cut at single blanks) that the text contains, case aside; 0 for a blank query."""
     terms = F.filter(F.split(F.lower(query), " "), lambda t: t != "")
-    return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t))), F.size(terms)), F.lit(0.0)).cast("double")
+    # The array of one holds the text in lower case, which is then made once for all terms.
+    found = F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t)))), 1)
+    return F.coalesce(F.try_divide(found, F.size(terms)), F.lit(0.0)).cast("double")
 
 
 def classify(text: Column) -> Column:

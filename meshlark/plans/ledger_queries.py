@@ -146,7 +146,7 @@ def budget_guard(spark, sf_dir):
 OUT = "outcomes AS (SELECT user_id % 5 AS agent, event_type AS category, value >= 50 AS success, least(greatest(value / 100, 0), 1) AS credit, event_id FROM events)"
 
 
-@C.query(f"WITH {OUT} SELECT agent, category, 2.0 + count(*) FILTER (success) AS alpha, 2.0 + count(*) FILTER (NOT success) AS beta, count(*) AS observations FROM outcomes GROUP BY ALL")
+@C.query(f"WITH {OUT} SELECT agent, category, CAST(2 + count(*) FILTER (success) AS DOUBLE) AS alpha, CAST(2 + count(*) FILTER (NOT success) AS DOUBLE) AS beta, count(*) AS observations FROM outcomes GROUP BY ALL")
 def belief_binary(spark, sf_dir):
     return bandit.beliefs(outcomes(_events(spark, sf_dir)), "agent", "category", F.col("success"))
 

@@ -124,7 +124,7 @@ def event_sessions(spark, sf_dir):
     return folds.sessions(table(spark, sf_dir, "events"))
 
 
-BELIEFS = "SELECT user_id, 2.0 + count(*) FILTER (event_type IN ('purchase', 'signup')) AS alpha, 2.0 + count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS beta, count(*) AS events, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id"
+BELIEFS = "SELECT user_id, CAST(2 + count(*) FILTER (event_type IN ('purchase', 'signup')) AS DOUBLE) AS alpha, CAST(2 + count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS DOUBLE) AS beta, count(*) AS events, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id"
 
 
 @C.query(BELIEFS)

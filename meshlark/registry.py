@@ -240,7 +240,7 @@ class Registry:
                     out.append(Issue("link-target-missing", f"{at}.{x.name}", f"no type {x.target}"))
                 elif len(found) > 1 and not any(o.domain == t.domain for o in found):
                     out.append(Issue("link-target-ambiguous", f"{at}.{x.name}", f"{x.target} is in several domains"))
-                elif x.inverse and self.inverse(t, x.name) is None:
+                elif x.inverse and not any(k.name == x.inverse for o in found for k in o.links):
                     out.append(Issue("inverse-missing", f"{at}.{x.name}", f"{x.target} has no link {x.inverse}", hard=False))
             if t.roles and len(t.roles) != 2:
                 out.append(Issue("association-endpoints", at, "an association has two endpoints"))
