@@ -32,17 +32,39 @@ from .fingerprint import _place
 MAGIC = b"TOKIDS01"
 #: Keys in one part of the index: about 24 bytes each in memory.
 INDEX_KEYS = 1_000_000
-#: Entries of the caches of one worker before they are emptied (about 150 MB together).
-CACHE = 400_000
-_TWO_BLANKS = re.compile(r"\s\s")
+#: Pieces that one worker keeps before it empties its cache (about 40 MB).
+CACHE = 200_000
+
+# The splitting pattern of byte-level BPE, written for texts of ASCII (but for
+# the separators 1C to 1F) and of Latin letters, and the letters that stand for bytes.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+_SPLIT = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+").findall
+_OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LATIN}]")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class _Pieces(dict):
+    """Piece of a text -> its ids as raw bytes; emptied when full."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[piece] = self.encoder.piece_ids(piece)
+        return ids
 
 
 class Encoder:
     """Texts to raw id bytes with the tokenizers library.
 
-    Byte-level BPE never merges across the pieces of its splitting pattern, so for such
-    tokenizers the ids of a piece are kept and a text is the chain of its pieces' ids; each
-    distinct piece is encoded once. Other tokenizers encode whole texts.
+    Byte-level BPE never merges across the pieces of its splitting pattern. For such a
+    tokenizer, texts of ASCII and Latin letters are split here, the library's model encodes
+    each distinct piece once, and a text is the chain of its pieces' ids. All other texts,
+    and all texts of other tokenizers, are encoded whole by the library.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -54,44 +76,20 @@ class Encoder:
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.units: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        if self.pieces:
-            import regex
-            from public_tokenizers import PATTERN
+        self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.pieces = _Pieces(self)
 
-            self.split = regex.compile(PATTERN).findall
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _units(self, text: str) -> list[str]:
-        """The text cut before single blanks and line feeds, where the pattern cuts too.
-
-        Between two white-space characters it need not, so such a text is one unit.
-        """
-        if _TWO_BLANKS.search(text):
-            return [text]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(u if u[:1] == "\n" else f" {u}" for u in rest)]
+    def piece_ids(self, piece: str) -> bytes:
+        plain = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(plain)], self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.pieces:
-            return [x + self.end for x in self._encode(texts)]
-        if len(self.units) > CACHE or len(self.known) > CACHE:
-            self.units.clear()
-            self.known.clear()
-        cut = [self._units(t) for t in texts]
-        fresh = {u: self.split(u) for u in set().union(*cut) - self.units.keys()}
-        new = list(set().union(*fresh.values()) - self.known.keys()) if fresh else []
-        self.known.update(zip(new, self._encode(new), strict=True))
-        self.units.update((u, b"".join(map(self.known.__getitem__, p))) for u, p in fresh.items())
-        out = [b"".join(map(self.units.__getitem__, c)) + self.end for c in cut]
-        for u in fresh:
-            if len(u) > 64:  # long units hardly come again
-                del self.units[u]
-        return out
+        out: list[bytes | None] = [None] * len(texts)
+        rest = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER.search(t)]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(x.ids, self.dtype).tobytes() + self.end
+        look = self.pieces.__getitem__
+        return [b"".join(map(look, _SPLIT(t))) + self.end if x is None else x for t, x in zip(texts, out, strict=True)]
 
 
 _encoders: dict[tuple, Encoder] = {}
