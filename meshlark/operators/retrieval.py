@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import keyword_overlap
 from ..functions.vectors import similarity
 
 
@@ -32,6 +33,21 @@ def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosin
     return local.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).filter(F.col("rank") <= top).select(query_id, item_id, "score", "rank")
 
 
+def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", block: int = 500) -> DataFrame:
+    """The ``top`` documents of each query by keyword overlap: query_id, doc_id, score, rank.
+
+    The queries are counted and sent to the documents in blocks of about ``block``; each
+    block is one scan.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(query_id), F.col(query_text).alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
+    parts = [docs.join(F.broadcast(asked.filter(F.col("_block") == b))).select(query_id, doc_id, F.round(keyword_overlap(F.col(doc_text), F.col("_q")), 6).alias("score")) for b in range(blocks)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return ranked(rows, query_id, doc_id, top)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\s.,;:!?]+"), F.lit(0))
 

@@ -117,9 +117,9 @@ def assoc_endpoint_hop(spark, sf_dir):
     return s.df.select("p_partkey", "p_brand", "l_quantity", "l_returnflag")
 
 
-@C.query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 20 AND l_returnflag = 'R' AND l_linestatus = 'F')")
+@C.query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' AND l_returnflag = 'R' AND l_linestatus = 'F')")
 def edge_filter_walk(spark, sf_dir):
-    s = graph(spark, sf_dir).objects("orders").where(F.col("o_custkey") <= 20)
+    s = graph(spark, sf_dir).objects("orders").where(F.col("o_orderpriority").startswith("1"))
     return s.walk("lineitem", 1, True, l_returnflag="R", l_linestatus="F")[-1].df.select("p_partkey")
 
 
@@ -134,10 +134,10 @@ def surrogate_row_ids(spark, sf_dir):
     return rows.select(row_id(*rows.columns).alias("id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_rows"))
 
 
-@C.query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey <= 100")
+@C.query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0")
 def inverse_link(spark, sf_dir):
     g = graph(spark, sf_dir)
-    c = g.objects("customer").where(F.col("c_custkey") <= 100)
+    c = g.objects("customer").where(F.col("c_acctbal") > 0)
     back = g.registry.inverse(g.registry.resolve("nation"), "customers")
     nations = c.inverse(back.name).traverse("region", keep_paths=False).df
     pairs = c.df.join(g.table("nation"), F.col(back.source_key) == F.col(back.target_key)).join(nations, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -164,7 +164,7 @@ def count_by_hierarchy(spark, sf_dir):
 
 EDGES = """candidates AS (
   SELECT 'nation' AS src_type, CAST(c_nationkey AS VARCHAR) AS src_id, 'knows' AS link, 'nation' AS tgt_type, CAST(c_custkey % 30 AS VARCHAR) AS tgt_id FROM customer
-  UNION SELECT 'nation', CAST(c_custkey AS VARCHAR), 'likes', 'nation', '1' FROM customer WHERE c_custkey < 5
+  UNION SELECT 'nation', CAST(c_custkey AS VARCHAR), 'likes', 'nation', '1' FROM customer WHERE c_mktsegment = 'BUILDING'
 ), judged AS (
   SELECT *, CASE WHEN link <> 'knows' THEN 'undeclared-link' WHEN src_id NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) THEN 'missing-source'
     WHEN tgt_id NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) THEN 'missing-target' WHEN src_id = tgt_id THEN 'self-loop' END AS reason FROM candidates
@@ -178,7 +178,7 @@ def _relate(spark, sf_dir):
     c, n = g.table("customer"), g.table("nation")
     text = lambda x: x.cast("string")
     edge = lambda rows, s, link, t: rows.select(F.lit("nation").alias("src_type"), text(s).alias("src_id"), F.lit(link).alias("link"), F.lit("nation").alias("tgt_type"), text(t).alias("tgt_id"), F.lit(None).cast("string").alias("assoc_id"))
-    candidates = edge(c, F.col("c_nationkey"), "knows", F.col("c_custkey") % 30).unionByName(edge(c.filter("c_custkey < 5"), F.col("c_custkey"), "likes", F.lit(1)))
+    candidates = edge(c, F.col("c_nationkey"), "knows", F.col("c_custkey") % 30).unionByName(edge(c.filter("c_mktsegment = 'BUILDING'"), F.col("c_custkey"), "likes", F.lit(1)))
     existing = edge(n, F.col("n_nationkey"), "knows", F.col("n_regionkey"))
     links = spark.createDataFrame([("nation", "knows", "nation", False)], "src_type string, link string, tgt_type string, self_loops boolean")
     return relate(candidates, existing, n.select(F.lit("nation").alias("type"), text(F.col("n_nationkey")).alias("id")), links), existing
@@ -194,9 +194,9 @@ def relate_reject(spark, sf_dir):
     return _relate(spark, sf_dir)[0][1].select("src_id", "link", "tgt_id", "reason")
 
 
-@C.query("SELECT CAST(n_nationkey AS VARCHAR) AS src_id, CAST(n_regionkey AS VARCHAR) AS tgt_id FROM nation WHERE n_nationkey % 2 = 1")
+@C.query("SELECT CAST(n_nationkey AS VARCHAR) AS src_id, CAST(n_regionkey AS VARCHAR) AS tgt_id FROM nation WHERE n_regionkey >= 2")
 def unrelate_plain(spark, sf_dir):
     from ..operators.relate import unrelate
 
     existing = _relate(spark, sf_dir)[1]
-    return unrelate(existing, existing.filter(F.col("src_id").cast("int") % 2 == 0)).select("src_id", "tgt_id")
+    return unrelate(existing, existing.filter(F.col("tgt_id").cast("int") < 2)).select("src_id", "tgt_id")

@@ -67,7 +67,7 @@ def keyword_overlap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.keyword_overlap(F.col("text"), F.lit("the and License xyz the")), 6).alias("score"))
 
 
-BM25 = r"""terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[^\s.,;:!?]+')) AS term FROM benchmark WHERE item_id < 10),
+BM25 = r"""terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[^\s.,;:!?]+')) AS term FROM benchmark),
 cut AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\s.,;:!?]+') AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM cut),
 tf AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM cut) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
@@ -77,8 +77,7 @@ bm_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sc
 
 
 def _bm25(spark, sf_dir, top):
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10")
-    return retrieval.bm25(q, table(spark, sf_dir, "documents"), top, query_id="item_id")
+    return retrieval.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, query_id="item_id")
 
 
 @C.query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 10")
@@ -86,45 +85,54 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10)
 
 
-OVERLAP = """words AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS w FROM benchmark WHERE item_id < 10),
+OVERLAP = """words AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS w FROM benchmark),
 ov AS (SELECT item_id, doc_id, round(len(list_filter(w, lambda t: contains(lower(d.text), t))) / len(w), 6) AS score FROM words, documents d),
 ov_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ov)"""
 
 
-def _overlap(spark, sf_dir, top):
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10").select("item_id", F.col("text").alias("_q"))
-    rows = table(spark, sf_dir, "documents").join(F.broadcast(q))  # ten queries
-    return retrieval.ranked(rows.select("item_id", "doc_id", F.round(T.keyword_overlap(F.col("text"), F.col("_q")), 6).alias("score")), "item_id", "doc_id", top)
+@C.query(f"WITH {OVERLAP} SELECT item_id, doc_id, score, rank FROM ov_ranked WHERE rank <= 5")
+def keyword_overlap_topk(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    return retrieval.overlap_scores(q, table(spark, sf_dir, "documents"), 5, query_id="item_id", query_text="question")
 
 
-@C.query(f"""WITH {BM25}, {OVERLAP}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM ov_ranked WHERE rank <= 20),
+# A second ranking of the same documents, without regard to their lengths.
+SECOND = """flat AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 3.0 / (tf + 2.0)), 6) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), stats GROUP BY ALL),
+flat_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM flat)"""
+
+
+def _flat(spark, sf_dir, top):
+    return retrieval.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, query_id="item_id", k1=2.0, b=0.0)
+
+
+@C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM flat_ranked WHERE rank <= 20),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL) SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def rrf_fuse(spark, sf_dir):
-    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _overlap(spark, sf_dir, 20)], 10, query_id="item_id")
+    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
-@C.query(f"""WITH {BM25}, {OVERLAP}, parts AS (SELECT item_id, doc_id, 0.7 / (10 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 0.3 / (10 + rank) FROM ov_ranked WHERE rank <= 20),
+@C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 0.7 / (10 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 0.3 / (10 + rank) FROM flat_ranked WHERE rank <= 20),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL) SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def rrf_weighted(spark, sf_dir):
-    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _overlap(spark, sf_dir, 20)], 10, k=10, weights=[0.7, 0.3], query_id="item_id")
+    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, k=10, weights=[0.7, 0.3], query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
-@C.query(f"""WITH {BM25}, {OVERLAP}, pair AS (SELECT 1 AS l, item_id, doc_id, score FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT 2, item_id, doc_id, score FROM ov_ranked WHERE rank <= 20),
+@C.query(f"""WITH {BM25}, {SECOND}, pair AS (SELECT 1 AS l, item_id, doc_id, score FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT 2, item_id, doc_id, score FROM flat_ranked WHERE rank <= 20),
 m AS (SELECT *, avg(score) OVER w AS mean, stddev_samp(score) OVER w AS sd FROM pair WINDOW w AS (PARTITION BY l, item_id)),
 f AS (SELECT item_id, doc_id, sum(CASE WHEN sd IS NULL OR sd < 1e-9 THEN 0.5 ELSE (score - (mean - 3 * sd)) / (6 * sd) END) AS s FROM m GROUP BY ALL)
 SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def dbsf_fuse(spark, sf_dir):
-    f = retrieval.distribution_fusion([_bm25(spark, sf_dir, 20), _overlap(spark, sf_dir, 20)], 10, query_id="item_id")
+    f = retrieval.distribution_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
-@C.query(f"""WITH {BM25}, {OVERLAP}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM ov_ranked WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM bm_ranked WHERE rank <= 50),
+@C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM flat_ranked WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM bm_ranked WHERE rank <= 50),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL), top AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10)
-SELECT item_id, doc_id, o.score, t.rank FROM top t JOIN ov_ranked o USING (item_id, doc_id) WHERE o.rank <= 50""")
+SELECT item_id, doc_id, o.score, t.rank FROM top t JOIN flat_ranked o USING (item_id, doc_id) WHERE o.rank <= 50""")
 def hybrid_rrf(spark, sf_dir):
-    return retrieval.hybrid(_overlap(spark, sf_dir, 50), _bm25(spark, sf_dir, 50), 10, query_id="item_id")[0]
+    return retrieval.hybrid(_flat(spark, sf_dir, 50), _bm25(spark, sf_dir, 50), 10, query_id="item_id")[0]
 
 
 @C.query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents")
