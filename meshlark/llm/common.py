@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words kept in a task's word-hash cache before it is emptied (about 25 MB).
 WORD_CACHE = 120_000
@@ -53,6 +54,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def range_count(docs: DataFrame) -> int:
+    """How many ranges to deal ``docs`` into: as many as it has input splits, or shuffle partitions if those are more."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+
+
+def falling_bounds(rows: DataFrame, key: str, parts: int) -> list[int]:
+    """At most ``parts - 1`` distinct keys, falling, that cut ``rows`` into about equal ranges; reads only the keys."""
+    if parts < 2:
+        return []
+    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).head()[0]
+    return sorted(set(cuts or []), reverse=True)
+
+
+def place_in_ranges(key: Column, bounds: list[int]) -> Column:
+    """How many of the falling ``bounds`` lie above ``key``, by halving."""
+    if not bounds:
+        return F.lit(0)
+    array = F.array(*(F.lit(b).cast("long") for b in bounds))
+    steps = [2**k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), lambda at, s: F.when(F.coalesce(F.get(array, at + s) > key, F.lit(False)), at + s).otherwise(at)) + 1
+
+
 class WordCodes(dict):
     """Word (bytes) -> 64-bit hash. Emptied when full, so memory stays bounded."""
 

@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, mix64, shingle_set
+from .common import WordCodes, falling_bounds, mix64, place_in_ranges, range_count, shingle_set
 
 #: Bins and stored bits of a bin: the standard error at likeness 1/3 is about 0.023.
 BINS, BITS, SHINGLE = 512, 4, 5
@@ -91,15 +91,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, fingerprint binary").withColumnRenamed("id", id_col)
 
 
-def _place(key: Column, bounds: list[int]) -> Column:
-    """How many of the falling ``bounds`` lie above ``key``, by halving."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*(F.lit(b).cast("long") for b in bounds))
-    steps = [2**k for k in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), lambda at, s: F.when(F.coalesce(F.get(array, at + s) > key, F.lit(False)), at + s).otherwise(at)) + 1
-
-
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Rows dealt into ranges of falling ids, each range followed by the row after it.
 
@@ -107,13 +98,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     sorted within partitions. The last range is followed by the very first row. Only ids
     are read to find the ranges; of each range one id goes to the driver.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    share = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("key", share, 10_000)).head()[0] if share else []
-    bounds = sorted(set(cuts or []), reverse=True)
-    part = _place(F.col("key"), bounds)
+    bounds = falling_bounds(rows, "key", parts or range_count(docs))
+    part = place_in_ranges(F.col("key"), bounds)
     heads = sorted((r[0], r[1]) for r in rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key")).collect())
     before = {p: heads[i - 1][0] for i, (p, _) in enumerate(heads)}  # the first range's row follows the last one
     width = len(bounds) + 1
@@ -123,7 +110,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     homes = F.when(F.get(top, F.col("part")) == F.col("key"), F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.get(back, F.col("part")).alias("part"), F.lit(1).alias("guest"))))
     homes = homes.otherwise(F.array(F.struct("part", F.lit(0).alias("guest"))))
     dealt = placed.select(F.explode(homes).alias("home"), "key", "id", "text").select("home.part", "home.guest", "key", "id", "text")
-    return dealt.repartition("part").sortWithinPartitions("part", "guest", F.col("key").desc(), "text")
+    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", F.col("key").desc(), "text")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:

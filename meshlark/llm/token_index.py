@@ -15,6 +15,7 @@ import json
 import posixpath
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir, written
-from .fingerprint import _place
+from .common import falling_bounds, mix64, place_in_ranges, range_count, shared_dir, written
 
 MAGIC = b"TOKIDS01"
 #: Keys in one part of the index: about 24 bytes each in memory.
 INDEX_KEYS = 1_000_000
-#: Pieces that one worker keeps before it empties its cache (about 40 MB).
-CACHE = 200_000
+#: Pieces that one worker keeps at most (about 150 MB).
+CACHE = 1_000_000
 
 # The splitting pattern of byte-level BPE, written for texts of ASCII (but for
 # the separators 1C to 1F) and of Latin letters, and the letters that stand for bytes.
@@ -45,16 +45,20 @@ _BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enu
 
 
 class _Pieces(dict):
-    """Piece of a text -> its ids as raw bytes; emptied when full."""
+    """Piece of a text -> its ids as raw bytes. When full, what was not asked for since the last time goes."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = self.encoder.piece_ids(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encoder.piece_ids(piece)
+        self[piece] = ids
         return ids
 
 
@@ -77,11 +81,15 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.pieces = _Pieces(self)
+        self.pieces, self.tokenize = _Pieces(self), self.tokenizer.model.tokenize
+        self.raw = "H" if self.dtype.itemsize == 2 else "I"
 
     def piece_ids(self, piece: str) -> bytes:
-        plain = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(plain)], self.dtype).tobytes()
+        if piece.isascii() and piece.isprintable():
+            plain = piece.replace(" ", _BYTE_LETTERS[32])
+        else:
+            plain = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.raw, [t.id for t in self.tokenize(plain)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -223,10 +231,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
-    bounds = sorted(set(cuts or []), reverse=True)
+    bounds = falling_bounds(docs.select(key.alias("key")), "key", parts or range_count(docs))
     width = len(bounds) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +264,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             if out is not None:
                 out.close()
 
-    shard = F.lit(width - 1) - _place(F.col("key"), bounds)
+    shard = F.lit(width - 1) - place_in_ranges(F.col("key"), bounds)
     encoded = docs.select(key.alias("key"), F.col(text_col).alias("text")).select(shard.cast("int").alias("shard"), "key", "text").mapInArrow(encode, "shard int, key long, ids binary")
-    dealt = encoded.repartition("shard").sortWithinPartitions("shard", "key", "ids")
+    dealt = encoded.repartition(width, "shard").sortWithinPartitions("shard", "key", "ids")
     places = written(dealt.mapInArrow(save, "key long, shard int, path string, offset long, count long"))
     totals = {r["shard"]: r for r in places.groupBy("shard").agg(F.first("path").alias("path"), F.sum("count").alias("n"), F.count("*").alias("docs")).collect()}
     base, shards, rows = 0, [], 0
