@@ -154,7 +154,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([int(x[0].astype(np.int64)) if len(x) else 0 for x in found], pa.int64())], names=["id", "text", "label", "copy"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = written(texts.select("id", "text", "label").mapInArrow(least, f"id {kind}, text string, label int, copy long").dropDuplicates(["label", "copy"]).drop("copy"))
+    sample = written(texts.select("id", "text", "label").mapInArrow(least, f"id {kind}, text string, label int, copy long").groupBy("label", "copy").agg(F.min(F.struct("id", "text")).alias("least")).select("least.id", "least.text", "label"))
     weights = _lexicon(sample, LEXICON)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
