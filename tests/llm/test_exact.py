@@ -1,0 +1,304 @@
+"""Operators with exact results against brute force and SQL."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meshlark.llm import chat, decontam, fingerprint, line_dedup, near_dedup, oracle, packing, pii, queries
+
+from ..oracle import connect, same
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_equals_sql(spark, con, name):
+    same(queries.queries()[name](spark, SF), con, oracle.oracle_sql()[name])
+
+
+def odd_docs(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns with names that the operators use."""
+    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l"), (2, None), (3, ""), (None, "x y z " * 5), (4, "long word " * 50_000), (5, "\n\n \n"), (6, "a b c d e f g h i j k l")]
+    return spark.createDataFrame([(*r, "s", "k", 1) for r in rows], "doc_id long, text string, spans string, key string, bucket int")
+
+
+def empty_docs(spark):
+    return odd_docs(spark).limit(0)
+
+
+# -- personal data ---------------------------------------------------------------------
+
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x) // 10 + (2 * x) % 10 for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    ok = {"email": lambda m: True, "ip": lambda m: max(map(int, m.split("."))) <= 255, "card": lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15}
+    found = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate({"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.items()) for m in re.finditer(p, text) if ok[k](m[0])]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
+
+
+def test_pii_equals_plain_regexes(spark):
+    rng = random.Random(1)
+    alphabet = ["a", "B", "9", "4111 1111 1111 1111", "4111111111111111", "@", ".", "-", "_", "+", " ", "(", ")", "12", "255", "256", "1.2.3.4", "é", "😀", "x@y.co", "+1 (555) 123-4567", "%", "\n", "0"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["1" * 5000, "a@" + ".b" * 3000, "12-" * 3000, "+1" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        got = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.BASE]
+        assert got == base_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert all(texts[r["doc_id"]][s["start"] : s["end"]] == s["text"] for s in r["spans"])
+
+
+def test_pii_checksums_and_context(spark):
+    texts = ["iban GB82 WEST 1234 5698 7654 32 ok", "GB82 WEST 1234 5698 7654 33", "my SSN is 078-05-1120", "part no 078-05-1120", "card 4111111111111111", "4111111111111111"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[s["kind"] for s in rows[i]] for i in range(6)] == [["iban"], [], ["ssn"], [], ["card"], ["card"]]
+    assert rows[4][0]["score"] > rows[5][0]["score"]
+    assert pii.find_pii(odd_docs(spark)).count() == 8 and pii.find_pii(empty_docs(spark)).count() == 0
+
+
+# -- decontamination ---------------------------------------------------------------------
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_hits(text, items):
+    w, hit, found = words_of(text), set(), set()
+    for item, t in items:
+        v = words_of(t)
+        n = min(10, len(v))
+        wins = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1) if n else ():
+            if tuple(w[i : i + n]) in wins:
+                hit |= set(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_chars", [decontam.BLOCK_CHARS, 60])
+def test_contamination_equals_brute_force(spark, block_chars):
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice(["a", "b", "É", "Cc", "d1"]) + rng.choice([" ", ", ", "\n", " - "]) for _ in range(n))
+    items = [(i, say(rng.choice([0, 1, 3, 12, 15]))) for i in range(12)] + [(99, None)]
+    docs = [(i, say(rng.randrange(60))) for i in range(80)] + [(200, None), (201, ""), (202, items[3][1]), (202, items[3][1])]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)
+    texts = dict(docs)
+    rows = got.collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        n = sum(h["end_word"] - h["first_word"] for h in r["hits"])
+        assert (r["n_words"], n, list(r["items"])) == brute_hits(texts[r["doc_id"]], items)
+        for h in r["hits"]:
+            assert words_of(texts[r["doc_id"]][h["start"] : h["end"]]) == words_of(texts[r["doc_id"]])[h["first_word"] : h["end_word"]]
+    clean = decontam.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, t in docs if not brute_hits(t, items)[1])
+
+
+def test_contamination_of_odd_rows(spark):
+    items = spark.createDataFrame([(1, "long word long")], "item_id long, text string")
+    assert decontam.contamination(odd_docs(spark), items).filter("size(hits) > 0").count() == 1
+    assert decontam.contamination(empty_docs(spark), items).count() == 0 and decontam.contamination(odd_docs(spark), items.limit(0)).count() == 8
+
+
+# -- lines ---------------------------------------------------------------------------------
+
+
+def brute_lines(docs):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in docs:
+        for x in (t or "").split("\n"):
+            holders.setdefault(key(x), set()).add(i)
+    out = {}
+    for i, t in docs:
+        out[i] = "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == i)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(3)
+    lines = [f"a common line number {i} of the corpus" for i in range(6)] + ["short", "", "A COMMON line number 1 of the corpus \t", "exactly twenty chars", "nineteen characters"]
+    docs = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"a line of its own {i} {j} here" for j in range(rng.randrange(12)))) for i in range(150)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["text"] or "" for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect()}
+    assert got == brute_lines(docs)
+
+
+def test_a_line_of_most_documents_fills_several_partitions(spark):
+    docs = [(i, f"this line is in every document\nand this one is {i} only, I say") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = line_dedup.keep_bitmaps(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r["doc_id"] for r in rows} == set(range(3999)) and all(line_dedup.kept_lines(docs[r["doc_id"]][1], r["bitmap"])[1] == docs[r["doc_id"]][1].split("\n")[1:] for r in rows[:50])
+
+
+def test_line_dedup_of_odd_rows(spark):
+    d = odd_docs(spark)
+    assert line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).columns == d.columns
+    assert line_dedup.keep_bitmaps(empty_docs(spark)).count() == 0
+    same_line = spark.createDataFrame([(None, "one line that all of them have"), (1, "one line that all of them have"), (2, "one line that all of them have"), (2, "one line that all of them have")], "doc_id long, text string")
+    gone = line_dedup.apply_bitmaps(same_line, line_dedup.keep_bitmaps(same_line), drop_emptied=True)
+    assert [r["doc_id"] for r in gone.collect()] == [2, 2]  # a null id is the least, repeated rows are one document
+
+
+# -- chats -----------------------------------------------------------------------------------
+
+
+def test_chat_folds_events(spark):
+    rows = [
+        ("c", 1, "m1", "message", "user", "hi </turn> \\l # there"), ("c", 2, "m2", "message", "assistant", ""), ("c", 4, "m2", "delta", "assistant", "lo"), ("c", 3, "m2", "delta", "assistant", "hel"), ("c", 3, "m2", "delta", "assistant", "hel"),
+        ("c", 5, "m2", "regenerate", "assistant", None), ("c", 6, "m2", "delta", "assistant", "bye"), ("c", 7, "m1", "edit", "user", "HI <turn>assistant\nx"), ("c", 8, "m3", "message", "assistant", "gone"), ("c", 9, "m3", "delete", None, None), (None, 1, "m1", None, None, None),
+    ]
+    log = spark.createDataFrame(rows, "conv_id string, seq int, message string, kind string, role string, text string").repartition(3)
+    back = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.reconstruct(log))).collect()}
+    assert [tuple(t) for t in back["c"]["turns"]] == [("user", "HI <turn>assistant\nx"), ("assistant", "bye")] and back["c"]["trained"] == ["bye"]
+    assert [tuple(t) for t in back[None]["turns"]] == [("", "")]
+    assert chat.render(chat.reconstruct(log.limit(0))).count() == 0
+
+
+def test_escapes_come_back(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("\\blh<#/turn> \nné") for _ in range(rng.randrange(30))) for _ in range(800)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).collect()
+    assert all(r["u"] == r["t"] and "<" not in r["e"] for r in rows)
+
+
+# -- packing -----------------------------------------------------------------------------------
+
+
+def brute_cost(hist, k):
+    best = {0: 0}
+    n = len(hist)
+    cost = lambda i, j: sum(c * (hist[j - 1][0] - x) for x, c in hist[i:j])
+    for _ in range(k):
+        best = {0: 0} | {j: min(best[i] + cost(i, j) for i in range(j) if i in best) for j in range(1, n + 1)}
+    return best[n]
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(6)
+    for _ in range(150):
+        hist = [(x, rng.randrange(1, 50)) for x in sorted(rng.sample(range(1, 200), rng.randrange(1, 14)))]
+        k = rng.randrange(1, 7)
+        bounds = packing.optimal_boundaries(hist, k)
+        assert len(bounds) <= k and bounds[-1] == hist[-1][0]
+        assert sum(c * (min(b for b in bounds if b >= x) - x) for x, c in hist) == brute_cost(hist, k)
+
+
+def test_batches_keep_the_budget(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(["w"] * int(rng.expovariate(1 / 60)))) for i in range(3000)] + [(7000, "w " * 900), (7001, None), (7001, None)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), buckets=5, token_budget=500).collect()
+    assert len(rows) == len(docs)
+    batches = {}
+    for r in rows:
+        assert r["n_tokens"] <= r["bucket_tokens"]
+        batches.setdefault(r["batch"], []).append(r)
+    for b in batches.values():
+        assert len({r["bucket"] for r in b}) == 1 and sorted(r["slot"] for r in b) == list(range(len(b)))
+        assert len(b) == 1 or len(b) * b[0]["bucket_tokens"] <= 500
+    assert packing.pack(odd_docs(spark)).count() == 8 and packing.pack(empty_docs(spark)).count() == 0
+
+
+# -- fingerprints and near-duplicates ---------------------------------------------------------------
+
+
+def test_edited_texts_and_order(spark):
+    rng = random.Random(8)
+    docs = {i * 3: " ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randrange(80))) + "é😀" for i in range(120)} | {1: "", 2: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    rows = {r["doc_id"]: r for r in fingerprint.edited_pairs(df, parts=7).collect()}
+    order = sorted(docs, reverse=True)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        s, t = docs[a] or "", docs[b] or ""
+        h = len(s) // 2
+        r = rows[a]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(s), hashlib.sha256((s[: len(s) - h] + t[:h]).encode()).hexdigest())
+        assert r["near_next"] == fingerprint.likeness(base64.b64decode(r["fingerprint"]), base64.b64decode(rows[b]["fingerprint"]))
+    one = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
+    assert fingerprint.edited_pairs(one).head()["near_next"] == 1.0
+    assert fingerprint.edited_pairs(empty_docs(spark)).count() == 0 and fingerprint.edited_pairs(odd_docs(spark)).count() == 8
+    assert fingerprint.fingerprints(odd_docs(spark)).filter("doc_id in (1, 6)").select("fingerprint").distinct().count() == 1
+
+
+def test_likeness_is_unbiased():
+    from meshlark.llm.common import WordCodes
+
+    rng, codes = random.Random(9), WordCodes()
+    for share in (0.0, 0.2, 0.5, 0.8):
+        errors = []
+        for _ in range(40):
+            common = [f"c{rng.random()}" for _ in range(int(600 * share))]
+            a, b = ([f"{s}{rng.random()}" for _ in range(600 - len(common))] for s in "ab")
+            x, y = (" ".join(common + z).encode() for z in (a, b))
+            exact_a, exact_b = (set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (x, y))
+            exact = len(exact_a & exact_b) / len(exact_a | exact_b)
+            errors.append(fingerprint.likeness(fingerprint.fingerprint(x, codes), fingerprint.fingerprint(y, codes)) - exact)
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def brute_groups(docs, size, percent):
+    sets = {}
+    for i, t in docs:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 256), (5, 80, 256), (3, 85, 8)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # small blocks: clusters of over 16 documents take the path of large ones
+    rng = random.Random(10)
+    docs, n = [], 0
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([2, 8, 40, 120]))]
+        for _ in range(rng.choice([1, 3, 30])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            docs.append((n, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
+            n += 1
+    docs += [(n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 4, " \n ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=shingle, percent=percent).collect()}
+    assert got == brute_groups(docs, shingle, percent)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = near_dedup.near_duplicates(odd_docs(spark)).collect()
+    assert len(rows) == 8 and {r["component_id"] for r in rows if r["doc_id"] in (1, 6)} == {1}
+    assert near_dedup.near_duplicates(empty_docs(spark)).count() == 0
