@@ -55,11 +55,11 @@ def tokens(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over all documents: query_id, doc_id, score, rank.
 
-    Only terms of the queries are kept after the texts are cut, so the shuffle holds
-    matches, not the vocabulary. Repeated query terms count once.
+    Texts are cut and dealt by document once; counts of terms in documents then need no
+    further shuffle, and both uses of them share that one. Repeated query terms count once.
     """
     terms = queries.select(F.col(query_id), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    cut = docs.select(F.col(doc_id), tokens(F.col(doc_text)).alias("_words")).withColumn("_len", F.size("_words"))
+    cut = docs.select(F.col(doc_id), tokens(F.col(doc_text)).alias("_words")).withColumn("_len", F.size("_words")).repartition(doc_id)
     stats = cut.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     words = cut.select(doc_id, "_len", F.explode("_words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     tf = words.groupBy("term", doc_id, "_len").agg(F.count("*").alias("tf"))
