@@ -8,7 +8,6 @@ coordinate learning rates, elastic-net penalty) and calibrated with one temperat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ FEATURES = 1 << FEATURE_BITS
 #: Bound of the training sample: rows of each language.
 PER_LANGUAGE = 800
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SHIFT = np.uint64(64 - FEATURE_BITS)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -54,7 +52,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its chance; ``und`` and 0 without letters or without languages."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts = gram_counts(text)
         at = np.flatnonzero(counts)

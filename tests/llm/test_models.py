@@ -31,6 +31,7 @@ def test_languages_of_odd_rows(spark):
     assert none.predict("some text") == ("und", 0.0)
     one = langid.train_language_id(spark.createDataFrame([(1, "x y", "en")], "doc_id long, text string, lang string"))
     assert one.predict("any") == ("en", 1.0)
+    assert one.predict("12 \u00b2 \u00bd \u2167 \u2026!") == ("und", 0.0) and one.predict("1 \u00e9")[0] == "en"  # number signs are no letters
     assert langid.identify_languages(empty_docs(spark), model).count() == 0
 
 
