@@ -37,6 +37,20 @@ def relate(candidates: DataFrame, existing: DataFrame, objects: DataFrame, links
     return accepted, judged.filter("reason is not null")
 
 
+def relate_attributed(candidates: DataFrame, existing: DataFrame, objects: DataFrame, links: DataFrame, associations: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New edges with an association, the association objects to store, and refused candidates.
+
+    As ``relate``; a new edge whose association is null or not in ``associations`` is
+    refused as missing-association. An object is stored only with a new edge.
+    """
+    accepted, refused = relate(candidates, existing, objects, links)
+    given = associations.select(F.col(id_col).alias("assoc_id")).distinct()
+    new = accepted.join(given, "assoc_id", "left_semi").select(*EDGE)
+    bare = accepted.join(given, "assoc_id", "left_anti").select(*EDGE, F.lit("missing-association").alias("reason"))
+    stored = associations.join(new.select(F.col("assoc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    return new, stored, refused.unionByName(bare)
+
+
 def unrelate(edges: DataFrame, removals: DataFrame) -> DataFrame:
     """Edges without the plain ones (no association) named in ``removals``; unknown ones are no error."""
     keys = EDGE[:-1]

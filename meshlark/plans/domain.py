@@ -27,7 +27,7 @@ def model() -> Registry:
             "customer", ("c_custkey",), "trade", (*_props("c_custkey:bigint c_name c_nationkey:int c_acctbal:double c_mktsegment"), Property("standing", "double", computed=True, derived_from=("c_acctbal",)), Property("offer", "double", computed=True, derived_from=("standing", "c_mktsegment"))),
             (Link("nation", "nation", "c_nationkey", "n_nationkey", "N-1", "customers"), Link("orders", "orders", "c_custkey", "o_custkey", inverse="customer")),
             actions=(Action("close", (Requirement("property", "c_acctbal >= 0"), Requirement("property", "c_mktsegment != BUILDING", hard=False)), modifies=("c_acctbal",)), Action("contact", (Requirement("link", "nation_known"),), read_only=True), Action("score", modifies=("standing",), target="orders")),
-            interfaces={"Party": {"key": "c_custkey", "name": "c_name", "nation": "c_nationkey", "balance": "c_acctbal"}},
+            interfaces={"Party": {"key": "c_custkey", "name": "c_name", "nation": "c_nationkey", "balance": "c_acctbal"}}, interface_actions={"Party": {"reach": "contact"}},
         ),
         ObjectType("supplier", ("s_suppkey",), "trade", _props("s_suppkey:bigint s_name s_nationkey:int s_acctbal:double"), (Link("nation", "nation", "s_nationkey", "n_nationkey", "N-1", "suppliers"), Link("lines", "lineitem", "s_suppkey", "l_suppkey")), interfaces={"Party": {"key": "s_suppkey", "name": "s_name", "nation": "s_nationkey", "balance": "s_acctbal"}}),
         ObjectType("part", ("p_partkey",), "trade", _props("p_partkey:bigint p_name p_brand p_type p_size:int p_retailprice:double"), (Link("lines", "lineitem", "p_partkey", "l_partkey"),)),

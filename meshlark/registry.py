@@ -111,6 +111,7 @@ class ObjectType:
     actions: tuple[Action, ...] = ()
     events: tuple[str, ...] = ()
     interfaces: dict[str, dict[str, str]] = field(default_factory=dict)  # interface -> its property -> ours
+    interface_actions: dict[str, dict[str, str]] = field(default_factory=dict)  # interface -> its action -> ours
     lifecycle: Lifecycle | None = None
     parent: str = ""
     accepts: tuple[tuple[str, str, str], ...] = ()  # extension points: name, source domain, interface
@@ -249,6 +250,8 @@ class Registry:
                     out.append(Issue("interface-missing", f"{at}:{name}", "not declared"))
                     continue
                 out += [Issue("interface-uncovered", f"{at}:{name}.{p}", "no property for it") for p in self.interfaces[name] if mapping.get(p, p) not in declared]
+            acts = {a.name for a in t.actions}
+            out += [Issue("interface-action-missing", f"{at}:{i}.{name}", f"no action {mine}") for i, mapping in t.interface_actions.items() for name, mine in mapping.items() if mine not in acts]
             if t.lifecycle:
                 out += self._lifecycle_issues(t, t.lifecycle, at)
             try:
@@ -325,7 +328,7 @@ class Registry:
         return "sha256:" + hashlib.sha256(json.dumps(plain(body), sort_keys=True).encode()).hexdigest()
 
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """The model as tables: types, properties, derivations, links, roles, actions, requirements, events, interfaces, cross_links, chains."""
+        """The model as tables: types, properties, derivations, links, roles, actions, requirements, events, interfaces, interface_actions, cross_links, chains."""
         t = self.types
         rows = {
             "types": ("domain string, type string, parent string, kind string, n_properties int, n_links int, n_actions int, n_events int", [(x.domain, x.name, x.parent, "association" if x.roles else "entity", len(x.properties), len(x.links), len(x.actions), len(x.events)) for x in t]),
@@ -339,6 +342,7 @@ class Registry:
             "states": ("domain string, type string, state_from string, state_to string, action string", [(x.domain, x.name, *m) for x in t if x.lifecycle for m in x.lifecycle.moves]),
             "events": ("domain string, type string, event string", [(x.domain, x.name, e) for x in t for e in x.events]),
             "interfaces": ("interface string, domain string, type string", [(i, x.domain, x.name) for x in t for i in x.interfaces]),
+            "interface_actions": ("interface string, interface_action string, domain string, type string, action string", [(i, a, x.domain, x.name, mine) for x in t for i, m in x.interface_actions.items() for a, mine in m.items()]),
             "points": ("domain string, type string, point string, source_domain string, interface string", [(x.domain, x.name, *p) for x in t for p in x.accepts]),
             "cross_links": ("link string, source_domain string, source string, target_domain string, target string, point string", [(c.name, c.source_domain, c.source, c.target_domain, c.target, c.point) for c in self.cross_links]),
             "chains": ("workflow string, consumed string, produced string", list(self.chains)),

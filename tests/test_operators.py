@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import bandit, chunking, ledger, loops, retrieval, temporal
+from meshlark.operators import bandit, chunking, decisions, ledger, loops, retrieval, temporal
 from meshlark.operators import workflow as W
 from meshlark.sources.tables import Artifacts
 
@@ -159,3 +159,45 @@ def test_maps_merge_in_order(spark):
     log = spark.sql("select * from values (1, 2, map('a', 2, 'c', 3), cast(null as string)), (1, 1, map('a', 1, 'b', 1), 'x'), (1, 3, cast(null as map<string,int>), cast(null as string)) as t(id, seq, m, s)")
     r = W.fold_states(log, "id", ["seq"], ["s"], [], ["m"]).head()
     assert (r["s"], dict(r["m"]), r["events"]) == ("x", {"a": 2, "b": 1, "c": 3}, 3)
+
+
+def test_approvals(spark):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    asked = spark.createDataFrame([(i, at(0)) for i in range(7)], "request int, asked_at timestamp_ntz")
+    said = [(0, 10, True), (1, 11, False), (2, 30, True), (3, 31, True), (4, -5, True), (5, 5, True), (5, 5, False), (9, 1, True)]
+    answers = spark.createDataFrame([(r, at(s), ok) for r, s, ok in said], "request int, answered_at timestamp_ntz, approved boolean")
+    for now, rest in ((20, ("second", "waiting")), (31, (None, "expired"))):
+        got = {r["request"]: (r["level"], r["outcome"]) for r in decisions.approval_outcomes(asked, answers, [("first", 10), ("second", 20)], F.lit(at(now)).cast("timestamp_ntz")).collect()}
+        assert got == {0: ("first", "approved"), 1: ("second", "rejected"), 2: ("second", "approved"), 3: (None, "expired"), 4: rest, 5: ("first", "rejected"), 6: rest}
+
+
+def test_answers_and_coverage(spark):
+    scored = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.5, 2), (2, "c", 0.4, 1), (2, "d", 0.3, 2)], "query_id int, doc_id string, score double, rank int")
+    q = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    rows = decisions.answer_or_abstain(q, scored, 0.9, nearest=1).orderBy("query_id").collect()
+    assert [(r["outcome"], list(r["records"])) for r in rows] == [("answer", ["a"]), ("abstain", ["c"]), ("abstain", [])]
+    assert decisions.answer_or_abstain(q, scored.limit(0), 0.9).filter("outcome = 'abstain' AND size(records) = 0").count() == 3
+    subjects = spark.createDataFrame([(1, "x"), (2, "x"), (None, "y")], "id int, g string")
+    seen = spark.createDataFrame([(1,), (1,), (None,)], "id int")
+    assert sorted(tuple(r) for r in decisions.coverage(subjects, seen, "id", ["g"]).collect()) == [("x", 1, 2, 1), ("y", 0, 1, 1)]
+
+
+def test_attributed_links_need_their_object(spark):
+    from meshlark.operators.relate import EDGE, relate_attributed
+
+    edges = spark.createDataFrame([("n", "1", "k", "n", "2", a) for a in ("a1", "a2", None)], ", ".join(f"{c} string" for c in EDGE))
+    objects = spark.createDataFrame([("n", "1"), ("n", "2")], "type string, id string")
+    links = spark.createDataFrame([("n", "k", "n", False)], "src_type string, link string, tgt_type string, self_loops boolean")
+    given = spark.createDataFrame([("a1", 5), ("a9", 6)], "id string, v int")
+    new, stored, refused = relate_attributed(edges, edges.limit(0), objects, links, given)
+    assert [r["assoc_id"] for r in new.collect()] == ["a1"] and [tuple(r) for r in stored.collect()] == [("a1", 5)]
+    assert sorted((r["assoc_id"] or "", r["reason"]) for r in refused.collect()) == [("", "missing-association"), ("a2", "missing-association")]
+    again, nothing, _ = relate_attributed(edges, edges, objects, links, given)
+    assert again.count() == 0 and nothing.count() == 0
+
+
+def test_interface_actions_are_checked():
+    from meshlark.registry import Action, ObjectType, Registry
+
+    t = ObjectType("t", ("k",), interface_actions={"I": {"go": "run", "stop": "halt"}}, actions=(Action("run"),))
+    assert [(i.subject, i.message) for i in Registry([t]).issues() if i.code == "interface-action-missing"] == [("default.t:I.stop", "no action halt")]
