@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a task's word-hash cache before it is emptied (about 25 MB).
@@ -32,18 +35,27 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path that the driver and all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only where that setting is missing (tests,
-    local mode) a temporary folder of this machine is taken.
+    It lies under ``spark.checkpoint.dir``. Where that is missing, a local master gets a
+    temporary folder of this machine, and a cluster an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="meshlark-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/meshlark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/meshlark-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -51,29 +63,109 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables made by ``written`` that nothing will read any more."""
+    for t in tables:
+        if path := _folders.pop(t, None):
+            _remove(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, every shared folder made inside: for jobs whose result is written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+#: A key with more than this share of the rows, and more rows than ``FEW``, is a hot one.
+HOT_SHARE, FEW = 1 / 4096, 64
+
+
+def look_up_spread(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row that ``table`` has for a key, however many rows a key has.
 
+    ``table`` tells in ``count`` how many of the ``total`` rows have the key. Keys with over
+    ``FEW`` rows and over a 4,096th of all, hence at most 4,096 of them, are sent to the
+    tasks and joined in place; the others meet by key. Both tables are read twice: give
+    written ones, or such as cost little. Rows whose key ``table`` lacks go.
+    """
+    least = max(FEW, int(total * HOT_SHARE))
+    hot = F.broadcast(table.filter(F.col(count) > least).drop(count))
+    cool = table.filter(F.col(count) <= least).drop(count)
+    cols = [*rows.columns, *(c for c in table.columns if c not in {*on, count})]
+    return rows.join(hot, on).select(cols).unionByName(rows.join(cool.hint("merge"), on).select(cols))
+
+
+#: Bytes of text in one range.
+RANGE_BYTES = 48 << 20
+
+
+class Ranges:
+    """Ranges of rows in the order of two 64-bit keys: the first row of each, known to all tasks."""
+
+    def __init__(self, heads: list[tuple[int, int]]):
+        self.first = np.array([h[0] for h in heads], dtype=np.int64)
+        self.second = np.array([h[1] for h in heads], dtype=np.int64)
 
-def range_count(docs: DataFrame) -> int:
-    """How many ranges to deal ``docs`` into: as many as it has input splits, or shuffle partitions if those are more."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    def __len__(self) -> int:
+        return max(1, len(self.first))
 
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The number of each row's range."""
+        low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
+        out = high - 1
+        for i in np.flatnonzero((high - low > 1) | ((high > low) & (second < self.second[np.minimum(low, len(self.second) - 1)]))).tolist():
+            out[i] = low[i] - 1 + np.searchsorted(self.second[low[i] : high[i]], second[i], "right")
+        return np.maximum(out, 0)
 
-def falling_bounds(rows: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` distinct keys, falling, that cut ``rows`` into about equal ranges; reads only the keys."""
-    if parts < 2:
-        return []
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).head()[0]
-    return sorted(set(cuts or []), reverse=True)
+    def heads(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which rows have the keys of the first row of their range."""
+        if not len(self.first):
+            return np.zeros(len(first), dtype=bool)
+        at = self.of(first, second)
+        return (self.first[at] == first) & (self.second[at] == second)
 
 
-def place_in_ranges(key: Column, bounds: list[int]) -> Column:
-    """How many of the falling ``bounds`` lie above ``key``, by halving."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*(F.lit(b).cast("long") for b in bounds))
-    steps = [2**k for k in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), lambda at, s: F.when(F.coalesce(F.get(array, at + s) > key, F.lit(False)), at + s).otherwise(at)) + 1
+def byte_ranges(keys: DataFrame, range_bytes: int = RANGE_BYTES) -> Ranges:
+    """Cuts rows, in the order of their keys, into ranges of about ``range_bytes``.
+
+    ``keys``: two longs and the bytes of each row. The narrow rows are range-partitioned
+    and sorted; each task adds up bytes and names the keys where a range begins, so what
+    comes to the driver is 16 bytes a range. Rows with both keys equal stay together.
+    """
+
+    def cuts(batches):
+        last, held = None, 0
+        for b in batches:
+            first, second, size = (b.column(i).to_numpy() for i in range(3))
+            out = []
+            for row in zip(first.tolist(), second.tolist(), size.tolist(), strict=True):
+                if row[:2] != last:
+                    if last is None or held >= range_bytes:
+                        out.append(row[:2])
+                        held = 0
+                    last = row[:2]
+                held += row[2]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["first", "second"])
+
+    named = keys.toDF("first", "second", "size")
+    found = named.repartitionByRange("first", "second").sortWithinPartitions("first", "second").mapInArrow(cuts, "first long, second long")
+    return Ranges(sorted((r[0], r[1]) for r in found.toLocalIterator()))
 
 
 class WordCodes(dict):
@@ -118,8 +210,6 @@ def shingle_set(text: bytes | None, size: int, codes: WordCodes) -> np.ndarray:
 
 def utf8(column) -> list[bytes | None]:
     """A string column of an Arrow batch as bytes."""
-    import pyarrow as pa
-
     return column.cast(pa.binary()).to_pylist()
 
 
@@ -129,8 +219,6 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable
     ``make_keep`` is called once a task and returns a function from texts (bytes or None)
     to booleans. No shuffle, no join.
     """
-    import pyarrow as pa
-
     at = docs.columns.index(text_col)
 
     def task(batches):

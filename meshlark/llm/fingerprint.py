@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, falling_bounds, mix64, place_in_ranges, range_count, shingle_set
+from .common import RANGE_BYTES, WordCodes, byte_ranges, mix64, shingle_set
 
 #: Bins and stored bits of a bin: the standard error at likeness 1/3 is about 0.023.
 BINS, BITS, SHINGLE = 512, 4, 5
@@ -91,36 +92,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, fingerprint binary").withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows dealt into ranges of falling ids, each range followed by the row after it.
 
-    Columns: part, guest (1 for the row that belongs to the next range), key, id, text;
-    sorted within partitions. The last range is followed by the very first row. Only ids
-    are read to find the ranges; of each range one id goes to the driver.
+    Columns: part, guest (1 for the row that belongs to the next range), id, text; sorted
+    within partitions. The last range is followed by the very first row. Ranges hold about
+    ``range_bytes`` of text; their first keys are sent to the tasks, 16 bytes each.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    bounds = falling_bounds(rows, "key", parts or range_count(docs))
-    part = place_in_ranges(F.col("key"), bounds)
-    heads = sorted((r[0], r[1]) for r in rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key")).collect())
-    before = {p: heads[i - 1][0] for i, (p, _) in enumerate(heads)}  # the first range's row follows the last one
-    width = len(bounds) + 1
-    head, back = dict(heads), F.array(*(F.lit(before.get(p, 0)) for p in range(width)))
-    top = F.array(*(F.lit(head.get(p)).cast("long") for p in range(width)))
-    placed = rows.withColumn("part", part)
-    homes = F.when(F.get(top, F.col("part")) == F.col("key"), F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.get(back, F.col("part")).alias("part"), F.lit(1).alias("guest"))))
-    homes = homes.otherwise(F.array(F.struct("part", F.lit(0).alias("guest"))))
-    dealt = placed.select(F.explode(homes).alias("home"), "key", "id", "text").select("home.part", "home.guest", "key", "id", "text")
-    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", F.col("key").desc(), "text")
-
-
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))).alias("key"), F.xxhash64(text).alias("fp"), F.octet_length(text).cast("long").alias("size"), F.col(id_col).alias("id"), text.alias("text"))
+    ranges = byte_ranges(rows.select("key", "fp", "size"), range_bytes)
+    sent, width = docs.sparkSession.sparkContext.broadcast(ranges), len(ranges)
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series, fp: pd.Series) -> pd.Series:
+        first, second = key.to_numpy(), fp.to_numpy()
+        return pd.Series(sent.value.of(first, second) * 2 + sent.value.heads(first, second))
+
+    home = lambda part, guest: F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
+    placed = rows.drop("size").withColumn("at", place("key", "fp"))
+    part = F.floor(F.col("at") / 2)
+    homes = F.when(F.col("at") % 2 == 1, F.array(home(part, 0), home(F.pmod(part - 1, F.lit(width)), 1))).otherwise(F.array(home(part, 0)))
+    dealt = placed.select(F.explode(homes).alias("home"), "key", "fp", "id", "text").select("home.part", "home.guest", "key", "fp", "id", "text")
+    return dealt.repartition(width, "part").sortWithinPartitions("part", "guest", "key", "fp").drop("key", "fp")
+
+
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness to each other.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or
     all) of the next row's, in falling order of ids, the first row following the last.
-    Null ids come last, equal ids in order of their texts. Returns ``id_col``,
-    ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` (base64),
-    ``near_edited``, ``near_next``.
+    Null ids come last, equal ids in order of a hash of their texts. Null texts are empty.
+    Returns ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
+    ``edited_fingerprint`` (base64), ``near_edited``, ``near_next``: a row for each row.
+    Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -136,8 +141,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for b in batches:
             out = []
-            for part, guest, doc, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                text = text or ""
+            for part, guest, doc, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if guest and (last is None or last[0] != part):
                     continue  # a repeated guest: this range is done
                 mark = fingerprint(text.encode(), codes)
@@ -145,7 +149,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append(row(*last[1:], text, mark))
                 last = None if guest else (part, doc, text, mark)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), [b.column(3).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), [b.column(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names=names)
 
-    found = with_next(docs, id_col, text_col, parts).mapInArrow(task, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = with_next(docs, id_col, text_col, range_bytes).mapInArrow(task, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumnRenamed("id", id_col)

@@ -1,15 +1,18 @@
 """Near-duplicates by MinHash with sequential Bayesian verification.
 
 1. Each document becomes its set of shingle hashes, a MinHash signature and band keys.
-   Documents with equal sets form a class, and only its least id goes on.
-2. Band keys shared by at least two classes give candidate clusters (ids only).
-3. The texts of a cluster meet in tasks of at most ``BLOCK`` by ``BLOCK`` documents. There
-   banded candidates are compared by batches of their signatures; a pair is given up as
-   soon as the chance that it reaches the threshold falls below the miss probability. What
-   is left is verified on the full sets, unless both already are in one component.
-4. A large cluster is first tied together by one link from each document to the document
-   that it shares most bands with. Blocks of one component need no comparison after that,
-   so a large group of copies costs a number of comparisons in proportion to its size.
+   Documents with equal sets form a class; one of its texts stands for it from here on.
+2. Band keys shared by at least two classes give candidates. Each class is first compared
+   with one other: of the least classes of its bands, the one that it shares most bands
+   with. A group of copies is tied together so, at a cost in proportion to its size.
+3. Bands that still hold classes of several components are open. Classes that share open
+   bands meet in tasks of two blocks at most; a block holds ``BLOCK`` texts and
+   ``BLOCK_BYTES`` and one more text at most. Two blocks meet only if they share an open
+   band and aren't of one component.
+4. Within a task, banded candidates are compared by batches of their signatures; a pair is
+   given up as soon as the chance that it reaches the threshold falls below the miss
+   probability. What is left is verified on the full sets, unless both already are in one
+   component.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WordCodes, mix64, shingle_set, written
+from .common import WordCodes, discard, look_up_spread, mix64, shingle_set, utf8, written
 from .components import connected_components
 from .fingerprint import bin_minima
 
 #: Values of a signature, and those compared in one step.
 HASHES, STEP = 384, 32
-#: Documents on each side of a comparison task.
-BLOCK = 256
+#: Texts and bytes of text on each side of a comparison task.
+BLOCK, BLOCK_BYTES = 64, 4 << 20
+#: Blocks numbered together, on average.
+_RUN = 16
 #: Chance that a pair at the threshold shares no band, or that one step gives it up.
 MISS = 1e-6
 _NONE = -(2**63)
@@ -72,35 +78,36 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
-    """id, n, f1, f2 (of the set of shingles), bands. No words: n = 0 and no bands."""
+    """id, fp, size, n, f1, f2 (of the set of shingles), bands. No words: n = 0 and no bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in utf8(batch.column(3)):
                 hashes = shingle_set(text, shingle, codes)
                 n.append(len(hashes))
                 with np.errstate(over="ignore"):
                     f1.append(int(hashes.sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
                 bands.append(band_keys(bin_minima(hashes, HASHES), rows).view(np.int64) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "size", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(task, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select("id", "fp", "size", "text").mapInArrow(task, "id long, fp long, size long, n long, f1 long, f2 long, bands array<long>")
 
 
 class _Links:
     """The documents of one task and the links found between them."""
 
-    def __init__(self, ids: list[int], sides: list[int], texts: list[bytes], shingle: int, rows: int, codes: WordCodes):
-        self.ids, self.sides = ids, np.array(sides)
-        self.sets = [shingle_set(t, shingle, codes) for t in texts]
+    def __init__(self, rows: list[tuple], shingle: int, rows_per_band: int, codes: WordCodes):
+        """``rows``: side, node, component so far, text."""
+        self.ids, self.sides = [r[1] for r in rows], np.array([r[0] for r in rows])
+        self.sets = [shingle_set(r[3], shingle, codes) for r in rows]
         full = [bin_minima(s, HASHES) for s in self.sets]
-        self.bands = np.array([band_keys(x, rows) for x in full])
+        self.bands = np.array([band_keys(x, rows_per_band) for x in full])
         self.values = np.array(full)
         self.sizes = np.array([len(s) for s in self.sets])
-        self.part = np.arange(len(ids))
+        self.part = np.array([r[2] for r in rows])
 
     def candidates(self, i: int) -> np.ndarray:
         """Later documents, not yet in i's component, that share a band with i."""
@@ -134,70 +141,77 @@ class _Links:
 
 
 def _verified(tasks: DataFrame, shingle: int, rows: int, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) among documents with one ``task``. Columns: task, side, id, text.
+    """Links (a, b) among the nodes of one ``task``. Columns: task, side, node, part, text.
 
     If a task has two sides (1 and 2), only pairs across them are compared; side 0 means
-    all pairs. Rows are dealt by task and streamed; a task's rows are bounded by its maker.
+    all pairs. Nodes of one ``part`` need no comparison. Rows are dealt by task and
+    streamed; a task's rows and bytes are bounded by its maker.
     """
 
+    def links(held: list[tuple], codes: WordCodes) -> list[tuple[int, int]]:
+        return list(_Links(held, shingle, rows, codes).find(percent, miss)) if len(held) > 1 else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, now, held = WordCodes(), None, []
-
-        def links() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            return list(_Links([h[1] for h in held], [h[0] for h in held], [h[2] for h in held], shingle, rows, codes).find(percent, miss))
-
         for batch in batches:
             out = []
-            for task, side, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            for task, side, node, part, text in zip(*(batch.column(i).to_pylist() for i in range(4)), utf8(batch.column(4)), strict=True):
                 if task != now:
-                    out += links()
+                    out += links(held, codes)
                     now, held = task, []
-                held.append((side, doc, text))
+                if not held or held[-1][:2] != (side, node):  # repeated rows bring a text several times
+                    held.append((side, node, part, text))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = links()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        out = links(held, codes)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    dealt = tasks.select("task", "side", "id", "text").repartition("task").sortWithinPartitions("task", "side", "id")
+    dealt = tasks.select("task", "side", "node", "part", "text").repartition("task").sortWithinPartitions("task", "side", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _large_cluster_links(texts: DataFrame, members: DataFrame, large: DataFrame, verify) -> DataFrame:
-    """Links inside clusters of more than ``2 * BLOCK`` documents.
+def _blocked(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` (group, node, size, ...) with ``block``: bounded runs of a group's nodes.
 
-    ``members``: id, leader, shared bands. ``large``: id, cluster of those clusters.
+    A group is dealt by hash into pieces of some blocks, and each piece is cut where its
+    running weight passes a block's; a weight is a text's bytes and a fixed part.
     """
-    # One link from each document to the leader it shares most bands with, in chunks of a leader's documents.
-    chosen = members.join(large, "id", "left_semi").groupBy("id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    per = chosen.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    dealt = written(chosen.join(per, "leader").select("leader", "id", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")))
-    key = F.concat_ws("/", "leader", "chunk")
-    sides = dealt.select(key.alias("task"), F.lit(1).alias("side"), "id").unionByName(
-        per.select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(key.alias("task"), F.lit(2).alias("side"), F.col("leader").alias("id"))
-    )
-    ties = written(verify(sides.join(texts, "id")))
-    parts = connected_components(ties).withColumnRenamed("node", "id")
-    # Blocks: documents of one component by themselves; those of small components share blocks.
-    labelled = written(large.join(parts, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("part")))
-    sizes = labelled.groupBy("cluster", "part").agg(F.count("*").alias("docs"))
-    mixed = sizes.groupBy("cluster").agg(F.sum(F.when(F.col("docs") < BLOCK, F.col("docs")).otherwise(0)).alias("loose"))
-    ways = sizes.join(mixed, "cluster").select("cluster", "part", "docs", F.greatest(F.ceil(F.col("loose") / BLOCK), F.lit(1)).alias("pools"))
-    alone = F.col("docs") >= BLOCK
-    pool = F.pmod(F.xxhash64("part"), F.col("pools"))
-    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("docs") / BLOCK))
-    blocks = written(labelled.join(ways, ["cluster", "part"]).select("id", "cluster", F.when(alone, F.concat_ws("/", "part", slot)).otherwise(F.concat_ws("/", F.lit("mixed"), pool)).alias("block"), F.when(alone, F.col("part")).alias("pure")))
-    names = blocks.groupBy("cluster", "block").agg(F.first("pure").alias("pure"))
-    other = names.select("cluster", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
-    pairs = names.join(other, "cluster").filter("block <= block2 AND NOT (pure <=> pure2 AND pure IS NOT NULL)")
-    pairs = pairs.select("cluster", "block", "block2", F.concat_ws("|", "cluster", "block", "block2").alias("task"))
+    weight = F.col("size") + BLOCK_BYTES // BLOCK
+    heavy = written(rows.groupBy(*group).agg(F.sum(weight).alias("_weight"), F.count("*").alias("_docs")))
+    total = heavy.agg(F.coalesce(F.sum("_docs"), F.lit(0))).head()[0]
+    pieces = F.ceil(F.col("_weight") / (_RUN * BLOCK_BYTES))
+    dealt = look_up_spread(rows, heavy, group, "_docs", total).withColumn("_piece", F.pmod(F.xxhash64("node"), pieces))
+    before = F.sum(weight).over(Window.partitionBy(*group, "_piece").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("block", F.concat_ws(".", "_piece", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_BYTES))).drop("_piece", "_weight")
+
+
+def _tie_tasks(members: DataFrame) -> DataFrame:
+    """Each node with the leader that it shares most bands with, a leader's nodes in blocks: task, side, node."""
+    shared = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    chosen = written(shared.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"), F.first("size").alias("size")))
+    blocks = written(_blocked(chosen, ["leader"]).select("leader", "node", F.concat_ws("/", "leader", "block").alias("task")))
+    return blocks.select("task", F.lit(1).alias("side"), "node").unionByName(blocks.select("task", F.lit(2).alias("side"), F.col("leader").alias("node")).distinct())
+
+
+def _open_tasks(members: DataFrame) -> DataFrame:
+    """Blocks of nodes that share an open band: task, side, node. ``members``: node, size, band, leader, part."""
+    clusters = connected_components(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "cluster")
+    nodes = written(members.select("node", "size", "part").distinct().join(clusters.hint("merge"), "node"))
+    # A component that fills a block has blocks of its own; the nodes of smaller ones share blocks.
+    sizes = written(nodes.groupBy("cluster", "part").agg(F.count("*").alias("docs")).select("cluster", "part", "docs", (F.col("docs") >= BLOCK).alias("alone")))
+    total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).head()[0]
+    pool = look_up_spread(nodes, sizes, ["cluster", "part"], "docs", total).withColumn("pool", F.when(F.col("alone"), F.col("part")).otherwise(F.lit(-1)))
+    blocks = written(_blocked(written(pool), ["cluster", "pool"]).select("node", "pool", F.concat_ws("/", "cluster", "pool", "block").alias("block")))
+    # Which blocks share an open band.
+    of = written(members.select("node", "band").distinct().join(blocks.hint("merge"), "node").select("band", "block", "pool").distinct())
+    pairs = of.join(of.select("band", F.col("block").alias("block2"), F.col("pool").alias("pool2")).hint("merge"), "band")
+    pairs = pairs.filter("block <= block2 AND NOT (pool = pool2 AND pool <> -1)").select("block", "block2").distinct()
+    pairs = written(pairs.select("block", "block2", F.concat_ws("|", "block", "block2").alias("task")))
     same = F.col("block") == F.col("block2")
-    left = pairs.select("cluster", "block", "task", F.when(same, 0).otherwise(1).alias("side"))
-    right = pairs.filter(~same).select("cluster", F.col("block2").alias("block"), "task", F.lit(2).alias("side"))
-    sides = blocks.join(left.unionByName(right), ["cluster", "block"]).select("task", "side", "id")
-    return ties.unionByName(verify(sides.join(texts, "id")))
+    left = pairs.select("block", "task", F.when(same, 0).otherwise(1).alias("side"))
+    right = pairs.filter(~same).select(F.col("block2").alias("block"), "task", F.lit(2).alias("side"))
+    return blocks.select("node", "block").join(left.unionByName(right).hint("merge"), "block").select("task", "side", "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -208,33 +222,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``100 * intersection >= percent * union``, confirmed on the full sets; a pair at the
     threshold is missed with a chance of about ``miss``.
 
-    Returns ``id_col``, ``n_shingles``, ``component_id`` (the least id reachable) and
-    ``kept`` (it is that id): one row for each row of ``docs``. Ids are integers; rows with
-    one id count as one document; a null id counts as the least one. Texts without words
-    are linked with nothing. Other columns are not read.
+    Returns ``id_col``, ``text_fp`` (xxhash64 of the text), ``n_shingles``,
+    ``component_id`` (the least id reachable) and ``kept``: one row for each row of
+    ``docs``. Ids are integers. Each row is a document of its own, also where ids are null
+    or repeat: a null id counts as the least one and is returned as null, and rows of one
+    id are linked only by their texts. Kept is the row with the least id, of those the one
+    with the least ``text_fp``; rows that repeat both are all kept. Texts without words are
+    linked with nothing and kept. Other columns are not read.
     """
     rows = band_rows(percent, miss)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("fp"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), text.alias("text"))
     sketches = written(_sketches(texts, shingle, rows))
-    classes = written(sketches.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "bands")).alias("least")).select("n", "f1", "f2", "least.id", "least.bands"))
-    exploded = classes.select("id", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("docs"), F.min("id").alias("leader")).filter("docs > 1").select("band", "leader")
-    # Joined by sorting at every size: no side of these joins has a bound.
-    members = written(exploded.join(shared.hint("merge"), "band").groupBy("id", "leader").agg(F.count("*").alias("shared")).filter("id <> leader"))
-    clusters = written(connected_components(members.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "id", "component": "cluster"}))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("docs"))
-    # The texts of all clusters, taken from the corpus once.
-    sized = written(texts.join(clusters.join(sizes, "cluster").hint("merge"), "id"))
+    least = sketches.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "fp", "size", "bands")).alias("least"), F.count("*").alias("docs"))
+    classes = written(least.select(F.monotonically_increasing_id().alias("node"), "n", "f1", "f2", "docs", "least.*"))
+    exploded = classes.select("node", "size", F.explode("bands").alias("band"))
+    shared = written(exploded.groupBy("band").agg(F.count("*").alias("docs"), F.min("node").alias("leader")).filter("docs > 1"))
+    members = written(look_up_spread(exploded, shared, ["band"], "docs", classes.count() * (HASHES // rows)))
+    # The text of each candidate, taken from the corpus once.
+    known = written(members.select("node").distinct().join(classes.select("node", "id", "fp").hint("merge"), "node"))
+    candidates = written(texts.select("id", "fp", "text").join(known.hint("merge"), ["id", "fp"]).select("node", "text"))
 
     def verify(tasks: DataFrame) -> DataFrame:
-        return _verified(tasks, shingle, rows, percent, miss)
-
-    links = verify(sized.filter(F.col("docs") <= 2 * BLOCK).select(F.col("cluster").cast("string").alias("task"), F.lit(0).alias("side"), "id", "text"))
-    large = sized.filter(F.col("docs") > 2 * BLOCK)
-    if not large.isEmpty():
-        links = links.unionByName(_large_cluster_links(large.select("id", "text"), members, large.select("id", "cluster").distinct(), verify))
-    parts = connected_components(links)
-    known = classes.select("n", "f1", "f2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
-    out = sketches.select("id", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    real = lambda c: F.when(F.col(c) != _NONE, F.col(c))
-    return out.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+        return written(_verified(tasks.join(candidates.hint("merge"), "node"), shingle, rows, percent, miss))
+
+    ties = verify(_tie_tasks(members).withColumn("part", F.col("node")))
+    tied = written(connected_components(ties))
+    part = F.coalesce("component", "node").alias("part")
+    parted = written(members.join(tied.hint("merge"), "node", "left").select("node", "size", "band", "leader", part))
+    open_ = written(parted.groupBy("band").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band", "docs"))
+    n = open_.agg(F.sum("docs")).head()[0]
+    linked = tied
+    if n:
+        still = written(look_up_spread(parted, open_, ["band"], "docs", n))
+        tasks = _open_tasks(still).join(still.select("node", "part").distinct().hint("merge"), "node")
+        links = verify(tasks)
+        linked = written(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    discard(candidates, members, parted)
+    # The least id and text of each component, for its nodes and then for their rows.
+    members_of = written(linked.join(classes.select("node", "id", "fp").hint("merge"), "node"))
+    firsts = written(members_of.groupBy("component").agg(F.min(F.struct("id", "fp")).alias("first"), F.count("*").alias("docs")))
+    first = look_up_spread(members_of.select("component", "node"), firsts, ["component"], "docs", members_of.count()).select("node", "first")
+    named = classes.select("node", "n", "f1", "f2", "docs", F.struct("id", "fp").alias("own")).join(first.hint("merge"), "node", "left")
+    named = written(named.select("n", "f1", "f2", "docs", F.coalesce("first", "own").alias("first")))
+    own = sketches.select("id", "fp", "n", "f1", "f2")
+    out = look_up_spread(own, named, ["n", "f1", "f2"], "docs", sketches.count()).unionByName(own.filter("n = 0").withColumn("first", F.struct("id", "fp")))
+    real = lambda c: F.when(c != _NONE, c)
+    return out.select(real(F.col("id")).alias(id_col), F.col("fp").alias("text_fp"), F.col("n").alias("n_shingles"), real(F.col("first.id")).alias("component_id"), ((F.col("id") == F.col("first.id")) & (F.col("fp") == F.col("first.fp"))).alias("kept"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are."""
+    gone = written(groups.filter("NOT kept").select(F.col(id_col).cast("long").alias("id"), "text_fp").distinct()).alias("_gone")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_gone.id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_gone.text_fp"))
+    return docs.join(gone, same, "left_anti")

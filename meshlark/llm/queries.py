@@ -112,7 +112,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_fp")
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import falling_bounds, mix64, place_in_ranges, range_count, shared_dir, written
+from .common import RANGE_BYTES, byte_ranges, discard, mix64, shared_dir, written
 
 MAGIC = b"TOKIDS01"
 #: Keys in one part of the index: about 24 bytes each in memory.
@@ -63,24 +63,26 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Texts to raw id bytes with the tokenizers library.
+    """Texts to raw id bytes with the tokenizers library, as its ``encode`` gives them.
 
     Byte-level BPE never merges across the pieces of its splitting pattern. For such a
     tokenizer, texts of ASCII and Latin letters are split here, the library's model encodes
     each distinct piece once, and a text is the chain of its pieces' ids. All other texts,
-    and all texts of other tokenizers, are encoded whole by the library.
+    those that hold a special token's string, and all texts of other tokenizers are encoded
+    whole by the library.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        added = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
+        self.whole = re.compile(f"{_OTHER.pattern}|{added}" if added else _OTHER.pattern).search
         self.pieces, self.tokenize = _Pieces(self), self.tokenizer.model.tokenize
         self.raw = "H" if self.dtype.itemsize == 2 else "I"
 
@@ -93,7 +95,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        rest = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER.search(t)]
+        rest = [i for i, t in enumerate(texts) if not self.by_piece or self.whole(t)]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(x.ids, self.dtype).tobytes() + self.end
         look = self.pieces.__getitem__
@@ -109,9 +111,13 @@ def _encoder(path: str, end_id: int | None) -> Encoder:
     return _encoders[path, end_id]
 
 
-def key_hash(key: int | str) -> int:
+#: What stands for a null key: it sorts first. No document may have this id.
+_NONE = -(2**63)
+
+
+def key_hash(key: int | None) -> int:
     """The hash of a key as Spark's xxhash64 has it, unsigned."""
-    raw = key.encode() if isinstance(key, str) else int(key).to_bytes(8, "little", signed=True)
+    raw = (_NONE if key is None else int(key)).to_bytes(8, "little", signed=True)
     return xxhash.xxh64_intdigest(raw, seed=42)
 
 
@@ -167,7 +173,7 @@ class TokenStore:
     shards: list[tuple[str, int]]
     index: list[str]
 
-    def get(self, key: int | str) -> list[np.ndarray]:
+    def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of a key's documents: one index part, one probe, one read each."""
         h = key_hash(key)
         part = (h - (h >> 63 << 64)) % len(self.index)
@@ -220,27 +226,54 @@ def _index_bytes(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, count:
     return out.getvalue()
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, folder: str | None = None, parts: int | None = None) -> TokenStore:
+def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
+    """``id_col``, ``n_tokens`` and ``ids`` (raw little-endian bytes, 2 or 4 an id) of every row, end mark included.
+
+    Null texts are empty. Repeated rows give repeated rows. Other columns are not read.
+    """
+    width = id_bytes(tokenizer_path)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(tokenizer_path, end_id)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                s = b.slice(i, 256)
+                ids = coder.encode([t or "" for t in s.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+
+
+def id_bytes(tokenizer_path: str) -> int:
+    """Bytes of one id in the files of a tokenizer: 2 or 4."""
+    return _encoder(tokenizer_path, 0).dtype.itemsize
+
+
+def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, folder: str | None = None, range_bytes: int = RANGE_BYTES) -> TokenStore:
     """Encodes every text, writes shards in ascending order of ids, and an index over them.
 
     Null texts are empty; each document ends with ``end_id`` (None: no end mark). Ids are
-    integers, null ones come first and cannot be looked up by key. Repeated ids keep all
-    their documents, in order of their payloads. ``tokenizer_path`` must be readable on the
-    executors; ``folder`` (default: the shared folder) by all of them.
+    integers; null ones come first and are looked up as null. Repeated ids keep all their
+    documents, in order of a hash of their texts. A shard holds about ``range_bytes`` of
+    text. ``tokenizer_path`` must be readable on the executors; ``folder`` (default: the
+    shared folder) by all of them. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    bounds = falling_bounds(docs.select(key.alias("key")), "key", parts or range_count(docs))
-    width = len(bounds) + 1
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    ranges = byte_ranges(rows.select("key", "fp", F.octet_length("text").cast("long")), range_bytes)
+    sent, width = spark.sparkContext.broadcast(ranges), len(ranges)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(tokenizer_path, end_id)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(coder.encode([t or "" for t in s.column(2).to_pylist()]), pa.binary())], names=["shard", "key", "ids"])
+                shard = sent.value.of(s.column(0).to_numpy(), s.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), s.column(0), s.column(1), pa.array(coder.encode(s.column(2).to_pylist()), pa.binary())], names=["shard", "key", "fp", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, now, out, done, attempt = _encoder(tokenizer_path, end_id).dtype.itemsize, None, None, 0, TaskContext.get().taskAttemptId()
@@ -264,9 +297,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             if out is not None:
                 out.close()
 
-    shard = F.lit(width - 1) - place_in_ranges(F.col("key"), bounds)
-    encoded = docs.select(key.alias("key"), F.col(text_col).alias("text")).select(shard.cast("int").alias("shard"), "key", "text").mapInArrow(encode, "shard int, key long, ids binary")
-    dealt = encoded.repartition(width, "shard").sortWithinPartitions("shard", "key", "ids")
+    dealt = rows.mapInArrow(encode, "shard int, key long, fp long, ids binary").repartition(width, "shard").sortWithinPartitions("shard", "key", "fp", "ids").drop("fp")
     places = written(dealt.mapInArrow(save, "key long, shard int, path string, offset long, count long"))
     totals = {r["shard"]: r for r in places.groupBy("shard").agg(F.first("path").alias("path"), F.sum("count").alias("n"), F.count("*").alias("docs")).collect()}
     base, shards, rows = 0, [], 0
@@ -301,12 +332,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         with fs.open_output_stream(at) as f:
             none = np.zeros(0, dtype=np.uint64)
             f.write(_index_bytes(none, none, none, none))
+    discard(places)
     return TokenStore(_encoder(tokenizer_path, end_id).dtype.str, shards, [files[p] for p in range(count)])
 
 
 def look_up(keys: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataFrame:
     """Places of keys: ``id_col``, shard, offset, count. Unknown keys have no row, repeated
-    documents of a key a row each; equal keys are asked for once."""
+    documents of a key a row each; equal keys are asked for once. Null is a key too."""
     sent = keys.sparkSession.sparkContext.broadcast(store)  # a path for each file
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +353,10 @@ def look_up(keys: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "shard", "offset", "count"])
 
-    asked = keys.select(F.col(id_col).cast("long").alias("id")).na.drop().distinct()
+    asked = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id")).distinct()
     hashed = asked.select(F.pmod(F.xxhash64("id"), F.lit(len(store.index))).cast("int").alias("part"), "id", F.xxhash64("id").alias("hash"))
-    return hashed.sortWithinPartitions("part").mapInArrow(task, "id long, shard int, offset long, count long").withColumnRenamed("id", id_col)
+    found = hashed.sortWithinPartitions("part").mapInArrow(task, "id long, shard int, offset long, count long")
+    return found.select(F.when(F.col("id") != _NONE, F.col("id")).alias(id_col), "shard", "offset", "count")
 
 
 def read_ids(places: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataFrame:

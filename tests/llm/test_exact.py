@@ -228,7 +228,7 @@ def test_edited_texts_and_order(spark):
     rng = random.Random(8)
     docs = {i * 3: " ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randrange(80))) + "é😀" for i in range(120)} | {1: "", 2: None}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    rows = {r["doc_id"]: r for r in fingerprint.edited_pairs(df, parts=7).collect()}
+    rows = {r["doc_id"]: r for r in fingerprint.edited_pairs(df, range_bytes=900).collect()}
     order = sorted(docs, reverse=True)
     for a, b in zip(order, order[1:] + order[:1], strict=True):
         s, t = docs[a] or "", docs[b] or ""
@@ -279,9 +279,7 @@ def brute_groups(docs, size, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 85, 256), (5, 80, 256), (3, 85, 8)])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)  # small blocks: clusters of over 16 documents take the path of large ones
+def near_docs(spark):
     rng = random.Random(10)
     docs, n = [], 0
     for _ in range(12):
@@ -293,12 +291,31 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, b
             docs.append((n, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
             n += 1
     docs += [(n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 4, " \n ")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    return docs, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize(("shingle", "percent", "block", "size"), [(3, 85, 64, 4 << 20), (5, 80, 64, 4 << 20), (3, 85, 4, 4 << 20), (5, 80, 64, 1000)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, block, size):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # small blocks: groups are spread over many tasks
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    docs, df = near_docs(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=shingle, percent=percent).collect()}
     assert got == brute_groups(docs, shingle, percent)
 
 
+def test_near_duplicate_query_equals_all_pairs(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows = queries.op10_near_dedup(spark, SF).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_groups(docs, 3, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows) and len(rows) == len(docs)
+
+
 def test_near_duplicates_of_odd_rows(spark):
-    rows = near_dedup.near_duplicates(odd_docs(spark)).collect()
-    assert len(rows) == 8 and {r["component_id"] for r in rows if r["doc_id"] in (1, 6)} == {1}
-    assert near_dedup.near_duplicates(empty_docs(spark)).count() == 0
+    rows = [(1, "a b c d e f g h i j k l"), (1, None), (1, ""), (2, "a b c d e f g h i j k l"), (None, "q w e r t y u"), (None, "other words here now"), (3, "q w e r t y u"), (4, None), (5, "w " * 400_000), (1, "a b c d e f g h i j k l")]
+    df = spark.createDataFrame([(*r, "k", 7) for r in rows], "doc_id long, text string, text_fp string, node int")
+    groups = near_dedup.near_duplicates(df)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in groups.collect())
+    assert got == [(0, 1, 0, True), (0, 3, 0, True), (1, 0, 1, True), (1, 0, 1, True), (1, 8, 1, True), (1, 8, 1, True), (2, 8, 1, False), (3, 3, 0, False), (4, 0, 4, True), (5, 1, 5, True)]
+    kept = near_dedup.keep_first(df, groups)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == sorted((i or 0, len(t or "")) for i, t in rows if i not in (2, 3))
+    assert near_dedup.near_duplicates(empty_docs(spark)).count() == 0 and near_dedup.keep_first(empty_docs(spark), near_dedup.near_duplicates(empty_docs(spark))).count() == 0

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from meshlark.llm import boosting, langid, queries, token_index, toxicity
 from meshlark.llm.common import shared_dir
@@ -80,11 +81,15 @@ def test_encoder_equals_the_library():
     rng = random.Random(4)
     letters = "abc 'sdtrevmll  \n\t\x0b\x1c\x1f\x85019.,;<|endoftext|>éß×÷ªµ\xa0 中😀ʰʯ²½_-\r"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(4000)] + ["", "<|endoftext|>", "a  b", " x ", "\n\n", "'S 's 'll"]
+    texts += ["Ünïcödé", "日本語のテキスト", "русский текст", "a<|endoftext|>b", "x <|endoftext|>\n<|endoftext|>", "العربية", "\U0001f600" * 3]
+    fresh = Tokenizer.from_file(BPE)  # not the operator's object
     e = token_index.Encoder(BPE)
-    want = [np.array([*x.ids, 0], "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [np.array([*fresh.encode(t, add_special_tokens=False).ids, 0], "<u2").tobytes() for t in texts]
     assert e.encode(texts) == want
-    other = token_index.Encoder(public_tokenizers.path("word_bpe_49k.json"), None)
-    assert not other.by_piece and other.encode(["Hello World"]) == [np.array(other.tokenizer.encode("Hello World", add_special_tokens=False).ids, "<u2").tobytes()]
+    assert 50256 in np.frombuffer(e.encode(["<|endoftext|>"])[0], "<u2")  # as the library has it
+    words = public_tokenizers.path("word_bpe_49k.json")
+    other = token_index.Encoder(words, None)
+    assert not other.by_piece and other.encode(["Hello World"]) == [np.array(Tokenizer.from_file(words).encode("Hello World", add_special_tokens=False).ids, "<u2").tobytes()]
 
 
 def test_perfect_hash():
@@ -94,23 +99,48 @@ def test_perfect_hash():
     assert token_index.PerfectHash.build(keys[:0]).places(keys[:3]).tolist() == [-1] * 3
 
 
+def brute_store(docs):
+    """The result of the query by the library alone, one document after the other."""
+    fresh, start, want = Tokenizer.from_file(BPE), 0, []
+    for key, text in docs:
+        ids = np.array([*fresh.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return want
+
+
 def test_store_round_trip(spark):
-    docs = spark.createDataFrame([(i * 7 - 40, f"text number {i} é" * (i % 5)) for i in range(200)] + [(9000, None), (9001, "twice"), (9001, "twice")], "doc_id long, text string")
-    store = token_index.write_store(docs.repartition(3), BPE, parts=5)
-    e = token_index.Encoder(BPE)
+    docs = spark.createDataFrame([(i * 7 - 40, f"text number {i} é" * (i % 5)) for i in range(200)] + [(9000, None), (9001, "twice"), (9001, "twice"), (9002, "<|endoftext|> 日本")], "doc_id long, text string")
+    store = token_index.write_store(docs.repartition(3), BPE, range_bytes=1500)
+    assert len(store.shards) > 3
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_index.read_ids(token_index.look_up(docs, store), store).collect())
-    start, want = 0, []
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        ids = np.frombuffer(e.encode([r["text"] or ""])[0], "<u2")
-        want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-        start += len(ids)
-    assert got == want
-    assert [x.tolist() for x in store.get(9001)] == [np.frombuffer(e.encode(["twice"])[0], "<u2").tolist()] * 2
+    assert got == brute_store(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
+    twice = [*Tokenizer.from_file(BPE).encode("twice", add_special_tokens=False).ids, 0]
+    assert [x.tolist() for x in store.get(9001)] == [twice] * 2
     assert store.get(123_456) == [] and token_index.key_hash(-40) == spark.range(1).select(F.xxhash64(F.lit(-40).cast("long"))).head()[0] % 2**64
     hollow = token_index.write_store(empty_docs(spark), BPE)
     assert token_index.read_ids(token_index.look_up(docs, hollow), hollow).count() == 0
-    odd = token_index.write_store(odd_docs(spark), BPE)
-    assert token_index.look_up(odd_docs(spark), odd).count() == 7  # a null id is no key
+
+
+def test_store_keeps_null_ids(spark):
+    rows = [(None, f"null id {i}") for i in range(40)] + [(1, "one"), (1, "one"), (1, "another"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = token_index.write_store(docs.repartition(3), BPE, range_bytes=60)
+    got = sorted(token_index.read_ids(token_index.look_up(docs, store), store).collect(), key=lambda r: r["start"])
+    counts = {}
+    for r in got:
+        counts[r["doc_id"], r["n_tokens"], r["ids_crc32"]] = counts.get((r["doc_id"], r["n_tokens"], r["ids_crc32"]), 0) + 1
+    want = {}
+    for key, text in rows:
+        _, _, n, crc = brute_store([(key, text)])[0]
+        want[key, n, crc] = want.get((key, n, crc), 0) + 1
+    assert counts == want and [r["doc_id"] for r in got] == [None] * 40 + [1] * 3 + [2, 3]
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_token_query_equals_the_library(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    assert sorted(map(tuple, queries.op7_token_index(spark, "/root/testdata/sf0.001").collect())) == brute_store(docs)
 
 
 def test_shared_folder_follows_the_session(spark):
