@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshlark.llm.common import small_batches, written
 from meshlark.llm.decontam import clean_documents
 from meshlark.llm.line_dedup import apply_bitmaps, keep_bitmaps
-from meshlark.llm.near_dedup import near_duplicates
+from meshlark.llm.near_dedup import keep_first, near_duplicates
 from meshlark.llm.packing import pack
 from meshlark.llm.toxicity import drop_toxic, train_toxicity
 
@@ -37,8 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     small_batches(spark)
-    kept = near_duplicates(docs, shingle=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return keep_first(docs, near_duplicates(docs, shingle=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
