@@ -1,9 +1,12 @@
 """Benchmark decontamination: which words of a document repeat a test item.
 
-One Aho-Corasick automaton holds the word windows of all items. Each text is normalised
-to words joined by single blanks and scanned once; hits are mapped back to code points of
-the original text. The automaton is sent to the tasks, so its size is checked: items
-beyond ``block_chars`` of windows go to further blocks, each a scan of its own.
+Texts are normalised to words. A window of ten item words always holds one whole run of
+five words that begins at a multiple of five, so an Aho-Corasick automaton over those runs,
+as codes of words, finds every window, with about one state for each word of the items.
+A find is carried on to both sides as long as document and item agree; from ten words on
+all of them are hit. Each text is scanned once, and hits are mapped back to code points of
+the original text. The items are sent to the tasks, so their size is checked: beyond
+``BLOCK_WORDS`` words a further automaton follows in the same scan.
 """
 
 from __future__ import annotations
@@ -14,20 +17,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, utf8, written
+from .common import filter_rows, utf8
 
-#: Characters of windows in one automaton: about 50 bytes of memory each.
-BLOCK_CHARS = 3_000_000
+#: Words of items in one automaton: about 100 bytes of memory each.
+BLOCK_WORDS = 2_000_000
 
 #: A-Z in lower case; everything but letters, digits and non-ASCII bytes becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_SCHEMA = "n_words long, hits array<struct<first_word:int,end_word:int,start:int,end:int>>, items array<string>"
 _HIT = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_built: dict[str, ahocorasick.Automaton] = {}
+_RUN = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+_built: dict[str, Matcher] = {}
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -35,24 +39,59 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def windows(words: list[bytes], size: int) -> list[bytes]:
-    """All runs of ``size`` words, each between blanks; fewer words are one window."""
-    n = min(size, len(words))
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(len(words) - n + 1)] if n else []
-
-
-def _automaton(key: str, blocks) -> ahocorasick.Automaton:
-    """The automaton of a block, built once in each worker process."""
+class Matcher:
+    """The automaton of some items, and their words as codes."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
+        self.size, self.codes, self.names, self.words = size, {}, [], []
+        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        step = (size + 1) // 2
+        for name, text in items:
+            words = [self.codes.setdefault(w, len(self.codes) + 1) for w in normal_words(text)]
+            n = len(self.words)
+            self.names.append(name)
+            self.words.append(words)
+            if 0 < len(words) <= size:  # the whole item is one window
+                at.setdefault(tuple(words), []).append((n, 0))
+            elif words:
+                for m in range(0, len(words) - step + 1, step):
+                    at.setdefault(tuple(words[m : m + step]), []).append((n, m))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for run, places in at.items():
+            self.automaton.add_word(run, (len(run), places))
+        if at:
+            self.automaton.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Runs (first, end) of words that lie in windows, and the items (by number) that they are of."""
+        if not words or self.automaton.kind != ahocorasick.AHOCORASICK:
+            return [], []
+        get = self.codes.get
+        doc = tuple(get(w, 0) for w in words)
+        runs, items, done = [], set(), {}
+        for last, (n, places) in self.automaton.iter(doc):
+            start = last - n + 1
+            for item, m in places:
+                if done.get((item, start - m), 0) > start:  # already reached from a find before it
+                    continue
+                want = self.words[item]
+                a, b = start, last + 1
+                while a > 0 and a - start + m > 0 and doc[a - 1] == want[a - 1 - start + m]:
+                    a -= 1
+                while b < len(doc) and b - start + m < len(want) and doc[b] == want[b - start + m]:
+                    b += 1
+                done[item, start - m] = b
+                if b - a >= min(self.size, len(want)):
+                    runs.append((a, b))
+                    items.add(item)
+        return runs, sorted(items)
+
+
+def _matcher(key: str, items: Broadcast, size: int) -> Matcher:
+    """The matcher of a block of items, built once in each worker process."""
     if key not in _built:
         _built.clear()
-        by: dict[str, tuple[int, set[str]]] = {}
-        for item, pattern in blocks.value:
-            by.setdefault(pattern.decode("latin-1"), (pattern.count(b" ") - 1, set()))[1].add(item)
-        auto = ahocorasick.Automaton()
-        for pattern, found in by.items():
-            auto.add_word(pattern, found)
-        auto.make_automaton()
-        _built[key] = auto
+        _built[key] = Matcher(items.value, size)
     return _built[key]
 
 
@@ -66,56 +105,30 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _scan(text: bytes | None, auto: ahocorasick.Automaton) -> tuple[int, list[dict], list[str]]:
-    words = normal_words(text)
-    if not words or auto.kind != ahocorasick.AHOCORASICK:
-        return len(words), [], []
-    joined = b" " + b" ".join(words) + b" "
-    found = list(auto.iter(joined.decode("latin-1")))
-    if not found:
-        return len(words), [], []
-    blanks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    ends = np.searchsorted(blanks, [end for end, _ in found]).tolist()  # words before that blank
-    runs = _merged([(e - n, e) for e, (_, (n, _)) in zip(ends, found, strict=True)])
+def _points(text: bytes, runs: list[list[int]]) -> list[dict]:
+    """Runs of words with their places in the text, in code points."""
     raw = np.frombuffer(text, dtype=np.uint8)
     is_word = np.r_[False, np.frombuffer(text.translate(_TABLE), dtype=np.uint8) != 32, False]
     edges = np.flatnonzero(is_word[1:] != is_word[:-1])
     points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    hits = [{"first_word": a, "end_word": b, "start": int(points[edges[2 * a]]), "end": int(points[edges[2 * b - 1]])} for a, b in runs]
-    return len(words), hits, sorted(set().union(*(items for _, (_, items) in found)))
-
-
-def _scans(docs: DataFrame, id_col: str, text_col: str, patterns: list) -> DataFrame:
-    key, block = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(patterns)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(key, block)
-        for batch in batches:
-            got = [_scan(x, auto) for x in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(_HIT)), pa.array([x[2] for x in got], pa.list_(pa.string()))],
-                names=["id", "fp", "n_words", "hits", "items"],
-            )
-
-    text = F.col(text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text")).mapInArrow(task, f"id {kind}, fp long, {_SCHEMA}")
+    return [{"first_word": a, "end_word": b, "start": int(points[edges[2 * a]]), "end": int(points[edges[2 * b - 1]])} for a, b in runs]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, chars = [], 0
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[tuple[str, Broadcast]]:
+    """The items, sent to the tasks in blocks of bounded size."""
+    blocks, words = [[]], 0
     for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        mine = [(row[0], w) for w in windows(normal_words((row[1] or "").encode()), size)]
-        n = sum(len(w) for _, w in mine)
-        if block and chars + n > block_chars:
-            yield block
-            block, chars = [], 0
-        block += mine
-        chars += n
-    yield block
+        text = (row[1] or "").encode()
+        n = len(normal_words(text))
+        if blocks[-1] and words + n > block_words:
+            blocks.append([])
+            words = 0
+        blocks[-1].append((row[0], text))
+        words += n
+    return [(uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(b)) for b in blocks]
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of ``docs`` the words that lie in a window of a test item.
 
     Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, A-Z in lower case. A window
@@ -125,52 +138,48 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Returns ``id_col``, ``n_words``, ``hits`` (merged runs: words first_word to end_word,
     code points start to end of the text, ends exclusive) and ``items`` (ids as sorted
     strings). One row a document, repeated rows too; null and empty texts have no words.
-    Items with a null id count as hits but aren't named. Other columns are not read.
+    Items with a null id count as hits but aren't named; items with one id are one. Other
+    columns are not read.
     """
-    blocks = _blocks(items, item_id_col, item_text_col, window, block_chars)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        found = _scans(docs, id_col, text_col, block)
-        return found.select(F.col("id").alias(id_col), "n_words", "hits", F.expr("filter(items, x -> x != '')").alias("items"))
-    parts = None
-    while block is not None:
-        part = written(_scans(docs, id_col, text_col, block).filter("size(hits) > 0").distinct())
-        parts = part if parts is None else parts.unionByName(part)
-        block, after = after, next(blocks, None)
-    union = F.udf(_union, "array<struct<first_word:int,end_word:int,start:int,end:int>>", useArrow=True)
-    whole = parts.groupBy("id", "fp").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    all_rows = _scans(docs, id_col, text_col, []).drop("hits", "items").alias("a")
-    both = all_rows.join(whole.alias("w"), F.col("a.id").eqNullSafe(F.col("w.id")) & F.col("a.fp").eqNullSafe(F.col("w.fp")), "left")
-    return both.select(F.col("a.id").alias(id_col), "n_words", F.coalesce(union("hits"), F.array()).alias("hits"), F.coalesce(F.expr("filter(items, x -> x != '')"), F.array()).alias("items"))
-
-
-def _union(hits) -> list[dict]:
-    out: list[dict] = []
-    for h in sorted(hits or [], key=lambda h: h["first_word"]):
-        h = {k: h[k] for k in ("first_word", "end_word", "start", "end")}
-        if out and h["first_word"] <= out[-1]["end_word"]:
-            out[-1] |= {"end_word": max(out[-1]["end_word"], h["end_word"]), "end": max(out[-1]["end"], h["end"])}
-        else:
-            out.append(h)
-    return out
+    blocks = _blocks(items, item_id_col, item_text_col, block_words)
+
+    def scan(key: str, sent: Broadcast, last: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, sent, window)
+            for b in batches:
+                n, runs, named = [], [], []
+                texts = utf8(b.column(1))
+                for text, before, names in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    words = normal_words(text)
+                    found, which = matcher.find(words)
+                    n.append(len(words))
+                    runs.append(_merged([*found, *((r["first"], r["end"]) for r in before)]))
+                    named.append(sorted({*names, *(matcher.names[i] for i in which)} - {None}))
+                if last:
+                    hits = [_points(t, r) if r else [] for t, r in zip(texts, runs, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT)), pa.array(named, pa.list_(pa.string()))], names=["id", "n_words", "hits", "items"])
+                else:
+                    merged = pa.array([[{"first": x, "end": y} for x, y in r] for r in runs], pa.list_(_RUN))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), merged, pa.array(named, pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
+
+        return task
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    none = "array<struct<first:int,end:int>>"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(none).alias("runs"), F.array().cast("array<string>").alias("items"))
+    for key, sent in blocks[:-1]:
+        rows = rows.mapInArrow(scan(key, sent, False), f"id {kind}, text string, runs {none}, items array<string>")
+    rows = rows.mapInArrow(scan(*blocks[-1], True), f"id {kind}, n_words long, hits array<struct<first_word:int,end_word:int,start:int,end:int>>, items array<string>")
+    return rows.withColumnRenamed("id", id_col)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns kept; null texts stay.
+def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any hit, each judged alone, all columns kept; null texts stay."""
+    for key, sent in _blocks(items, item_id_col, item_text_col, block_words):
 
-    With one block of items the scan is a filter. With several, the rows with hits are
-    found block by block and taken out by their ids, so rows that share an id go together.
-    """
-    blocks = _blocks(items, item_id_col, item_text_col, window, block_chars)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
-
-        def make_keep():
-            auto = _automaton(key, sent)
-            return lambda texts: [not _scan(t, auto)[1] for t in texts]
-
-        return filter_rows(docs, text_col, make_keep)
-    found = contamination(docs, items, id_col, text_col, item_id_col, item_text_col, window, block_chars)
-    found = found.filter("size(hits) > 0").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left_anti")
+        def make_keep(key=key, sent=sent):
+            matcher = _matcher(key, sent, window)
+            return lambda texts: [not matcher.find(normal_words(t))[0] for t in texts]
+
+        docs = filter_rows(docs, text_col, make_keep)
+    return docs

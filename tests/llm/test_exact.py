@@ -26,10 +26,15 @@ def test_equals_sql(spark, con, name):
     same(queries.queries()[name](spark, SF), con, oracle.oracle_sql()[name])
 
 
+#: Columns with names that the operators use inside.
+CLASHES = "spans string, key string, bucket int, fp long, id string, _text string, _id long, _fp long, _bitmap binary, _n_dropped long, _kept boolean, hits string, items string, text_fp string, part string, node int, batch int, score double"
+
+
 def odd_docs(spark):
     """Nulls, empty and very long texts, repeated rows, and columns with names that the operators use."""
-    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l"), (2, None), (3, ""), (None, "x y z " * 5), (4, "long word " * 50_000), (5, "\n\n \n"), (6, "a b c d e f g h i j k l")]
-    return spark.createDataFrame([(*r, "s", "k", 1) for r in rows], "doc_id long, text string, spans string, key string, bucket int")
+    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l"), (2, None), (3, ""), (None, "x y z " * 5), (4, "long word " * 200_000), (5, "\n\n \n"), (6, "a b c d e f g h i j k l")]
+    more = ("s", "k", 1, 2, "i", "t", 3, 4, b"b", 5, True, "h", "i", "f", "p", 6, 7, 0.5)
+    return spark.createDataFrame([(*r, *more) for r in rows], f"doc_id long, text string, {CLASHES}")
 
 
 def empty_docs(spark):
@@ -92,13 +97,13 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_chars", [decontam.BLOCK_CHARS, 60])
-def test_contamination_equals_brute_force(spark, block_chars):
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 20])
+def test_contamination_equals_brute_force(spark, block_words):
     rng = random.Random(2)
     say = lambda n: "".join(rng.choice(["a", "b", "É", "Cc", "d1"]) + rng.choice([" ", ", ", "\n", " - "]) for _ in range(n))
     items = [(i, say(rng.choice([0, 1, 3, 12, 15]))) for i in range(12)] + [(99, None)]
     docs = [(i, say(rng.randrange(60))) for i in range(80)] + [(200, None), (201, ""), (202, items[3][1]), (202, items[3][1])]
-    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     texts = dict(docs)
     rows = got.collect()
     assert len(rows) == len(docs)
@@ -107,14 +112,43 @@ def test_contamination_equals_brute_force(spark, block_chars):
         assert (r["n_words"], n, list(r["items"])) == brute_hits(texts[r["doc_id"]], items)
         for h in r["hits"]:
             assert words_of(texts[r["doc_id"]][h["start"] : h["end"]]) == words_of(texts[r["doc_id"]])[h["first_word"] : h["end_word"]]
-    clean = decontam.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)
+    clean = decontam.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, t in docs if not brute_hits(t, items)[1])
 
 
-def test_contamination_of_odd_rows(spark):
-    items = spark.createDataFrame([(1, "long word long")], "item_id long, text string")
-    assert decontam.contamination(odd_docs(spark), items).filter("size(hits) > 0").count() == 1
-    assert decontam.contamination(empty_docs(spark), items).count() == 0 and decontam.contamination(odd_docs(spark), items.limit(0)).count() == 8
+def test_the_matcher_equals_plain_windows():
+    rng = random.Random(12)
+    for size in (1, 2, 3, 5, 10):
+        for _ in range(150):
+            say = lambda n: [rng.choice("ab" if rng.random() < 0.9 else "c") for _ in range(n)]  # noqa: B023, E731
+            items = [say(rng.randrange(25)) for _ in range(4)]
+            doc = say(40)
+            m = decontam.Matcher([(str(i), " ".join(w).encode()) for i, w in enumerate(items)], size)
+            runs, found = m.find([w.encode() for w in doc])
+            hit, which = set(), set()
+            for i, w in enumerate(items):
+                n = min(size, len(w))
+                wins = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+                for j in range(len(doc) - n + 1) if n else ():
+                    if tuple(doc[j : j + n]) in wins:
+                        hit |= set(range(j, j + n))
+                        which.add(i)
+            assert {p for a, b in runs for p in range(a, b)} == hit and set(found) == which
+
+
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 2])
+def test_contamination_of_odd_rows(spark, block_words):
+    items = spark.createDataFrame([("x", "long word long"), (None, "Long word, long!"), ("", "a b c d e f g h i j k"), (None, "x y z"), ("none", None), ("x", "z x y")], "item_id string, text string")
+    got = sorted(((r["doc_id"] or 0), r["n_words"], [(h["first_word"], h["end_word"]) for h in r["hits"]], list(r["items"])) for r in decontam.contamination(odd_docs(spark), items, block_words=block_words).collect())
+    assert got == [
+        (0, 15, [(0, 15)], ["x"]), (1, 12, [(0, 11)], [""]), (1, 12, [(0, 11)], [""]), (2, 0, [], []), (3, 0, [], []),
+        (4, 400_000, [(0, 399_999)], ["x"]), (5, 0, [], []), (6, 12, [(0, 11)], [""]),
+    ]
+    clean = decontam.clean_documents(odd_docs(spark), items, block_words=block_words)
+    assert clean.columns == odd_docs(spark).columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 5]
+    assert decontam.contamination(empty_docs(spark), items).count() == 0
+    nothing = decontam.contamination(odd_docs(spark), items.limit(0))
+    assert nothing.count() == 8 and nothing.filter("size(hits) > 0 OR size(items) > 0").count() == 0 and decontam.clean_documents(odd_docs(spark), items.limit(0)).count() == 8
 
 
 # -- lines ---------------------------------------------------------------------------------
