@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, look_up_spread, written
+
+#: Lines of a run that wait in memory for its third document; more of them are settled by a join.
+HELD = 65_536
 
 #: Characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -61,6 +64,7 @@ class _Run:
     def __init__(self, h1: int, h2: int, doc: int, first: bool):
         self.h1, self.h2, self.doc, self.last, self.docs, self.first = h1, h2, doc, doc, 1, first
         self.held: list[tuple[int, int, int]] = []
+        self.late = 0  # lines that no longer wait in memory
 
     def edge(self, part: int) -> tuple:
         return ("edge", self.h1, self.h2, self.doc, None, None, part, self.docs, self.last)
@@ -83,6 +87,9 @@ def _stream(min_docs: int):
             elif doc != run.doc:
                 if run.docs < min_docs:
                     run.held.append((doc, fp, pos))
+                    if len(run.held) >= HELD:
+                        out.extend(drops(*x, "late", run.h1, run.h2) for x in run.held)
+                        run.held, run.late = [], run.late + len(run.held)
                 else:
                     out.extend(drops(*x) for x in run.held)
                     run.held = []
@@ -101,6 +108,8 @@ def _stream(min_docs: int):
                 if run is None or (run.h1, run.h2) != (int(h1[s]), int(h2[s])):
                     if run is not None and run.first:
                         out.append(run.edge(part))
+                    elif run is not None and run.late and run.docs >= min_docs:
+                        out.append(("key", run.h1, run.h2, run.doc, None, None, None, None, run.late))
                     run = _Run(int(h1[s]), int(h2[s]), int(doc[s]), run is None)
                 for d, f, p in zip(doc[s:e].tolist(), fp[s:e].tolist(), pos[s:e].tolist(), strict=True):
                     take(run, d, f, p, out)
@@ -146,13 +155,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not read.
     """
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("fp"), F.col("pos")]
-    ranged = line_hashes(docs, id_col, text_col, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ranged.mapInArrow(_stream(min_docs), _FOUND))
+    hashes = written(line_hashes(docs, id_col, text_col, min_chars))  # the range sampler reads them too
+    found = written(hashes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _FOUND))
+    discard(hashes)
     # Two edges a partition at most, however many lines there are.
     edges = found.filter("kind = 'edge'").select("h1", "h2", "doc", "part", "docs", "last").collect()
     settled = docs.sparkSession.createDataFrame(_settled(edges, min_docs), "h1 long, h2 long, keeper long")
-    at_edges = found.filter("kind = 'open'").join(F.broadcast(settled), ["h1", "h2"]).filter("doc != keeper")
-    dropped = found.filter("kind = 'drop'").select("doc", "fp", "pos").unionByName(at_edges.select("doc", "fp", "pos"))
+    at_edges = found.filter("kind IN ('open', 'late')").join(F.broadcast(settled), ["h1", "h2"]).filter("doc != keeper")
+    late, keys = found.filter("kind = 'late'").select("h1", "h2", "doc", "fp", "pos"), found.filter("kind = 'key'").select("h1", "h2", F.col("last").alias("lines"))
+    waited = look_up_spread(late, keys, ["h1", "h2"], "lines", late.count())
+    dropped = found.filter("kind = 'drop'").select("doc", "fp", "pos").unionByName(at_edges.select("doc", "fp", "pos")).unionByName(waited.select("doc", "fp", "pos"))
     per_doc = dropped.groupBy("doc", "fp").agg(F.collect_set("pos").alias("dropped"))
     return per_doc.select(
         F.when(F.col("doc") != _NONE, F.col("doc")).alias(id_col), F.col("fp").alias("text_fp"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap("dropped").alias("bitmap")
@@ -168,15 +180,20 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[int, list[str]]:
     return len(lines), [x for x, k in zip(lines, keep, strict=False) if k] + lines[len(keep) :]
 
 
+def _joined(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as ``_docs`` beside their bitmaps as ``_maps`` (null for unchanged rows); names are told apart by these."""
+    left, right = docs.alias("_docs"), bitmaps.select(F.col(id_col).alias("id"), "text_fp", "n_dropped", "bitmap").alias("_maps")
+    same = F.col(f"_docs.`{id_col}`").cast("long").eqNullSafe(F.col("_maps.id")) & (F.xxhash64(F.coalesce(F.col(f"_docs.`{text_col}`"), F.lit(""))) == F.col("_maps.text_fp"))
+    return left.join(right, same, "left")
+
+
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_bitmap`` and ``_n_dropped``, null for unchanged documents."""
-    small = bitmaps.select(F.col(id_col).alias("_id"), F.col("text_fp").alias("_fp"), F.col("bitmap").alias("_bitmap"), F.col("n_dropped").alias("_n_dropped"))
-    same = docs[id_col].cast("long").eqNullSafe(small["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == small["_fp"])
-    return docs.join(small, same, "left").drop("_id", "_fp")
+    """``id_col``, ``text_col``, ``bitmap`` and ``n_dropped`` of every row, the last two null where nothing is dropped."""
+    return _joined(docs, bitmaps, id_col, text_col).select(F.col(f"_docs.`{id_col}`"), F.col(f"_docs.`{text_col}`"), F.col("_maps.bitmap"), F.col("_maps.n_dropped"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text_col``; all columns stay.
+    """``docs`` with the dropped lines gone from ``text_col``; all columns stay, whatever their names.
 
     With ``drop_emptied``, rows that lost lines and have nothing but blanks left go too.
     """
@@ -185,7 +202,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     def rest(text: str, bitmap: bytes) -> str:
         return text if bitmap is None else "\n".join(kept_lines(text, bitmap)[1])
 
-    out = with_bitmaps(docs, bitmaps, id_col, text_col).withColumn(text_col, rest(text_col, "_bitmap"))
+    text, bitmap = F.col(f"_docs.`{text_col}`"), F.col("_maps.bitmap")
+    new = F.when(bitmap.isNull(), text).otherwise(rest(text, bitmap))
+    mine = F.struct(*(F.col(f"_docs.`{c}`") if c != text_col else new.alias(c) for c in docs.columns))
+    out = _joined(docs, bitmaps, id_col, text_col).select(mine.alias("_row"), bitmap.isNull().alias("_same"))
     if drop_emptied:
-        out = out.filter(F.col("_bitmap").isNull() | (F.btrim(F.col(text_col), F.lit(BLANKS)) != ""))
-    return out.drop("_bitmap", "_n_dropped")
+        out = out.filter(F.col("_same") | (F.btrim(F.col(f"_row.`{text_col}`"), F.lit(BLANKS)) != ""))
+    return out.select("_row.*")

@@ -54,8 +54,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    both = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "text", "_bitmap")
-    return both.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(docs, keep_bitmaps(docs)).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

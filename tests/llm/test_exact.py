@@ -188,13 +188,36 @@ def test_a_line_of_most_documents_fills_several_partitions(spark):
 
 def test_line_dedup_of_odd_rows(spark):
     d = odd_docs(spark)
-    assert line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).columns == d.columns
-    assert line_dedup.keep_bitmaps(empty_docs(spark)).count() == 0
+    same_rows = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d))
+    assert same_rows.columns == d.columns and sorted(map(str, same_rows.collect())) == sorted(map(str, d.collect()))
+    gone = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d, min_docs=2), drop_emptied=True)  # 1 and 6 share their only line, twice in 1
+    assert sorted(map(str, gone.collect())) == sorted(str(r) for r in d.collect() if r["doc_id"] != 1)
+    assert line_dedup.keep_bitmaps(empty_docs(spark)).count() == 0 and line_dedup.apply_bitmaps(empty_docs(spark), line_dedup.keep_bitmaps(empty_docs(spark))).columns == d.columns
     same_line = spark.createDataFrame([(None, "one line that all of them have"), (1, "one line that all of them have"), (2, "one line that all of them have"), (2, "one line that all of them have")], "doc_id long, text string")
     gone = line_dedup.apply_bitmaps(same_line, line_dedup.keep_bitmaps(same_line), drop_emptied=True)
     assert [r["doc_id"] for r in gone.collect()] == [2, 2]  # a null id is the least, repeated rows are one document
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_lines_that_wait_for_their_third_document(spark, partitions):
+    """Many rows without id count as one document: their lines do not pile up in memory."""
+    line, other = "this line is held by many rows", "and this one by two documents only"
+    rows = [(9, f"{line}\n{other}")] + [(None, f"{line}\nrow number {i} of no id at all\n{other}") for i in range(300)]
+    for third in (False, True):
+        docs = rows + [(5, f"{line}\nfive")] * third
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        held, line_dedup.HELD = line_dedup.HELD, 10
+        try:
+            maps = line_dedup.keep_bitmaps(df).collect()
+        finally:
+            line_dedup.HELD = held
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(maps) == (301 if third else 0) and all(r["n_dropped"] == 1 and r["doc_id"] != 9 for r in maps)
+
+
 # -- chats -----------------------------------------------------------------------------------
 
 
