@@ -8,6 +8,7 @@ coordinate learning rates, elastic-net penalty) and calibrated with one temperat
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +28,15 @@ _SHIFT = np.uint64(64 - FEATURE_BITS)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """Counts of the hashed 1- to 3-grams of a text in lower case, blanks at its ends."""
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed 1- to 3-grams of a text in lower case, blanks at its ends, and how often each occurs."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
         one = c * _A
         two = (one[:-1] ^ (c[1:] * _B)) * _C
         three = (two[:-1] ^ (c[2:] * _A)) * _B
-    return sum(np.bincount((x >> _SHIFT).astype(np.int64), minlength=FEATURES) for x in (one, two, three))
+    at, counts = np.unique((np.concatenate((one, two, three)) >> _SHIFT).astype(np.int32), return_counts=True)
+    return at, counts
 
 
 @dataclass
@@ -54,9 +56,8 @@ class LanguageModel:
         """Language and its chance; ``und`` and 0 without letters or without languages."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        counts = gram_counts(text)
-        at = np.flatnonzero(counts)
-        p = softmax(self.logits(at, tfidf(counts[at], self.idf[at])) / self.temperature)
+        at, counts = gram_counts(text)
+        p = softmax(self.logits(at, tfidf(counts, self.idf[at])) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -79,7 +80,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         seen, n = np.zeros(FEATURES, dtype=np.int64), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                seen += gram_counts(text or "") > 0
+                seen[gram_counts(text or "")[0]] += 1
                 n += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[seen[at], n])], names=["feature", "docs"])
@@ -115,17 +116,32 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[s
 
 
 def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden section on its logarithm."""
+    """The temperature with the least smoothed log loss, by golden section on its logarithm.
+
+    With n rows of k classes the right one counts (n + 1) / (n + k) and the others share the
+    rest, so that rows without any error do not ask for boundless certainty. Warns if the
+    best lies at an end of the search: such logits say nothing about the classes.
+    """
+    n, k = logits.shape
+    if k < 2:
+        return 1.0
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), classes] = (n + 1) / (n + k)
+    # Scales of the logits differ: the search is about their mean spread.
+    spread = max(1e-9, float((logits.max(axis=1) - logits.min(axis=1)).mean()))
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         top = z.max(axis=1)
-        return float((top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(z)), classes]).mean())
+        return float((top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - (z * target).sum(axis=1)).mean())
 
-    a, b, g = -4.0, 4.0, (5**0.5 - 1) / 2
-    for _ in range(40):
+    low, high, g = np.log(spread) - 8.0, np.log(spread) + 8.0, (5**0.5 - 1) / 2
+    a, b = low, high
+    for _ in range(60):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) <= loss(d) else (c, b)
+    if min(a - low, high - b) < 1e-3:
+        warnings.warn("the temperature is at an end of its range", stacklevel=2)
     return float(np.exp((a + b) / 2))
 
 
@@ -133,8 +149,9 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A model from the rows of ``docs`` with a language (and ``where``, if given).
 
     Document frequencies cover all those rows; the weights are fitted on about
-    ``per_language`` rows of each language, a fifth of which sets the temperature. Without
-    any such row the model knows no language and answers ``und``.
+    ``per_language`` rows of each language. The temperature is set by logits of models
+    fitted without a fifth of the sample on that fifth. Without any such row the model
+    knows no language and answers ``und``. Rows of one id are drawn together.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False))))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -145,18 +162,22 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [gram_counts(t) for t in b.column(1).to_pylist()]
-            at = [np.flatnonzero(x).astype(np.int32) for x in found]
-            counts = [x[i].astype(np.int32) for x, i in zip(found, at, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column(2)], names=["fold", "at", "counts", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)), b.column(2)], names=["fold", "at", "counts", "lang"])
 
     drawn = sample.select(F.xxhash64(F.lit(5), "id").alias("fold"), "text", "lang").mapInArrow(features, "fold long, at array<int>, counts array<int>, lang string")
     got = sorted(((r[0], np.array(r[1]), np.array(r[2]), r[3]) for r in drawn.toLocalIterator()), key=lambda r: (r[0], r[3]))
     languages = sorted({r[3] for r in got})
     ready = [(at, tfidf(c, idf[at]), languages.index(lang)) for _, at, c, lang in got]
-    held = ready[::5] if len(ready) >= 20 else []
-    model = train_ftrl([x for i, x in enumerate(ready) if not held or i % 5], languages, idf) if languages else LanguageModel([], np.zeros((FEATURES, 0)), np.zeros(0), idf)
-    if held:
-        model.temperature = fit_temperature(np.array([model.logits(at, v) for at, v, _ in held]), np.array([c for _, _, c in held]))
+    if not languages:
+        return LanguageModel([], np.zeros((FEATURES, 0)), np.zeros(0), idf)
+    model = train_ftrl(ready, languages, idf)
+    if len(ready) >= 20:
+        logits, classes = [], []
+        for k in range(5):
+            part = train_ftrl([x for i, x in enumerate(ready) if i % 5 != k], languages, idf)
+            logits += [part.logits(at, v) for at, v, _ in ready[k::5]]
+            classes += [c for _, _, c in ready[k::5]]
+        model.temperature = fit_temperature(np.array(logits), np.array(classes))
     return model
 
 

@@ -2,7 +2,9 @@
 
 The features are densities of a fixed and of a learned lexicon (words, and the beginnings
 of words for inflected forms), how near hits are to words of the second person, and rates
-of capitals, punctuation and obfuscation.
+of capitals, punctuation and obfuscation. No row is described by a lexicon, or judged by
+trees, that have seen its label: both are fitted once for each fold of the sample without
+that fold, and the calibration looks only at such scores.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, isotonic
-from .common import WORD_CACHE, WordCodes, filter_rows, shingle_set, written
+from .common import WORD_CACHE, WordCodes, discard, filter_rows, mix64, shingle_set, written
 from .sampling import labelled_sample
 
-#: Bounds of the training sample: rows of each label; entries of the learned lexicon.
-PER_LABEL, LEXICON = 8_000, 4_000
+#: Bound of the training sample: rows of each label. Folds that the sample is cut into.
+PER_LABEL, FOLDS = 8_000, 5
 #: Letters of word beginnings that the lexicon learns besides whole words.
 PREFIXES = (4, 5)
 
 # A small lexicon of insults, and words of the second person.
-INSULTS = "idiot idiots moron morons stupid loser losers trash scum pathetic worthless disgusting clown dumb fool imbecile jerk garbage vermin filth".split()
-SECOND_PERSON = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus su vosotros".split()
+INSULTS = [
+    "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "imbecile", "jerk", "garbage", "vermin", "filth",
+]
+SECOND_PERSON = [
+    "you", "your", "yours", "yourself", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "usted", "ustedes", "ti", "tus", "su", "vosotros",
+]
 _LEET = bytes.maketrans(b"013457@$", b"oieastas")
 
 #: Words are runs of letters, digits and non-ASCII characters; @, $ and * inside words stay.
@@ -112,66 +118,87 @@ class ToxicityModel:
         return np.interp(self.trees.raw(np.array(rows)), self.at, self.chance)
 
 
-def _lexicon(sample: DataFrame, size: int) -> dict[bytes, float]:
-    """Log odds of units that occur mostly in texts with label 1, counted by Spark."""
+def _lexicons(sample: DataFrame) -> list[dict[bytes, float]]:
+    """Log odds of units that occur mostly in texts with label 1, counted by Spark.
+
+    One lexicon for each fold, from the rows outside it, and the last one from all rows.
+    Entries occur in at least four texts with label 1, so the bounded sample bounds them.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for text, label in zip(texts, labels, strict=True):
+            for text, label, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found = [u for u in units(split_words(text or "")) if len(u) > 2]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32())], names=["unit", "label"])
-
-    totals = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    ones, zeros = totals.get(1, 0), totals.get(0, 0)
-    if not ones or not zeros:
-        return {}
-    counted = sample.select("text", "label").mapInArrow(task, "unit binary, label int").groupBy("unit").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
-    odds = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("zeros") + 0.5) / (zeros + 1))
-    best = counted.filter(F.col("ones") >= max(4, ones // 300)).withColumn("odds", odds).filter("odds > 2").orderBy(F.col("odds").desc(), "unit").limit(size)
-    return {bytes(r["unit"]): float(r["odds"]) for r in best.collect()}
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32())], names=["unit", "label", "fold"])
+
+    totals = {(r[0], r[1]): r[2] for r in sample.groupBy("label", "fold").count().collect()}
+    one = F.col("label").cast("long")
+    outside = [*(F.col("fold") != k for k in range(FOLDS)), F.lit(True)]
+    sums = [F.sum(F.when(out, x).otherwise(0)).alias(f"{name}{k}") for k, out in enumerate(outside) for name, x in (("ones", one), ("zeros", 1 - one))]
+    odds = []
+    for k in range(FOLDS + 1):
+        ones, zeros = (sum(n for (label, fold), n in totals.items() if label == v and fold != k) for v in (1, 0))
+        if not ones or not zeros:
+            odds.append(F.lit(None).cast("double").alias(f"odds{k}"))
+            continue
+        value = F.log((F.col(f"ones{k}") + 0.5) / (ones + 1)) - F.log((F.col(f"zeros{k}") + 0.5) / (zeros + 1))
+        odds.append(F.when((F.col(f"ones{k}") >= max(4, ones // 300)) & (value > 2), value).alias(f"odds{k}"))
+    counted = sample.select("text", "label", "fold").mapInArrow(task, "unit binary, label int, fold int").groupBy("unit").agg(*sums)
+    out: list[dict[bytes, float]] = [{} for _ in range(FOLDS + 1)]
+    for r in counted.select("unit", *odds).filter(F.coalesce(*(f"odds{k}" for k in range(FOLDS + 1))).isNotNull()).toLocalIterator():
+        for k in range(FOLDS + 1):
+            if r[k + 1] is not None:
+                out[k][bytes(r[0])] = float(r[k + 1])
+    return out
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, per_label: int = PER_LABEL) -> ToxicityModel:
     """A model from the labelled rows (those with ``where``, if given).
 
     ``where`` is a condition on the labels, whose id is called ``id`` there.
-    About ``per_label`` rows of each label are drawn; of copies of one text (rows with the
-    same least shingle hash and label) one stays. Half of the sample builds the lexicon
-    and the trees, the rest also the calibration, weighted back to the shares of the
-    labels. Without rows of both labels all scores are 0.
+    About ``per_label`` rows of each label are drawn; of texts with equal sets of shingles
+    one stays. Near copies mostly fall into one of ``FOLDS`` folds. Features come from
+    lexicons fitted outside a row's fold; the calibration compares labels with scores of
+    trees fitted outside it, weighted to the numbers of the labels. The final lexicon and
+    trees use the whole sample. Without rows of both labels all scores are 0. Null labels,
+    texts and ids teach nothing but their own row; repeated rows count once.
     """
     wanted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     if where is not None:
         wanted = wanted.filter(F.coalesce(where, F.lit(False)))
-    chosen, share = labelled_sample(wanted, "label", "id", per_label)
+    chosen, counts = labelled_sample(wanted, "label", "id", per_label)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most 4 * per_label ids
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for b in batches:
-            found = [shingle_set(t, 5, codes) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([int(x[0].astype(np.int64)) if len(x) else 0 for x in found], pa.int64())], names=["id", "text", "label", "copy"])
+            found = [shingle_set(t, 5, codes) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            with np.errstate(over="ignore"):
+                fold = [int(x[0] % np.uint64(FOLDS)) if len(x) else 0 for x in found]
+                first, second = ([int(f(x).sum(dtype=np.uint64).astype(np.int64)) for x in found] for f in (lambda x: x, mix64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fold, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["text", "label", "fold", "first", "second"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    sample = written(texts.select("id", "text", "label").mapInArrow(least, f"id {kind}, text string, label int, copy long").groupBy("label", "copy").agg(F.min(F.struct("id", "text")).alias("least")).select("least.id", "least.text", "label"))
-    weights = _lexicon(sample, LEXICON)
+    drawn = texts.select("text", "label").mapInArrow(sets, "text string, label int, fold int, first long, second long")
+    sample = written(drawn.groupBy("label", "fold", "first", "second").agg(F.min("text").alias("text")))
+    lexicons = _lexicons(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(weights)
+        words = [_Words(x) for x in lexicons]
         for b in batches:
-            got = [features(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.float64()))], names=["fold", "label", "x"])
+            got = [features(t, words[f]) for t, f in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.float64()))], names=["fold", "label", "x"])
 
-    got = sorted((r[0], r[1], tuple(r[2])) for r in sample.select(F.xxhash64(F.lit(3), "id").alias("fold"), "text", "label").mapInArrow(rows, "fold long, label int, x array<double>").toLocalIterator())
-    x, y = np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=float)
+    got = sorted((r[0], r[1], tuple(r[2])) for r in sample.select("fold", "label", "text").mapInArrow(rows, "fold int, label int, x array<double>").toLocalIterator())
+    discard(sample)
+    fold, y, x = np.array([r[0] for r in got]), np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     if len(set(y)) < 2:
         return ToxicityModel()
-    held = np.arange(len(y)) % 3 == 0 if len(y) >= 300 else np.zeros(len(y), dtype=bool)
-    trees = boost(x[~held], y[~held])
-    judge = held if held.any() and len(set(y[held])) == 2 else ~held
-    weight = np.where(y[judge] == 1, 1 / share[1], 1 / share[0])
-    return ToxicityModel(weights, trees, *isotonic(trees.raw(x[judge]), y[judge], weight))
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        if (fold == k).any():
+            raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k]) if (fold != k).any() else 0.0
+    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+    return ToxicityModel(lexicons[-1], boost(x, y), *isotonic(raw, y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +207,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     Null and empty texts are scored like texts without words. Repeated rows give repeated
     rows. Other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(sent.value.weights)
@@ -193,7 +220,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, all columns kept. No shuffle."""
+    """The rows of ``docs`` that score below ``limit``, all columns kept. No shuffle. Null texts are scored as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make_keep():

@@ -18,10 +18,18 @@ SF = "/root/testdata/sf0.01"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def calibration_error(score, right, bins=10):
+    """Expected calibration error: how far the scores of a bin lie from the share of right answers, on average."""
+    at = np.minimum((np.array(score) * bins).astype(int), bins - 1)
+    return sum(abs(np.mean(np.array(score)[at == k]) - np.mean(np.array(right)[at == k])) * (at == k).mean() for k in set(at.tolist()))
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
-    rows = queries.op6_language_id(spark, SF).join(docs, "doc_id").filter("held_out").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).head()
-    assert rows[0] > 0.97 and 0 <= rows[1] <= rows[2] <= 1
+    rows = queries.op6_language_id(spark, SF).join(docs, "doc_id").filter("held_out").select("score", (F.col("lang") == F.col("lang_pred")).cast("int")).collect()
+    score, right = zip(*rows, strict=True)
+    assert np.mean(right) > 0.97 and 0 <= min(score) <= max(score) <= 1
+    assert calibration_error(score, right) < 0.03 and np.mean(score) < 0.9999
 
 
 def test_languages_of_odd_rows(spark):
@@ -42,6 +50,9 @@ def test_temperature_calibrates():
     p = np.exp(true) / np.exp(true).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=q) for q in p])
     assert abs(langid.fit_temperature(true * 5, y) - 5) < 0.5
+    apart = np.eye(3)[np.arange(300) % 3] * 2  # no errors at all: still no certainty
+    q = langid.softmax(apart[0] / langid.fit_temperature(apart, np.arange(300) % 3))[0]
+    assert 0.98 < q < 1 - 1 / 1000
 
 
 def test_ftrl_is_sparse():
@@ -56,6 +67,18 @@ def test_toxicity_held_out(spark):
     rows = queries.op8_toxicity(spark, SF).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
     assert sum(r["toxic"] == r["predicted"] for r in rows) / len(rows) > 0.95
     assert all(0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([(r["score"] - r["toxic"]) ** 2 for r in rows]) < 0.04  # Brier; always saying the share of toxic texts gives 0.11
+    assert calibration_error([r["score"] for r in rows], [r["toxic"] for r in rows]) < 0.06
+
+
+def test_no_row_is_judged_by_its_own_label(spark):
+    """Labels that have nothing to do with the texts must leave the calibration flat."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(100_000)}" for _ in range(60))) for i in range(600)]
+    labels = [(i, int(rng.random() < 0.5)) for i in range(600)]
+    model = toxicity.train_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = [r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()]
+    assert 0.35 < np.mean(scores) < 0.65 and np.std(scores) < 0.2
 
 
 def test_toxicity_of_odd_rows(spark):
