@@ -58,10 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path

@@ -5,7 +5,9 @@ from __future__ import annotations
 OP1 = r"""
 WITH kinds(kind, ord, re) AS (VALUES
   ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), ('card', 2, '[0-9](?:[ -]?[0-9])+'),
-  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'), ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')
+  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'), ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'),
+  ('key', 6, '\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255})\b|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'),
+  ('secret', 7, '\b(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)["'']?[ \t]*[:=][ \t]*["'']?[^\x00-\x20"''<>,;#]{8,512}')
 ), texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), cut AS (SELECT doc_id, kind, ord, t, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS p FROM texts, kinds WHERE regexp_matches(t, re)
 ), spans AS (
@@ -19,13 +21,15 @@ WITH kinds(kind, ord, re) AS (VALUES
     WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (length(d) - j) % 2 = 0 THEN CAST(d[j] AS INT) ELSE (CAST(d[j] AS INT) * 2) // 10 + (CAST(d[j] AS INT) * 2) % 10 END for j in range(1, length(d) + 1)]) % 10 = 0
     WHEN 'phone' THEN length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
     WHEN 'iban' THEN list_reduce([0] || [ascii(c) for c in string_split(substr(d, 5) || substr(d, 1, 4), '')], lambda a, b: CASE WHEN b < 58 THEN a * 10 + b - 48 ELSE a * 100 + b - 55 END % 97) = 1
-    ELSE regexp_matches(lower(t[greatest(s - 39, 1):s] || ' ' || t[e + 1:e + 40]), 'ssn|social security') END
+    WHEN 'key' THEN true
+    WHEN 'secret' THEN regexp_matches(x, '[0-9]') OR regexp_matches(lower(x), '^(passw|pwd)')
+    ELSE regexp_matches(lower(t[greatest(s - 39, 1):s] || ' ' || t[e + 1:e + 40]), '\b(ssn|social security)\b') END
 ), sums AS (
-  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) AS n_spans,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
   FROM valid GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN sums USING (doc_id)
 """
 

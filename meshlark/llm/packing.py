@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
+from .token_index import encoded, id_bytes
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
@@ -72,18 +73,22 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, carry: tuple[str, ...] = ()) -> DataFrame:
     """Bucket, batch and place of every row.
 
-    ``length`` is the number of tokens (default: words and an end mark; null and empty
-    texts have 1). A batch of a bucket holds ``token_budget // bucket length`` rows, at
-    least one, so that it is within the budget after padding unless one row exceeds it.
+    ``length`` is the number of tokens (null: 0; default: words and an end mark, so null
+    and empty texts have 1). A batch of a bucket holds ``token_budget // bucket length``
+    rows, at least one, so that it is within the budget after padding unless one row
+    exceeds it.
 
-    Returns ``id_col``, ``n_tokens``, ``bucket`` (from 0), ``bucket_tokens`` (its padded
-    length), ``batch`` (bucket-group-number) and ``slot`` (from 0). Repeated rows get
-    places of their own; null ids sort first. Other columns are not read.
+    Returns ``id_col``, ``n_tokens``, the columns named in ``carry``, ``bucket`` (from 0),
+    ``bucket_tokens`` (its padded length), ``batch`` (bucket-group-number) and ``slot``
+    (from 0). Repeated rows get places of their own; null ids sort first. Other columns are
+    not read.
     """
-    counted = written(docs.select(F.col(id_col), (word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))).alias("n_tokens")))
+    tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
+    # Rows without an id have nothing to be dealt by but their place in this table.
+    counted = written(docs.select(F.col(id_col), tokens.alias("n_tokens"), *carry, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_row")))
     histogram = [(r[0], r[1]) for r in counted.groupBy("n_tokens").count().orderBy("n_tokens").collect()]
     bounds = optimal_boundaries(histogram, buckets) or [0]
     per_batch = [max(1, token_budget // max(1, b)) for b in bounds]
@@ -91,8 +96,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     groups = [max(1, -(-n // (size * GROUP_BATCHES))) for n, size in zip(rows, per_batch, strict=True)]
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("bucket"))
     dealt = counted.withColumn("bucket", F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b < F.col("n_tokens"))))
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(id_col, "n_tokens"), of(groups).cast("long")))
-    place = F.row_number().over(Window.partitionBy("bucket", "_group").orderBy("n_tokens", id_col)) - 1
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(id_col, "n_tokens", "_row"), of(groups).cast("long")))
+    place = F.row_number().over(Window.partitionBy("bucket", "_group").orderBy("n_tokens", id_col, "_row")) - 1
     placed = dealt.withColumn("_place", place)
     batch = F.concat_ws("-", "bucket", "_group", F.floor(F.col("_place") / of(per_batch)))
-    return placed.select(id_col, "n_tokens", "bucket", of([int(b) for b in bounds]).cast("long").alias("bucket_tokens"), batch.alias("batch"), (F.col("_place") % of(per_batch)).alias("slot"))
+    return placed.select(id_col, "n_tokens", *carry, "bucket", of([int(b) for b in bounds]).cast("long").alias("bucket_tokens"), batch.alias("batch"), (F.col("_place") % of(per_batch)).alias("slot"))
+
+
+def pack_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """``pack`` by the tokens of a tokenizer, with ``ids``: each row's token ids, padded with 0 to its bucket's length.
+
+    Ids are little-endian, 2 or 4 bytes each. The rows of a batch, in order of their slots,
+    are one padded block of at most ``token_budget`` ids.
+    """
+    width = id_bytes(tokenizer_path)
+    places = pack(encoded(docs, tokenizer_path, id_col, text_col), id_col, length=F.col("n_tokens"), buckets=buckets, token_budget=token_budget, carry=("ids",))
+    return places.withColumn("ids", F.rpad("ids", (F.col("bucket_tokens") * width).cast("int"), F.lit(bytearray(1))))

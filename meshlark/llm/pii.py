@@ -1,7 +1,8 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and range checks confirm them,
-and words near a span raise its score. A text is cut once at a pattern's matches; the
+and words near a span raise its score. Besides personal data, keys of well-known form and
+secrets given to a name are found. A text is cut once at a pattern's matches; the
 lengths of the pieces give the positions, so the work is linear in the text.
 """
 
@@ -68,6 +69,11 @@ def _any(_: Column) -> Column:
     return F.lit(True)
 
 
+def _secret(text: Column) -> Column:
+    """A value that reads like no word: it has a digit, or the name says password."""
+    return text.rlike("[0-9]") | F.lower(F.left(text, F.lit(5))).rlike("^(?:passw|pwd)")
+
+
 def _phone(text: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, "0123456789", ""))).between(9, 15)
 
@@ -80,12 +86,14 @@ def _phone(text: Column) -> Column:
 # A match can only begin where its run begins, or where the last match ended (\G), and a
 # run is never given back, so no text makes them go back and forth.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _any, 0.8, "mail|contact|write", "@"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", lambda m: m.rlike(f"^{_PART}(?:\\.{_PART}){{3}}$"), 0.6, "address|host|server|ip", "."),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", luhn, 0.7, "card|visa|credit|debit|pay"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.7, "phone|tel|call|fax|mobile", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank|konto|compte|cuenta"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _any, 0.8, "e-?mails?|mails?|contact|write", "@"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", lambda m: m.rlike(f"^{_PART}(?:\\.{_PART}){{3}}$"), 0.6, "address|addresses|hosts?|servers?|ips?", "."),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", luhn, 0.7, "cards?|visa|credit|debit|pay|paid|payment"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.7, "phones?|telephone|tel|calls?|fax|mobile", "+"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|accounts?|bank|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _any, 0.3, "ssn|social security", "-", 0.5),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255})(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", _any, 0.8, "aws|keys?|secrets?|tokens?"),
+    Kind("secret", r"(?<![A-Za-z0-9_])(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)[\"']?[ \t]*[:=][ \t]*[\"']?[^\x00-\x20\"'<>,;#]{8,512}+", _secret, 0.7, "keys?|secrets?|credentials?|login"),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -108,7 +116,7 @@ def _found(kind: Kind, order: int) -> Column:
         piece, after = F.get(p, i), F.get(p, i + 1)
         start = F.get(o, i) + F.length(piece)
         near = F.lower(F.concat_ws(" ", F.right(piece, F.lit(NEAR)), F.left(after, F.lit(NEAR))))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.raised).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(near.rlike(f"(?<![a-z0-9_])(?:{kind.context})(?![a-z0-9_])"), kind.raised).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(order).alias("kind_order"), (start + F.length(match)).alias("end"), F.lit(kind.name).alias("kind"), match.alias("text"), F.round(F.least(score, F.lit(1.0)), 3).alias("score"))
 
     ok = F.filter(F.transform(m, span), lambda s: kind.valid(s["text"]) & (s["score"] >= MIN_SCORE))

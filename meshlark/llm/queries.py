@@ -19,13 +19,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+def bpe() -> str:
+    """The file of the tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
-    return pack(table(spark, sf_dir, "documents"))
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from .packing import pack_tokens
+
+    packed = pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path or bpe())
+    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "padded_crc32")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +66,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import read_back, reconstruct, render
+    from .chat import event_log, read_back, reconstruct, render
 
-    said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    turn = F.col("id")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    # Each row of the table is the start of a message of its own.
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text", F.struct("turn", "role", F.xxhash64("text")).alias("message"))
-    back = read_back(render(reconstruct(events, keep_repeats=True)))
+    back = read_back(render(reconstruct(event_log(rows))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("trained", "")
     return back.select(
@@ -84,12 +91,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_index(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    import public_tokenizers
-
     from .token_index import look_up, read_ids, write_store
 
     docs = table(spark, sf_dir, "documents")
-    store = write_store(docs, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    store = write_store(docs, tokenizer_path or bpe())
     return read_ids(look_up(docs, store), store)
 
 
