@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import small_batches, written
+from meshlark.llm.common import discard, scratch, shared_dir, small_batches, written
 from meshlark.llm.decontam import clean_documents
 from meshlark.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from meshlark.llm.near_dedup import keep_first, near_duplicates
-from meshlark.llm.packing import pack
+from meshlark.llm.packing import pack_tokens
+from meshlark.llm.queries import bpe
 from meshlark.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -47,9 +48,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each remaining document."""
+    """Bucket, batch and slot of each remaining document, by its number of tokens."""
     small_batches(spark)
-    return pack(docs)
+    return pack_tokens(docs, bpe()).drop("ids")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
@@ -59,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again."""
+    """All stages on ``documents``, each written as Parquet and read again; what is no longer read is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, path = docs, shared_dir(spark)
+        with scratch(spark):  # what the stage wrote on its way
+            docs = written(stage(spark, docs, sf_dir), path)
+        discard(before)
     return docs
