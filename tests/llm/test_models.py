@@ -1,7 +1,9 @@
 """Trained operators by held-out accuracy, the token store by round trips, the pipeline by its parts."""
 
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 from meshlark.llm import boosting, langid, queries, token_index, toxicity
 from meshlark.llm.common import shared_dir
 
-from .test_exact import empty_docs, odd_docs
+from .test_exact import brute_cost, brute_groups, brute_hits, brute_lines, empty_docs, odd_docs
 
 SF = "/root/testdata/sf0.01"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +44,7 @@ def test_languages_of_odd_rows(spark):
     assert one.predict("any") == ("en", 1.0)
     assert one.predict("12 \u00b2 \u00bd \u2167 \u2026!") == ("und", 0.0) and one.predict("1 \u00e9")[0] == "en"  # number signs are no letters
     assert langid.identify_languages(empty_docs(spark), model).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in langid.identify_languages(odd_docs(spark), model).collect()) == [0, 1, 1, 2, 3, 4, 5, 6]
 
 
 def test_temperature_calibrates():
@@ -84,8 +87,13 @@ def test_no_row_is_judged_by_its_own_label(spark):
 def test_toxicity_of_odd_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train_toxicity(docs, labels)
-    assert toxicity.score_toxicity(odd_docs(spark), model).count() == 8 and toxicity.score_toxicity(empty_docs(spark), model).count() == 0
-    assert toxicity.drop_toxic(odd_docs(spark), model).columns == odd_docs(spark).columns
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(odd_docs(spark), model).collect()}
+    assert toxicity.score_toxicity(odd_docs(spark), model).count() == 8 and got[1] == got[6] and got[2] == got[3] == got[5] and max(got.values()) < 0.5
+    assert toxicity.score_toxicity(empty_docs(spark), model).count() == 0
+    kept = toxicity.drop_toxic(odd_docs(spark), model)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd_docs(spark).collect()))
+    again = toxicity.train_toxicity(docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), labels.unionByName(labels))
+    assert again.weights == model.weights  # repeated rows count once
     nothing = toxicity.train_toxicity(docs, labels.limit(0))
     assert toxicity.score_toxicity(odd_docs(spark), nothing).agg(F.max("score")).head()[0] == 0
 
@@ -170,15 +178,80 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 
 
-def test_pipeline(spark):
+def by_stage(spark, docs, sf):
+    """Each stage's name, input and output, all written as Parquet."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows, sizes = docs, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.written(stage(spark, rows, SF))
+        out = corpus_pipeline.written(stage(spark, docs, sf))
+        yield name, docs, out
+        docs = out
+
+
+def plain(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def expected(spark, name, rows, sf):
+    """What a stage keeps of its rows (doc_id, text), by brute force."""
+    if name == "line_dedup":
+        texts, out = brute_lines(rows), []
+        for i, t in rows:  # rows of one id are one document: their lines are counted together
+            new = texts[i] if [x for x, _ in rows].count(i) == 1 else t
+            if new.strip(" \t\n\x0b\x0c\r") or new == (t or ""):
+                out.append((i, t if new == (t or "") else new))
+        return Counter(out)
+    if name == "near_dedup":
+        groups = brute_groups(rows, 5, 80)
+        return Counter((i, t) for i, t in rows if groups[i][1] == i)
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    return Counter((i, t) for i, t in rows if not brute_hits(t, items)[1])
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes, labels = [docs.count()], spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for name, before, after in by_stage(spark, docs, "/root/testdata/sf0.001"):
+        sizes.append(after.count())
+        if name == "packing":
+            assert [r["doc_id"] for r in after.orderBy("doc_id").collect()] == [r["doc_id"] for r in before.orderBy("doc_id").collect()]
+            assert sum(r["bucket_tokens"] - r["n_tokens"] for r in after.collect()) == brute_cost(sorted(Counter(r["n_tokens"] for r in after.collect()).items()), 16)
+            continue
+        assert after.columns == docs.columns and after.schema == docs.schema
+        if name == "toxicity":
+            model = toxicity.train_toxicity(before, labels, where=F.crc32(F.col("id").cast("string")) % 5 != 0)
+            toxic = {r["doc_id"] for r in toxicity.score_toxicity(before, model).filter("score >= 0.5").collect()}
+            assert plain(after) == Counter((i, t) for i, t in plain(before) if i not in toxic)
+        else:
+            assert plain(after) == expected(spark, name, list(plain(before).elements()), "/root/testdata/sf0.001"), name
+        assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4] == sizes[5]
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, repeated rows, very long texts, more columns: no crash, and clean rows stay."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("size(split(text, ' ')) > 12").head()["text"]
+    own = "a text of its own with enough words in it to be told apart"
+    odd = [(None, "no id, but a text of its own"), (None, None), (-1, None), (-2, ""), (-3, "\n \n"), (-4, own), (-4, own), (-5, own), (-4, "another text under an id that is taken already"), (-6, "many words " * 90_000), (-7, item)]
+    kinds = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(i, t, "en", "odd", len(t or "")) for i, t in odd], kinds.schema)
+    docs = kinds.unionByName(more).select("*", *(F.lit(1).alias(c) for c in ("_id", "_fp", "fp", "text_fp", "node", "bitmap", "hits", "id", "part", "kept")))
+    for name, before, after in by_stage(spark, docs, sf):
         if name != "packing":
-            assert out.columns == docs.columns
-            assert out.join(rows, "doc_id", "left_anti").count() == 0
-        sizes.append(out.count())
-        rows = out
-    assert sizes[-1] == sizes[-2] and all(a >= b for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1] > sizes[0] // 2
+            assert after.columns == docs.columns
+            odd_left = Counter((i, (t or "")[:40]) for i, t in plain(after).elements() if i is None or i < 0)
+    want = Counter((i, (t or "")[:40]) for i, t in odd if i not in (-4, -5, -7))
+    assert odd_left - want == Counter({(-5, own[:40]): 1, (-4, "another text under an id that is taken already"[:40]): 1}) and not want - odd_left
+    assert after.count() == before.count()
+
+
+def test_pipeline_of_no_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    assert [out.count() for _, _, out in by_stage(spark, docs, "/root/testdata/sf0.001")] == [0] * 5
+
+
+def test_run_removes_what_it_no_longer_reads(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    before = set(os.listdir(spark.sparkContext.getConf().get("spark.checkpoint.dir")))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and len(set(os.listdir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))) - before) == 1
