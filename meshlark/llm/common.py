@@ -107,7 +107,8 @@ def look_up_spread(rows: DataFrame, table: DataFrame, on: list[str], count: str,
     hot = F.broadcast(table.filter(F.col(count) > least).drop(count))
     cool = table.filter(F.col(count) <= least).drop(count)
     cols = [*rows.columns, *(c for c in table.columns if c not in {*on, count})]
-    return rows.join(hot, on).select(cols).unionByName(rows.join(cool.hint("merge"), on).select(cols))
+    rest = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).select(cols).unionByName(rest.join(cool.hint("merge"), on).select(cols))
 
 
 #: Bytes of text in one range.
