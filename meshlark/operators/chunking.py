@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 WORDS_PER_TOKEN = 1 / 0.75
 _WORD = re.compile(r"\S+")
+_PLAIN_WORD = re.compile(r"\S+", re.A)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s|$)|$(?![\s\S]))", re.S)
 _PARAGRAPH = re.compile(r"(?:\r\n\r\n|\n\n)")
 
@@ -137,16 +139,27 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, method: str = "fixed", to
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(task, f"id {kind}, chunk int, content string, start int, end int").withColumnRenamed("id", id_col)
 
 
-def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A stand-in for a model: signed hashed word counts at unit length, the same everywhere."""
+@lru_cache(maxsize=100_000)
+def _digest(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).digest()
+    return h[0], h[1]
+
+
+def hashing_embedder(dimensions: int = 64, unit: bool = True) -> Callable[[list[str]], np.ndarray]:
+    """A stand-in for a model: signed hashed word counts, the same everywhere; at unit length if ``unit``.
+
+    Words are runs without ASCII blanks, in lower case. Of a word's MD5 digest the first
+    byte says the dimension, and the highest bit of the second one the sign.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in _WORD.findall(t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dimensions] += 1 if h >> 63 else -1
-            out[i] /= max(1e-12, float(np.linalg.norm(out[i])))
+            for w in _PLAIN_WORD.findall(t.lower()):
+                first, second = _digest(w)
+                out[i, first % dimensions] += 1 if second >> 7 else -1
+            if unit:
+                out[i] /= max(1e-12, float(np.linalg.norm(out[i])))
         return out
 
     return embed

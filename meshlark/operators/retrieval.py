@@ -2,35 +2,104 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JError
+from pyspark import Broadcast
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import keyword_overlap
-from ..functions.vectors import similarity
+from ..functions.vectors import METRICS
+from ..sources.lineage import cut_lineage
 
 
 class UnknownCollection(KeyError):
     """No keyword collection has that name."""
 
 
-def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosine", least: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", blocks: int = 32) -> DataFrame:
+#: Numbers in one matrix of scores or weights: about 32 MB.
+CELLS = 4_000_000
+
+
+def _best(score: np.ndarray, order: np.ndarray, top: int, candidate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``top`` highest scores of each column; ties by ``order``. ``candidate`` says which count."""
+    rows, cols = [], []
+    for q in range(score.shape[1]):
+        at = np.arange(len(score)) if candidate is None else np.flatnonzero(candidate[:, q])
+        s = score[at, q]
+        if len(at) > top:
+            near = s >= np.partition(s, -top)[-top]
+            at, s = at[near], s[near]
+        at = at[np.lexsort((order[at], -s))[:top]]
+        rows.append(at)
+        cols.append(np.full(len(at), q))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    """The places of ids in ascending order, null first."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+
+
+def _named(found: DataFrame, ids: list, kind: str, query_id: str) -> DataFrame:
+    """Puts the ids of the queries for their numbers in ``_q``."""
+    names = found.sparkSession.createDataFrame(list(enumerate(ids)), f"_q int, `{query_id}` {kind}")
+    return found.join(F.broadcast(names), "_q").drop("_q")
+
+
+def _similarities(items: list, queries: list[np.ndarray], metric: str) -> np.ndarray:
+    """Items x queries; 0 where lengths differ, or where a cosine has no direction."""
+    out = np.zeros((len(items), len(queries)))
+    lengths, wanted = np.array([len(v) if v is not None else 0 for v in items]), np.array([len(v) for v in queries])
+    for d in set(lengths.tolist()) & set(wanted.tolist()) - {0}:
+        r, q = np.flatnonzero(lengths == d), np.flatnonzero(wanted == d)
+        a, b = np.array([items[i] for i in r.tolist()], dtype=float), np.stack([queries[i] for i in q.tolist()])
+        if metric == "l2":
+            got = np.stack([1 / (1 + np.linalg.norm(a - x, axis=1)) for x in b], axis=1)
+        else:
+            got = a @ b.T
+        if metric == "cosine":
+            size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+            got = np.divide(got, size, out=np.zeros_like(got), where=size > 0)
+        out[np.ix_(r, q)] = got
+    return np.round(out, 12)  # equal vectors tie, whatever the order of their sums
+
+
+def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosine", least: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector", block: int = 4096) -> DataFrame:
     """The ``top`` nearest items of each query: query_id, item_id, score, rank.
 
-    Items stay where they are; the queries, a stated set, are sent to blocks of them.
-    Each block keeps its own best before the lists are merged, so a query's candidates are
-    at most blocks times ``top`` rows. Ties go to the lower id.
+    Items stay where they are. The queries, a stated set, are sent to them in blocks of
+    ``block``, each a scan; a task keeps the best of each of its batches, so no more than
+    these are shuffled. Ties go to the lower id. Scores are rounded to twelve digits.
     """
-    q = queries.select(F.col(query_id), F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    i = items.select(F.col(item_id), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_block"))
-    scored = i.join(q, "_block").withColumn("score", similarity(F.col("_v"), F.col("_q"), metric))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    best = [F.col("score").desc(), F.col(item_id)]
-    local = scored.select(query_id, item_id, "_block", "score").withColumn("_n", F.row_number().over(Window.partitionBy(query_id, "_block").orderBy(*best))).filter(F.col("_n") <= top)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).filter(F.col("rank") <= top).select(query_id, item_id, "score", "rank")
+    metric = metric if metric in METRICS else "cosine"
+    asked = [(r[0], np.array(r[1] if r[1] is not None else [], dtype=float)) for r in queries.select(query_id, vector).toLocalIterator()]
+    spark, kinds = items.sparkSession, [x.schema[c].dataType.simpleString() for x, c in ((queries, query_id), (items, item_id))]
+    out = None
+    for i in range(0, max(1, len(asked)), block):
+        sent = spark.sparkContext.broadcast([v for _, v in asked[i : i + block]])
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS // max(1, len(sent.value)))
+            for whole in batches if sent.value else ():
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    score = _similarities(b.column(1).to_pylist(), sent.value, metric)
+                    rows, cols = _best(score, _order(b.column(0)), top, None if least is None else score >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows)), pa.array(score[rows, cols])], names=["_q", "item", "score"])
+
+        found = items.select(F.col(item_id).alias("item"), F.col(vector).alias("vector")).mapInArrow(task, f"_q int, item {kinds[1]}, score double").withColumnRenamed("item", item_id)
+        found = _named(found, [q for q, _ in asked[i : i + block]], kinds[0], query_id)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, query_id, item_id, top).select(query_id, item_id, "score", "rank")
 
 
 def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", block: int = 500) -> DataFrame:
@@ -48,27 +117,93 @@ def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str
     return ranked(rows, query_id, doc_id, top)
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\s.,;:!?]+"), F.lit(0))
+_TERM = re.compile(r"[^ \t\n\x0b\f\r.,;:!?]+")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 over all documents: query_id, doc_id, score, rank.
+def _terms(text: str | None) -> list[str]:
+    return _TERM.findall((text or "").lower())
+
+
+def _term_counts(docs: DataFrame, text_col: str, vocabulary: Broadcast) -> tuple[np.ndarray, int, int]:
+    """In how many documents each term occurs, how many documents there are, and their terms; summed by Spark."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs_, terms = np.zeros(len(vocabulary.value), dtype=np.int64), 0, 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = _terms(text)
+                docs_, terms = docs_ + 1, terms + len(words)
+                seen[list({vocabulary.value[w] for w in words if w in vocabulary.value})] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2], pa.int64()), pa.array(np.r_[seen[at], docs_, terms], pa.int64())], names=["term", "n"])
+
+    got = dict(docs.select(F.col(text_col).alias("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    df = np.zeros(len(vocabulary.value))
+    for term, n in got.items():
+        if term >= 0:
+            df[term] = n
+    return df, got.get(-1, 0), got.get(-2, 0)
 
-    Texts are cut and dealt by document once; counts of terms in documents then need no
-    further shuffle, and both uses of them share that one. Repeated query terms count once.
+
+def bm25_lists(queries: DataFrame, docs: DataFrame, top: int, rankings: list[tuple[float, float]], query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """Okapi BM25 over all documents, once for each (k1, b): list, query_id, doc_id, score, rank.
+
+    Two scans, one for the frequencies and one for the scores of all rankings; documents
+    are not shuffled, whatever words they hold. The queries, a stated set, are sent to them
+    in blocks of bounded size (a scan each); a task keeps the best of each of its batches.
+    Repeated terms of a query count once, rows with one query id are one query. Documents
+    without any of a query's terms are not in its lists. Scores are rounded to six digits.
     """
-    terms = queries.select(F.col(query_id), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    cut = docs.select(F.col(doc_id), tokens(F.col(doc_text)).alias("_words")).withColumn("_len", F.size("_words")).repartition(doc_id)
-    stats = cut.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    words = cut.select(doc_id, "_len", F.explode("_words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("term", doc_id, "_len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").join(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    scored = weighted.select("term", doc_id, part.alias("_part")).join(terms, "term").groupBy(query_id, doc_id).agg(F.round(F.sum("_part"), 6).alias("score"))
-    return ranked(scored, query_id, doc_id, top)
+    spark = docs.sparkSession
+    asked: dict = {}
+    for q, text in queries.select(query_id, query_text).toLocalIterator():
+        asked.setdefault(q, set()).update(_terms(text))
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*asked.values())))}
+    known = spark.sparkContext.broadcast(vocabulary)
+    df, n, total = _term_counts(docs, doc_text, known)
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
+    blocks: list[list] = [[]]
+    for q in asked:
+        if blocks[-1] and len(vocabulary) * (len(blocks[-1]) + 1) > CELLS:
+            blocks.append([])
+        blocks[-1].append(q)
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, query_id), (docs, doc_id))]
+    out = None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast((idf, [[vocabulary[w] for w in sorted(asked[q])] for q in block]))
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            idf, terms = sent.value
+            holds = np.zeros((len(idf), len(terms)))
+            for q, at in enumerate(terms):
+                holds[at, q] = 1
+            step = max(1, CELLS // max(1, len(terms) * len(rankings)))
+            for whole in batches if terms else ():
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    score = np.zeros((len(rankings), b.num_rows, len(terms)))
+                    for row, text in enumerate(b.column(1).to_pylist()):
+                        words = _terms(text)
+                        found, tf = np.unique([known.value[w] for w in words if w in known.value], return_counts=True)
+                        if len(found):
+                            part = np.array([idf[found] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * len(words) / mean)) for k1, b_ in rankings])
+                            score[:, row] = part @ holds[found]
+                    score = np.floor(score * 1e6 + 0.5) / 1e6
+                    order = _order(b.column(0))
+                    for i in range(len(rankings)):
+                        rows, cols = _best(score[i], order, top, score[i] > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i), pa.int32()), pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(score[i][rows, cols])], names=["list", "_q", "doc", "score"])
+
+        found = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"list int, _q int, doc {kinds[1]}, score double").withColumnRenamed("doc", doc_id)
+        found = _named(found, block, kinds[0], query_id)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("list", query_id).orderBy(F.col("score").desc(), doc_id))
+    return out.withColumn("rank", place).filter(F.col("rank") <= top).select("list", query_id, doc_id, "score", "rank")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``bm25_lists`` with one ranking: query_id, doc_id, score, rank."""
+    return bm25_lists(queries, docs, top, [(k1, b)], query_id, query_text, doc_id, doc_text).drop("list")
 
 
 def ranked(scored: DataFrame, query_id: str, doc_id: str, top: int | None = None, score: str = "score") -> DataFrame:
@@ -165,12 +300,13 @@ def hybrid(dense: DataFrame, sparse: DataFrame | None, top: int, options: Hybrid
     if sparse is None:
         return plain, {"hybrid": False, "degraded": "no-keyword-provider"}
     try:
-        empty = sparse.isEmpty()
-    except Exception:  # the keyword leg may be a foreign source
-        return plain, {"hybrid": False, "degraded": "sparse-failed"}
-    if empty:
+        # At most ``sparse_top`` rows a query, computed once for the test and for the fusion.
+        sparse = cut_lineage(sparse.filter(F.col("rank") <= o.sparse_top))
+    except (PySparkException, Py4JError) as e:  # the keyword leg may be a foreign source
+        return plain, {"hybrid": False, "degraded": "sparse-failed", "error": str(e)}
+    if sparse.isEmpty():
         return plain, {"hybrid": False, "degraded": "sparse-empty"}
-    lists, weights = [dense, sparse.filter(F.col("rank") <= o.sparse_top)], list(o.weights) if o.weights else None
+    lists, weights = [dense, sparse], list(o.weights) if o.weights else None
     fuse = reciprocal_rank_fusion(lists, top, o.k, weights, query_id, doc_id) if o.method == "rrf" else distribution_fusion(lists, top, weights, query_id, doc_id)
     out = fuse.select(query_id, doc_id, "fused_score", "rank").join(dense.select(query_id, doc_id, "score"), [query_id, doc_id])
     return out.select(query_id, doc_id, "score", "rank"), {"hybrid": True, "degraded": None, "method": o.method, "saturation": o.saturation}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import vector_literal
 from ..operators import chunking, retrieval
+from ..sources.lineage import cut_lineage
 from .base import Catalogue, table
 from .domain import graph
 
@@ -76,13 +77,18 @@ bm AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 bm_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm)"""
 
 
-def _bm25(spark, sf_dir, top):
-    return retrieval.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, query_id="item_id")
+def _keywords(spark, sf_dir, top, rankings):
+    """Lists of documents for each benchmark item, one for each ranking, from the same two scans."""
+    found = retrieval.bm25_lists(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, rankings, query_id="item_id")
+    if len(rankings) == 1:
+        return [found.drop("list")]
+    found = cut_lineage(found)  # the best of each item, read once a list
+    return [found.filter(F.col("list") == i).drop("list") for i in range(len(rankings))]
 
 
 @C.query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir, 10)
+    return _keywords(spark, sf_dir, 10, PLAIN)[0]
 
 
 OVERLAP = """words AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS w FROM benchmark),
@@ -99,23 +105,20 @@ def keyword_overlap_topk(spark, sf_dir):
 # A second ranking of the same documents, without regard to their lengths.
 SECOND = """flat AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 3.0 / (tf + 2.0)), 6) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), stats GROUP BY ALL),
 flat_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM flat)"""
-
-
-def _flat(spark, sf_dir, top):
-    return retrieval.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, query_id="item_id", k1=2.0, b=0.0)
+PLAIN, BOTH = [(1.2, 0.75)], [(1.2, 0.75), (2.0, 0.0)]
 
 
 @C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM flat_ranked WHERE rank <= 20),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL) SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def rrf_fuse(spark, sf_dir):
-    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, query_id="item_id")
+    f = retrieval.reciprocal_rank_fusion(_keywords(spark, sf_dir, 20, BOTH), 10, query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
 @C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 0.7 / (10 + rank) AS p FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 0.3 / (10 + rank) FROM flat_ranked WHERE rank <= 20),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL) SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def rrf_weighted(spark, sf_dir):
-    f = retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, k=10, weights=[0.7, 0.3], query_id="item_id")
+    f = retrieval.reciprocal_rank_fusion(_keywords(spark, sf_dir, 20, BOTH), 10, k=10, weights=[0.7, 0.3], query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
@@ -124,15 +127,40 @@ m AS (SELECT *, avg(score) OVER w AS mean, stddev_samp(score) OVER w AS sd FROM
 f AS (SELECT item_id, doc_id, sum(CASE WHEN sd IS NULL OR sd < 1e-9 THEN 0.5 ELSE (score - (mean - 3 * sd)) / (6 * sd) END) AS s FROM m GROUP BY ALL)
 SELECT item_id, doc_id, round(s, 6) AS fused_score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 10""")
 def dbsf_fuse(spark, sf_dir):
-    f = retrieval.distribution_fusion([_bm25(spark, sf_dir, 20), _flat(spark, sf_dir, 20)], 10, query_id="item_id")
+    f = retrieval.distribution_fusion(_keywords(spark, sf_dir, 20, BOTH), 10, query_id="item_id")
     return f.select("item_id", "doc_id", F.round("fused_score", 6).alias("fused_score"))
 
 
-@C.query(f"""WITH {BM25}, {SECOND}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM flat_ranked WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM bm_ranked WHERE rank <= 50),
+def _vector_sql(name, table, key):
+    return rf"""{name} AS (SELECT {key}, i, sum(s) AS v FROM (SELECT {key}, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS i, CASE WHEN substr(md5(w), 3, 1) >= '8' THEN 1 ELSE -1 END AS s
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+')) AS w FROM {table})) GROUP BY ALL),
+{name}_len AS (SELECT {key}, sqrt(sum(v * v)) AS len FROM {name} GROUP BY {key})"""
+
+
+DENSE = f"""{_vector_sql("dv", "documents", "doc_id")}, {_vector_sql("qv", "benchmark", "item_id")},
+dots AS (SELECT item_id, doc_id, sum(dv.v * qv.v) AS dot FROM dv JOIN qv USING (i) GROUP BY ALL),
+dense AS (SELECT b.item_id, d.doc_id, round(CASE WHEN dl.len * ql.len > 0 THEN coalesce(dot, 0) / (dl.len * ql.len) ELSE 0 END, 12) AS score
+  FROM benchmark b CROSS JOIN documents d LEFT JOIN dots USING (item_id, doc_id) LEFT JOIN dv_len dl USING (doc_id) LEFT JOIN qv_len ql USING (item_id)),
+dense_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM dense)"""
+
+
+def _dense(spark, sf_dir, top):
+    """The nearest documents of each benchmark item by embedded texts."""
+    vectors = lambda name, key: chunking.embed(table(spark, sf_dir, name).select(key, "text"), "text", chunking.hashing_embedder(64, unit=False)).select(key, F.col("embedding").alias("vector"))
+    return retrieval.nearest(vectors("benchmark", "item_id"), vectors("documents", "doc_id"), top, query_id="item_id", item_id="doc_id")
+
+
+@C.query(f"WITH {DENSE} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM dense_ranked WHERE rank <= 10")
+def dense_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+@C.query(f"""WITH {BM25}, {DENSE}, parts AS (SELECT item_id, doc_id, 1 / (60 + rank) AS p FROM dense_ranked WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 1 / (60 + rank) FROM bm_ranked WHERE rank <= 50),
 f AS (SELECT item_id, doc_id, sum(p) AS s FROM parts GROUP BY ALL), top AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10)
-SELECT item_id, doc_id, o.score, t.rank FROM top t JOIN flat_ranked o USING (item_id, doc_id) WHERE o.rank <= 50""")
+SELECT item_id, doc_id, round(o.score, 6) AS score, t.rank FROM top t JOIN dense_ranked o USING (item_id, doc_id) WHERE o.rank <= 50""")
 def hybrid_rrf(spark, sf_dir):
-    return retrieval.hybrid(_flat(spark, sf_dir, 50), _bm25(spark, sf_dir, 50), 10, query_id="item_id")[0]
+    dense = cut_lineage(_dense(spark, sf_dir, 50))  # at most 50 rows an item, read twice
+    return retrieval.hybrid(dense, _keywords(spark, sf_dir, 50, PLAIN)[0], 10, query_id="item_id")[0].withColumn("score", F.round("score", 6))
 
 
 @C.query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents")

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where none is set (tests, local mode) a temporary folder of this machine is taken.
+    Where none is set, a local master gets a temporary folder of this machine, and a
+    cluster an error.
     """
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshlark-"))
     return df.checkpoint()
