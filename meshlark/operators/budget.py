@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,41 @@ APPETITE = {"Abundant": 1.0, "Normal": 0.8, "Scarce": 0.5, "Critical": 0.2}
 RESERVATION = {"Steps": 1.0, "Tokens": 2000.0, "Executions": 1.0, "ToolCalls": 2.0}
 
 
+@dataclass(frozen=True)
+class BudgetOptions:
+    """How budgets are estimated and allotted; the cost multipliers may not fall as a budget runs out."""
+
+    steps_per_complexity: int = 5
+    tokens_per_step: int = 2000
+    execution_ratio: float = 0.6
+    tool_call_ratio: float = 1.5
+    retry_margin: float = 0.2
+    defaults: tuple[float, ...] = tuple(DEFAULTS.values())
+    multipliers: tuple[float, ...] = tuple(COST_MULTIPLIER.values())
+
+    def __post_init__(self):
+        if self.defaults[0] <= 0 or self.defaults[1] <= 0 or self.defaults[4] <= 0:
+            raise ValueError("steps, tokens and wall time are positive")
+        if list(self.multipliers) != sorted(self.multipliers):
+            raise ValueError("multipliers rise with scarcity")
+
+    def allotted(self) -> dict[str, float]:
+        return dict(zip(DEFAULTS, self.defaults, strict=True))
+
+    def multiplier(self, level: Column) -> Column:
+        return F.get(F.array(*map(F.lit, self.multipliers)), level)
+
+    def estimate(self, complexity: Column) -> dict[str, Column]:
+        """Steps, tokens, executions and tool calls of a task by its complexity, with the margin for retries."""
+        steps = F.ceil(complexity * self.steps_per_complexity * (1 + self.retry_margin))
+        return {"Steps": steps, "Tokens": steps * self.tokens_per_step, "Executions": F.ceil(steps * self.execution_ratio), "ToolCalls": F.ceil(steps * self.tool_call_ratio)}
+
+
+def usage_totals(usage: DataFrame, key: str, columns: tuple[str, ...] = ("tokens", "executions", "tool_calls", "duration")) -> DataFrame:
+    """The sum of each part of a key's usage; parts that are null add nothing, a key without any has 0."""
+    return usage.groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0).cast(usage.schema[c].dataType)).alias(c) for c in columns))
+
+
 def remaining_share(allocated: Column, consumed: Column) -> Column:
     """Share of a budget that is left; 0 where nothing was allocated."""
     return F.when(allocated > 0, F.try_divide(allocated - consumed, allocated)).otherwise(0.0)

@@ -82,17 +82,47 @@ def association_edges(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def explore(frames: dict[str, DataFrame], scope: str, domain: str | None = None, type_name: str | None = None) -> DataFrame:
-    """One of the model's lists, by domain and type where it has them."""
-    if scope == "domains":
-        return frames["types"].groupBy("domain").agg(F.count("*").alias("n_types"))
-    table = {"objectTypes": "types", "actions": "actions", "links": "links", "associations": "roles", "events": "events", "interfaces": "interfaces", "workflowChains": "chains"}.get(scope)
-    rows = frames["properties"].filter("kind = 'vector'") if scope == "vectorProperties" else frames[table]
+    """One of the model's lists, by domain and type where it has them. An unknown scope has no rows."""
+    types, roles = frames["types"], frames["roles"]
+    searchable = frames["properties"].filter("kind = 'vector'")
+    names = lambda rows, column, *by: rows.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(column)), ",").alias(column))
+    at = ["domain", "type"]
+    match scope:
+        case "domains":
+            rows = types.groupBy("domain").agg(F.count("*").alias("n_types"))
+        case "objectTypes":
+            ends = names(roles.withColumn("endpoints", F.concat_ws(":", "role", "target")), "endpoints", *at)
+            rows = types.join(ends, at, "left").join(searchable.select(*at, F.lit(True).alias("searchable")).distinct(), at, "left")
+            rows = rows.select(*at, "kind", "n_properties", "n_links", "n_actions", "n_events", F.coalesce("searchable", F.lit(False)).alias("searchable"), F.coalesce("endpoints", F.lit("")).alias("endpoints"))
+        case "associations":
+            ends = names(roles.withColumn("endpoints", F.concat_ws(":", "role", "target")), "endpoints", *at)
+            rows = ends.join(names(frames["properties"].withColumnRenamed("property", "attributes"), "attributes", *at), at, "left")
+        case "interfaces":
+            rows = frames["interfaces"].groupBy("interface").agg(F.count("*").alias("n_types"))
+        case "vectorProperties":
+            rows = searchable
+        case "actions" | "links" | "events":
+            rows = frames[scope]
+        case "workflowChains":
+            rows = frames["chains"]
+        case _:
+            rows = types.limit(0)
     for column, value in (("domain", domain), ("type", type_name)):
         if value is not None and column in rows.columns:
             rows = rows.filter(F.col(column) == value)
     return rows
 
 
+def explore_from(frames: dict[str, DataFrame], domain: str, type_name: str, depth: int = 2) -> DataFrame:
+    """Types that links lead to from one type within its domain: type, link, depth (the first that reaches it)."""
+    links = frames["links"].filter(F.col("domain") == domain).select(F.col("type").alias("src"), "link", F.col("target").alias("dst"))
+    start = frames["types"].filter((F.col("domain") == domain) & (F.col("type") == type_name)).select(F.col("type").alias("node"))
+    found = reach(links, start, depth).filter("depth > 0")
+    # The links that lead to each type on its first step.
+    before = reach(links, start, depth).select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    return links.join(before, "src").join(found.withColumnRenamed("node", "dst"), ["dst", "depth"]).select(F.col("dst").alias("type"), "link", "depth").distinct()
+
+
 def affected_properties(frames: dict[str, DataFrame], type_name: str, name: str) -> DataFrame:
     """Properties derived from one property, directly or through others."""
     return frames["derivations"].filter((F.col("type") == type_name) & (F.col("source") == name)).select("property", F.when(F.col("direct"), "direct").otherwise("transitive").alias("how"))
@@ -155,8 +185,14 @@ def actions_in_state(frames: dict[str, DataFrame], type_name: str, state: str) -
     return moves.filter(F.col("state_from") == state).select("action").distinct().unionByName(free)
 
 
-def dispatch(rows: DataFrame, key: str, act, read_only: bool = True, only_reads: bool = False) -> DataFrame:
-    """Runs ``act(row dict)`` for every object: key, ok, error. One failure doesn't stop the others."""
+def dispatch(rows: DataFrame, key: str, act, read_only: bool = True, only_reads: bool = False, observers: tuple = ()) -> DataFrame:
+    """Runs ``act(row dict)`` for every object: key, ok, error. One failure doesn't stop the others.
+
+    Each of ``observers`` is called with (row dict, ok, error) after an act, where the act
+    ran; what goes wrong in one of them changes nothing.
+    """
+    import contextlib
+
     import pandas as pd
 
     if only_reads and not read_only:
@@ -167,16 +203,31 @@ def dispatch(rows: DataFrame, key: str, act, read_only: bool = True, only_reads:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
+                ok, error = True, None
                 try:
                     act(r)
-                    out.append((r[key], True, None))
                 except Exception as e:
-                    out.append((r[key], False, f"{type(e).__name__}: {e}"))
+                    ok, error = False, f"{type(e).__name__}: {e}"
+                for tell in observers:
+                    with contextlib.suppress(Exception):
+                        tell(r, ok, error)
+                out.append((r[key], ok, error))
             yield pd.DataFrame(out, columns=[key, "ok", "error"])
 
     return rows.mapInPandas(task, f"`{key}` {kind}, ok boolean, error string")
 
 
+def reported(registry: Registry, rows: DataFrame, type_name: str, action: str, key: str, results: DataFrame) -> DataFrame:
+    """Results of a dispatch with the requirements of the action that each object failed: failed_hard, failed_soft.
+
+    The report changes no result; objects that fail nothing, and actions without
+    requirements, have empty texts.
+    """
+    report = constraint_report(registry, rows, type_name, key).filter(F.col("action") == action).drop("action", "available")
+    out = results.join(report, key, "left")
+    return out.select(*results.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("failed_hard", "failed_soft")))
+
+
 def validate_design(registry: Registry, frames: dict[str, DataFrame], touched: list[str]) -> dict:
     """Violations, blast radius and smells of a change; it passes without hard findings."""
     found = registry.issues() + registry.patterns()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import project_id
 from ..functions.vectors import similarity
-from ..registry import ObjectType, Registry
+from ..registry import Link, ObjectType, Registry
 
 #: Facets of a result: properties 1, actions 2, links 4, events 8, interfaces 16, linked objects 32.
 FACETS = {"properties": 1, "actions": 2, "links": 4, "events": 8, "interfaces": 16, "linked_objects": 32}
@@ -176,12 +176,23 @@ class ObjectSet:
             out = out.withColumn("_interfaces", F.array(*map(F.lit, self.of.interfaces)).cast("array<string>"))
         if self.facets & FACETS["linked_objects"]:
             for x in self.of.links:
-                if not x.edges and x.target not in self.graph.registry.interfaces:
-                    rows = self.graph.table(x.target)
-                    counts = rows.groupBy(rows[x.target_key].alias("_k")).agg(F.count("*").alias(f"_n_{x.name}"))
-                    out = out.join(counts, out[x.source_key] == counts["_k"], "left").drop("_k").withColumn(f"_n_{x.name}", F.coalesce(f"_n_{x.name}", F.lit(0).cast("long")))
+                out = self._with_count(out, x)
         return out
 
+    def _with_count(self, rows: DataFrame, x: Link) -> DataFrame:
+        """``rows`` with ``_n_<link>``: how many objects a link leads to, over keys, edge tables or the types of an interface."""
+        n = f"_n_{x.name}"
+        if x.edges:
+            edges = self.graph.table(x.edges)
+            if "link" in edges.columns:
+                edges = edges.filter((F.col("link") == x.name) & (F.col("tgt_type") == x.target))
+            counts, own = edges.select(F.col("src_id").alias("_k")), project_id(*self.of.key)
+        else:
+            far = self.graph.interface(x.target) if x.target in self.graph.registry.interfaces else self.graph.table(x.target)
+            counts, own = far.select(F.col(x.target_key).alias("_k")), F.col(x.source_key)
+        counts = counts.groupBy("_k").agg(F.count("*").alias(n))
+        return rows.join(counts, own == counts["_k"], "left").drop("_k").withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
+
     def similar(self, vector: Column, column: str, top: int = 5, least: float = 0.7, metric: str = "cosine", filters: dict | None = None, post_filter: Column | None = None) -> ObjectSet:
         """The ``top`` nearest objects that reach ``least``, with ``_score``; ties by id.
 
@@ -205,7 +216,7 @@ class ObjectSet:
         return ordered.offset(offset).limit(size), ordered.offset(offset + size).limit(1)
 
     def execute(self) -> tuple[list, int, int]:
-        """Rows, their number and the facets."""
+        """Rows, their number and the facets. For results that fit the driver, such as pages; ``stream`` takes any size."""
         rows = self.with_facets().collect()
         return rows, len(rows), self.facets
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_queries, ledger_queries, model_queries, object_queries, retrieval_queries, workflow_queries
+from . import audit_queries, decision_queries, ledger_queries, model_queries, object_queries, retrieval_queries, workflow_queries
 
-_PARTS = (object_queries.C, retrieval_queries.C, ledger_queries.C, model_queries.C, workflow_queries.C, decision_queries.C)
+_PARTS = (object_queries.C, retrieval_queries.C, ledger_queries.C, model_queries.C, workflow_queries.C, decision_queries.C, audit_queries.C)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,10 +172,23 @@ def belief_rank(spark, sf_dir):
     return bandit.select(known, _candidates(spark), excluded).select("request", "agent", F.round("theta", 6).alias("theta"), F.round("confidence", 6).alias("confidence"))
 
 
-@C.query()
+def _gamma_sql(name, shape):
+    u = lambda i, part: f"((('0x' || substr(md5(key || '|{name}{i}{part}'), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0)"
+    x = lambda i: f"(sqrt(-2 * ln({u(i, 'a')})) * cos(2 * pi() * {u(i, 'b')}))"
+    tries = ", ".join(f"[{x(i)}, ln({u(i, 'c')})]" for i in range(bandit.PROPOSALS))
+    return f"""(SELECT d * coalesce(list_filter(list_transform([{tries}], lambda p: CASE WHEN 1 + p[1] / sqrt(9 * d) > 0 AND
+      p[2] < 0.5 * p[1] * p[1] + d - d * power(1 + p[1] / sqrt(9 * d), 3) + d * ln(greatest(power(1 + p[1] / sqrt(9 * d), 3), 1e-300)) THEN power(1 + p[1] / sqrt(9 * d), 3) END), lambda v: v IS NOT NULL)[1], 1.0)
+      FROM (SELECT {shape} - 1.0::DOUBLE / 3 AS d))"""
+
+
+@C.query(f"""WITH {OUT}, b AS (SELECT agent, category, 2.0::DOUBLE + count(*) FILTER (success) AS a, 2.0::DOUBLE + count(*) FILTER (NOT success) AS b, count(*) AS n FROM outcomes GROUP BY ALL),
+c AS (SELECT 'r' || i AS request, ['view', 'click', 'purchase', 'error', 'signup', 'unknown'][i + 1] AS category, a AS agent, '17|r' || i || '|' || a AS key FROM range(6) r(i), range(6) s(a)),
+k AS (SELECT request, agent, key, coalesce(b.a, 2.0) AS alpha, coalesce(b.b, 2.0) AS beta, coalesce(n, 0) AS n FROM c LEFT JOIN b USING (agent, category)),
+g AS (SELECT request, agent, n, {_gamma_sql("x", "alpha")} AS x, {_gamma_sql("y", "beta")} AS y FROM k)
+SELECT request, agent, round(x / (x + y), 6) AS theta, round(least(1.0, n / 20), 6) AS confidence FROM g QUALIFY row_number() OVER (PARTITION BY request ORDER BY x / (x + y) DESC, agent) = 1""")
 def thompson_sample(spark, sf_dir):
     known = bandit.beliefs(outcomes(_events(spark, sf_dir)), "agent", "category", F.col("success"))
-    return bandit.select(known, _candidates(spark), seed=17)
+    return bandit.select(known, _candidates(spark), seed=17).select("request", "agent", F.round("theta", 6).alias("theta"), F.round("confidence", 6).alias("confidence"))
 
 
 # -- intervals ---------------------------------------------------------------------------

@@ -49,7 +49,7 @@ def explore_domains(spark, sf_dir):
 
 @C.query("SELECT * FROM (VALUES ('customer'), ('supplier')) t(type)")
 def implementors(spark, sf_dir):
-    return G.explore(_frames(spark), "interfaces").filter("interface = 'Party'").select("type")
+    return _frames(spark)["interfaces"].filter("interface = 'Party'").select("type")
 
 
 @C.query("SELECT * FROM (VALUES ('lineitem', 'orders', 'part')) t(association, src, dst)")
@@ -96,3 +96,56 @@ def bulk_dispatch(spark, sf_dir):
             raise ValueError("negative balance")
 
     return G.dispatch(table(spark, sf_dir, "customer"), "c_custkey", act, read_only=False).select("c_custkey", "ok")
+
+
+@C.query("""SELECT * FROM (VALUES ('documents', 'entity', 5, 1, 0, 0, false, ''), ('labels', 'entity', 3, 0, 0, 0, false, ''), ('embeddings', 'entity', 3, 0, 0, 0, true, '')) t(type, kind, n_properties, n_links, n_actions, n_events, searchable, endpoints)
+UNION ALL SELECT 'lineitem', 'association', 11, 2, 0, 0, false, 'order:orders,part:part'""")
+def explore_object_types(spark, sf_dir):
+    t = G.explore(_frames(spark), "objectTypes")
+    return t.filter("domain = 'knowledge' OR kind = 'association'").drop("domain")
+
+
+@C.query("SELECT * FROM (VALUES ('customer', 'close', false, ''), ('customer', 'contact', true, ''), ('customer', 'score', false, 'orders')) t(type, action, read_only, target)")
+def explore_actions(spark, sf_dir):
+    return G.explore(_frames(spark), "actions", "trade", "customer").drop("domain")
+
+
+@C.query("SELECT * FROM (VALUES ('nation', 'region', 'region', 'N-1', 'nations'), ('nation', 'customers', 'customer', '1-N', 'nation'), ('nation', 'suppliers', 'supplier', '1-N', 'nation'), ('nation', 'parties', 'Party', '1-N', '')) t(type, link, target, cardinality, inverse)")
+def explore_links(spark, sf_dir):
+    return G.explore(_frames(spark), "links", "trade", "nation").drop("domain")
+
+
+@C.query("SELECT 'lineitem' AS type, 'order:orders,part:part' AS endpoints, 'l_discount,l_extendedprice,l_linenumber,l_linestatus,l_orderkey,l_partkey,l_quantity,l_returnflag,l_shipdate,l_suppkey,l_tax' AS attributes")
+def explore_associations(spark, sf_dir):
+    return G.explore(_frames(spark), "associations", "trade").drop("domain")
+
+
+@C.query("SELECT * FROM (VALUES ('placed'), ('shipped')) t(event)")
+def explore_events(spark, sf_dir):
+    return G.explore(_frames(spark), "events", "trade", "orders").select("event")
+
+
+@C.query("SELECT 'Party' AS interface, 2::BIGINT AS n_types")
+def explore_interfaces(spark, sf_dir):
+    return G.explore(_frames(spark), "interfaces")
+
+
+@C.query("SELECT * FROM (VALUES ('fulfil', 'orders', 'lineitem'), ('embed', 'documents', 'embeddings'), ('lost', 'orders', 'parcel')) t(workflow, consumed, produced)")
+def explore_workflow_chains(spark, sf_dir):
+    return G.explore(_frames(spark), "workflowChains")
+
+
+@C.query("SELECT * FROM (VALUES ('nation', 'nation', 1), ('orders', 'orders', 1), ('region', 'region', 2), ('supplier', 'suppliers', 2), ('Party', 'parties', 2), ('lineitem', 'lines', 2)) t(type, link, depth)")
+def explore_traversal(spark, sf_dir):
+    return G.explore_from(_frames(spark), "trade", "customer", 2)
+
+
+@C.query("SELECT c_custkey, c_acctbal >= 0 AS ok, CASE WHEN c_acctbal >= 0 THEN '' ELSE 'c_acctbal >= 0' END AS failed_hard, CASE WHEN c_mktsegment <> 'BUILDING' THEN '' ELSE 'c_mktsegment != BUILDING' END AS failed_soft FROM customer")
+def reported_dispatch(spark, sf_dir):
+    def act(row):
+        if row["c_acctbal"] < 0:
+            raise ValueError("negative balance")
+
+    rows = table(spark, sf_dir, "customer")
+    done = G.dispatch(rows.select("c_custkey", "c_acctbal"), "c_custkey", act, read_only=False).select("c_custkey", "ok")
+    return G.reported(model(), rows, "customer", "close", "c_custkey", done)

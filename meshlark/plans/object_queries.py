@@ -150,6 +150,12 @@ def include_links_count(spark, sf_dir):
     return rows.select("n_nationkey", F.col("_n_customers").alias("n_customers"), F.col("_n_suppliers").alias("n_suppliers"), F.size("_links").alias("n_links"))
 
 
+@C.query("SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_parties, 1 AS n_region FROM nation")
+def include_interface_links(spark, sf_dir):
+    rows = graph(spark, sf_dir).objects("nation").include("linked_objects").with_facets()
+    return rows.select("n_nationkey", F.col("_n_parties").alias("n_parties"), F.col("_n_region").cast("int").alias("n_region"))
+
+
 @C.query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
 def page_offset(spark, sf_dir):
     return graph(spark, sf_dir).objects("customer").page(50, 25)[0].select("c_custkey", "c_name")

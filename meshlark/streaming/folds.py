@@ -60,6 +60,48 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+DEADLINES = "workflow_id long, step string, event_id long, timed_out boolean"
+
+
+def _race(limit_s: float):
+    """Phases of one workflow against their time limit: the timer counts only if the phase has not moved on."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            phase, last, _ = state.get
+            out.append((key[0], phase, last, True))
+            state.remove()
+        else:
+            phase, last, at = state.get if state.exists else ("", -1, 0)
+            for rows in batches:
+                for r in rows.sort_values(["ts", "event_id"]).itertuples():
+                    now = int(r.ts.value // 1000)
+                    if last >= 0:
+                        out.append((key[0], phase, last, now - at > limit_s * 1_000_000))
+                    phase, last, at = str(r.event_type), int(r.event_id), now
+            state.update((phase, last, at))
+            # A deadline that the watermark has passed already fires with the next batch.
+            state.setTimeoutTimestamp(max(at // 1000 + int(limit_s * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["workflow_id", "step", "event_id", "timed_out"])
+
+    return step
+
+
+def phase_timers(events: DataFrame, limit_s: float, late: str = "10 minutes") -> DataFrame:
+    """Whether each phase (event) of a workflow (user) ran over its limit, told once.
+
+    A phase is over with the next event; else when the watermark passes its deadline. Events
+    have to come in order of time within a workflow, or in the same batch.
+    """
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_race(limit_s), DEADLINES, "phase string, last long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def changes(spark: SparkSession, path: str, schema: str = "position long, op string, domain string, type string, body string") -> DataFrame:
+    """A live subscription to edits of a model: JSON files as a stream, in the schema of the edit log."""
+    return spark.readStream.schema(schema).json(path)
+
+
 def once(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """Each event once: state for duplicates is dropped when the watermark has passed."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)

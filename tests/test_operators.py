@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,75 @@ def test_interface_actions_are_checked():
 
     t = ObjectType("t", ("k",), interface_actions={"I": {"go": "run", "stop": "halt"}}, actions=(Action("run"),))
     assert [(i.subject, i.message) for i in Registry([t]).issues() if i.code == "interface-action-missing"] == [("default.t:I.stop", "no action halt")]
+
+
+def test_conditions_and_guards(spark):
+    from meshlark.operators import audit
+
+    known = audit.Conditions()
+    known.register("a", lambda: F.col("x") > 1)
+    known.register("a", lambda: F.col("x") > 2)  # takes the place of the first
+    assert "a" in known and "b" not in known
+    with pytest.raises(LookupError):
+        known.evaluate("b")
+    with pytest.raises(ValueError):
+        known.register("", lambda: F.lit(True))
+    rows = spark.sql("SELECT * FROM VALUES ('s', 3, TIMESTAMP '2024-01-01'), ('s', 2, TIMESTAMP '2024-01-01'), ('s', NULL, TIMESTAMP '2024-01-01'), ('free', 0, TIMESTAMP '2024-01-01') t(step, x, ts)")
+    steps = spark.createDataFrame([("s", "a", "no", 5.0)], "step string, validate string, message string, timeout_s double")
+    got = sorted((r["step"], r["x"] or -1, r["phase"], r["event"], r["error"], r["deadline"] is not None) for r in audit.start_steps(rows, steps, known).collect())
+    assert got == [("free", -1, "free", "Dispatched", None, False), ("s", -1, "ValidationFailed", "ValidationFailed", "no", False), ("s", 2, "ValidationFailed", "ValidationFailed", "no", False), ("s", 3, "s", "Dispatched", None, True)]
+    with pytest.raises(LookupError):
+        audit.library_events(rows, "Nothing")
+
+
+def test_budget_options():
+    from meshlark.operators import budget
+
+    assert budget.BudgetOptions().allotted() == budget.DEFAULTS
+    for bad in ({"multipliers": (1.0, 3.0, 2.0, 10.0)}, {"defaults": (0.0, 1.0, 1.0, 1.0, 1.0)}, {"defaults": (1.0, 1.0, 1.0, 1.0, 0.0)}):
+        with pytest.raises(ValueError):
+            budget.BudgetOptions(**bad)
+
+
+def test_observers_change_nothing(spark, tmp_path):
+    from meshlark.operators import graph
+
+    seen = str(tmp_path / "seen")
+
+    def note(row, ok, error):
+        with open(seen, "a") as f:
+            f.write(f"{row['k']}{ok}\n")
+
+    def broken(row, ok, error):
+        raise RuntimeError("the observer fails")
+
+    def act(row):
+        if row["k"] == 2:
+            raise KeyError("two")
+
+    rows = spark.createDataFrame([(1,), (2,)], "k long").coalesce(1)
+    got = [tuple(r) for r in graph.dispatch(rows, "k", act, observers=(broken, note)).orderBy("k").collect()]
+    assert got == [(1, True, None), (2, False, "KeyError: 'two'")] and set(open(seen).read().split()) == {"1True", "2False"}
+
+
+def test_beta_draws_have_the_moments_of_beta(spark):
+    from meshlark.operators import bandit
+
+    for a, b in ((2.0, 5.0), (0.5, 1.5), (80.0, 20.0)):
+        x = np.array([r[0] for r in spark.range(20_000).select(bandit.beta_draw(F.col("id").cast("string"), F.lit(a), F.lit(b))).collect()])
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+        assert abs(x.mean() - mean) < 4 * (var / len(x)) ** 0.5 and abs(x.var() / var - 1) < 0.06
+
+
+def test_nearest_and_bm25_of_odd_rows(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (None, [-1.0, 0.0])], "item_id long, vector array<double>")
+    q = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [3.0]), ("c", None)], "query_id string, vector array<double>")
+    got = {}
+    for r in retrieval.nearest(q, items, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    assert sorted(got["a"]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)] and sorted(got["b"])[0] == (1, 4, 1.0) and sorted(got["c"])[0] == (1, None, 0.0)
+    assert retrieval.nearest(q, items, 3, least=0.5).count() == 3 and retrieval.nearest(q.limit(0), items, 3).count() == 0 and retrieval.nearest(q, items.limit(0), 3).count() == 0
+    docs = spark.createDataFrame([(1, "red red green"), (2, None), (3, ""), (4, "green blue, green."), (None, "red")], "doc_id long, text string")
+    ask = spark.createDataFrame([("q", "Red?"), ("r", None), ("s", "absent")], "query_id string, text string")
+    found = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.bm25(ask, docs, 5).collect())
+    assert found == [("q", 1, None), ("q", 2, 1)] and retrieval.bm25(ask, docs.limit(0), 5).count() == 0 and retrieval.bm25(ask.limit(0), docs, 5).count() == 0
