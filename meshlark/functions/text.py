@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # Categories in order of priority and the strings that point to them.
 CATEGORIES = {
-    "CodeGeneration": "code|program|function|debug|algorithm|implement|refactor|compile|class|method|syntax|programming".split("|"),
-    "DataAnalysis": "analyze|analysis|statistics|chart|visualize|visualization|data|graph|plot|metric|trend|correlation|regression".split("|"),
-    "WebSearch": "search|lookup|browse|web|internet|url|website|online|google".split("|"),
-    "FileOperation": "file|directory|document|folder|path|filesystem|disk|storage|csv|json|xml|pdf".split("|"),
-    "Reasoning": "reason|plan|decide|evaluate|compare|assess|judge|logic|think|consider".split("|"),
-    "TextGeneration": "summarize|translate|compose|draft|edit|paraphrase|rewrite|generate text".split("|"),
-}
+    "CodeGeneration": ["code", "program", "function", "debug", "algorithm", "implement", "refactor", "compile", "class", "method", "syntax", "programming"],
+    "DataAnalysis": ["analyze", "analysis", "statistics", "chart", "visualize", "visualization", "data", "graph", "plot", "metric", "trend", "correlation", "regression"],
+    "WebSearch": ["search", "lookup", "browse", "web", "internet", "url", "website", "online", "google"],
+    "FileOperation": ["file", "directory", "document", "folder", "path", "filesystem", "disk", "storage", "csv", "json", "xml", "pdf"],
+    "Reasoning": ["reason", "plan", "decide", "evaluate", "compare", "assess", "judge", "logic", "think", "consider"],
+    "TextGeneration": ["summarize", "translate", "compose", "draft", "edit", "paraphrase", "rewrite", "generate text"],
+}
 GENERAL = "General"
 
 

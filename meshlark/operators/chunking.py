@@ -166,7 +166,11 @@ def hashing_embedder(dimensions: int = 64, unit: bool = True) -> Callable[[list[
 
 
 def embed(rows: DataFrame, text_col: str, embedder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
-    """Adds ``embedding``; the embedder gets lists of at most ``batch`` texts and must return as many vectors."""
+    """Adds ``embedding``; the embedder gets lists of at most ``batch`` texts and must return as many vectors.
+
+    It may also return pairs (index, vector) in any order; each goes to the text of its
+    index, and each index must come once.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
@@ -174,6 +178,11 @@ def embed(rows: DataFrame, text_col: str, embedder: Callable[[list[str]], np.nda
         for i in range(0, len(texts), batch):
             part = texts.iloc[i : i + batch].fillna("").tolist()
             got = embedder(part)
+            if len(got) and isinstance(got[0], tuple):
+                placed = dict(got)
+                if len(placed) != len(got) or placed.keys() - set(range(len(part))):
+                    raise ValueError("an index comes twice or belongs to no text")
+                got = [placed[k] for k in sorted(placed)]
             if len(got) != len(part):
                 raise ValueError(f"{len(part)} texts gave {len(got)} vectors")
             out += [list(map(float, v)) for v in got]

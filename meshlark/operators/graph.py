@@ -228,8 +228,16 @@ def reported(registry: Registry, rows: DataFrame, type_name: str, action: str, k
     return out.select(*results.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("failed_hard", "failed_soft")))
 
 
-def validate_design(registry: Registry, frames: dict[str, DataFrame], touched: list[str]) -> dict:
-    """Violations, blast radius and smells of a change; it passes without hard findings."""
+def validate_design(registry: Registry, frames: dict[str, DataFrame], touched: list[str], covered: set[str] | None = None) -> dict:
+    """Violations, blast radius, smells and coverage of a change; it passes without hard findings.
+
+    ``covered``: the types (domain.type) that tests cover; those of the change and its
+    radius that they miss are named in ``uncovered``.
+    """
     found = registry.issues() + registry.patterns()
     radius, scope = blast_radius(frames, touched)
-    return {"hard": [i for i in found if i.hard], "soft": [i for i in found if not i.hard], "scope": scope, "radius": [r["node"] for r in radius.collect()], "passed": not any(i.hard for i in found)}
+    reached = [r["node"] for r in radius.collect()]
+    out = {"hard": [i for i in found if i.hard], "soft": [i for i in found if not i.hard], "scope": scope, "radius": reached, "passed": not any(i.hard for i in found)}
+    if covered is not None:
+        out["uncovered"] = sorted({*touched, *reached} - covered)
+    return out

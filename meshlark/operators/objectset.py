@@ -145,9 +145,24 @@ class ObjectSet:
             levels.append(now)
         return levels
 
-    def inverse(self, link: str, keep_paths: bool = False) -> ObjectSet:
-        """From these objects back over the declared inverse of ``link`` of the other type."""
-        return self.traverse(link, keep_paths=keep_paths)
+    def inverse(self, of: str, link: str, keep_paths: bool = False) -> ObjectSet:
+        """From these objects back to the type ``of``, over the declared inverse of its ``link``; empty if it declares none."""
+        source = self.graph.registry.resolve(of, self.of.domain)
+        back = self.graph.registry.inverse(source, link)
+        if back is None or back.name not in {x.name for x in self.of.links}:
+            return self.graph.objects(of, self.of.domain).where(F.lit(False))
+        return self.traverse(back.name, of, keep_paths)
+
+    def narrowed(self, where: str = "", link: str = "", interface: str = "", facets: tuple[str | int, ...] = ()) -> ObjectSet:
+        """A question in its fixed order: filter, then traverse, then narrow to an interface, then facets."""
+        out = self
+        if where:
+            out = out.where_text(where)
+        if link:
+            out = out.traverse(link)
+        if interface:
+            out = out.of_interface(interface)
+        return out.include(*facets) if facets else out
 
     # -- interfaces, facets, search --------------------------------------------
 

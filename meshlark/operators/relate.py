@@ -37,6 +37,15 @@ def relate(candidates: DataFrame, existing: DataFrame, objects: DataFrame, links
     return accepted, judged.filter("reason is not null")
 
 
+def relate_batch(candidates: DataFrame, existing: DataFrame, objects: DataFrame, links: DataFrame, position: str = "position") -> tuple[DataFrame, DataFrame]:
+    """All or nothing: new edges if no candidate is refused, else none, and the first refusal (position, reason)."""
+    accepted, refused = relate(candidates, existing, objects, links)
+    a, b = candidates.alias("a"), refused.alias("b")
+    failed = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in EDGE]).groupBy().agg(F.min(F.struct(F.col(f"a.{position}").alias("position"), F.col("b.reason").alias("reason"))).alias("_f"))
+    first = failed.select("_f.*").filter("position IS NOT NULL")
+    return accepted.join(F.broadcast(first.select(F.lit(True).alias("_any"))), F.lit(True), "left_anti"), first  # a row at most
+
+
 def relate_attributed(candidates: DataFrame, existing: DataFrame, objects: DataFrame, links: DataFrame, associations: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New edges with an association, the association objects to store, and refused candidates.
 

@@ -139,7 +139,7 @@ def inverse_link(spark, sf_dir):
     g = graph(spark, sf_dir)
     c = g.objects("customer").where(F.col("c_acctbal") > 0)
     back = g.registry.inverse(g.registry.resolve("nation"), "customers")
-    nations = c.inverse(back.name).traverse("region", keep_paths=False).df
+    nations = c.inverse("nation", "customers").traverse("region", keep_paths=False).df
     pairs = c.df.join(g.table("nation"), F.col(back.source_key) == F.col(back.target_key)).join(nations, F.col("n_regionkey") == F.col("r_regionkey"))
     return pairs.select("c_custkey", "n_name", "r_name")
 
@@ -156,6 +156,12 @@ def include_interface_links(spark, sf_dir):
     return rows.select("n_nationkey", F.col("_n_parties").alias("n_parties"), F.col("_n_region").cast("int").alias("n_region"))
 
 
+@C.query("SELECT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 3 AS n_actions FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND n_name <> 'X'")
+def narrowed_question(spark, sf_dir):
+    rows = graph(spark, sf_dir).objects("nation").narrowed("n_regionkey = 1 AND n_name <> 'X'", "customers", "Party", ("actions",)).with_facets()
+    return rows.select(F.col("_type").alias("type"), F.col("key").cast("string").alias("id"), "name", F.size("_actions").alias("n_actions"))
+
+
 @C.query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50")
 def page_offset(spark, sf_dir):
     return graph(spark, sf_dir).objects("customer").page(50, 25)[0].select("c_custkey", "c_name")

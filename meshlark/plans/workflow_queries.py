@@ -96,7 +96,7 @@ def diagnostic_forks(spark, sf_dir):
     return W.permitted_forks(asked, triggers, 2, "user_id", ORDER).select("event_id", "granted")
 
 
-@C.query("SELECT event_type AS step, count(*) FILTER (value >= 20) AS completed, count(*) FILTER (value < 20) AS failed, round(avg(value), 6) AS mean_duration FROM events GROUP BY event_type")
+@C.query("SELECT event_type AS step, count(*) FILTER (value >= 20) AS completed, count(*) FILTER (value < 20) AS failed, round(avg(value), 6) AS mean_duration, round(quantile_cont(value, 0.5), 6) AS median_duration, round(quantile_cont(value, 0.95), 6) AS p95_duration FROM events GROUP BY event_type")
 def step_telemetry(spark, sf_dir):
     return W.step_telemetry(_log(spark, sf_dir), "step", F.col("value") >= 20, F.col("value"))
 

@@ -406,6 +406,20 @@ def apply_deltas(registry: Registry, deltas: Iterable[dict]) -> Registry:
     return replace(registry, types=list(types.values()))
 
 
+class SourceFailed(RuntimeError):
+    """A source of edits failed; the cause says how."""
+
+
+def drain(registry: Registry, sources: dict[str, Iterable[dict]]) -> Registry:
+    """A registry after all edits of all sources, in the order of the sources; what goes wrong names its source."""
+    for name, deltas in sources.items():
+        try:
+            registry = apply_deltas(registry, deltas)
+        except Exception as e:
+            raise SourceFailed(f"source {name} failed") from e
+    return registry
+
+
 def schema_changes(old: ObjectType, new: ObjectType) -> list[tuple[str, str]]:
     """(level, change) between two versions of a type: breaking, notice or compatible."""
     mine, its = {p.name: p for p in old.properties}, {p.name: p for p in new.properties}

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Folders of an event log.
+LOG_PARTS = 64
+
+
 def parquet_tables(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
     """``table(name)`` over a folder of ``<name>.parquet`` files; filters and columns reach the scan."""
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
@@ -43,6 +47,19 @@ def query_events(events: DataFrame, domain: str | None = None, object_type: str
     return out if kinds is None else out.filter(F.col(kind_col).isin(*kinds))
 
 
+def append_events(rows: DataFrame, path: str, key: str = "workflow_id") -> None:
+    """Appends events to a log partitioned by a hash of their workflow, so that one workflow's are read without a scan of all."""
+    rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(LOG_PARTS)).cast("int")).write.mode("append").partitionBy("part").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, workflow: object, order: list[str], key: str = "workflow_id") -> DataFrame:
+    """A workflow's events in order."""
+    rows = spark.read.parquet(path)
+    value = F.lit(workflow).cast(rows.schema[key].dataType)
+    part = spark.range(1).select(F.pmod(F.xxhash64(value), F.lit(LOG_PARTS)).cast("int")).head()[0]
+    return rows.filter((F.col("part") == part) & (F.col(key) == value)).drop("part").orderBy(*order)
+
+
 class Artifacts:
     """Payloads as JSON in a Parquet table, by category and id; the newest version of an id counts."""
 

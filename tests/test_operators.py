@@ -274,3 +274,50 @@ def test_nearest_and_bm25_of_odd_rows(spark):
     ask = spark.createDataFrame([("q", "Red?"), ("r", None), ("s", "absent")], "query_id string, text string")
     found = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in retrieval.bm25(ask, docs, 5).collect())
     assert found == [("q", 1, None), ("q", 2, 1)] and retrieval.bm25(ask, docs.limit(0), 5).count() == 0 and retrieval.bm25(ask.limit(0), docs, 5).count() == 0
+
+
+def test_a_batch_of_links_is_taken_whole_or_not(spark):
+    from meshlark.operators import relate
+
+    edge = "src_type string, src_id string, link string, tgt_type string, tgt_id string, assoc_id string"
+    objects = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "type string, id string")
+    links = spark.createDataFrame([("a", "to", "b", False)], "src_type string, link string, tgt_type string, self_loops boolean")
+    good, bad = [(0, "a", "1", "to", "b", "1", None), (1, "a", "2", "to", "b", "1", None)], [(3, "a", "9", "to", "b", "1", None), (2, "a", "1", "off", "b", "1", None)]
+    for rows, want in ((good, []), (good + bad, [(2, "undeclared-link")])):
+        new, first = relate.relate_batch(spark.createDataFrame(rows, f"position int, {edge}"), spark.createDataFrame([], edge), objects, links)
+        assert [tuple(r) for r in first.collect()] == want and new.count() == (0 if want else 2)
+
+
+def test_open_rows_alone_may_clash(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-03-01', TIMESTAMP_NTZ '2024-02-01'), (1, TIMESTAMP_NTZ '2024-02-01', NULL, NULL) t(k, valid_from, valid_to, system_to)")
+    assert temporal.overlapping(rows, ["k"]).count() == 1 and temporal.overlapping(rows, ["k"], open_only=True).count() == 0
+
+
+def test_event_log_of_one_workflow(spark, tmp_path):
+    from meshlark.sources import tables
+
+    rows = spark.createDataFrame([(f"w{i % 7}", 100 - i, i) for i in range(60)], "workflow_id string, n int, v int")
+    tables.append_events(rows.filter("v < 30"), str(tmp_path / "log"))
+    tables.append_events(rows.filter("v >= 30"), str(tmp_path / "log"))
+    got = tables.read_events(spark, str(tmp_path / "log"), "w3", ["n"])
+    assert [r["v"] for r in got.collect()] == [i for i in reversed(range(60)) if i % 7 == 3] and got.columns == rows.columns
+    assert "PartitionFilters: [isnotnull(part" in got._jdf.queryExecution().toString()
+
+
+def test_vectors_go_to_their_index(spark):
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(5)], "i int, t string").coalesce(1)
+    turned = lambda texts: [(i, [float(len(t))]) for i, t in reversed(list(enumerate(texts)))]
+    assert [r["embedding"] for r in chunking.embed(rows, "t", turned).orderBy("i").collect()] == [[float(i)] for i in range(5)]
+    with pytest.raises(Exception, match="index comes twice"):
+        chunking.embed(rows, "t", lambda texts: [(0, [1.0])] * len(texts)).collect()
+
+
+def test_sources_are_drained_in_order():
+    from meshlark import registry as R
+
+    base = R.Registry([R.ObjectType("a", ("id",), "d", (R.Property("id"),))], {}, [], [])
+    add = lambda n: {"op": "add_property", "domain": "d", "type": "a", "value": R.Property(n)}
+    out = R.drain(base, {"one": [add("p")], "two": [add("q"), {"op": "remove_property", "domain": "d", "type": "a", "name": "p"}]})
+    assert [p.name for p in out.resolve("a").properties] == ["id", "q"]
+    with pytest.raises(R.SourceFailed, match="two"):
+        R.drain(base, {"one": [add("p")], "two": [{"op": "nothing", "domain": "d", "type": "a"}]})
