@@ -175,12 +175,45 @@ def chunk_fixed_counts(spark, sf_dir):
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
 
 
-@C.query()
+def _sentence_sql(units, size, back, name):
+    """CTEs from ``units`` (uid, text) to ``{name}`` (uid, first, sub, a, b): sentence chunks with their places in the text."""
+    return rf"""{name}_pieces AS (SELECT uid, i, p[i] AS piece, CAST(coalesce(list_sum([len(y) for y in p[1:i - 1]]), 0) AS BIGINT) AS off
+  FROM (SELECT uid, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT uid, string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM {units}))),
+{name}_s AS (SELECT uid, piece, off, CAST(row_number() OVER (PARTITION BY uid ORDER BY i) - 1 AS BIGINT) AS k, off + len(regexp_extract(piece, '^\s*')) AS a, off + len(piece) AS b, len(regexp_extract_all(piece, '\S+')) AS words
+  FROM {name}_pieces WHERE regexp_matches(piece, '\S')),
+{name}_d AS (SELECT uid, count(*) AS n, list(a ORDER BY k) AS starts, list(b ORDER BY k) AS ends, sum(words) AS total, list_prepend(0::BIGINT, list(cum ORDER BY k)) AS c FROM (SELECT *, CAST(sum(words) OVER (PARTITION BY uid ORDER BY k) AS BIGINT) AS cum FROM {name}_s) GROUP BY uid),
+{name}_walk AS (SELECT uid, 0::BIGINT AS first, greatest(1, len(list_filter(c, lambda x: x <= {size})) - 1)::BIGINT AS j FROM {name}_d WHERE total > {size}
+  UNION ALL SELECT uid, nxt, greatest(nxt + 1, len(list_filter(c, lambda x: x <= c[nxt + 1] + {size})) - 1)::BIGINT
+  FROM (SELECT d.uid, d.c, d.n, CASE WHEN len(list_filter(d.c[1:w.j], lambda x: x <= d.c[w.j + 1] - {back})) - 1 > w.first THEN len(list_filter(d.c[1:w.j], lambda x: x <= d.c[w.j + 1] - {back})) - 1 ELSE w.j END AS nxt FROM {name}_walk w JOIN {name}_d d USING (uid) WHERE w.j < d.n)),
+{name}_wide AS (SELECT w.uid, w.first, off, regexp_extract_all(piece, '\S+') AS ws, string_split_regex(piece, '\S+') AS g FROM {name}_walk w JOIN {name}_s s ON s.uid = w.uid AND s.k = w.first WHERE w.j = w.first + 1 AND s.words > {size}),
+{name} AS (
+  SELECT uid, 0 AS first, 0 AS sub, 0 AS a, len(text) AS b FROM {units} JOIN {name}_d USING (uid) WHERE total <= {size}
+  UNION ALL SELECT w.uid, w.first, 0, d.starts[w.first + 1], d.ends[w.j] FROM {name}_walk w JOIN {name}_d d USING (uid) WHERE NOT (w.j = w.first + 1 AND d.c[w.j + 1] - d.c[w.j] > {size})
+  UNION ALL SELECT uid, first, i, off + list_sum([len(y) for y in g[1:i + 1]]) + coalesce(list_sum([len(y) for y in ws[1:i]]), 0), off + list_sum([len(y) for y in g[1:least(i + {size}, len(ws))]]) + list_sum([len(y) for y in ws[1:least(i + {size}, len(ws))]])
+  FROM (SELECT *, unnest(range(0, len(ws), {size})) AS i FROM {name}_wide))"""
+
+
+_PLACES = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INTEGER) AS chunk, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS \"end\""
+
+
+@C.query(f"WITH RECURSIVE units AS (SELECT doc_id AS uid, text FROM documents), {_sentence_sql('units', 170, 21, 'sc')} SELECT uid AS doc_id, {_PLACES.format(order='first, sub').replace('PARTITION BY doc_id', 'PARTITION BY uid')} FROM sc")
 def chunk_sentences(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 128, 16).drop("content")
 
 
-@C.query()
+@C.query(rf"""WITH RECURSIVE pars AS (SELECT doc_id, text, i, p[i] AS piece, CAST(coalesce(list_sum([len(y) for y in p[1:i - 1]]), 0) + 2 * (i - 1) AS BIGINT) AS off, len(regexp_extract_all(p[i], '\S+')) AS words
+  FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS p FROM documents))),
+q AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS k FROM pars WHERE words > 0),
+d AS (SELECT doc_id, count(*) AS n, list(off ORDER BY k) AS starts, list(off + len(piece) ORDER BY k) AS ends, sum(words) AS total, any_value(text) AS text, list_prepend(0::BIGINT, list(cum ORDER BY k)) AS c
+  FROM (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS cum FROM q) GROUP BY doc_id),
+walk AS (SELECT doc_id, 0::BIGINT AS first, greatest(1, len(list_filter(c, lambda x: x <= 682)) - 1)::BIGINT AS j FROM d WHERE total > 682
+  UNION ALL SELECT w.doc_id, w.j, greatest(w.j + 1, len(list_filter(d.c, lambda x: x <= d.c[w.j + 1] + 682)) - 1)::BIGINT FROM walk w JOIN d USING (doc_id) WHERE w.j < d.n),
+units AS (SELECT w.doc_id || '/' || w.first AS uid, w.doc_id AS doc, w.first AS par, q.off AS base, q.piece AS text FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.k = w.first WHERE w.j = w.first + 1 AND q.words > 682),
+{_sentence_sql('units', 682, 85, 'sc')},
+spans AS (SELECT doc_id, 0 AS par, 0 AS first, 0 AS sub, 0 AS a, len(text) AS b FROM d WHERE total <= 682
+  UNION ALL SELECT w.doc_id, w.first, 0, 0, d.starts[w.first + 1], d.ends[w.j] FROM walk w JOIN d USING (doc_id) WHERE NOT (w.j = w.first + 1 AND d.c[w.j + 1] - d.c[w.j] > 682)
+  UNION ALL SELECT doc, units.par, sc.first, sub, base + a, base + b FROM sc JOIN units USING (uid))
+SELECT doc_id, {_PLACES.format(order='par, first, sub')}, 64 AS dimensions FROM spans""")
 def ingest_embeddings(spark, sf_dir):
     rows = chunking.embed(chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "paragraph"), "content", chunking.hashing_embedder())
     return rows.select("doc_id", "chunk", "start", "end", F.size("embedding").alias("dimensions"))
