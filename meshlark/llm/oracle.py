@@ -79,5 +79,22 @@ FROM said GROUP BY conv_id
 """
 
 
+OP10 = r"""
+WITH RECURSIVE word_lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM word_lists WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT DISTINCT x AS a, x AS b FROM ways UNION SELECT a, y FROM reach JOIN ways ON b = x
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": OP1, "op5_chat_format": OP5, "op3_decontamination": OP3, "op4_line_dedup": OP4}
+    return {"op1_pii": OP1, "op5_chat_format": OP5, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op10_near_dedup": OP10}
