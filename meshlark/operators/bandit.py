@@ -37,26 +37,23 @@ def confidence(observations: Column) -> Column:
 PROPOSALS = 12
 
 
-def uniform(key: Column, name: str) -> Column:
+def uniform(key: Column, name: Column) -> Column:
     """A number between 0 and 1 from the MD5 digest of a key and a name: the same on every engine."""
-    return (F.conv(F.left(F.md5(F.concat_ws("|", key, F.lit(name)).cast("binary")), F.lit(8)), 16, 10).cast("double") + 0.5) / 2.0**32
+    return (F.conv(F.left(F.md5(F.concat_ws("|", key, name).cast("binary")), F.lit(8)), 16, 10).cast("double") + 0.5) / 2.0**32
 
 
 def _gamma(key: Column, name: str, shape: Column) -> Column:
     """A gamma variate of unit scale: the first of some squeezed cubes of normals that is taken."""
     d = F.when(shape < 1, shape + 1).otherwise(shape) - 1.0 / 3
     c = 1 / F.sqrt(9 * d)
-
-    def proposal(i: int) -> Column:
-        u = [uniform(key, f"{name}{i}{part}") for part in "abc"]
-        x = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
-        t = 1 + c * x
-        v = t * t * t
-        taken = (t > 0) & (F.log(u[2]) < 0.5 * x * x + d - d * v + d * F.log(F.when(t > 0, v).otherwise(1.0)))
-        return F.when(taken, v)
-
-    drawn = d * F.coalesce(*map(proposal, range(PROPOSALS)), F.lit(1.0))
-    return F.when(shape < 1, drawn * F.pow(uniform(key, f"{name}p"), 1 / shape)).otherwise(drawn)
+    u = lambda i, part: uniform(key, F.concat(F.lit(name), i.cast("string"), F.lit(part)))
+    normal = lambda i: F.sqrt(-2 * F.log(u(i, "a"))) * F.cos(2 * math.pi * u(i, "b"))
+    tries = F.transform(F.sequence(F.lit(0), F.lit(PROPOSALS - 1)), lambda i: F.struct(normal(i).alias("x"), F.log(u(i, "c")).alias("u")))
+    roots = F.transform(tries, lambda s: F.struct(s["x"].alias("x"), s["u"].alias("u"), (1 + c * s["x"]).alias("t")))
+    cubes = F.transform(F.filter(roots, lambda s: s["t"] > 0), lambda s: F.struct(s["x"].alias("x"), s["u"].alias("u"), (s["t"] * s["t"] * s["t"]).alias("v")))
+    taken = F.filter(cubes, lambda s: s["u"] < 0.5 * s["x"] * s["x"] + d - d * s["v"] + d * F.log(s["v"]))
+    drawn = d * F.coalesce(F.get(taken, F.lit(0))["v"], F.lit(1.0))
+    return F.when(shape < 1, drawn * F.pow(uniform(key, F.lit(f"{name}p")), 1 / shape)).otherwise(drawn)
 
 
 def beta_draw(key: Column, a: Column, b: Column) -> Column:
