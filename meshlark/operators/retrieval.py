@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import keyword_overlap
 from ..functions.vectors import METRICS
 from ..sources.lineage import cut_lineage
 
@@ -102,19 +101,52 @@ def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosin
     return ranked(out, query_id, item_id, top).select(query_id, item_id, "score", "rank")
 
 
-def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", block: int = 500) -> DataFrame:
+def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """The ``top`` documents of each query by keyword overlap: query_id, doc_id, score, rank.
 
-    The queries are counted and sent to the documents in blocks of about ``block``; each
-    block is one scan.
+    The score is that of ``keyword_overlap``. The queries, a stated set, are sent to the
+    documents in blocks of bounded size, each a scan; a text is searched once for each
+    distinct term, and a task keeps the best of each of its batches.
     """
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col(query_id), F.col(query_text).alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
-    parts = [docs.join(F.broadcast(asked.filter(F.col("_block") == b))).select(query_id, doc_id, F.round(keyword_overlap(F.col(doc_text), F.col("_q")), 6).alias("score")) for b in range(blocks)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return ranked(rows, query_id, doc_id, top)
+    spark = docs.sparkSession
+    asked = [(q, [t for t in (text or "").lower().split(" ") if t]) for q, text in queries.select(query_id, query_text).toLocalIterator()]
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, query_id), (docs, doc_id))]
+    blocks, words = [[]], set()
+    for q, terms in asked:
+        if blocks[-1] and len(words | set(terms)) * (len(blocks[-1]) + 1) > CELLS:
+            blocks.append([])
+            words = set()
+        blocks[-1].append((q, terms))
+        words |= set(terms)
+    out = None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast([terms for _, terms in block])
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            terms = sorted(set().union(*map(set, sent.value)))
+            at = {t: i for i, t in enumerate(terms)}
+            share = np.zeros((len(terms), len(sent.value)))
+            for q, mine in enumerate(sent.value):
+                for t in mine:
+                    share[at[t], q] += 1
+            many = np.array([max(1, len(x)) for x in sent.value])
+            step = max(1, CELLS // max(1, len(sent.value)))
+            for whole in batches if sent.value else ():
+                for start in range(0, whole.num_rows, step):
+                    b = whole.slice(start, step)
+                    score = np.zeros((b.num_rows, len(sent.value)))
+                    for row, text in enumerate(b.column(1).to_pylist()):
+                        low = (text or "").lower()
+                        words = set(low.split(" "))
+                        score[row] = share[[i for i, t in enumerate(terms) if t in words or t in low]].sum(axis=0)
+                    score = np.floor(score / many * 1e6 + 0.5) / 1e6
+                    rows, cols = _best(score, _order(b.column(0)), top)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(score[rows, cols])], names=["_q", "doc", "score"])
+
+        found = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"_q int, doc {kinds[1]}, score double").withColumnRenamed("doc", doc_id)
+        found = _named(found, [q for q, _ in block], kinds[0], query_id)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, query_id, doc_id, top).select(query_id, doc_id, "score", "rank")
 
 
 _TERM = re.compile(r"[^ \t\n\x0b\f\r.,;:!?]+")
