@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordCodes, discard, look_up_spread, mix64, shingle_set, utf8, written
+from .common import WordCodes, look_up_spread, mix64, scratch, shared_dir, shingle_set, utf8, written
 from .components import connected_components
 from .fingerprint import bin_minima
 
@@ -214,26 +214,10 @@ def _open_tasks(members: DataFrame) -> DataFrame:
     return blocks.select("node", "block").join(left.unionByName(right).hint("merge"), "block").select("task", "side", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """Groups of near-duplicate documents.
-
-    A text's set holds its runs of ``shingle`` words (A-Z in lower case, split at ASCII
-    blanks); fewer words are one shingle, no words none. Documents are linked if
-    ``100 * intersection >= percent * union``, confirmed on the full sets; a pair at the
-    threshold is missed with a chance of about ``miss``.
-
-    Returns ``id_col``, ``text_fp`` (xxhash64 of the text), ``n_shingles``,
-    ``component_id`` (the least id reachable) and ``kept``: one row for each row of
-    ``docs``. Ids are integers. Each row is a document of its own, also where ids are null
-    or repeat: a null id counts as the least one and is returned as null, and rows of one
-    id are linked only by their texts. Kept is the row with the least id, of those the one
-    with the least ``text_fp``; rows that repeat both are all kept. Texts without words are
-    linked with nothing and kept. Other columns are not read.
-    """
+def _grouped(texts: DataFrame, shingle: int, percent: int, miss: float, sketch_path: str, named_path: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and of each set of shingles the id and text that its component keeps."""
     rows = band_rows(percent, miss)
-    text = F.col(text_col)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("fp"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), text.alias("text"))
-    sketches = written(_sketches(texts, shingle, rows))
+    sketches = written(_sketches(texts, shingle, rows), sketch_path)
     least = sketches.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "fp", "size", "bands")).alias("least"), F.count("*").alias("docs"))
     classes = written(least.select(F.monotonically_increasing_id().alias("node"), "n", "f1", "f2", "docs", "least.*"))
     exploded = classes.select("node", "size", F.explode("bands").alias("band"))
@@ -258,13 +242,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tasks = _open_tasks(still).join(still.select("node", "part").distinct().hint("merge"), "node")
         links = verify(tasks)
         linked = written(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
-    discard(candidates, members, parted)
     # The least id and text of each component, for its nodes and then for their rows.
     members_of = written(linked.join(classes.select("node", "id", "fp").hint("merge"), "node"))
     firsts = written(members_of.groupBy("component").agg(F.min(F.struct("id", "fp")).alias("first"), F.count("*").alias("docs")))
     first = look_up_spread(members_of.select("component", "node"), firsts, ["component"], "docs", members_of.count()).select("node", "first")
     named = classes.select("node", "n", "f1", "f2", "docs", F.struct("id", "fp").alias("own")).join(first.hint("merge"), "node", "left")
-    named = written(named.select("n", "f1", "f2", "docs", F.coalesce("first", "own").alias("first")))
+    return sketches, written(named.select("n", "f1", "f2", "docs", F.coalesce("first", "own").alias("first")), named_path)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """Groups of near-duplicate documents.
+
+    A text's set holds its runs of ``shingle`` words (A-Z in lower case, split at ASCII
+    blanks); fewer words are one shingle, no words none. Documents are linked if
+    ``100 * intersection >= percent * union``, confirmed on the full sets; a pair at the
+    threshold is missed with a chance of about ``miss``.
+
+    Returns ``id_col``, ``text_fp`` (xxhash64 of the text), ``n_shingles``,
+    ``component_id`` (the least id reachable) and ``kept``: one row for each row of
+    ``docs``. Ids are integers. Each row is a document of its own, also where ids are null
+    or repeat: a null id counts as the least one and is returned as null, and rows of one
+    id are linked only by their texts. Kept is the row with the least id, of those the one
+    with the least ``text_fp``; rows that repeat both are all kept. Texts without words are
+    linked with nothing and kept. Other columns are not read.
+    """
+    text = F.col(text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("fp"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), text.alias("text"))
+    spark = docs.sparkSession
+    paths = shared_dir(spark), shared_dir(spark)
+    with scratch(spark):  # all but the two tables that the result reads
+        sketches, named = _grouped(texts, shingle, percent, miss, *paths)
     own = sketches.select("id", "fp", "n", "f1", "f2")
     out = look_up_spread(own, named, ["n", "f1", "f2"], "docs", sketches.count()).unionByName(own.filter("n = 0").withColumn("first", F.struct("id", "fp")))
     real = lambda c: F.when(c != _NONE, c)
