@@ -374,6 +374,29 @@ def test_fingerprints_of_odd_rows(spark, range_bytes):
     assert fingerprint.fingerprints(odd_docs(spark)).filter("doc_id in (1, 6)").select("fingerprint").distinct().count() == 1
 
 
+def test_fingerprint_query_equals_brute_force(spark):
+    """Order, edited texts and digests exactly; likeness against the exact one of the shingle sets."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries.op9_fingerprint(spark, SF).collect()}
+    assert rows.keys() == docs.keys()
+
+    def exact(a, b):
+        x, y = (set(shingles(t, 5)) for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    # With few shingles many bins hold the same one, so its stored bits agree by chance all at once.
+    order, errors, few = sorted(docs, reverse=True), [], []
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        text, after, r = docs[i], docs[j], rows[i]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        small = min(len(shingles(text, 5)), len(shingles(edited, 5)), len(shingles(after, 5))) < 64
+        (few if small else errors).extend([r["near_edited"] - exact(text, edited), r["near_next"] - exact(text, after)])
+    assert len(errors) > 200 and abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.12
+    assert abs(np.mean(few)) < 0.03 and np.max(np.abs(few)) < 0.5
+
+
 def test_likeness_is_unbiased():
     from meshlark.llm.common import WordCodes
 
@@ -390,11 +413,15 @@ def test_likeness_is_unbiased():
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def shingles(text, size):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return [tuple(w[j : j + size]) for j in range(len(w) - size + 1)] if len(w) >= size else [tuple(w)] if w else []
+
+
 def brute_groups(docs, size, percent):
     sets = {}
     for i, t in docs:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
-        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+        sets[i] = set(shingles(t, size))
     up = {i: i for i in sets}
 
     def root(i):

@@ -26,9 +26,15 @@ def calibration_error(score, right, bins=10):
     return sum(abs(np.mean(np.array(score)[at == k]) - np.mean(np.array(right)[at == k])) * (at == k).mean() for k in set(at.tolist()))
 
 
+def langs(docs):
+    return {r[0] for r in docs.select("lang").distinct().collect()}
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
-    rows = queries.op6_language_id(spark, SF).join(docs, "doc_id").filter("held_out").select("score", (F.col("lang") == F.col("lang_pred")).cast("int")).collect()
+    every = queries.op6_language_id(spark, SF)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["lang_pred"] in {"und", *langs(docs)} for r in every.collect()) and every.count() == docs.count()
+    rows = every.join(docs, "doc_id").filter("held_out").select("score", (F.col("lang") == F.col("lang_pred")).cast("int")).collect()
     score, right = zip(*rows, strict=True)
     assert np.mean(right) > 0.97 and 0 <= min(score) <= max(score) <= 1
     assert calibration_error(score, right) < 0.03 and np.mean(score) < 0.9999
@@ -67,7 +73,9 @@ def test_ftrl_is_sparse():
 
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = queries.op8_toxicity(spark, SF).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
+    every = queries.op8_toxicity(spark, SF)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for r in every.collect()) and every.count() == 1000
+    rows = every.join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
     assert sum(r["toxic"] == r["predicted"] for r in rows) / len(rows) > 0.95
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert np.mean([(r["score"] - r["toxic"]) ** 2 for r in rows]) < 0.04  # Brier; always saying the share of toxic texts gives 0.11
