@@ -30,6 +30,9 @@ class Step:
     retries: int = 0
     timeout_s: float | None = None
     max_rounds: int = 0
+    validate: str = ""  # id of a condition that must hold before it starts
+    message: str = ""
+    context: tuple[str, ...] = ()  # names of the segments that its prompt is put together from
 
 
 @dataclass(frozen=True)
@@ -105,8 +108,8 @@ class Workflow:
         return spark.createDataFrame([(self.name, *m) for m in self.moves], "workflow string, phase_from string, phase_to string, case string")
 
     def step_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.name, s.name, s.kind, s.least_confidence, s.on_low_confidence, s.compensate, s.retries, s.timeout_s, s.max_rounds) for s in self.steps]
-        return spark.createDataFrame(rows, "workflow string, step string, kind string, least_confidence double, on_low_confidence string, compensate string, retries int, timeout_s double, max_rounds int")
+        rows = [(self.name, s.name, s.kind, s.least_confidence, s.on_low_confidence, s.compensate, s.retries, s.timeout_s, s.max_rounds, s.validate, s.message, list(s.context)) for s in self.steps]
+        return spark.createDataFrame(rows, "workflow string, step string, kind string, least_confidence double, on_low_confidence string, compensate string, retries int, timeout_s double, max_rounds int, validate string, message string, context array<string>")
 
     def to_json(self) -> str:
         return json.dumps({"version": "1.0", "name": self.name, "steps": [s.__dict__ for s in self.steps], "moves": self.moves, "failure": self.failure, "forks": self.forks})
@@ -116,7 +119,7 @@ class Workflow:
         d = json.loads(text)
         if d.get("version") != "1.0":
             raise ValueError(f"unknown version {d.get('version')}")
-        return Workflow(d["name"], tuple(Step(**s) for s in d["steps"]), tuple(map(tuple, d["moves"])), (), tuple(d["failure"]), {k: tuple(v) for k, v in d["forks"].items()})
+        return Workflow(d["name"], tuple(Step(**{**s, "context": tuple(s.get("context", ()))}) for s in d["steps"]), tuple(map(tuple, d["moves"])), (), tuple(d["failure"]), {k: tuple(v) for k, v in d["forks"].items()})
 
     def diagram(self) -> str:
         """A Mermaid state diagram of the transitions."""

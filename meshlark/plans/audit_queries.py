@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, budget
+from ..operators import workflow as W
 from .base import Catalogue, table
 from .workflow_queries import _log, example
 
@@ -22,8 +23,8 @@ def _guards():
 @C.query("""SELECT event_id, CASE WHEN bad THEN 'ValidationFailed' ELSE event_type END AS phase, CASE WHEN bad THEN 'ValidationFailed' ELSE 'Dispatched' END AS event, CASE WHEN bad THEN CASE event_type WHEN 'purchase' THEN 'too little' ELSE 'no name' END END AS error,
   CASE WHEN NOT bad AND event_type = 'purchase' THEN 60000000 END AS left_us FROM (SELECT *, event_type = 'purchase' AND value < 30 OR event_type = 'signup' AND user_id % 2 <> 0 AS bad FROM events)""")
 def validation_guard(spark, sf_dir):
-    steps = spark.createDataFrame([("purchase", "paid", "too little", 60.0), ("signup", "named", "no name", None), ("view", "", "", None)], "step string, validate string, message string, timeout_s double")
-    rows = audit.start_steps(_log(spark, sf_dir), steps, _guards())
+    guarded = W.Workflow("guarded").then("view").then("signup", validate="named", message="no name").then("purchase", validate="paid", message="too little", timeout_s=60.0).finish()
+    rows = audit.start_steps(_log(spark, sf_dir), guarded.step_table(spark), _guards())
     return rows.select("event_id", "phase", "event", "error", (F.unix_micros("deadline") - F.unix_micros(F.col("ts").cast("timestamp"))).alias("left_us"))
 
 
