@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,12 @@ def words_of(tokens: int) -> int:
     return int(tokens * WORDS_PER_TOKEN + 1e-9)
 
 
-def _windows(text: str, size: int, step: int, base: int = 0) -> list[Span]:
-    at = [m.span() for m in _WORD.finditer(text)]
+def _places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def _windows(text: str, at: list[tuple[int, int]], size: int, step: int, base: int = 0) -> list[Span]:
+    """Windows of ``size`` words, whose places are ``at``, every ``step`` words."""
     out = []
     for i in range(0, len(at), step):
         a, b = at[i][0], at[min(i + size, len(at)) - 1][1]
@@ -40,10 +45,8 @@ def fixed_chunks(text: str, tokens: int = 512, overlap: int = 64) -> list[Span]:
     """Windows of words; each begins ``size - overlap`` words after the last. A short text is one chunk."""
     if not text:
         return []
-    size = words_of(tokens)
-    if len(_WORD.findall(text)) <= size:
-        return [(text, 0, len(text))]
-    return _windows(text, size, max(1, size - words_of(overlap)))
+    size, at = words_of(tokens), _places(text)
+    return [(text, 0, len(text))] if len(at) <= size else _windows(text, at, size, max(1, size - words_of(overlap)))
 
 
 def sentences(text: str) -> list[Span]:
@@ -72,7 +75,7 @@ def sentence_chunks(text: str, tokens: int = 512, overlap: int = 64) -> list[Spa
             held += counts[i]
             i += 1
         if i == first + 1 and held > size:
-            out += _windows(parts[first][0], size, size, parts[first][1])
+            out += _windows(parts[first][0], _places(parts[first][0]), size, size, parts[first][1])
         else:
             out.append((text[parts[first][1] : parts[i - 1][2]], parts[first][1], parts[i - 1][2]))
         if back and i < len(parts):
@@ -130,13 +133,14 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, method: str = "fixed", to
     """A row for each chunk: ``id_col``, chunk, content, start, end."""
     cut = CHUNKERS[method]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, n, *s) for i, t in zip(b["id"], b["text"], strict=True) for n, s in enumerate(cut(t or "", tokens, overlap))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "content", "start", "end"])
+            rows = [(i, n, *s) for i, t in enumerate(b.column(1).to_pylist()) for n, s in enumerate(cut(t or "", tokens, overlap))]
+            at, n, content, start, end = zip(*rows, strict=True) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(content, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["id", "chunk", "content", "start", "end"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(task, f"id {kind}, chunk int, content string, start int, end int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, chunk int, content string, start int, end int").withColumnRenamed("id", id_col)
 
 
 @lru_cache(maxsize=100_000)
