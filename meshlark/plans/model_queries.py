@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import registry as R
 from ..operators import graph as G
 from .base import Catalogue, table
 from .domain import model
@@ -149,3 +150,43 @@ def reported_dispatch(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
     done = G.dispatch(rows.select("c_custkey", "c_acctbal"), "c_custkey", act, read_only=False).select("c_custkey", "ok")
     return G.reported(model(), rows, "customer", "close", "c_custkey", done)
+
+
+def _faulty():
+    """A model with one fault of each kind in its links, lifecycle and interfaces."""
+    return R.Registry(
+        [
+            R.ObjectType("order", ("id",), "shop", (R.Property("id"),), (R.Link("lines", "line"), R.Link("buyer", "person", inverse="orders"), R.Link("parcel", "parcel")), interfaces={"Named": {}, "Priced": {}}, interface_actions={"Named": {"rename": "none"}}),
+            R.ObjectType("person", ("id",), "crm", (R.Property("id"),), parent="human"),
+            R.ObjectType("human", ("code",), "crm", (R.Property("id"),), parent="person"),
+            R.ObjectType("parcel", ("id",), "post", (R.Property("id"),), lifecycle=R.Lifecycle("state", "new", ("sent",), (("sent", "lost", "lose"),))),
+            R.ObjectType("parcel", ("id",), "mail", (R.Property("id"),), roles=(R.Role("a", "order", "id"),)),
+        ],
+        {"Named": ("name",)},
+        [R.CrossLink("ships", "shop", "order", "post", "box")],
+    )
+
+
+@C.query("""SELECT * FROM (VALUES ('link-target-missing', 'shop.order.lines', true), ('inverse-missing', 'shop.order.buyer', false), ('link-target-ambiguous', 'shop.order.parcel', true), ('interface-uncovered', 'shop.order:Named.name', true), ('interface-missing', 'shop.order:Priced', true),
+  ('interface-action-missing', 'shop.order:Named.rename', true), ('hierarchy-cycle', 'crm.person', true), ('hierarchy-cycle', 'crm.human', true), ('key-missing', 'crm.human.code', true), ('lifecycle-state', 'post.parcel.lost', true), ('lifecycle-initial', 'post.parcel', true),
+  ('lifecycle-action', 'post.parcel.lose', false), ('association-endpoints', 'mail.parcel', true), ('cross-target-missing', 'shop.order.ships', true)) t(code, subject, hard)""")
+def composition_checks(spark, sf_dir):
+    return spark.createDataFrame([(i.code, i.subject, i.hard) for i in _faulty().issues()], "code string, subject string, hard boolean")
+
+
+@C.query("SELECT * FROM (VALUES ('property-not-ingested', 'shop.item.price', true), ('property-not-declared', 'shop.item.colour', false), ('property-type', 'shop.item.size', true), ('type-not-ingested', 'shop.shelf', false)) t(code, subject, hard)")
+def schema_drift(spark, sf_dir):
+    mine = R.Registry([R.ObjectType("item", ("id",), "shop", (R.Property("id"), R.Property("price", "double"), R.Property("size", "int"))), R.ObjectType("shelf", ("id",), "shop", (R.Property("id"),))])
+    found = R.Registry([R.ObjectType("item", ("id",), "shop", (R.Property("id"), R.Property("colour"), R.Property("size", "string")))])
+    return spark.createDataFrame([(i.code, i.subject, i.hard) for i in mine.drift(found)], "code string, subject string, hard boolean")
+
+
+@C.query("SELECT * FROM (VALUES ('item', 'id', 'declared'), ('item', 'title', 'declared'), ('bin', 'id', 'declared'), ('bin', 'depth', 'declared')) t(type, property, origin)")
+def model_after_edits(spark, sf_dir):
+    base = R.Registry([R.ObjectType("item", ("id",), "shop", (R.Property("id"), R.Property("name"))), R.ObjectType("old", ("id",), "shop", (R.Property("id"),))])
+    edit = lambda op, of, **more: {"op": op, "domain": "shop", "type": of, **more}
+    sources = {
+        "first": [edit("rename_property", "item", name="name", to="title"), edit("add_type", "bin", value=R.ObjectType("bin", ("id",), "shop", (R.Property("id"),)))],
+        "second": [edit("add_property", "bin", value=R.Property("depth", "int")), edit("remove_type", "old")],
+    }
+    return spark.createDataFrame([(t.name, p.name, p.origin) for t in R.drain(base, sources).types for p in t.properties], "type string, property string, origin string")
