@@ -157,6 +157,12 @@ def belief_credit(spark, sf_dir):
     return b.select("agent", "category", F.round(bandit.mean(F.col("alpha"), F.col("beta")), 6).alias("mean"), F.round(bandit.variance(F.col("alpha"), F.col("beta")), 8).alias("variance"))
 
 
+@C.query(f"WITH {OUT} SELECT agent, category, count(*) AS observations FROM outcomes WHERE agent = 3 OR category = 'click' GROUP BY ALL")
+def beliefs_of(spark, sf_dir):
+    known = bandit.beliefs(outcomes(_events(spark, sf_dir)), "agent", "category", F.col("success"))
+    return known.filter("agent = 3 OR category = 'click'").select("agent", "category", "observations")
+
+
 def _candidates(spark):
     rows = [(f"r{i}", c, a, a) for i, c in enumerate(["view", "click", "purchase", "error", "signup", "unknown"]) for a in range(6)]
     return spark.createDataFrame(rows, "request string, category string, agent long, position int")

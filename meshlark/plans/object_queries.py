@@ -212,3 +212,47 @@ def unrelate_plain(spark, sf_dir):
 
     existing = _relate(spark, sf_dir)[1]
     return unrelate(existing, existing.filter(F.col("tgt_id").cast("int") < 2)).select("src_id", "tgt_id")
+
+
+@C.query("SELECT CAST(c_custkey AS VARCHAR) AS src_id, CAST(c_nationkey AS VARCHAR) AS tgt_id FROM customer WHERE c_nationkey >= 20 OR c_custkey % 3 = 0")
+def missing_endpoints(spark, sf_dir):
+    from ..operators.relate import missing_endpoints
+
+    g = graph(spark, sf_dir)
+    c, n = g.table("customer"), g.table("nation")
+    text = lambda x: F.col(x).cast("string")
+    edges = c.select(F.lit("customer").alias("src_type"), text("c_custkey").alias("src_id"), F.lit("lives").alias("link"), F.lit("nation").alias("tgt_type"), text("c_nationkey").alias("tgt_id"), F.lit(None).cast("string").alias("assoc_id"))
+    customers = c.filter("c_custkey % 3 <> 0").select(F.lit("customer").alias("type"), text("c_custkey").alias("id"))
+    nations = n.filter("n_nationkey < 20").select(F.lit("nation").alias("type"), text("n_nationkey").alias("id"))
+    return missing_endpoints(edges, customers.unionByName(nations)).select("src_id", "tgt_id")
+
+
+@C.query("SELECT p_partkey, p_brand, l_quantity, l_discount FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+def assoc_far_end(spark, sf_dir):
+    edges = graph(spark, sf_dir).objects("orders").where(F.col("o_orderstatus") == "P").edges("lineitem")
+    return edges.endpoint("part", with_edges=("l_quantity", "l_discount")).df.select("p_partkey", "p_brand", "l_quantity", "l_discount")
+
+
+@C.query("SELECT 'position' AS question, count(*) AS n FROM (SELECT 1 FROM customer WHERE c_acctbal > 1000) UNION ALL SELECT 'hop', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)")
+def object_counts(spark, sf_dir):
+    rich = graph(spark, sf_dir).objects("customer").where(F.col("c_acctbal") > 1000)
+    counted = lambda name, rows: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("question"), "n")
+    return counted("position", rich.df).unionByName(counted("hop", rich.traverse("orders").df))
+
+
+@C.query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 ORDER BY c_custkey LIMIT 5 OFFSET 5")
+def page_after_cursor(spark, sf_dir):
+    from ..functions.identity import decode_cursor, encode_cursor
+
+    token = encode_cursor("nation", "7", "customers", "out", 5)
+    rows, _ = graph(spark, sf_dir).objects("nation").by_id("7").traverse("customers").page(decode_cursor(token, "nation", "7", "customers", "out"), 5)
+    return rows.select("c_custkey", "c_name")
+
+
+@C.query("SELECT o_orderpriority AS priority, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders WHERE o_orderstatus = 'P' QUALIFY place <= 3")
+def ordered_within(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    rows = graph(spark, sf_dir).objects("orders").where_text("o_orderstatus = 'P'").df
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    return rows.select(F.col("o_orderpriority").alias("priority"), "o_orderkey", place.alias("place")).filter("place <= 3")

@@ -163,6 +163,22 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.hybrid(dense, _keywords(spark, sf_dir, 50, PLAIN)[0], 10, query_id="item_id")[0].withColumn("score", F.round("score", 6))
 
 
+@C.query(f"""WITH {BM25}, {DENSE}, pair AS (SELECT 0.7 AS w, 1 AS l, item_id, doc_id, score FROM dense_ranked WHERE rank <= 50 UNION ALL SELECT 0.3, 2, item_id, doc_id, score FROM bm_ranked WHERE rank <= 50),
+m AS (SELECT *, avg(score) OVER v AS mean, stddev_samp(score) OVER v AS sd FROM pair WINDOW v AS (PARTITION BY l, item_id)),
+f AS (SELECT item_id, doc_id, sum(w * CASE WHEN sd IS NULL OR sd < 1e-9 THEN 0.5 ELSE (score - (mean - 3 * sd)) / (6 * sd) END) AS s FROM m GROUP BY ALL), top AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM f QUALIFY rank <= 10)
+SELECT item_id, doc_id, round(o.score, 6) AS score, CAST(t.rank AS INTEGER) AS rank FROM top t JOIN dense_ranked o USING (item_id, doc_id) WHERE o.rank <= 50""")
+def hybrid_dbsf(spark, sf_dir):
+    options = retrieval.HybridOptions(method="dbsf", weights=(0.7, 0.3))
+    dense = cut_lineage(_dense(spark, sf_dir, 50))
+    return retrieval.hybrid(dense, _keywords(spark, sf_dir, 50, PLAIN)[0], 10, options, query_id="item_id")[0].withColumn("score", F.round("score", 6))
+
+
+@C.query(f"WITH {DENSE} SELECT item_id, doc_id, round(score, 6) AS score, rank, 'no-keyword-provider' AS degraded FROM dense_ranked WHERE rank <= 5")
+def hybrid_without_keywords(spark, sf_dir):
+    rows, done = retrieval.hybrid(_dense(spark, sf_dir, 50), None, 5, query_id="item_id")
+    return rows.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.lit(done["degraded"]).alias("degraded"))
+
+
 @C.query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words FROM documents")
 def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))

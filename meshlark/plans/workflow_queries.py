@@ -23,6 +23,17 @@ def _log(spark, sf_dir):
     return e.select("event_id", "ts", F.col("user_id").alias("workflow_id"), F.col("event_type").alias("step"), "value", (F.col("event_type") != "error").alias("ok"), (F.col("value") / 100).alias("confidence"))
 
 
+@C.query("""SELECT * FROM (VALUES ('NotStarted', 'view', ''), ('view', 'click', ''), ('click', 'choice', ''), ('choice', 'purchase', 'purchase'), ('choice', 'signup', '*'), ('purchase', 'Completed', ''), ('signup', 'Completed', ''),
+  ('view', 'Failed', 'failed'), ('click', 'Failed', 'failed'), ('choice', 'Failed', 'failed'), ('purchase', 'Failed', 'failed'), ('signup', 'Failed', 'failed')) t(phase_from, phase_to, "case")""")
+def workflow_transitions(spark, sf_dir):
+    return W.Workflow.from_json(example().to_json()).transitions(spark).drop("workflow")
+
+
+@C.query("SELECT * FROM (VALUES ('view', 'step', 'unview'), ('click', 'step', ''), ('choice', 'branch', ''), ('purchase', 'step', ''), ('signup', 'step', '')) t(step, kind, compensate)")
+def workflow_steps(spark, sf_dir):
+    return example().step_table(spark).select("step", "kind", "compensate")
+
+
 @C.query("""WITH legal(a, b) AS (VALUES ('NotStarted', 'view'), ('view', 'click'), ('click', 'choice'), ('choice', 'purchase'), ('choice', 'signup'), ('purchase', 'Completed'), ('signup', 'Completed'), ('view', 'Failed'), ('click', 'Failed'), ('choice', 'Failed'), ('purchase', 'Failed'), ('signup', 'Failed')),
 m AS (SELECT user_id AS workflow_id, event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'NotStarted') AS phase_from, event_type AS phase_to FROM events)
 SELECT * FROM m WHERE (phase_from, phase_to) NOT IN (SELECT (a, b) FROM legal)""")
