@@ -15,6 +15,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,8 +170,33 @@ def byte_ranges(keys: DataFrame, range_bytes: int = RANGE_BYTES) -> Ranges:
     return Ranges(sorted((r[0], r[1]) for r in found.toLocalIterator()))
 
 
+_kept: dict = {}
+
+
+def kept(name: object, make: Callable[[], object] | None = None):
+    """What the tasks of one stage share in a worker process, made by the first of them.
+
+    Workers serve stage after stage: what other stages left goes, so that their caches do
+    not add up. Tasks that share nothing call it for that alone.
+    """
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if _kept.get(None) != stage:
+        _kept.clear()
+        _kept[None] = stage
+    if make is None:
+        return None
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordCodes(dict):
-    """Word (bytes) -> 64-bit hash. Emptied when full, so memory stays bounded."""
+    """Word (bytes) -> 64-bit hash. Emptied when full, so memory stays bounded. One a task."""
+
+    def __init__(self):
+        super().__init__()
+        kept(None)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
@@ -223,6 +249,7 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable
     at = docs.columns.index(text_col)
 
     def task(batches):
+        kept(None)
         keep = make_keep()
         for b in batches:
             yield b.filter(pa.array(np.asarray(keep(utf8(b.column(at))), dtype=bool)))

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, utf8
+from .common import filter_rows, kept, utf8
 
 #: Words of items in one automaton: about 100 bytes of memory each.
 BLOCK_WORDS = 2_000_000
@@ -31,7 +31,6 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 _HIT = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 _RUN = pa.struct([("first", pa.int32()), ("end", pa.int32())])
-_built: dict[str, Matcher] = {}
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -89,10 +88,7 @@ class Matcher:
 
 def _matcher(key: str, items: Broadcast, size: int) -> Matcher:
     """The matcher of a block of items, built once in each worker process."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(items.value, size)
-    return _built[key]
+    return kept(key, lambda: Matcher(items.value, size))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:

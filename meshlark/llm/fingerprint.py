@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,10 +103,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ranges = byte_ranges(rows.select("key", "fp", "size"), range_bytes)
     sent, width = docs.sparkSession.sparkContext.broadcast(ranges), len(ranges)
 
-    @F.pandas_udf("long")
-    def place(key: pd.Series, fp: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def place(key: pa.Array, fp: pa.Array) -> pa.Array:
         first, second = key.to_numpy(), fp.to_numpy()
-        return pd.Series(sent.value.of(first, second) * 2 + sent.value.heads(first, second))
+        return pa.array(sent.value.of(first, second) * 2 + sent.value.heads(first, second))
 
     home = lambda part, guest: F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
     placed = rows.drop("size").withColumn("at", place("key", "fp"))

@@ -103,12 +103,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     return placed.select(id_col, "n_tokens", *carry, "bucket", of([int(b) for b in bounds]).cast("long").alias("bucket_tokens"), batch.alias("batch"), (F.col("_place") % of(per_batch)).alias("slot"))
 
 
-def pack_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, with_ids: bool = True) -> DataFrame:
     """``pack`` by the tokens of a tokenizer, with ``ids``: each row's token ids, padded with 0 to its bucket's length.
 
     Ids are little-endian, 2 or 4 bytes each. The rows of a batch, in order of their slots,
-    are one padded block of at most ``token_budget`` ids.
+    are one padded block of at most ``token_budget`` ids. Without ``with_ids``, places only.
     """
-    width = id_bytes(tokenizer_path)
-    places = pack(encoded(docs, tokenizer_path, id_col, text_col), id_col, length=F.col("n_tokens"), buckets=buckets, token_budget=token_budget, carry=("ids",))
-    return places.withColumn("ids", F.rpad("ids", (F.col("bucket_tokens") * width).cast("int"), F.lit(bytearray(1))))
+    counted = encoded(docs, tokenizer_path, id_col, text_col, with_ids=with_ids)
+    places = pack(counted, id_col, length=F.col("n_tokens"), buckets=buckets, token_budget=token_budget, carry=("ids",) if with_ids else ())
+    if not with_ids:
+        return places
+    return places.withColumn("ids", F.rpad("ids", (F.col("bucket_tokens") * id_bytes(tokenizer_path)).cast("int"), F.lit(bytearray(1))))

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, byte_ranges, discard, mix64, shared_dir, written
+from .common import RANGE_BYTES, byte_ranges, discard, kept, mix64, shared_dir, written
 
 MAGIC = b"TOKIDS01"
 #: Keys in one part of the index: about 24 bytes each in memory.
 INDEX_KEYS = 1_000_000
-#: Pieces that one worker keeps at most (about 150 MB).
-CACHE = 1_000_000
+#: Pieces that one worker keeps at most (about 60 MB).
+CACHE = 250_000
 
 # The splitting pattern of byte-level BPE, written for texts of ASCII (but for
 # the separators 1C to 1F) and of Latin letters, and the letters that stand for bytes.
@@ -102,13 +102,8 @@ class Encoder:
         return [b"".join(map(look, _SPLIT(t))) + self.end if x is None else x for t, x in zip(texts, out, strict=True)]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(path: str, end_id: int | None) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return kept((path, end_id), lambda: Encoder(path, end_id))
 
 
 #: What stands for a null key: it sorts first. No document may have this id.
@@ -226,10 +221,11 @@ def _index_bytes(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, count:
     return out.getvalue()
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, with_ids: bool = True) -> DataFrame:
     """``id_col``, ``n_tokens`` and ``ids`` (raw little-endian bytes, 2 or 4 an id) of every row, end mark included.
 
-    Null texts are empty. Repeated rows give repeated rows. Other columns are not read.
+    Without ``with_ids`` the column ``ids`` is left out. Null texts are empty. Repeated rows
+    give repeated rows. Other columns are not read.
     """
     width = id_bytes(tokenizer_path)
 
@@ -239,10 +235,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
                 ids = coder.encode([t or "" for t in s.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
+                columns = [s.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns[: 2 + with_ids], names=["id", "n_tokens", "ids"][: 2 + with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, n_tokens long" + ", ids binary" * with_ids)
+    return out.withColumnRenamed("id", id_col)
 
 
 def id_bytes(tokenizer_path: str) -> int:

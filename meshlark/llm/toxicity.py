@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, isotonic
-from .common import WORD_CACHE, WordCodes, discard, filter_rows, mix64, shingle_set, written
+from .common import WORD_CACHE, WordCodes, discard, filter_rows, kept, mix64, shingle_set, written
 from .sampling import labelled_sample
 
 #: Bound of the training sample: rows of each label. Folds that the sample is cut into.
@@ -55,13 +55,15 @@ def split_words(text: str) -> list[bytes]:
 class _Words(dict):
     """Word -> index into ``kinds``: (insult, weight, start weight, leet hit, second person)."""
 
-    def __init__(self, weights: dict[bytes, float]):
+    def __init__(self, weights: dict[bytes, float], most: int = WORD_CACHE):
         super().__init__()
+        kept(None)
+        self.most = most
         self.weights, self.kinds, self.index = weights, [(0.0,) * 5], {(0.0,) * 5: 0}
         self.insults, self.second = {w.encode() for w in INSULTS}, {w.encode() for w in SECOND_PERSON}
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= WORD_CACHE:
+        if len(self) >= self.most:
             self.clear()
         start = max((self.weights.get(b"^" + w[:n], 0.0) for n in PREFIXES if len(w) > n), default=0.0)
         plain = w.translate(_LEET)
@@ -183,7 +185,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lexicons = _lexicons(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [_Words(x) for x in lexicons]
+        words = [_Words(x, WORD_CACHE // FOLDS) for x in lexicons[:FOLDS]]
         for b in batches:
             got = [features(t, words[f]) for t, f in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.float64()))], names=["fold", "label", "x"])
