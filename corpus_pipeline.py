@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of each remaining document, by its number of tokens."""
     small_batches(spark)
-    return pack_tokens(docs, bpe()).drop("ids")
+    return pack_tokens(docs, bpe(), with_ids=False)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
