@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -65,8 +66,7 @@ class Matcher:
         """Runs (first, end) of words that lie in windows, and the items (by number) that they are of."""
         if not words or self.automaton.kind != ahocorasick.AHOCORASICK:
             return [], []
-        get = self.codes.get
-        doc = tuple(get(w, 0) for w in words)
+        doc = tuple(map(self.codes.get, words, repeat(0)))
         runs, items, done = [], set(), {}
         for last, (n, places) in self.automaton.iter(doc):
             start = last - n + 1
