@@ -6,10 +6,12 @@ partitioning, shuffles and joins.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -173,6 +175,14 @@ def byte_ranges(keys: DataFrame, range_bytes: int = RANGE_BYTES) -> Ranges:
 _kept: dict = {}
 
 
+def _give_back() -> None:
+    """Returns memory that this process no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(name: object, make: Callable[[], object] | None = None):
     """What the tasks of one stage share in a worker process, made by the first of them.
 
@@ -184,6 +194,7 @@ def kept(name: object, make: Callable[[], object] | None = None):
     if _kept.get(None) != stage:
         _kept.clear()
         _kept[None] = stage
+        _give_back()
     if make is None:
         return None
     if name not in _kept:

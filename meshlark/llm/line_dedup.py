@@ -200,10 +200,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     @F.udf(T.StringType(), useArrow=True)
     def rest(text: str, bitmap: bytes) -> str:
-        return text if bitmap is None else "\n".join(kept_lines(text, bitmap)[1])
+        return None if bitmap is None else "\n".join(kept_lines(text, bitmap)[1])
 
+    rest = rest.asNondeterministic()  # else the filter below would run it a second time
     text, bitmap = F.col(f"_docs.`{text_col}`"), F.col("_maps.bitmap")
-    new = F.when(bitmap.isNull(), text).otherwise(rest(text, bitmap))
+    new = F.when(bitmap.isNull(), text).otherwise(rest(F.when(bitmap.isNotNull(), text), bitmap))  # unchanged texts stay in the JVM
     mine = F.struct(*(F.col(f"_docs.`{c}`") if c != text_col else new.alias(c) for c in docs.columns))
     out = _joined(docs, bitmaps, id_col, text_col).select(mine.alias("_row"), bitmap.isNull().alias("_same"))
     if drop_emptied:
