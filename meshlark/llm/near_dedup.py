@@ -35,8 +35,8 @@ from .fingerprint import bin_minima
 HASHES, STEP = 384, 32
 #: Texts and bytes of text on each side of a comparison task.
 BLOCK, BLOCK_BYTES = 64, 4 << 20
-#: Blocks numbered together, on average.
-_RUN = 16
+#: Blocks numbered together, on average; blocks of a band that are paired for that band alone.
+_RUN, _FEW_BLOCKS = 4, 4
 #: Chance that a pair at the threshold shares no band, or that one step gives it up.
 MISS = 1e-6
 _NONE = -(2**63)
@@ -194,6 +194,28 @@ def _tie_tasks(members: DataFrame) -> DataFrame:
     return blocks.select("task", F.lit(1).alias("side"), "node").unionByName(blocks.select("task", F.lit(2).alias("side"), F.col("leader").alias("node")).distinct())
 
 
+def _block_pairs(of: DataFrame) -> DataFrame:
+    """Which blocks share an open band. ``of``: band, cluster, block, pool; adds block2 and pool2.
+
+    Blocks of a band that has few of them are paired by band. Blocks with a wider band, such
+    as that of a large group, are paired within their cluster once, not for each band; one
+    side of a large cluster is dealt over several tasks.
+    """
+    many = of.groupBy("band").agg(F.count("*").alias("blocks"))
+    counted = written(of.join(many.hint("merge"), "band"))
+    second = [F.col("block").alias("block2"), F.col("pool").alias("pool2")]
+    few = counted.filter(F.col("blocks") <= _FEW_BLOCKS).drop("blocks")
+    by_band = few.join(few.select("band", *second).hint("merge"), "band")
+    wide = written(counted.filter(F.col("blocks") > _FEW_BLOCKS).select("cluster", "block", "pool").distinct())
+    ways = wide.groupBy("cluster").agg(F.ceil(F.count("*") / 16).cast("int").alias("ways"))
+    dealt = wide.join(ways.hint("merge"), "cluster")
+    left = dealt.select("cluster", "block", "pool", F.pmod(F.xxhash64("block"), F.col("ways")).cast("int").alias("way"))
+    right = dealt.select("cluster", *second, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    by_cluster = left.join(right.hint("merge"), ["cluster", "way"])
+    columns = ["block", "pool", "block2", "pool2"]
+    return by_band.select(columns).unionByName(by_cluster.select(columns))
+
+
 def _open_tasks(members: DataFrame) -> DataFrame:
     """Blocks of nodes that share an open band: task, side, node. ``members``: node, size, band, leader, part."""
     clusters = connected_components(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "cluster")
@@ -202,12 +224,10 @@ def _open_tasks(members: DataFrame) -> DataFrame:
     sizes = written(nodes.groupBy("cluster", "part").agg(F.count("*").alias("docs")).select("cluster", "part", "docs", (F.col("docs") >= BLOCK).alias("alone")))
     total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).head()[0]
     pool = look_up_spread(nodes, sizes, ["cluster", "part"], "docs", total).withColumn("pool", F.when(F.col("alone"), F.col("part")).otherwise(F.lit(-1)))
-    blocks = written(_blocked(written(pool), ["cluster", "pool"]).select("node", "pool", F.concat_ws("/", "cluster", "pool", "block").alias("block")))
-    # Which blocks share an open band.
-    of = written(members.select("node", "band").distinct().join(blocks.hint("merge"), "node").select("band", "block", "pool").distinct())
-    pairs = of.join(of.select("band", F.col("block").alias("block2"), F.col("pool").alias("pool2")).hint("merge"), "band")
-    pairs = pairs.filter("block <= block2 AND NOT (pool = pool2 AND pool <> -1)").select("block", "block2").distinct()
-    pairs = written(pairs.select("block", "block2", F.concat_ws("|", "block", "block2").alias("task")))
+    blocks = written(_blocked(written(pool), ["cluster", "pool"]).select("node", "cluster", "pool", F.concat_ws("/", "cluster", "pool", "block").alias("block")))
+    of = written(members.select("node", "band").distinct().join(blocks.hint("merge"), "node").select("band", "cluster", "block", "pool").distinct())
+    pairs = _block_pairs(of).filter("block <= block2 AND NOT (pool = pool2 AND pool <> -1)").select("block", "block2").distinct()
+    pairs = written(pairs.withColumn("task", F.concat_ws("|", "block", "block2")))
     same = F.col("block") == F.col("block2")
     left = pairs.select("block", "task", F.when(same, 0).otherwise(1).alias("side"))
     right = pairs.filter(~same).select(F.col("block2").alias("block"), "task", F.lit(2).alias("side"))
