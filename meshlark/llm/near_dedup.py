@@ -34,7 +34,7 @@ from .fingerprint import bin_minima
 #: Values of a signature, and those compared in one step.
 HASHES, STEP = 384, 32
 #: Texts and bytes of text on each side of a comparison task.
-BLOCK, BLOCK_BYTES = 64, 4 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Blocks numbered together, on average; blocks of a band that are paired for that band alone.
 _RUN, _FEW_BLOCKS = 4, 4
 #: Chance that a pair at the threshold shares no band, or that one step gives it up.
