@@ -95,6 +95,58 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+_FINE = "embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)) for x in embedding] || [true])"
+
+
+def _whole(scale: int) -> str:
+    """The components as whole numbers."""
+    return f"[CAST(greatest(least(floor({scale} * CAST(x AS DOUBLE)), 67108864), -67108864) AS BIGINT) for x in embedding]"
+
+
+OP12 = f"""
+WITH own AS (
+  SELECT vec_id, min({{'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END, 'v': embedding}}) AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINE} GROUP BY vec_id
+), rows_ AS (SELECT vec_id, r.label AS label, {_whole(256).replace("embedding", "r.v")} AS q FROM own
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+    CAST(coalesce(list_sum([coalesce(z[1] * z[2], 0) for z in list_zip(a.q, r.q)]), 0) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0 to a``n`` of points ``p``, each to centroids of its number, and those centroids."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(p.q) AS q, min({{'d': CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.q, c.q)]) AS BIGINT), 'c': cluster}}) AS m FROM p, c{i} c GROUP BY n
+)""")
+        if i < n:
+            out.append(f"""s{i} AS (SELECT cluster, j, sum(x) AS s, count(*) AS k FROM (SELECT m.c AS cluster, unnest(q) AS x, unnest(range(1, len(q) + 1)) AS j FROM a{i}) GROUP BY cluster, j
+), c{i + 1} AS MATERIALIZED (
+  SELECT cluster, list(CAST((s - (s % k + k) % k) // k AS BIGINT) ORDER BY j) AS q FROM s{i} GROUP BY cluster
+  UNION ALL SELECT cluster, q FROM c{i} WHERE cluster NOT IN (SELECT cluster FROM s{i})
+)""")
+    return ", ".join(out)
+
+
+OP13 = f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, embedding, {_whole(64)} AS q FROM embeddings WHERE {_FINE} AND len(embedding) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS cluster, q FROM (SELECT sha256('1:' || vec_id) AS h, embedding, q FROM p WHERE vec_id IS NOT NULL ORDER BY h, embedding LIMIT 16)
+), {_rounds(3)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON m.c = c3.cluster
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": OP1, "op5_chat_format": OP5, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op10_near_dedup": OP10}
+    return {"op1_pii": OP1, "op5_chat_format": OP5, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op10_near_dedup": OP10, "op12_hard_negatives": OP12, "op13_centroids": OP13}
