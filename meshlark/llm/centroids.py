@@ -52,7 +52,7 @@ def _seeds(points: DataFrame, k: int, salt: str, scale: int) -> np.ndarray:
     """The first ``k`` vectors by sha256 of "salt:id"; rows of one id in order of their components."""
     key = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
     first = points.filter("id IS NOT NULL").select(key.alias("key"), "vector").orderBy("key", "vector").limit(k).collect()
-    return quantised(np.array([r["vector"] for r in first], dtype=np.float64).reshape(len(first), -1), scale)
+    return quantised(np.array([r["vector"] for r in first], dtype=np.float64), scale) if first else np.zeros((0, 0), dtype=np.int64)
 
 
 def _means(points: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:

@@ -119,6 +119,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_fp")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hash_forest import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import hard_negatives
 
