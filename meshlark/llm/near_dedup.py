@@ -5,14 +5,13 @@
 2. Band keys shared by at least two classes give candidates. Each class is first compared
    with one other: of the least classes of its bands, the one that it shares most bands
    with. A group of copies is tied together so, at a cost in proportion to its size.
-3. Bands that still hold classes of several components are open. Classes that share open
-   bands meet in tasks of two blocks at most; a block holds ``BLOCK`` texts and
-   ``BLOCK_BYTES`` and one more text at most. Two blocks meet only if they share an open
-   band and aren't of one component.
-4. Within a task, banded candidates are compared by batches of their signatures; a pair is
-   given up as soon as the chance that it reaches the threshold falls below the miss
-   probability. What is left is verified on the full sets, unless both already are in one
-   component.
+3. Bands that still hold classes of several components are open. The signatures of an open
+   band's classes meet in tasks of ``SCREEN`` at most on a side, and are compared by
+   batches; a pair is given up as soon as the chance that it reaches the threshold falls
+   below the miss probability. A pair counts in the first band that it shares only.
+4. Of what is left, each class's ``FAN`` likest are verified on the full sets. If a class has
+   more of them, the bands that it still shares with other components after that are
+   compared on full sets, in tasks of ``BLOCK`` texts on a side.
 """
 
 from __future__ import annotations
@@ -27,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordCodes, look_up_spread, mix64, scratch, shared_dir, shingle_set, utf8, written
+from .common import WordCodes, kept, look_up_spread, mix64, scratch, shared_dir, shingle_set, utf8, written
 from .components import connected_components
 from .fingerprint import bin_minima
 
 #: Values of a signature, and those compared in one step.
 HASHES, STEP = 384, 32
-#: Texts and bytes of text on each side of a comparison task.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
-#: Blocks numbered together, on average; blocks of a band that are paired for that band alone.
-_RUN, _FEW_BLOCKS = 4, 4
+#: Texts and bytes of text on each side of a task that compares texts.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Signatures, about, on each side of a task that compares these; a class's likest partners that are verified first.
+SCREEN, FAN = 4096, 8
+#: Blocks of texts numbered together, on average.
+_RUN = 4
 #: Chance that a pair at the threshold shares no band, or that one step gives it up.
 MISS = 1e-6
 _NONE = -(2**63)
@@ -67,9 +68,14 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     return tuple(out)
 
 
+def signature_of(hashes: np.ndarray) -> np.ndarray:
+    """Low 16 bits of the densified minima: unlike values agree in one of 65,536 cases, like ones always."""
+    return bin_minima(hashes, HASHES).astype(np.uint16)
+
+
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band; the number of the band is part of it."""
-    bands = signature.reshape(-1, rows)
+    bands = signature.astype(np.uint64).reshape(-1, rows)
     acc = np.arange(len(bands), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(rows):
@@ -90,46 +96,64 @@ def _sketches(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     f1.append(int(hashes.sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(int(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
-                bands.append(band_keys(bin_minima(hashes, HASHES), rows).view(np.int64) if len(hashes) else [])
+                bands.append(band_keys(signature_of(hashes), rows).view(np.int64) if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "size", "n", "f1", "f2", "bands"])
 
     return docs.select("id", "fp", "size", "text").mapInArrow(task, "id long, fp long, size long, n long, f1 long, f2 long, bands array<long>")
 
 
+def _signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, sig of ``texts`` (node, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in batches:
+            sigs = [signature_of(shingle_set(t, shingle, codes)).tobytes() for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["node", "sig"])
+
+    return texts.select("node", "text").mapInArrow(task, "node long, sig binary")
+
+
+def _survivors(values: np.ndarray, i: int, js: np.ndarray, keep: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``js`` whose signatures stay likely enough to reach the threshold with i's, and their equal values."""
+    equal = np.zeros(len(js), dtype=np.int64)
+    for step, least in enumerate(keep):
+        if not len(js):
+            break
+        at = slice(step * STEP, (step + 1) * STEP)
+        equal = equal + (values[js, at] == values[i, at]).sum(axis=1)
+        js, equal = js[equal >= least], equal[equal >= least]
+    return js, equal
+
+
 class _Links:
     """The documents of one task and the links found between them."""
 
-    def __init__(self, rows: list[tuple], shingle: int, rows_per_band: int, codes: WordCodes):
-        """``rows``: side, node, component so far, text."""
-        self.ids, self.sides = [r[1] for r in rows], np.array([r[0] for r in rows])
+    def __init__(self, rows: list[tuple], shingle: int, rows_per_band: int, codes: WordCodes, band: int | None):
+        """``rows``: side, node, component so far, text. ``band``: compares only pairs that share it and none before it."""
+        self.ids, self.sides, self.band = [r[1] for r in rows], np.array([r[0] for r in rows]), band
         self.sets = [shingle_set(r[3], shingle, codes) for r in rows]
-        full = [bin_minima(s, HASHES) for s in self.sets]
-        self.bands = np.array([band_keys(x, rows_per_band) for x in full])
-        self.values = np.array(full)
+        self.values = np.array([signature_of(s) for s in self.sets])
+        if band is not None:
+            self.bands = np.array([band_keys(x, rows_per_band) for x in self.values]).view(np.int64)
         self.sizes = np.array([len(s) for s in self.sets])
         self.part = np.array([r[2] for r in rows])
 
     def candidates(self, i: int) -> np.ndarray:
-        """Later documents, not yet in i's component, that share a band with i."""
+        """Later documents of other components, and of the other side if there are two."""
         js = np.arange(i + 1, len(self.ids))
-        js = js[self.part[js] != self.part[i]]
-        if self.sides.any():
-            js = js[self.sides[js] != self.sides[i]]
-        return js[(self.bands[js] == self.bands[i]).any(axis=1)]
+        js = js[(self.part[js] != self.part[i]) & ((self.sides[i] == 0) | (self.sides[js] != self.sides[i]))]
+        if self.band is not None and len(js):
+            shared = self.bands[js] == self.bands[i]
+            js = js[shared.any(axis=1) & (self.bands[i][shared.argmax(axis=1)] == self.band)]
+        return js
 
     def find(self, percent: int, miss: float) -> Iterator[tuple[int, int]]:
         keep = least_matches(percent, miss)
-        for i in range(len(self.ids) - 1):
+        for i in np.flatnonzero(self.sides < 2).tolist():
             js = self.candidates(i)
             small, large = np.minimum(self.sizes[js], self.sizes[i]), np.maximum(self.sizes[js], self.sizes[i])
-            js = js[100 * small >= percent * large]
-            equal = np.zeros(len(js), dtype=np.int64)
-            for step, least in enumerate(keep):
-                if not len(js):
-                    break
-                at = slice(step * STEP, (step + 1) * STEP)
-                equal = equal + (self.values[js, at] == self.values[i, at]).sum(axis=1)
-                js, equal = js[equal >= least], equal[equal >= least]
+            js, equal = _survivors(self.values, i, js[100 * small >= percent * large], keep)
             for j in js[np.argsort(-equal, kind="stable")].tolist():
                 if self.part[j] != self.part[i] and self.linked(i, j, percent):
                     self.part[self.part == self.part[j]] = self.part[i]
@@ -141,36 +165,90 @@ class _Links:
 
 
 def _verified(tasks: DataFrame, shingle: int, rows: int, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) among the nodes of one ``task``. Columns: task, side, node, part, text.
+    """Links (a, b) among the nodes of one ``task``. Columns: task, band, side, node, part, text.
 
     If a task has two sides (1 and 2), only pairs across them are compared; side 0 means
-    all pairs. Nodes of one ``part`` need no comparison. Rows are dealt by task and
-    streamed; a task's rows and bytes are bounded by its maker.
+    all pairs. With a ``band``, only pairs whose first shared band it is. Nodes of one
+    ``part`` need no comparison. Rows are dealt by task and streamed; a task's rows and
+    bytes are bounded by its maker.
     """
 
-    def links(held: list[tuple], codes: WordCodes) -> list[tuple[int, int]]:
-        return list(_Links(held, shingle, rows, codes).find(percent, miss)) if len(held) > 1 else []
+    def links(band: int | None, held: list[tuple], codes: WordCodes) -> list[tuple[int, int]]:
+        return list(_Links(held, shingle, rows, codes, band).find(percent, miss)) if len(held) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, now, held = WordCodes(), None, []
+        codes, now, held = WordCodes(), (None, None), []
         for batch in batches:
             out = []
-            for task, side, node, part, text in zip(*(batch.column(i).to_pylist() for i in range(4)), utf8(batch.column(4)), strict=True):
-                if task != now:
-                    out += links(held, codes)
-                    now, held = task, []
+            for task, band, side, node, part, text in zip(*(batch.column(i).to_pylist() for i in range(5)), utf8(batch.column(5)), strict=True):
+                if (task, band) != now:
+                    out += links(now[1], held, codes)
+                    now, held = (task, band), []
                 if not held or held[-1][:2] != (side, node):  # repeated rows bring a text several times
                     held.append((side, node, part, text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-        out = links(held, codes)
+        out = links(now[1], held, codes)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    dealt = tasks.select("task", "side", "node", "part", "text").repartition("task").sortWithinPartitions("task", "side", "node")
+    dealt = tasks.select("task", "band", "side", "node", "part", "text").repartition("task").sortWithinPartitions("task", "band", "side", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _screened(members: DataFrame, sizes: DataFrame, signatures: DataFrame, rows: int, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) that may be links, a's likest ``FAN``; a row with b null tells that a has more.
+
+    ``members``: band, node, part; ``sizes``: band, docs. The nodes of a band are dealt into
+    pieces by hash, and each two pieces, or a piece and itself, are a task.
+    """
+    keep = least_matches(percent, miss)
+
+    def pairs(band: int, held: list[tuple]) -> list[tuple]:
+        if len(held) < 2:
+            return []
+        sides, nodes, parts = (np.array([h[i] for h in held]) for i in range(3))
+        values = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint16).reshape(len(held), HASHES)
+        out = []
+        for i in np.flatnonzero(sides < 2).tolist():
+            js = np.arange(i + 1, len(held))
+            js, equal = _survivors(values, i, js[(parts[js] != parts[i]) & ((sides[i] == 0) | (sides[js] != sides[i]))], keep)
+            if len(js):
+                shared = (values[js] == values[i]).reshape(len(js), -1, rows).all(axis=2)
+                first = band_keys(values[i], rows).view(np.int64)[shared.argmax(axis=1)] == band
+                js, equal = js[first & shared.any(axis=1)], equal[first & shared.any(axis=1)]
+            best = np.argsort(-equal, kind="stable")[: FAN + 1]  # one more tells that there are more
+            out += [(int(nodes[i]), int(nodes[j]), int(e)) for j, e in zip(js[best], equal[best], strict=True)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None)
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for *task, side, node, part, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != now:
+                    out += pairs(now[0], held) if now else []
+                    now, held = task, []
+                held.append((side, node, part, sig))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "equal"])
+        out = pairs(now[0], held) if now else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "equal"])
+
+    total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).head()[0]
+    wide = look_up_spread(members, sizes.withColumn("ways", F.ceil(F.col("docs") / SCREEN).cast("int")), ["band"], "docs", total)
+    mine = wide.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    side = F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2)
+    tasks = mine.select("band", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), side.alias("side"), "node", "part")
+    dealt = tasks.join(signatures.hint("merge"), "node").select("band", "low", "high", "side", "node", "part", "sig")
+    found = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "side", "node").mapInArrow(run, "a long, b long, equal long")
+    first = Window.partitionBy("a").orderBy(F.col("equal").desc(), "b")
+    ranked = found.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= FAN + 1)
+    return ranked.select("a", F.when(F.col("rank") <= FAN, F.col("b")).alias("b"))
+
+
 def _blocked(rows: DataFrame, group: list[str]) -> DataFrame:
     """``rows`` (group, node, size, ...) with ``block``: bounded runs of a group's nodes.
 
@@ -186,52 +264,35 @@ def _blocked(rows: DataFrame, group: list[str]) -> DataFrame:
     return dealt.withColumn("block", F.concat_ws(".", "_piece", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_BYTES))).drop("_piece", "_weight")
 
 
-def _tie_tasks(members: DataFrame) -> DataFrame:
-    """Each node with the leader that it shares most bands with, a leader's nodes in blocks: task, side, node."""
+def _hub_tasks(pairs: DataFrame) -> DataFrame:
+    """Nodes and the ``leader`` that each is compared with, a leader's nodes in blocks: task, band (null), side, node."""
+    blocks = written(_blocked(pairs, ["leader"]).select("leader", "node", F.concat_ws("/", "leader", "block").alias("task")))
+    hubs = blocks.select("task", F.lit(1).alias("side"), F.col("leader").alias("node")).distinct()
+    return hubs.unionByName(blocks.select("task", F.lit(2).alias("side"), "node")).withColumn("band", F.lit(None).cast("long"))
+
+
+def _ties(members: DataFrame) -> DataFrame:
+    """Each node with the leader that it shares most bands with: node, leader, size."""
     shared = members.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    chosen = written(shared.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"), F.first("size").alias("size")))
-    blocks = written(_blocked(chosen, ["leader"]).select("leader", "node", F.concat_ws("/", "leader", "block").alias("task")))
-    return blocks.select("task", F.lit(1).alias("side"), "node").unionByName(blocks.select("task", F.lit(2).alias("side"), F.col("leader").alias("node")).distinct())
+    return written(shared.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"), F.first("size").alias("size")))
 
 
-def _block_pairs(of: DataFrame) -> DataFrame:
-    """Which blocks share an open band. ``of``: band, cluster, block, pool; adds block2 and pool2.
+def _open_bands(parted: DataFrame, of: str = "true") -> DataFrame:
+    """Bands that hold several components, and a node for which ``of`` is true: band, docs."""
+    found = parted.groupBy("band").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high"), F.bool_or(F.expr(of)).alias("some"))
+    return written(found.filter("low <> high AND some").select("band", "docs"))
 
-    Blocks of a band that has few of them are paired by band. Blocks with a wider band, such
-    as that of a large group, are paired within their cluster once, not for each band; one
-    side of a large cluster is dealt over several tasks.
-    """
-    many = of.groupBy("band").agg(F.count("*").alias("blocks"))
-    counted = written(of.join(many.hint("merge"), "band"))
-    second = [F.col("block").alias("block2"), F.col("pool").alias("pool2")]
-    few = counted.filter(F.col("blocks") <= _FEW_BLOCKS).drop("blocks")
-    by_band = few.join(few.select("band", *second).hint("merge"), "band")
-    wide = written(counted.filter(F.col("blocks") > _FEW_BLOCKS).select("cluster", "block", "pool").distinct())
-    ways = wide.groupBy("cluster").agg(F.ceil(F.count("*") / 16).cast("int").alias("ways"))
-    dealt = wide.join(ways.hint("merge"), "cluster")
-    left = dealt.select("cluster", "block", "pool", F.pmod(F.xxhash64("block"), F.col("ways")).cast("int").alias("way"))
-    right = dealt.select("cluster", *second, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    by_cluster = left.join(right.hint("merge"), ["cluster", "way"])
-    columns = ["block", "pool", "block2", "pool2"]
-    return by_band.select(columns).unionByName(by_cluster.select(columns))
-
-
-def _open_tasks(members: DataFrame) -> DataFrame:
-    """Blocks of nodes that share an open band: task, side, node. ``members``: node, size, band, leader, part."""
-    clusters = connected_components(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "cluster")
-    nodes = written(members.select("node", "size", "part").distinct().join(clusters.hint("merge"), "node"))
-    # A component that fills a block has blocks of its own; the nodes of smaller ones share blocks.
-    sizes = written(nodes.groupBy("cluster", "part").agg(F.count("*").alias("docs")).select("cluster", "part", "docs", (F.col("docs") >= BLOCK).alias("alone")))
-    total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).head()[0]
-    pool = look_up_spread(nodes, sizes, ["cluster", "part"], "docs", total).withColumn("pool", F.when(F.col("alone"), F.col("part")).otherwise(F.lit(-1)))
-    blocks = written(_blocked(written(pool), ["cluster", "pool"]).select("node", "cluster", "pool", F.concat_ws("/", "cluster", "pool", "block").alias("block")))
-    of = written(members.select("node", "band").distinct().join(blocks.hint("merge"), "node").select("band", "cluster", "block", "pool").distinct())
-    pairs = _block_pairs(of).filter("block <= block2 AND NOT (pool = pool2 AND pool <> -1)").select("block", "block2").distinct()
-    pairs = written(pairs.withColumn("task", F.concat_ws("|", "block", "block2")))
+
+def _band_tasks(members: DataFrame) -> DataFrame:
+    """Each two blocks of texts of a band: task, band, side, node, part. ``members``: band, node, size, part."""
+    blocks = written(_blocked(members, ["band"]).select("band", "node", "part", "block"))
+    names = blocks.select("band", "block").distinct()
+    pairs = names.join(names.withColumnRenamed("block", "block2").hint("merge"), "band").filter("block <= block2")
+    pairs = written(pairs.withColumn("task", F.concat_ws("|", "band", "block", "block2")))
     same = F.col("block") == F.col("block2")
-    left = pairs.select("block", "task", F.when(same, 0).otherwise(1).alias("side"))
-    right = pairs.filter(~same).select(F.col("block2").alias("block"), "task", F.lit(2).alias("side"))
-    return blocks.select("node", "block").join(left.unionByName(right).hint("merge"), "block").select("task", "side", "node")
+    left = pairs.select("band", "block", "task", F.when(same, 0).otherwise(1).alias("side"))
+    right = pairs.filter(~same).select("band", F.col("block2").alias("block"), "task", F.lit(2).alias("side"))
+    return blocks.join(left.unionByName(right).hint("merge"), ["band", "block"]).select("task", "band", "side", "node", "part")
 
 
 def _grouped(texts: DataFrame, shingle: int, percent: int, miss: float, sketch_path: str, named_path: str) -> tuple[DataFrame, DataFrame]:
@@ -250,18 +311,32 @@ def _grouped(texts: DataFrame, shingle: int, percent: int, miss: float, sketch_p
     def verify(tasks: DataFrame) -> DataFrame:
         return written(_verified(tasks.join(candidates.hint("merge"), "node"), shingle, rows, percent, miss))
 
-    ties = verify(_tie_tasks(members).withColumn("part", F.col("node")))
-    tied = written(connected_components(ties))
-    part = F.coalesce("component", "node").alias("part")
-    parted = written(members.join(tied.hint("merge"), "node", "left").select("node", "size", "band", "leader", part))
-    open_ = written(parted.groupBy("band").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band", "docs"))
-    n = open_.agg(F.sum("docs")).head()[0]
-    linked = tied
-    if n:
-        still = written(look_up_spread(parted, open_, ["band"], "docs", n))
-        tasks = _open_tasks(still).join(still.select("node", "part").distinct().hint("merge"), "node")
-        links = verify(tasks)
-        linked = written(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+    def components(links: DataFrame, before: DataFrame) -> DataFrame:
+        known_links = before.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return written(connected_components(known_links.unionByName(links)))
+
+    def parted(linked: DataFrame) -> DataFrame:
+        part = F.coalesce("component", "node").alias("part")
+        return written(members.join(linked.hint("merge"), "node", "left").select("node", "size", "band", part))
+
+    linked = written(connected_components(verify(_hub_tasks(_ties(members)).withColumn("part", F.col("node")))))
+    now = parted(linked)
+    open_ = _open_bands(now)
+    if not open_.isEmpty():
+        still = written(look_up_spread(now, open_, ["band"], "docs", open_.agg(F.sum("docs")).head()[0]))
+        parts = written(still.select("node", "part").distinct())
+        signatures = written(_signatures(candidates.join(parts.hint("merge"), "node", "left_semi"), shingle))
+        found = written(_screened(still.select("band", "node", "part"), open_, signatures, rows, percent, miss))
+        pairs = found.filter("b IS NOT NULL").select(F.col("a").alias("leader"), F.col("b").alias("node"))
+        named = written(pairs.join(classes.select("node", "size").hint("merge"), "node"))
+        linked = components(verify(_hub_tasks(named).join(parts.hint("merge"), "node")), linked)
+        more = found.filter("b IS NULL").select(F.col("a").alias("node"), F.lit(True).alias("more"))
+        if not more.isEmpty():
+            now = written(parted(linked).join(more.hint("merge"), "node", "left"))
+            open_ = _open_bands(now, "more")
+            if not open_.isEmpty():
+                still = look_up_spread(now, open_, ["band"], "docs", open_.agg(F.sum("docs")).head()[0])
+                linked = components(verify(_band_tasks(still.select("band", "node", "size", "part"))), linked)
     # The least id and text of each component, for its nodes and then for their rows.
     members_of = written(linked.join(classes.select("node", "id", "fp").hint("merge"), "node"))
     firsts = written(members_of.groupBy("component").agg(F.min(F.struct("id", "fp")).alias("first"), F.count("*").alias("docs")))

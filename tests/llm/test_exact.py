@@ -453,15 +453,35 @@ def near_docs(spark):
     return docs, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize(("shingle", "percent", "block", "size"), [(3, 85, 64, 4 << 20), (5, 80, 64, 4 << 20), (3, 85, 4, 4 << 20), (5, 80, 64, 1000)])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, block, size):
+@pytest.mark.parametrize(("shingle", "percent", "block", "size", "screen", "fan"), [(5, 80, 2048, 8 << 20, 4096, 8), (3, 85, 4, 4 << 20, 5, 1), (5, 80, 64, 1000, 3, 1)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, shingle, percent, block, size, screen, fan):
     monkeypatch.setattr(near_dedup, "BLOCK", block)  # small blocks: groups are spread over many tasks
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(near_dedup, "SCREEN", screen)
+    monkeypatch.setattr(near_dedup, "FAN", fan)  # few partners: the rest is compared by texts
     docs, df = near_docs(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=shingle, percent=percent).collect()}
     assert got == brute_groups(docs, shingle, percent)
 
 
+def test_near_duplicates_of_a_template_cost_no_pairs(spark, monkeypatch):
+    """Documents about 0.8 alike: groups are whole, and rows that meet in tasks grow with the documents."""
+    seen, real = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, path=None: (lambda out: (seen.append(out.count()), out)[1])(real(df, path)))
+    most = []
+    for m in (60, 240):
+        rng, docs = random.Random(4), []
+        base = [f"w{i}" for i in range(120)]
+        for i in range(m):
+            n, at = rng.randrange(7, 15), rng.randrange(100)
+            docs.append((i, " ".join(base[:at] + [f"x{i}.{j}" for j in range(n)] + base[at + n :])))
+        seen.clear()
+        rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_groups(docs, 5, 80)
+        most.append(max(seen))
+    assert most[1] < 6 * most[0]
+
+
 def test_near_duplicate_query_equals_all_pairs(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows = queries.op10_near_dedup(spark, SF).collect()
