@@ -6,8 +6,8 @@ OP1 = r"""
 WITH kinds(kind, ord, re) AS (VALUES
   ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), ('card', 2, '[0-9](?:[ -]?[0-9])+'),
   ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'), ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'),
-  ('key', 6, '\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255})\b|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'),
-  ('secret', 7, '\b(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)["'']?[ \t]*[:=][ \t]*["'']?[^\x00-\x20"''<>,;#]{8,512}')
+  ('key', 6, '\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{9,}[A-Za-z0-9]|sk-[A-Za-z0-9_-]{19,}[A-Za-z0-9_])\b|-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----'),
+  ('secret', 7, '\b(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)["'']?[ \t]*[:=][ \t]*["'']?[^\x00-\x20"''<>,;#]{8,}')
 ), texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), cut AS (SELECT doc_id, kind, ord, t, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS p FROM texts, kinds WHERE regexp_matches(t, re)
 ), spans AS (

@@ -87,8 +87,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     not read.
     """
     tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    # Rows without an id have nothing to be dealt by but their place in this table.
-    counted = written(docs.select(F.col(id_col), tokens.alias("n_tokens"), *carry, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_row")))
+    # Ids may be null or repeat: each row is dealt by its place in this table.
+    counted = written(docs.select(F.col(id_col), tokens.alias("n_tokens"), *carry, F.monotonically_increasing_id().alias("_row")))
     histogram = [(r[0], r[1]) for r in counted.groupBy("n_tokens").count().orderBy("n_tokens").collect()]
     bounds = optimal_boundaries(histogram, buckets) or [0]
     per_batch = [max(1, token_budget // max(1, b)) for b in bounds]
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     groups = [max(1, -(-n // (size * GROUP_BATCHES))) for n, size in zip(rows, per_batch, strict=True)]
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("bucket"))
     dealt = counted.withColumn("bucket", F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b < F.col("n_tokens"))))
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(id_col, "n_tokens", "_row"), of(groups).cast("long")))
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_row"), of(groups).cast("long")))
     place = F.row_number().over(Window.partitionBy("bucket", "_group").orderBy("n_tokens", id_col, "_row")) - 1
     placed = dealt.withColumn("_place", place)
     batch = F.concat_ws("-", "bucket", "_group", F.floor(F.col("_place") / of(per_batch)))

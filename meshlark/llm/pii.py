@@ -84,7 +84,8 @@ def _phone(text: Column) -> Column:
 #   [0-9]([\x20-]?[0-9])+  with 12 to 19 digits
 #   \+[0-9][\x20().0-9-]+[0-9]
 # A match can only begin where its run begins, or where the last match ended (\G), and a
-# run is never given back, so no text makes them go back and forth.
+# run is never given back, so no text makes them go back and forth. Repeats without a bound
+# are of single characters or possessive: both are loops, which no length makes recursive.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _any, 0.8, "e-?mails?|mails?|contact|write", "@"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", lambda m: m.rlike(f"^{_PART}(?:\\.{_PART}){{3}}$"), 0.6, "address|addresses|hosts?|servers?|ips?", "."),
@@ -92,8 +93,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.7, "phones?|telephone|tel|calls?|fax|mobile", "+"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|accounts?|bank|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _any, 0.3, "ssn|social security", "-", 0.5),
-    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255})(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", _any, 0.8, "aws|keys?|secrets?|tokens?"),
-    Kind("secret", r"(?<![A-Za-z0-9_])(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)[\"']?[ \t]*[:=][ \t]*[\"']?[^\x00-\x20\"'<>,;#]{8,512}+", _secret, 0.7, "keys?|secrets?|credentials?|login"),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{9,}[A-Za-z0-9]|sk-[A-Za-z0-9_-]{19,}[A-Za-z0-9_])(?![A-Za-z0-9_])|-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----", _any, 0.8, "aws|keys?|secrets?|tokens?"),
+    Kind("secret", r"(?<![A-Za-z0-9_])(?:[Aa][Pp][Ii][ _-]?[Kk][Ee][Yy]|[Aa]ccess[ _-]?[Kk]ey|ACCESS_KEY|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Pp]wd)[\"']?[ \t]*[:=][ \t]*[\"']?[^\x00-\x20\"'<>,;#]{8,}+", _secret, 0.7, "keys?|secrets?|credentials?|login"),
 )
 BASE = ("email", "ip", "card", "phone")
 

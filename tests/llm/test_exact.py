@@ -72,6 +72,32 @@ def test_pii_equals_plain_regexes(spark):
         assert all(texts[r["doc_id"]][s["start"] : s["end"]] == s["text"] for s in r["spans"])
 
 
+def test_pii_of_a_megabyte_of_each_kind(spark):
+    """Parts of every kind, repeated: no recursion, no quadratic time, and base spans as plain regexes find them."""
+    parts = {
+        "email": ["a", "a@", "a@b", ".b", "a.b@c.d ", "@"], "ip": ["1.", "1.2.3.4.", "255.1.1.1 ", "9"], "card": ["4 ", "4-", "4111111111111111 ", "41"], "phone": ["+1", "+1(", "1(", "+1 555 123 4567 "],
+        "iban": ["GB82", "GB82WEST12345698765432 ", "A1 "], "ssn": ["078-05-1120 ", "078-", "ssn 078-05-1120 "], "key": ["A ", "-----BEGIN ", "PRIVATE KEY", "sk-", "sk--", "xoxb-", "ghp_", "AKIA", "xoxb-aaaaaaaaaa_"], "secret": ["token=", "token ", "secret:x", "password = 'x1"],
+    }
+    heads = {"email": "a@b", "key": "-----BEGIN ", "secret": "password="}
+    heads_of = lambda k: ("", heads[k]) if k in heads else ("",)
+    made = lambda n: [h + (x * (1 + n // len(x)))[:n] + e for k, xs in parts.items() for x in xs for h in heads_of(k) for e in ("", "_")]
+    texts = made(4000)
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.BASE]
+        assert got == base_spans(texts[r["doc_id"]]), texts[r["doc_id"]][:60]
+    large = spark.createDataFrame(list(enumerate(made(1_000_000))), "doc_id long, text string").repartition(16)
+    assert pii.find_pii(large).select(F.count("doc_id"), F.sum(F.size("spans"))).head()[0] == len(texts)
+
+
+def test_pii_long_secrets_and_keys_are_whole(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcXYZ0189") for _ in range(n))
+    made = [("secret", "password: " + word(600)), ("secret", "api_key=" + word(5000)), ("key", "ghp_" + word(400)), ("key", "xoxb-" + word(300) + "-" + word(300)), ("key", "sk-" + word(3000)), ("key", "-----BEGIN ENCRYPTED PRIVATE KEY-----")]
+    rows = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    for r in pii.find_pii(rows).collect():
+        assert [(s["kind"], s["text"]) for s in r["spans"] if s["kind"] in ("key", "secret")] == [made[r["doc_id"]]]
+
+
 def test_pii_checksums_and_context(spark):
     texts = ["iban GB82 WEST 1234 5698 7654 32 ok", "GB82 WEST 1234 5698 7654 33", "my SSN is 078-05-1120", "part no 078-05-1120", "card 4111111111111111", "4111111111111111"]
     rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
