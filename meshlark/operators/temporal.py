@@ -59,6 +59,41 @@ def overlapping(rows: DataFrame, keys: list[str], from_col: str = "valid_from",
     return rows.withColumn("_reach", reach).filter(F.coalesce(F.col("_reach") > F.col(from_col), F.lit(False))).drop("_reach")
 
 
+#: Seconds of the smallest class of interval lengths; each further class is twice as long.
+_LEAST = 3600
+
+
+def conflicts(rows: DataFrame, keys: list[str], id_col: str, from_col: str = "valid_from", to_col: str = "valid_to") -> DataFrame:
+    """All pairs of rows with the same keys whose valid intervals [from, to) share a moment.
+
+    Returns ``keys``, ``first_id`` and ``second_id`` (the one that begins later; of equal
+    beginnings the larger id), ``overlap_from`` and ``overlap_to`` (null if both are open).
+    An open interval (null ``to``) never ends. Empty and inverted intervals, null beginnings
+    and null keys clash with nothing. Ids tell rows apart: rows of one id do not clash.
+
+    Two intervals clash if one begins within the other. An interval of a length class
+    covers two or three buckets of that class's width, and a beginning falls into one bucket
+    of each class that occurs, so the join is by equal keys and buckets and its candidates
+    are near the results; a long interval is never dealt out bucket by bucket. Buckets also
+    spread a key that holds many rows.
+    """
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    begin, end = F.col("_from"), F.col("_to")
+    own = rows.select(*keys, F.col(id_col).alias("_id"), F.col(from_col).alias("_from"), F.col(to_col).alias("_to")).dropna(subset=[*keys, "_id", "_from"]).filter(end.isNull() | (end > begin))
+    # Open intervals have a class of their own, with one bucket.
+    length = F.greatest(seconds(end) - seconds(begin), F.lit(float(_LEAST)))
+    held = own.withColumn("_class", F.when(end.isNull(), -1).otherwise(F.ceil(F.log2(length / _LEAST))).cast("int"))
+    classes = sorted(r[0] for r in held.select("_class").distinct().collect())  # some forty at most
+    width = lambda c: F.lit(float(_LEAST)) * F.pow(F.lit(2.0), c)
+    bucket = lambda at, c: F.when(c < 0, 0).otherwise(F.floor(seconds(at) / width(c))).cast("long")
+    covering = held.withColumn("_bucket", F.explode(F.when(F.col("_class") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bucket(begin, F.col("_class")), bucket(end, F.col("_class"))))))
+    points = own.select(*keys, F.col("_id").alias("_id2"), F.col("_from").alias("_from2"), F.col("_to").alias("_to2"), F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")).alias("_class"))
+    points = points.withColumn("_bucket", bucket(F.col("_from2"), F.col("_class")))
+    pairs = covering.join(points, [*keys, "_class", "_bucket"]).filter((F.col("_from2") >= begin) & (end.isNull() | (F.col("_from2") < end)))
+    pairs = pairs.filter((F.col("_from2") > begin) & (F.col("_id") != F.col("_id2")) | ((F.col("_from2") == begin) & (F.col("_id2") > F.col("_id"))))
+    return pairs.select(*keys, F.col("_id").alias("first_id"), F.col("_id2").alias("second_id"), F.col("_from2").alias("overlap_from"), F.least("_to", "_to2").alias("overlap_to"))
+
+
 def provenance(rows: DataFrame, id_col: str, event_col: str, agent_col: str) -> DataFrame:
     """Triples (subject, relation, object): generated by an event, and what is known of its agent."""
     triple = lambda a, r, b: F.struct(a.cast("string").alias("subject"), F.lit(r).alias("relation"), b.cast("string").alias("object"))

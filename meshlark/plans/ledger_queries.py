@@ -241,7 +241,17 @@ def currently_asserted(spark, sf_dir):
 SELECT o_orderkey FROM (SELECT o_orderkey, valid_from, max(valid_to) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_to, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) WHERE reach > valid_from""")
 def valid_overlap(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("valid_to"))
-    return temporal.overlapping(rows.orderBy("o_orderkey"), ["o_custkey"]).select("o_orderkey")
+    return temporal.overlapping(rows, ["o_custkey"]).select("o_orderkey")
+
+
+@C.query("""WITH v AS (SELECT o_orderkey, o_custkey, o_orderdate AS valid_from, CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'P' THEN o_orderdate + INTERVAL 300 DAY ELSE o_orderdate + INTERVAL 20 DAY END AS valid_to FROM orders)
+SELECT a.o_custkey, a.o_orderkey AS first_id, b.o_orderkey AS second_id, b.valid_from AS overlap_from, CASE WHEN a.valid_to IS NULL THEN b.valid_to WHEN b.valid_to IS NULL THEN a.valid_to ELSE least(a.valid_to, b.valid_to) END AS overlap_to
+FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND b.valid_from >= a.valid_from AND (a.valid_to IS NULL OR b.valid_from < a.valid_to) AND (b.valid_from > a.valid_from OR b.o_orderkey > a.o_orderkey) AND a.o_orderkey <> b.o_orderkey""")
+def conflicting_pairs(spark, sf_dir):
+    days = lambda n: F.col("o_orderdate") + F.make_dt_interval(F.lit(n))
+    until = F.when(F.col("o_orderstatus") == "P", days(300)).when(F.col("o_orderstatus") != "O", days(20))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("valid_from"), until.alias("valid_to"))
+    return temporal.conflicts(rows, ["o_custkey"], "o_orderkey")
 
 
 @C.query("""SELECT CAST(event_id AS VARCHAR) AS subject, 'wasGeneratedBy' AS relation, event_type AS object FROM events

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.identity import project_id, row_id
+from ..operators import reach
 from ..operators.objectset import FULL
 from .base import Catalogue
 from .domain import graph
@@ -256,3 +257,18 @@ def ordered_within(spark, sf_dir):
     rows = graph(spark, sf_dir).objects("orders").where_text("o_orderstatus = 'P'").df
     place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
     return rows.select(F.col("o_orderpriority").alias("priority"), "o_orderkey", place.alias("place")).filter("place <= 3")
+
+
+@C.query("""WITH RECURSIVE e AS (
+  SELECT 'customer' AS st, CAST(o_custkey AS VARCHAR) AS si, 'orders' AS tt, CAST(o_orderkey AS VARCHAR) AS ti FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION SELECT 'orders', CAST(l_orderkey AS VARCHAR), 'part', CAST(l_partkey AS VARCHAR) FROM lineitem
+), ways AS (SELECT * FROM e UNION SELECT tt, ti, st, si FROM e
+), walk AS (
+  SELECT DISTINCT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, 0 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'JAPAN'
+  UNION SELECT tt, ti, depth + 1 FROM walk JOIN ways ON type = st AND id = si WHERE depth < 12
+) SELECT type, id, min(depth) AS depth FROM walk GROUP BY type, id""")
+def reach_any_depth(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    start = g.objects("nation").where(F.col("n_name") == "JAPAN").traverse("customers").with_id("id").select(F.lit("customer").alias("type"), "id")
+    edges = [reach.both_ways(reach.link_edges(g, "customer", "orders")), reach.both_ways(reach.association_edges(g, "lineitem", "order", "part"))]
+    return reach.reachable(start, edges)
