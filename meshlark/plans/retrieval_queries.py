@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import vector_literal
-from ..operators import chunking, retrieval
-from ..sources.lineage import cut_lineage
+from ..operators import chunking, retrieval, vector_index
+from ..sources.lineage import cut_lineage, shared_folder
 from .base import Catalogue, table
 from .domain import graph
 
@@ -256,3 +256,14 @@ def complexity(spark, sf_dir):
 def label_facets(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))
+
+
+@C.query(f"""SELECT query_id, id, score, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label IN (3, 7))) WHERE r <= 5""")
+def vector_index_filtered(spark, sf_dir):
+    """A filtered search over the index with every cell in reach, so that its lists are exact."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+    index = vector_index.build(e, shared_folder(spark), 16, columns=("label",))
+    queries = e.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "vector")
+    found = vector_index.search(index, queries, 5, F.col("label").isin(3, 7), vector_index.STRICT, probes=16)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
