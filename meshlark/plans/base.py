@@ -15,6 +15,7 @@ class Catalogue:
     def __init__(self):
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        self.checks: dict[str, tuple[Query, str]] = {}
 
     def query(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
@@ -25,6 +26,15 @@ class Catalogue:
 
         return add
 
+    def model_check(self, sql: str) -> Callable[[Query], Query]:
+        """A question about the model alone: it reads no table, so it is tested but is no query of the data."""
+
+        def add(f: Query) -> Query:
+            self.checks[f.__name__] = (f, sql)
+            return f
+
+        return add
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,3 +20,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for c in _PARTS for k, s in c.sql.items()}
+
+
+def model_checks() -> dict:
+    """Questions about the model, which read no table: function and SQL by name."""
+    return {k: x for c in _PARTS for k, x in c.checks.items()}

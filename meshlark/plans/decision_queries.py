@@ -45,12 +45,12 @@ def label_coverage(spark, sf_dir):
     return D.coverage(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id", ["source"])
 
 
-@C.query("SELECT * FROM (VALUES ('modifies', 'c_acctbal')) t(effect, subject)")
+@C.model_check("SELECT * FROM (VALUES ('modifies', 'c_acctbal')) t(effect, subject)")
 def action_effects(spark, sf_dir):
     return D.effects(model().frames(spark), "customer", "close")
 
 
-@C.query("SELECT * FROM (VALUES ('customer', 'contact'), ('supplier', NULL)) t(type, action)")
+@C.model_check("SELECT * FROM (VALUES ('customer', 'contact'), ('supplier', NULL)) t(type, action)")
 def interface_actions(spark, sf_dir):
     return D.resolved_actions(model().frames(spark), "Party", "reach").select("type", "action")
 

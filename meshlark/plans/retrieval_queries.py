@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import vector_literal
-from ..operators import chunking, retrieval, vector_index
+from ..operators import chunking, keyword_index, retrieval, vector_index
 from ..sources.lineage import cut_lineage, shared_folder
 from .base import Catalogue, table
 from .domain import graph
@@ -267,3 +267,12 @@ def vector_index_filtered(spark, sf_dir):
     queries = e.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "vector")
     found = vector_index.search(index, queries, 5, F.col("label").isin(3, 7), vector_index.STRICT, probes=16)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@C.query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 10")
+def keyword_index_topk(spark, sf_dir):
+    """BM25 from a stored index of two segments; the search reads postings, not documents."""
+    index, docs = keyword_index.KeywordIndex(spark, shared_folder(spark)), table(spark, sf_dir, "documents")
+    index.append(docs.filter("lang = 'en'"))
+    index.append(docs.filter("lang <> 'en' OR lang IS NULL"))
+    return index.search(table(spark, sf_dir, "benchmark"), 10, query_id="item_id")

@@ -23,13 +23,13 @@ def _log(spark, sf_dir):
     return e.select("event_id", "ts", F.col("user_id").alias("workflow_id"), F.col("event_type").alias("step"), "value", (F.col("event_type") != "error").alias("ok"), (F.col("value") / 100).alias("confidence"))
 
 
-@C.query("""SELECT * FROM (VALUES ('NotStarted', 'view', ''), ('view', 'click', ''), ('click', 'choice', ''), ('choice', 'purchase', 'purchase'), ('choice', 'signup', '*'), ('purchase', 'Completed', ''), ('signup', 'Completed', ''),
+@C.model_check("""SELECT * FROM (VALUES ('NotStarted', 'view', ''), ('view', 'click', ''), ('click', 'choice', ''), ('choice', 'purchase', 'purchase'), ('choice', 'signup', '*'), ('purchase', 'Completed', ''), ('signup', 'Completed', ''),
   ('view', 'Failed', 'failed'), ('click', 'Failed', 'failed'), ('choice', 'Failed', 'failed'), ('purchase', 'Failed', 'failed'), ('signup', 'Failed', 'failed')) t(phase_from, phase_to, "case")""")
 def workflow_transitions(spark, sf_dir):
     return W.Workflow.from_json(example().to_json()).transitions(spark).drop("workflow")
 
 
-@C.query("SELECT * FROM (VALUES ('view', 'step', 'unview'), ('click', 'step', ''), ('choice', 'branch', ''), ('purchase', 'step', ''), ('signup', 'step', '')) t(step, kind, compensate)")
+@C.model_check("SELECT * FROM (VALUES ('view', 'step', 'unview'), ('click', 'step', ''), ('choice', 'branch', ''), ('purchase', 'step', ''), ('signup', 'step', '')) t(step, kind, compensate)")
 def workflow_steps(spark, sf_dir):
     return example().step_table(spark).select("step", "kind", "compensate")
 
@@ -112,7 +112,7 @@ def step_telemetry(spark, sf_dir):
     return W.step_telemetry(_log(spark, sf_dir), "step", F.col("value") >= 20, F.col("value"))
 
 
-@C.query("SELECT i AS attempt, least(1.0 * power(2.0, i), 60.0)::DOUBLE AS wait FROM range(9) t(i)")
+@C.model_check("SELECT i AS attempt, least(1.0 * power(2.0, i), 60.0)::DOUBLE AS wait FROM range(9) t(i)")
 def retry_backoff(spark, sf_dir):
     return spark.range(1).select(F.posexplode(backoff_schedule(9)).alias("attempt", "wait")).select(F.col("attempt").cast("long").alias("attempt"), "wait")
 

@@ -22,5 +22,11 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.model_checks()))
+def test_model_check_equals_sql(spark, con, name):
+    f, sql = catalogue.model_checks()[name]
+    same(f(spark, SF), con, sql)
+
+
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() > 0
