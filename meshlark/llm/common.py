@@ -114,8 +114,8 @@ def look_up_spread(rows: DataFrame, table: DataFrame, on: list[str], count: str,
     return rows.join(hot, on).select(cols).unionByName(rest.join(cool.hint("merge"), on).select(cols))
 
 
-#: Bytes of text in one range.
-RANGE_BYTES = 48 << 20
+#: Bytes of text in one range, and the most ranges that a corpus is cut into: beyond 3 TB ranges grow.
+RANGE_BYTES, PARTS = 48 << 20, 1 << 16
 
 
 class Ranges:
@@ -128,6 +128,13 @@ class Ranges:
     def __len__(self) -> int:
         return max(1, len(self.first))
 
+    def at_most(self, most: int) -> Ranges:
+        """As few neighbouring ranges joined as it takes to have at most ``most``."""
+        step = max(1, -(-len(self.first) // most))
+        out = Ranges([])
+        out.first, out.second = self.first[::step], self.second[::step]
+        return out
+
     def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The number of each row's range."""
         low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, WordCodes, byte_ranges, mix64, shingle_set
+from .common import PARTS, RANGE_BYTES, WordCodes, byte_ranges, mix64, shingle_set
 
 #: Bins and stored bits of a bin: the standard error at likeness 1/3 is about 0.023.
 BINS, BITS, SHINGLE = 512, 4, 5
@@ -96,11 +96,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     Columns: part, guest (1 for the row that belongs to the next range), id, text; sorted
     within partitions. The last range is followed by the very first row. Ranges hold about
-    ``range_bytes`` of text; their first keys are sent to the tasks, 16 bytes each.
+    ``range_bytes`` of text, more where there would be over ``PARTS`` of them; their first
+    keys are sent to the tasks, 16 bytes each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))).alias("key"), F.xxhash64(text).alias("fp"), F.octet_length(text).cast("long").alias("size"), F.col(id_col).alias("id"), text.alias("text"))
-    ranges = byte_ranges(rows.select("key", "fp", "size"), range_bytes)
+    ranges = byte_ranges(rows.select("key", "fp", "size"), range_bytes).at_most(PARTS)
     sent, width = docs.sparkSession.sparkContext.broadcast(ranges), len(ranges)
 
     @F.arrow_udf("long")

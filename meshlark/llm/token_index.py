@@ -1,9 +1,11 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 Texts are encoded where they are read; the id payloads are dealt into ranges of ascending
-keys, and each range is streamed into a shard file. A second, small job deals the places
-(key, shard, offset, count) by key hash and writes for each part a minimal perfect hash
-from keys to places, with stored fingerprints that tell foreign keys apart. Files go to a
+keys, and each range is streamed into a shard file, with the numbers of ids of its
+documents behind them. A key's documents follow each other, so its place is one entry for
+each shard that holds any, however many they are. A second, small job deals these places by
+key hash and writes for each part a minimal perfect hash from keys to places, with stored
+fingerprints that tell foreign keys apart. Files go to a
 folder that all executors share and carry the task attempt in their names; only files
 named in committed results count.
 """
@@ -27,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, byte_ranges, discard, kept, mix64, shared_dir, written
+from .common import PARTS, RANGE_BYTES, byte_ranges, discard, kept, mix64, shared_dir, written
 
 MAGIC = b"TOKIDS01"
 #: Keys in one part of the index: about 24 bytes each in memory.
 INDEX_KEYS = 1_000_000
+#: Ways in which rows of one id and text may be dealt apart.
+_OWN = 4096
 #: Pieces that one worker keeps at most (about 60 MB).
 CACHE = 250_000
 
@@ -162,10 +166,10 @@ class PerfectHash:
 
 @dataclass
 class TokenStore:
-    """The manifest of a written store: shard files with their first positions, and index files."""
+    """The manifest of a written store: shard files, their first positions and their ids, and index files."""
 
     dtype: str
-    shards: list[tuple[str, int]]
+    shards: list[tuple[str, int, int]]
     index: list[str]
 
     def get(self, key: int | None) -> list[np.ndarray]:
@@ -173,7 +177,11 @@ class TokenStore:
         h = key_hash(key)
         part = (h - (h >> 63 << 64)) % len(self.index)
         found = _Index(self.index[part]).find(np.array([h], dtype=np.uint64))
-        return [_read(self.shards[s][0], o, n, np.dtype(self.dtype)) for _, s, o, n in found]
+        out = []
+        for _, s, offset, doc, docs in found:
+            shard = _Shard(self.shards[s][0], self.shards[s][2], np.dtype(self.dtype))
+            out += [ids for _, ids in shard.documents(offset, doc, docs)]
+        return out
 
 
 def _open(path: str):
@@ -181,10 +189,25 @@ def _open(path: str):
     return fs, at
 
 
-def _read(path: str, offset: int, count: int, dtype: np.dtype) -> np.ndarray:
-    fs, at = _open(path)
-    with fs.open_input_file(at) as f:
-        return np.frombuffer(f.read_at(count * dtype.itemsize, len(MAGIC) + offset * dtype.itemsize), dtype)
+class _Shard:
+    """A shard file of ``total`` ids, read from front to back."""
+
+    def __init__(self, path: str, total: int, dtype: np.dtype):
+        fs, at = _open(path)
+        self.file, self.total, self.dtype = fs.open_input_file(at), total, dtype
+        self.first, self.counts = 0, np.zeros(0, np.uint32)
+
+    def _count(self, doc: int) -> int:
+        if not self.first <= doc < self.first + len(self.counts):
+            self.first, self.counts = doc, np.frombuffer(self.file.read_at(4 * 65_536, len(MAGIC) + self.total * self.dtype.itemsize + 4 * doc), np.uint32)
+        return int(self.counts[doc - self.first])
+
+    def documents(self, offset: int, doc: int, docs: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Offset and ids of ``docs`` documents, from number ``doc`` at ``offset`` on."""
+        for at in range(doc, doc + docs):
+            count = self._count(at)
+            yield offset, np.frombuffer(self.file.read_at(count * self.dtype.itemsize, len(MAGIC) + offset * self.dtype.itemsize), self.dtype)
+            offset += count
 
 
 class _Index:
@@ -196,8 +219,8 @@ class _Index:
             a = np.load(io.BytesIO(f.read()))
         self.hash, self.a = PerfectHash(a["words"], a["sizes"]), {k: a[k] for k in a.files}
 
-    def find(self, keys: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(number of the key, shard, offset, count) for each place of each known key."""
+    def find(self, keys: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(number of the key, shard, offset, first document, documents) for each place of each known key."""
         if not len(self.a["marks"]):
             return
         at = self.hash.places(keys)
@@ -205,19 +228,19 @@ class _Index:
         for i in np.flatnonzero((at >= 0) & (self.a["marks"][at] == mark)).tolist():
             first = int(self.a["first"][at[i]])
             for j in range(first, first + int(self.a["many"][at[i]])):
-                yield i, int(self.a["shard"][j]), int(self.a["offset"][j]), int(self.a["count"][j])
+                yield i, *(int(self.a[c][j]) for c in ("shard", "offset", "doc", "docs"))
 
 
-def _index_bytes(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, count: np.ndarray) -> bytes:
+def _index_bytes(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, doc: np.ndarray, docs: np.ndarray) -> bytes:
     order = np.lexsort((offset, shard, keys))
-    keys, shard, offset, count = keys[order], shard[order], offset[order], count[order]
+    keys, shard, offset, doc, docs = keys[order], shard[order], offset[order], doc[order], docs[order]
     distinct, first, many = np.unique(keys, return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
     at = mph.places(distinct)
     by = {"first": np.zeros(len(at), np.uint32), "many": np.zeros(len(at), np.uint32), "marks": np.zeros(len(at), np.uint32)}
     by["first"][at], by["many"][at], by["marks"][at] = first, many, (mix64(distinct) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     out = io.BytesIO()
-    np.savez(out, words=mph.words, sizes=mph.sizes, shard=shard.astype(np.uint32), offset=offset.astype(np.uint64), count=count.astype(np.uint32), **by)
+    np.savez(out, words=mph.words, sizes=mph.sizes, shard=shard.astype(np.uint32), offset=offset.astype(np.uint64), doc=doc.astype(np.uint32), docs=docs.astype(np.uint32), **by)
     return out.getvalue()
 
 
@@ -254,15 +277,19 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     Null texts are empty; each document ends with ``end_id`` (None: no end mark). Ids are
     integers; null ones come first and are looked up as null. Repeated ids keep all their
     documents, in order of a hash of their texts. A shard holds about ``range_bytes`` of
-    text. ``tokenizer_path`` must be readable on the executors; ``folder`` (default: the
+    text, more where there would be over ``PARTS`` shards; rows of one id, and of one id and
+    text, spread over as many shards as they fill. ``tokenizer_path`` must be readable on the executors; ``folder`` (default: the
     shared folder) by all of them. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    ranges = byte_ranges(rows.select("key", "fp", F.octet_length("text").cast("long")), range_bytes)
+    # The low bits are the row's own, so that rows of one id and text fall into several ranges.
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_OWN))
+    fp = F.xxhash64(text).bitwiseAND(F.lit(-_OWN)).bitwiseOR(own)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), fp.alias("fp"), text.alias("text"))
+    ranges = byte_ranges(rows.select("key", "fp", F.octet_length("text").cast("long")), range_bytes).at_most(PARTS)
     sent, width = spark.sparkContext.broadcast(ranges), len(ranges)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,34 +301,48 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), s.column(0), s.column(1), pa.array(coder.encode(s.column(2).to_pylist()), pa.binary())], names=["shard", "key", "fp", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, now, out, done, attempt = _encoder(tokenizer_path, end_id).dtype.itemsize, None, None, 0, TaskContext.get().taskAttemptId()
-        try:
-            for b in batches:
-                rows = []
-                for shard, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    if shard != now:
-                        if out is not None:
-                            out.close()
-                        now, done, path = shard, 0, posixpath.join(folder, f"shard-{shard:06d}-{attempt}.ids")
-                        fs, at = _open(path)
-                        out = fs.open_output_stream(at)
-                        out.write(MAGIC)
-                    out.write(ids)
-                    rows.append((doc, shard, path, done, len(ids) // size))
-                    done += len(ids) // size
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "shard", "path", "offset", "count"])
-        finally:
+        size, attempt = _encoder(tokenizer_path, end_id).dtype.itemsize, TaskContext.get().taskAttemptId()
+        now, out, done, counts, run, path = None, None, 0, array("I"), None, ""
+
+        def close() -> None:
             if out is not None:
+                out.write(counts.tobytes())
                 out.close()
 
+        def batch(runs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*runs, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "shard", "path", "offset", "ids", "doc", "docs"])
+
+        for b in batches:
+            runs = []
+            for shard, key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if shard != now:
+                    close()
+                    now, done, counts, path = shard, 0, array("I"), posixpath.join(folder, f"shard-{shard:06d}-{attempt}.ids")
+                    fs, at = _open(path)
+                    out = fs.open_output_stream(at)
+                    out.write(MAGIC)
+                if run is None or run[:2] != [key, shard]:
+                    if run:
+                        runs.append(run)
+                    run = [key, shard, path, done, 0, len(counts), 0]
+                out.write(ids)
+                n = len(ids) // size
+                counts.append(n)
+                run[4], run[6], done = run[4] + n, run[6] + 1, done + n
+            if runs:
+                yield batch(runs)
+        close()
+        if run:
+            yield batch([run])
+
     dealt = rows.mapInArrow(encode, "shard int, key long, fp long, ids binary").repartition(width, "shard").sortWithinPartitions("shard", "key", "fp", "ids").drop("fp")
-    places = written(dealt.mapInArrow(save, "key long, shard int, path string, offset long, count long"))
-    totals = {r["shard"]: r for r in places.groupBy("shard").agg(F.first("path").alias("path"), F.sum("count").alias("n"), F.count("*").alias("docs")).collect()}
+    places = written(dealt.mapInArrow(save, "key long, shard int, path string, offset long, ids long, doc long, docs long"))
+    totals = {r["shard"]: r for r in places.groupBy("shard").agg(F.first("path").alias("path"), F.sum("ids").alias("n"), F.count("*").alias("keys")).collect()}
     base, shards, rows = 0, [], 0
     for s in range(width):
-        shards.append((totals[s]["path"] if s in totals else "", base))
-        base, rows = base + (totals[s]["n"] if s in totals else 0), rows + (totals[s]["docs"] if s in totals else 0)
+        path, n, keys = (totals[s]["path"], totals[s]["n"], totals[s]["keys"]) if s in totals else ("", 0, 0)
+        shards.append((path, base, n))
+        base, rows = base + n, rows + keys
     count = max(1, -(-rows // INDEX_KEYS))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,15 +353,15 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         made, parts_ = [], whole.column("part").to_numpy()
         for p in np.unique(parts_).tolist():
             mine = np.flatnonzero(parts_ == p)
-            col = {c: whole.column(c).to_numpy()[mine] for c in ("hash", "shard", "offset", "count")}
+            col = {c: whole.column(c).to_numpy()[mine] for c in ("hash", "shard", "offset", "doc", "docs")}
             path = posixpath.join(folder, f"index-{p:06d}-{TaskContext.get().taskAttemptId()}.mph")
             fs, at = _open(path)
             with fs.open_output_stream(at) as f:
-                f.write(_index_bytes(col["hash"].view(np.uint64), col["shard"], col["offset"], col["count"]))
+                f.write(_index_bytes(col["hash"].view(np.uint64), *(col[c] for c in ("shard", "offset", "doc", "docs"))))
             made.append((p, path))
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made])], names=["part", "path"])
 
-    hashed = places.select(F.xxhash64("key").alias("hash"), "shard", "offset", "count")
+    hashed = places.select(F.xxhash64("key").alias("hash"), "shard", "offset", "doc", "docs")
     by_part = hashed.select(F.pmod("hash", F.lit(count)).cast("int").alias("part"), "*").repartition(count, "part").mapInArrow(index, "part int, path string").collect()
     files = dict(by_part)
     missing = [p for p in range(count) if p not in files]
@@ -329,15 +370,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         fs, at = _open(files[p])
         with fs.open_output_stream(at) as f:
             none = np.zeros(0, dtype=np.uint64)
-            f.write(_index_bytes(none, none, none, none))
+            f.write(_index_bytes(none, none, none, none, none))
     discard(places)
     return TokenStore(_encoder(tokenizer_path, end_id).dtype.str, shards, [files[p] for p in range(count)])
 
 
 def look_up(keys: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataFrame:
-    """Places of keys: ``id_col``, shard, offset, count. Unknown keys have no row, repeated
-    documents of a key a row each; equal keys are asked for once. Null is a key too."""
-    sent = keys.sparkSession.sparkContext.broadcast(store)  # a path for each file
+    """Places of keys: ``id_col``, shard, offset, doc, docs. Unknown keys have no row, others one
+    for each shard that holds any of their documents; equal keys are asked for once. Null is
+    a key too."""
+    sent = keys.sparkSession.sparkContext.broadcast(store)  # a path for each of at most ``PARTS`` shards
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[int, _Index] = {}
@@ -349,12 +391,12 @@ def look_up(keys: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataF
                 mine = np.flatnonzero(part == p)
                 rows = [(int(ids[mine[i]]), *x) for i, *x in loaded[p].find(hashes[mine])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "shard", "offset", "count"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "shard", "offset", "doc", "docs"])
 
     asked = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id")).distinct()
     hashed = asked.select(F.pmod(F.xxhash64("id"), F.lit(len(store.index))).cast("int").alias("part"), "id", F.xxhash64("id").alias("hash"))
-    found = hashed.sortWithinPartitions("part").mapInArrow(task, "id long, shard int, offset long, count long")
-    return found.select(F.when(F.col("id") != _NONE, F.col("id")).alias(id_col), "shard", "offset", "count")
+    found = hashed.sortWithinPartitions("part").mapInArrow(task, "id long, shard int, offset long, doc long, docs long")
+    return found.select(F.when(F.col("id") != _NONE, F.col("id")).alias(id_col), "shard", "offset", "doc", "docs")
 
 
 def read_ids(places: DataFrame, store: TokenStore, id_col: str = "doc_id") -> DataFrame:
@@ -363,18 +405,23 @@ def read_ids(places: DataFrame, store: TokenStore, id_col: str = "doc_id") -> Da
     sent = places.sparkSession.sparkContext.broadcast(store)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype, now, file = np.dtype(sent.value.dtype), None, None
+        dtype, now, file, rows = np.dtype(sent.value.dtype), None, None, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["id", "start", "n_tokens", "ids_crc32"])
+
         for b in batches:
-            rows = []
-            for doc, shard, offset, count in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                path, base = sent.value.shards[shard]
+            for key, shard, offset, doc, docs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                path, base, total = sent.value.shards[shard]
                 if shard != now:
-                    fs, at = _open(path)
-                    now, file = shard, fs.open_input_file(at)
-                ids = np.frombuffer(file.read_at(count * dtype.itemsize, len(MAGIC) + offset * dtype.itemsize), dtype)
-                rows.append((doc, base + offset, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["id", "start", "n_tokens", "ids_crc32"])
-
-    dealt = places.select(F.col(id_col).alias("id"), "shard", "offset", "count").repartition("shard").sortWithinPartitions("shard", "offset")
+                    now, file = shard, _Shard(path, total, dtype)
+                for at, ids in file.documents(offset, doc, docs):
+                    rows.append((key, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) >= 8192:
+                        yield batch()
+                        rows = []
+        if rows:
+            yield batch()
+
+    dealt = places.select(F.col(id_col).alias("id"), "shard", "offset", "doc", "docs").repartition("shard").sortWithinPartitions("shard", "offset")
     return dealt.mapInArrow(task, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -161,6 +161,18 @@ def test_store_round_trip(spark):
     assert token_index.read_ids(token_index.look_up(docs, hollow), hollow).count() == 0
 
 
+def test_store_splits_a_hot_id(spark):
+    """Many rows of one id, a third of them of one text: shards stay small, and the index has an entry a shard."""
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), F.col("id"))).otherwise("same").alias("text")).repartition(8)
+    store = token_index.write_store(docs, BPE, range_bytes=20_000)
+    sizes = [n for _, _, n in store.shards]
+    assert len(sizes) > 15 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    places = token_index.look_up(docs, store).collect()
+    assert len(places) <= len(sizes) and sum(r["docs"] for r in places) == 100_000
+    got = token_index.read_ids(token_index.look_up(docs, store), store).agg(F.count("*"), F.sum("n_tokens"), F.countDistinct("start")).head()
+    assert tuple(got) == (100_000, sum(sizes), 100_000)
+
+
 def test_store_keeps_null_ids(spark):
     rows = [(None, f"null id {i}") for i in range(40)] + [(1, "one"), (1, "one"), (1, "another"), (2, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
