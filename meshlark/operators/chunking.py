@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,11 +175,11 @@ def embed(rows: DataFrame, text_col: str, embedder: Callable[[list[str]], np.nda
     index, and each index must come once.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
         out = []
         for i in range(0, len(texts), batch):
-            part = texts.iloc[i : i + batch].fillna("").tolist()
+            part = [t or "" for t in texts.slice(i, batch).to_pylist()]
             got = embedder(part)
             if len(got) and isinstance(got[0], tuple):
                 placed = dict(got)
@@ -189,8 +188,9 @@ def embed(rows: DataFrame, text_col: str, embedder: Callable[[list[str]], np.nda
                 got = [placed[k] for k in sorted(placed)]
             if len(got) != len(part):
                 raise ValueError(f"{len(part)} texts gave {len(got)} vectors")
-            out += [list(map(float, v)) for v in got]
-        return pd.Series(out)
+            out += [np.asarray(v, dtype=np.float32) for v in got]
+        ends = np.cumsum([0, *map(len, out)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.float32()))
 
     return rows.withColumn("embedding", vectors(text_col))
 

@@ -42,9 +42,15 @@ def all_done(tasks: DataFrame, key: str) -> DataFrame:
     return tasks.groupBy(key).agg(F.every(F.col("status").isin(*FINAL)).alias("done"))
 
 
-def latest_versions(log: DataFrame, key: str, version: str) -> DataFrame:
-    """The current row of each key in an append-only log."""
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(version).desc()))).filter("_n = 1").drop("_n")
+def latest_versions(log: DataFrame, key: str, version: str, tie: str | None = None) -> DataFrame:
+    """The current row of each key in an append-only log: that of the greatest version.
+
+    Of rows of one version, the greatest by ``tie`` counts, or else by all columns in turn
+    (those of types that have no order aside), so that a rerun gives the same row.
+    """
+    rest = [c for c, t in log.dtypes if c not in (key, version) and not t.startswith(("map", "variant"))] if tie is None else [tie]
+    order = Window.partitionBy(key).orderBy(F.col(version).desc(), *(F.col(c).desc() for c in rest))
+    return log.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def content_hash(tasks: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import bandit, budget, ledger, loops, temporal
+from ..sources import keyed
+from ..sources.lineage import shared_folder
 from ..sources.tables import query_events
 from .base import Catalogue, table
 from .domain import assertions, outcomes, progress
@@ -244,6 +246,16 @@ def valid_overlap(spark, sf_dir):
     return temporal.overlapping(rows, ["o_custkey"]).select("o_orderkey")
 
 
+@C.query("""SELECT user_id, arg_max(event_id, (event_type = 'error', event_id)) AS event_id, arg_max(event_type, (event_type = 'error', event_id)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def keyed_upserts(spark, sf_dir):
+    """The last event of each user, errors written over others; the first batch comes twice and counts once."""
+    e = _events(spark, sf_dir).filter("user_id IS NOT NULL").select("user_id", "event_id", "event_type")
+    held = keyed.KeyedTable(spark, shared_folder(spark), e.schema, ["user_id"])
+    for batch, rows in (("plain", e.filter("event_type <> 'error'")), ("errors", e.filter("event_type = 'error'")), ("plain", e.filter("event_type <> 'error'"))):
+        held.upsert(rows, ["event_id"], batch=batch)
+    return held.read()
+
+
 @C.query("""WITH v AS (SELECT o_orderkey, o_custkey, o_orderdate AS valid_from, CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'P' THEN o_orderdate + INTERVAL 300 DAY ELSE o_orderdate + INTERVAL 20 DAY END AS valid_to FROM orders)
 SELECT a.o_custkey, a.o_orderkey AS first_id, b.o_orderkey AS second_id, b.valid_from AS overlap_from, CASE WHEN a.valid_to IS NULL THEN b.valid_to WHEN b.valid_to IS NULL THEN a.valid_to ELSE least(a.valid_to, b.valid_to) END AS overlap_to
 FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND b.valid_from >= a.valid_from AND (a.valid_to IS NULL OR b.valid_from < a.valid_to) AND (b.valid_from > a.valid_from OR b.o_orderkey > a.o_orderkey) AND a.o_orderkey <> b.o_orderkey""")
