@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine_similarity
 from .ledger import recent
 
 # Window, weights and thresholds, and what to do about each kind of loop.
@@ -41,9 +44,18 @@ def word_similarity(outputs: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(sets, later)), F.lit(0.0)).cast("double")
 
 
-def verdicts(entries: DataFrame, key: str, order: list[str], action: str, progress: str, signal: str, output: Column | None = None, window: int = WINDOW) -> DataFrame:
+def vector_similarity(vectors: Column) -> Column:
+    """The highest cosine of two outputs' vectors, 0 at least; null and empty ones aside."""
+    have = F.filter(vectors, lambda v: F.size(F.coalesce(v, F.array().cast("array<float>"))) > 0)
+    later = lambda v, i: F.array_max(F.transform(F.slice(have, i + 2, F.size(have)), lambda o: cosine_similarity(v, o)))
+    return F.coalesce(F.greatest(F.array_max(F.transform(have, later)), F.lit(0.0)), F.lit(0.0)).cast("double")
+
+
+def verdicts(entries: DataFrame, key: str, order: list[str], action: str, progress: str, signal: str, output: Column | None = None, window: int = WINDOW, similar: Callable[[Column], Column] = word_similarity) -> DataFrame:
     """For each key: scores of its last ``window`` entries, loop type, confidence and strategy.
 
+    ``similar`` measures the array of a window's outputs (of any type: texts, vectors) from 0 to 1.
+
     With fewer entries there is no loop and no confidence. The checks in order: all
     actions equal, no progress at all, oscillation, similar outputs, weighted sum. A
     confidence may exceed 1.
@@ -55,7 +67,7 @@ def verdicts(entries: DataFrame, key: str, order: list[str], action: str, progre
     share = lambda hit: F.size(F.filter("_w", hit)) / F.size("_w")
     s = last.select(
         key, F.size("_w").alias("entries"), repetition(part("action")).alias("repetition"), share(lambda e: ~e["progress"]).alias("no_progress"),
-        oscillation(part("action")).alias("oscillation"), word_similarity(part("output")).alias("semantic"), share(lambda e: F.coalesce(e["signal"].isin("HelpNeeded", "Failure"), F.lit(False))).alias("frustration"),
+        oscillation(part("action")).alias("oscillation"), similar(part("output")).alias("semantic"), share(lambda e: F.coalesce(e["signal"].isin("HelpNeeded", "Failure"), F.lit(False))).alias("frustration"),
     )
     sums = F.lit(0.0)
     for name, w in WEIGHTS.items():

@@ -226,3 +226,17 @@ def assemble_context(segments: DataFrame, key: str) -> DataFrame:
     """One prompt a key: parts in order of ``place``, blank lines between; items of one part by ``item``, a rule between."""
     parts = segments.groupBy(key, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "content"))), lambda s: s["content"]), "\n---\n").alias("content"))
     return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda s: s["content"]), "\n\n").alias("prompt"))
+
+
+def within_budget(found: DataFrame, key: str, rank: str, tokens: Column, budget: int) -> DataFrame:
+    """Of each key's records the first ones, by rank, that fit a budget of tokens together; ``used`` is their running sum.
+
+    The first record that does not fit ends the list, also if a later one would.
+    """
+    used = F.sum(tokens).over(Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return found.withColumn("used", used).filter(F.col("used") <= budget)
+
+
+def retrieved_segments(found: DataFrame, key: str, rank: str, content: str, place: int) -> DataFrame:
+    """Retrieved records as segments of a context, in order of their ranks: key, place, item, content."""
+    return found.select(key, F.lit(place).alias("place"), F.col(rank).cast("long").alias("item"), F.col(content).alias("content"))

@@ -100,6 +100,15 @@ def loop_semantic(spark, sf_dir):
     return loops.verdicts(log, "conv_id", ["turn"], "role", "progress", "signal", F.col("text")).select("conv_id", F.round("semantic", 6).alias("semantic"))
 
 
+@C.query("""WITH last5 AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 5)
+SELECT label, round(greatest(coalesce(max(list_cosine_similarity(a.v, b.v)) FILTER (a.vec_id < b.vec_id), 0), 0), 6) AS semantic FROM last5 a JOIN last5 b USING (label) GROUP BY label""")
+def loop_by_vectors(spark, sf_dir):
+    """Likeness of outputs by their vectors instead of their words."""
+    log = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.lit("say").alias("action"), F.lit(True).alias("progress"), F.lit(None).cast("string").alias("signal"))
+    found = loops.verdicts(log, "label", ["vec_id"], "action", "progress", "signal", F.col("embedding"), similar=loops.vector_similarity)
+    return found.select("label", F.round("semantic", 6).alias("semantic"))
+
+
 @C.query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def task_versions(spark, sf_dir):
     return ledger.latest_versions(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id", "event_type")

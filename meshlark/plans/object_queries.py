@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.identity import project_id, row_id
-from ..operators import reach
+from ..operators import observed, reach
 from ..operators.objectset import FULL
 from .base import Catalogue
 from .domain import graph
@@ -264,11 +264,21 @@ def ordered_within(spark, sf_dir):
   UNION SELECT 'orders', CAST(l_orderkey AS VARCHAR), 'part', CAST(l_partkey AS VARCHAR) FROM lineitem
 ), ways AS (SELECT * FROM e UNION SELECT tt, ti, st, si FROM e
 ), walk AS (
-  SELECT DISTINCT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, 0 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'JAPAN'
+  SELECT DISTINCT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, 0 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'
   UNION SELECT tt, ti, depth + 1 FROM walk JOIN ways ON type = st AND id = si WHERE depth < 12
 ) SELECT type, id, min(depth) AS depth FROM walk GROUP BY type, id""")
 def reach_any_depth(spark, sf_dir):
     g = graph(spark, sf_dir)
-    start = g.objects("nation").where(F.col("n_name") == "JAPAN").traverse("customers").with_id("id").select(F.lit("customer").alias("type"), "id")
+    start = g.objects("nation").where(F.col("n_name") == "NATION_7").traverse("customers").with_id("id").select(F.lit("customer").alias("type"), "id")
     edges = [reach.both_ways(reach.link_edges(g, "customer", "orders")), reach.both_ways(reach.association_edges(g, "lineitem", "order", "part"))]
     return reach.reachable(start, edges)
+
+
+@C.query("""WITH c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'nowhere'))), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT * FROM (SELECT '0 region' AS point, count(*) AS rows FROM region WHERE r_name <> 'nowhere' UNION ALL SELECT '1 nations', count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) UNION ALL SELECT '2 customers', count(*) FROM c UNION ALL SELECT '3 orders', count(*) FROM o)""")
+def traversal_metrics(spark, sf_dir):
+    """Objects of each hop of a traversal, counted by the one job that runs it."""
+    start = graph(spark, sf_dir).objects("region").where(F.col("r_name") != "nowhere")
+    end, trace = observed.observed_walk(start, ["nations", "customers", "orders"])
+    trace.run(end.df)
+    return spark.createDataFrame([(name, v["rows"]) for name, v in trace.values().items()], "point string, rows long")

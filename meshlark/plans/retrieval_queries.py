@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..functions import text as T
 from ..functions.vectors import vector_literal
 from ..operators import chunking, keyword_index, retrieval, vector_index
@@ -217,6 +218,14 @@ def chunk_sentences(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 128, 16).drop("content")
 
 
+@C.query(C.sql["chunk_sentences"])
+def chunk_in_sql(spark, sf_dir):
+    """The chunker as a table function, called from SQL for each row."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("meshlark_texts")
+    return spark.sql("SELECT d.doc_id, c.chunk, c.start, c.end FROM meshlark_texts d, LATERAL chunk_text(d.text, 'sentence', 128, 16) c")
+
+
 @C.query(rf"""WITH RECURSIVE pars AS (SELECT doc_id, text, i, p[i] AS piece, CAST(coalesce(list_sum([len(y) for y in p[1:i - 1]]), 0) + 2 * (i - 1) AS BIGINT) AS off, len(regexp_extract_all(p[i], '\S+')) AS words
   FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS p FROM documents))),
 q AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS k FROM pars WHERE words > 0),

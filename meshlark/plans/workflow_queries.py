@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import backoff_schedule
+from ..functions import table_functions
+from ..functions.text import backoff_schedule, word_count
+from ..operators import retrieval
 from ..operators import workflow as W
 from ..streaming import folds
 from .base import Catalogue, table
+from .retrieval_queries import BM25
 
 C = Catalogue()
+ENGLISH = BM25.replace("FROM documents", "FROM documents WHERE lang = 'en'")
 ORDER = ["ts", "event_id"]
 
 
@@ -124,6 +128,36 @@ def context_assembly(spark, sf_dir):
     return W.assemble_context(parts, "conv_id")
 
 
+FIRST_ASKED = "asked AS (SELECT conv_id AS item_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)"
+
+
+@C.query(rf"""WITH {FIRST_ASKED}, {ENGLISH.replace("FROM benchmark", "FROM asked")}, used AS (
+  SELECT item_id, doc_id, rank, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM bm_ranked JOIN documents USING (doc_id) WHERE rank <= 5
+), segments AS (
+  SELECT conv_id, 0 AS place, turn AS item, text AS content FROM conversations WHERE role = 'system'
+  UNION ALL SELECT item_id, 1, rank, text FROM used JOIN documents USING (doc_id) WHERE used <= 400
+  UNION ALL SELECT item_id, 2, 0, text FROM asked)
+SELECT conv_id, sha256(string_agg(content, chr(10) || chr(10) ORDER BY place)) AS prompt_sha256 FROM (SELECT conv_id, place, string_agg(content, chr(10) || '---' || chr(10) ORDER BY item, content) AS content FROM segments GROUP BY ALL) GROUP BY conv_id""")
+def context_with_retrieval(spark, sf_dir):
+    """A prompt for each conversation: its system texts, the best documents in a language that fit a budget, the question."""
+    c, docs = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
+    asked = c.filter("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    found = retrieval.bm25(asked, docs.filter("lang = 'en'"), 5, query_id="conv_id").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    kept = W.within_budget(found, "conv_id", "rank", word_count(F.col("content")), 400)
+    system = c.filter("role = 'system'").select("conv_id", F.lit(0).alias("place"), F.col("turn").alias("item"), F.col("text").alias("content"))
+    question = asked.select("conv_id", F.lit(2).alias("place"), F.lit(0).cast("long").alias("item"), F.col("text").alias("content"))
+    prompts = W.assemble_context(system.unionByName(W.retrieved_segments(kept, "conv_id", "rank", "content", 1)).unionByName(question), "conv_id")
+    return prompts.select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@C.query("SELECT user_id AS key, lag(event_type) OVER w AS step_from, event_type AS step_to, lag(ts) OVER w AS since, ts AS at FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)")
+def steps_in_sql(spark, sf_dir):
+    """A table function that asks for its partitioning itself, called from SQL."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("meshlark_log")
+    return spark.sql("SELECT * FROM steps(TABLE(meshlark_log), 'user_id', 'event_type', 'ts')")
+
+
 @C.query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, sf_dir):
     return folds.windowed_counts(table(spark, sf_dir, "events"))
