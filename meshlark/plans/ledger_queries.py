@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import bandit, budget, ledger, loops, temporal
-from ..sources import keyed
+from ..sources import arrow_files, keyed
 from ..sources.lineage import shared_folder
 from ..sources.tables import query_events
 from .base import Catalogue, table
@@ -27,6 +27,14 @@ def event_query(spark, sf_dir):
     return e.select("event_id", "user_id", "event_type")
 
 
+@C.query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('view', 'error') AND ts >= TIMESTAMP '2000-01-01' AND value >= 50")
+def event_query_by_source(spark, sf_dir):
+    """An event query over a data source of one's own, which takes the filters."""
+    arrow_files.register(spark)
+    rows = query_events(spark.read.format(arrow_files.NAME).load(f"{sf_dir}/events.parquet"), since=datetime(2000, 1, 1), kinds=["view", "error"])
+    return rows.filter("value >= 50").select("event_id", "user_id", "event_type")
+
+
 @C.query("SELECT task, count(*) AS entries, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens, round(sum(value), 4) AS duration, count(*) FILTER (signal = 'Success') AS successes, count(*) FILTER (signal = 'Failure') AS failures, count(DISTINCT action) AS artifacts FROM (SELECT user_id AS task, value, event_type AS action, CASE event_type WHEN 'error' THEN 'Failure' WHEN 'purchase' THEN 'Success' END AS signal FROM events) GROUP BY task")
 def progress_metrics(spark, sf_dir):
     p = progress(_events(spark, sf_dir))
