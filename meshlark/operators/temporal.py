@@ -47,14 +47,15 @@ def current(rows: DataFrame) -> DataFrame:
     return rows.filter("system_to is null")
 
 
-def overlapping(rows: DataFrame, keys: list[str], from_col: str = "valid_from", to_col: str = "valid_to", open_only: bool = False) -> DataFrame:
+def overlapping(rows: DataFrame, keys: list[str], from_col: str = "valid_from", to_col: str = "valid_to", open_only: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose valid interval [from, to) begins before an earlier one with the same keys has ended.
 
-    With ``open_only``, rows that were retracted (system_to is set) neither count nor clash.
+    Rows come by from, to (an open end last), then ``order``: of equal intervals the first
+    one is the earlier, so without ``order`` it is open which of them is returned. With ``open_only``, rows that were retracted (system_to is set) neither count nor clash.
     """
     if open_only:
         rows = current(rows)
-    earlier = Window.partitionBy(*keys).orderBy(from_col, F.col(to_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(from_col, F.col(to_col).asc_nulls_last(), *order).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.coalesce(F.col(to_col), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))).over(earlier)
     return rows.withColumn("_reach", reach).filter(F.coalesce(F.col("_reach") > F.col(from_col), F.lit(False))).drop("_reach")
 

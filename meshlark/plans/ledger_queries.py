@@ -251,7 +251,7 @@ def currently_asserted(spark, sf_dir):
 SELECT o_orderkey FROM (SELECT o_orderkey, valid_from, max(valid_to) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_to, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v) WHERE reach > valid_from""")
 def valid_overlap(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("valid_to"))
-    return temporal.overlapping(rows, ["o_custkey"]).select("o_orderkey")
+    return temporal.overlapping(rows, ["o_custkey"], order=("o_orderkey",)).select("o_orderkey")
 
 
 @C.query("""SELECT user_id, arg_max(event_id, (event_type = 'error', event_id)) AS event_id, arg_max(event_type, (event_type = 'error', event_id)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")

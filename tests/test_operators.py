@@ -293,6 +293,13 @@ def test_open_rows_alone_may_clash(spark):
     assert temporal.overlapping(rows, ["k"]).count() == 1 and temporal.overlapping(rows, ["k"], open_only=True).count() == 0
 
 
+def test_of_equal_intervals_the_order_says_which_clashes(spark):
+    d = lambda n: datetime(2026, 1, n)
+    for ids in ([1, 2, 3], [3, 2, 1], [2, 3, 1]):
+        rows = spark.createDataFrame([("a", i, d(1), d(5)) for i in ids], "k string, id int, valid_from timestamp_ntz, valid_to timestamp_ntz").coalesce(1)
+        assert sorted(r["id"] for r in temporal.overlapping(rows, ["k"], order=("id",)).collect()) == [2, 3]
+
+
 def test_event_log_of_one_workflow(spark, tmp_path):
     from meshlark.sources import tables
 
