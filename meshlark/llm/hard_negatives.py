@@ -1,37 +1,52 @@
 """Hard negatives by a block matrix product in two dimensions.
 
-Anchors and rows are dealt into panels, and vectors are cut into chunks of dimensions. A
-task multiplies one chunk of an anchor panel with the same chunk of a row panel, which
-gives a partial tile of integer scores. Partial tiles are shuffled by tile and added up in
-64 bits. Each tile keeps the best of every anchor (for positives) or of every window of an
-anchor and a positive (for negatives), and these are merged. Only tiles within a label are
-multiplied for positives.
+Anchors and rows are dealt into panels, and vectors are cut into chunks of dimensions. The
+chunks of an anchor panel and of a row panel meet by tile through a shuffle; their partial
+tiles of integer scores are added up in 64 bits where they arise, some anchors at a time,
+so no scores travel. Each tile keeps the best of every anchor (for positives) or of every
+window of an anchor and a positive (for negatives), and these are merged. Only tiles
+within a label are multiplied for positives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, look_up_spread, written
+from .common import discard, kept, look_up_spread, written
 from .vectors import finite, int_products, matrix, number_array, quantised
 
 #: Anchors and rows of a tile, and dimensions of a chunk.
-ANCHORS, ROWS, CHUNK = 512, 2048, 32
-#: Scores in the partial tiles that are on their way at a time (4 to 8 bytes each).
-WAVE = 1 << 36
+ANCHORS, ROWS, CHUNK = 4096, 8192, 32
+#: Anchors of a tile whose scores a task holds at a time: 16 MB.
+STEP = 256
+#: Row panels' components that are on their way at a time, as a multiple of the table's.
+WAVE = 1
 _TILE = ["grp", "h", "g"]
 _META = ["id", "label", "wanted"]
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a job go when it ends: waves would add up on the disks."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _chunked(rows: DataFrame, chunk: int, scale: int, dims: int) -> DataFrame:
-    """``rows`` (grp, ..., vector) with one row for each chunk: ``k`` and ``part``, int64 values as bytes."""
+    """``rows`` (grp, ..., vector) with one row for each chunk: ``k`` and ``part``, int32 values as bytes."""
     at = rows.columns.index("vector")
     names = [c for c in rows.columns if c != "vector"]
     ways = max(1, -(-dims // chunk))
@@ -39,7 +54,7 @@ def _chunked(rows: DataFrame, chunk: int, scale: int, dims: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(None)
         for b in batches:
-            values = quantised(matrix(b.column(at), dims), scale)
+            values = quantised(matrix(b.column(at), dims), scale).astype(np.int32)  # within +-2^26
             for k in range(ways):
                 part = np.ascontiguousarray(values[:, k * chunk : (k + 1) * chunk])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.full(b.num_rows, k, dtype=np.int32)), pa.array([r.tobytes() for r in part], pa.binary())], names=[*names, "k", "part"])
@@ -48,57 +63,47 @@ def _chunked(rows: DataFrame, chunk: int, scale: int, dims: int) -> DataFrame:
     return rows.mapInArrow(task, f"{fields}, k int, part binary")
 
 
-def _packed(scores: np.ndarray) -> bytes:
-    """Integer scores in 4 bytes each if all fit, in 8 otherwise."""
-    low, high = scores.min(initial=0), scores.max(initial=0)
-    return scores.astype(np.int32 if -(2**31) <= low and high < 2**31 else np.int64).tobytes()
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.int32 if len(data) == 4 * n else np.int64).astype(np.int64)
+_FOUND = ["anchor_id", "positive_id", "positive_score", "other_id", "score"]
 
 
-_PARTIAL = "grp long, h int, g int, side int, id long, label long, wanted array<long>, ids binary, labels binary, part binary"
+def _tiles(anchors: DataFrame, rows: DataFrame, pick) -> DataFrame:
+    """What ``pick`` keeps of each anchor's scores in each tile.
 
-
-def _partial_tiles(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """A row for each anchor of each tile and chunk, and one (side 0) that names the tile's rows.
-
-    Both inputs: grp, h, g, k, id, label, part; anchors also ``wanted``. Rows are dealt by
-    tile and chunk. A task holds one chunk of one anchor panel and of one row panel.
+    Both inputs: grp, h, g, k, id, label, part; anchors also ``wanted``. A task holds the
+    chunks of one tile and the scores of ``STEP`` of its anchors.
+    ``pick(id, label, wanted, ids, labels, scores)`` gives rows (positive_id, positive_score,
+    other_id, score).
     """
 
-    def tile(key: tuple, left: list, right: list) -> list[tuple]:
-        if not left or not right:
-            return []
-        scores = int_products(*(np.frombuffer(b"".join(x[3] for x in side), dtype=np.int64).reshape(len(side), -1) for side in (left, right)))
-        out = [(*key[:3], 1, x[0], x[1], x[2], None, None, _packed(s)) for x, s in zip(left, scores, strict=True)]
-        if key[3] == 0:
-            ids, labels = (np.array([x[i] for x in right], dtype=np.int64).tobytes() for i in (0, 1))
-            out.append((*key[:3], 0, None, None, None, ids, labels, None))
-        return out
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["grp", "h", "g", "side", *_META, "ids", "labels", "part"])
+    def tile(sides: tuple[dict, dict]) -> Iterator[pa.RecordBatch]:
+        if not sides[0] or not sides[1]:
+            return
+        left, right = ([np.frombuffer(b"".join(parts), dtype=np.int32).reshape(len(parts), -1).astype(np.int64) for _, parts in side.values()] for side in sides)
+        meta, (ids, labels) = sides[0][0][0], (np.array(x, dtype=np.int64) for x in list(zip(*sides[1][0][0], strict=True))[:2])
+        for at in range(0, len(meta), STEP):
+            scores = sum(int_products(a[at : at + STEP], b) for a, b in zip(left, right, strict=True))
+            out = [(x[0], *row) for x, s in zip(meta[at : at + STEP], scores, strict=True) for row in pick(*x, ids, labels, s)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(None)
-        now, sides = None, ([], [])
+        now, sides = None, ({}, {})
         for b in batches:
-            for *key, side, doc, label, wanted, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if tuple(key) != now:
-                    if out := tile(now, *sides):
-                        yield batch(out)
-                    now, sides = tuple(key), ([], [])
-                sides[side].append((doc, label, wanted, part))
-        if out := tile(now, *sides):
-            yield batch(out)
+            for *key, k, side, doc, label, wanted, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    yield from tile(sides)
+                    now, sides = key, ({}, {})
+                meta, parts = sides[side].setdefault(k, ([], []))
+                if k == 0:
+                    meta.append((doc, label, wanted))
+                parts.append(part)
+        yield from tile(sides)
 
     cols = [*_TILE, "k", "side", *_META, "part"]
     both = anchors.withColumn("side", F.lit(0)).select(cols).unionByName(rows.withColumns({"side": F.lit(1), "wanted": F.lit(None).cast("array<long>")}).select(cols))
     # Equal order in all chunks of a tile: ids are distinct within a side.
-    return both.repartition(*_TILE, "k").sortWithinPartitions(*_TILE, "k", "side", "id").mapInArrow(run, _PARTIAL)
+    return both.repartition(*_TILE).sortWithinPartitions(*_TILE, "side", "k", "id").mapInArrow(run, ", ".join(f"{n} long" for n in _FOUND))
 
 
 def _first(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
@@ -111,77 +116,45 @@ def _first(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:n]]
 
 
-def _reduced(partial: DataFrame, pick) -> DataFrame:
-    """Adds the partial rows of each anchor and tile up and takes what ``pick`` keeps of the sum.
-
-    ``pick(id, label, wanted, ids, labels, scores)`` gives rows (positive_id, positive_score,
-    other_id, score).
-    """
-    names = ["anchor_id", "positive_id", "positive_score", "other_id", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept(None)
-        tile, ids, labels, now, total = None, None, None, None, None
-
-        def done() -> list[tuple]:
-            return [] if now is None else [(now[0], *row) for row in pick(*now, ids, labels, total)]
-
-        for b in batches:
-            out: list[tuple] = []
-            for grp, h, g, side, doc, label, wanted, these, marks, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if side == 0:
-                    out += done()
-                    now, tile = None, (grp, h, g)
-                    ids, labels = np.frombuffer(these, np.int64), np.frombuffer(marks, np.int64)
-                    continue
-                assert tile == (grp, h, g)
-                scores = _unpacked(part, len(ids))
-                if now is not None and now[0] == doc:
-                    total = total + scores
-                else:
-                    out += done()
-                    now, total = (doc, label, wanted), scores
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
-        if out := done():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
-
-    dealt = partial.repartition(*_TILE).sortWithinPartitions(*_TILE, "side", "id")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
 def _best(found: DataFrame, by: list[str], n: int) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "other_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def _product(rows: DataFrame, grp, panels, row_panels, span, dims: int, chunk: int, scale: int, pick) -> DataFrame:
+def _product(anchors: DataFrame, rows: DataFrame, grp: Column, panels: Column, row_panels: Column, span: tuple[int, int], dims: int, chunk: int, scale: int, pick) -> DataFrame:
     """What ``pick`` keeps of all tiles of anchors ``span`` (first and last panel) with all rows of their group.
 
-    ``rows``: id, label, vector, wanted, anchor. ``panels`` and ``row_panels``: how many
-    panels the anchors and the rows of a group have; a row falls into one by hash.
+    ``anchors``: id, label, vector, wanted; ``rows``: id, label, vector. ``panels`` and
+    ``row_panels``: how many panels the anchors and the rows of a group have; a row falls
+    into one by hash.
     """
     h, g = (F.pmod(F.xxhash64("id"), n).cast("int") for n in (panels, row_panels))
-    base = rows.withColumn("grp", grp)
-    left = base.filter(F.col("anchor")).withColumn("h", h).filter(F.col("h").between(*span)).select("grp", "h", row_panels.cast("int").alias("to"), *_META, "vector")
-    right = base.select("grp", g.alias("g"), F.least(F.lit(span[1]), panels - 1).cast("int").alias("to"), "id", "label", "vector")
+    left = anchors.withColumn("grp", grp).withColumn("h", h).filter(F.col("h").between(*span)).select("grp", "h", row_panels.cast("int").alias("to"), *_META, "vector")
+    right = rows.withColumn("grp", grp).select("grp", g.alias("g"), F.least(F.lit(span[1]), panels - 1).cast("int").alias("to"), "id", "label", "vector")
     every = lambda first: F.explode(F.sequence(F.lit(first), F.col("to")))
     a = _chunked(left.withColumn("to", F.col("to") - 1), chunk, scale, dims).withColumn("g", every(0))
     b = _chunked(right.filter(F.col("to") >= span[0]), chunk, scale, dims).withColumn("h", every(span[0]))
-    return _reduced(_partial_tiles(a, b), pick)
+    return _tiles(a, b, pick)
+
 
+def _waves(panels: int, step: int, product, by: list[str], n: int) -> DataFrame:
+    """The best ``n`` of all tiles, worked off ``step`` anchor panels at a time."""
+    parts = [written(_best(product((at, at + step - 1)), by, n)) for at in range(0, max(1, panels), step)]
+    return reduce(DataFrame.unionByName, parts)
 
-def _positives(rows: DataFrame, total: int, dims: int, chunk: int, scale: int, n: int) -> DataFrame:
+
+def _positives(anchors: DataFrame, rows: DataFrame, total: int, dims: int, chunk: int, scale: int, step: int, n: int) -> DataFrame:
     """anchor_id and ``wanted``: its positives and their scores, [id, score, id, score, ...], best first."""
 
     def pick(doc, label, wanted, ids, labels, scores):
         other = np.flatnonzero(ids != doc)
         return [(None, None, int(ids[i]), int(scores[i])) for i in other[_first(ids[other], scores[other], n)].tolist()]
 
-    labels = rows.groupBy("label").agg(F.count("*").alias("docs"), F.ceil(F.count_if("anchor") / ANCHORS).alias("hs"), F.ceil(F.count("*") / ROWS).alias("gs"))
-    known = look_up_spread(rows, written(labels.filter("hs > 0")), ["label"], "docs", total)
-    found = _product(known, F.col("label"), F.col("hs"), F.col("gs"), (0, 2**31 - 1), dims, chunk, scale, pick)
-    best = _best(found, ["anchor_id"], n)
+    asking = anchors.groupBy("label").agg(F.ceil(F.count("*") / ANCHORS).alias("hs"))
+    labels = written(rows.groupBy("label").agg(F.count("*").alias("docs"), F.ceil(F.count("*") / ROWS).alias("gs")).join(asking, "label"))
+    most = labels.agg(F.coalesce(F.max("hs"), F.lit(0))).head()[0]
+    known = [look_up_spread(x, labels, ["label"], "docs", total) for x in (anchors, rows)]
+    best = _waves(most, step, lambda span: _product(*known, F.col("label"), F.col("hs"), F.col("gs"), span, dims, chunk, scale, pick), ["anchor_id"], n)
     return best.groupBy("anchor_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "other_id", "score"))), lambda x: F.array(x["other_id"], x["score"]))).alias("wanted"))
 
 
@@ -205,32 +178,32 @@ def hard_negatives(
     positives, and positives without such rows, have none; an empty table gives no rows.
     Other columns are not read.
 
-    Anchor panels are worked off in waves, so that the partial tiles on their way hold
-    about ``wave`` scores however many rows there are.
+    Anchor panels are worked off in waves: a wave sends the rows' components to at most
+    ``wave`` panels, so what is on its way is in proportion to the table, however many
+    anchors there are.
     """
     label = F.col(label_col) if isinstance(label_col, str) else label_col
     own = vectors.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), number_array(vectors, vector_col).alias("vector"), F.coalesce(anchors, F.lit(False)).alias("anchor"))
     own = own.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & finite(F.col("vector")))
     one = own.groupBy("id").agg(F.min(F.struct("label", "vector", "anchor")).alias("row"))
-    rows = written(one.select("id", "row.label", "row.vector", F.lit(None).cast("array<long>").alias("wanted"), "row.anchor"))
-    total, asking, dims = rows.agg(F.count("*"), F.count_if("anchor"), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
-    wanted = written(_positives(rows, total, dims, chunk, scale, positives)).withColumnRenamed("anchor_id", "id")
-    asked = written(rows.drop("wanted").join(wanted.hint("merge"), "id", "left"))
-    low, high = window
-
-    def pick(doc, label, wanted, ids, labels, scores):
-        out, other = [], np.flatnonzero(labels != label)
-        for positive, p in zip((wanted or [])[::2], (wanted or [])[1::2], strict=True):
-            s = 100 * scores[other]
-            fit = other[(low * p <= s) & (s <= high * p)]
-            out += [(positive, p, int(ids[i]), int(scores[i])) for i in fit[_first(ids[fit], scores[fit], negatives)].tolist()]
-        return out
-
-    panels, row_panels = max(1, -(-asking // ANCHORS)), max(1, -(-total // ROWS))
-    step = max(1, wave // (max(1, -(-dims // chunk)) * max(1, total) * ANCHORS))
-    parts = []
-    for at in range(0, panels, step):
-        found = _product(asked, F.lit(0).cast("long"), F.lit(panels), F.lit(row_panels), (at, at + step - 1), dims, chunk, scale, pick)
-        best = _best(found, ["anchor_id", "positive_id"], negatives)
-        parts.append(best if panels <= step else written(best))
-    return reduce(DataFrame.unionByName, parts).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    with _shuffles_dropped(vectors.sparkSession):
+        rows = written(one.select("id", "row.label", "row.vector", "row.anchor"))
+        total, asking, dims = rows.agg(F.count("*"), F.count_if("anchor"), F.coalesce(F.max(F.size("vector")), F.lit(1))).head()
+        dims = max(1, dims)  # empty vectors count as zeros
+        asked, rows_ = rows.filter("anchor").drop("anchor"), rows.drop("anchor")
+        found = _positives(asked.withColumn("wanted", F.lit(None).cast("array<long>")), rows_, total, dims, chunk, scale, wave, positives)
+        asked = written(asked.join(found.withColumnRenamed("anchor_id", "id").hint("merge"), "id"))
+        low, high = window
+
+        def pick(doc, label, wanted, ids, labels, scores):
+            out, other = [], np.flatnonzero(labels != label)
+            s, ids = 100 * scores[other], ids[other]
+            for positive, p in zip(wanted[::2], wanted[1::2], strict=True):
+                fit = np.flatnonzero((low * p <= s) & (s <= high * p))
+                out += [(positive, p, int(ids[i]), int(s[i]) // 100) for i in fit[_first(ids[fit], s[fit], negatives)].tolist()]
+            return out
+
+        panels, row_panels = max(1, -(-asking // ANCHORS)), max(1, -(-total // ROWS))
+        best = _waves(panels, wave, lambda span: _product(asked, rows_, F.lit(0).cast("long"), F.lit(panels), F.lit(row_panels), span, dims, chunk, scale, pick), ["anchor_id", "positive_id"], negatives)
+        discard(rows, asked)
+    return best.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -145,6 +145,16 @@ def test_hard_negatives_equal_all_pairs(spark, monkeypatch, sizes):
     assert len(want) > 100 and sorted(tuple(r) for r in got) == want
 
 
+def test_hard_negatives_send_no_scores(spark):
+    """What is shuffled is in proportion to the table, not to anchors times rows (32 MB of scores here)."""
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v, i % 4) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    before = sent()
+    assert hard_negatives.hard_negatives(rows, F.col("vec_id") % 4 == 0).count() > 0
+    assert sent() - before < 12_000_000
+
+
 def test_hard_negatives_of_huge_components_and_of_nothing(spark):
     rows = [(i, [3e38 * (-1) ** (i // 3), float(i), 1e6], i % 2) for i in range(30)]
     assert sorted(tuple(r) for r in hard_negatives.hard_negatives(table(spark, rows), F.col("vec_id") % 5 == 0).collect()) == negatives(rows, 5)
