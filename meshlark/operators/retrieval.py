@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import ROWS, pieces
 from ..functions.vectors import METRICS
 from ..sources.lineage import cut_lineage
 
@@ -26,21 +28,8 @@ class UnknownCollection(KeyError):
 
 #: Numbers in one matrix of scores or weights: about 32 MB.
 CELLS = 4_000_000
-
-
-def _best(score: np.ndarray, order: np.ndarray, top: int, candidate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``top`` highest scores of each column; ties by ``order``. ``candidate`` says which count."""
-    rows, cols = [], []
-    for q in range(score.shape[1]):
-        at = np.arange(len(score)) if candidate is None else np.flatnonzero(candidate[:, q])
-        s = score[at, q]
-        if len(at) > top:
-            near = s >= np.partition(s, -top)[-top]
-            at, s = at[near], s[near]
-        at = at[np.lexsort((order[at], -s))[:top]]
-        rows.append(at)
-        cols.append(np.full(len(at), q))
-    return np.concatenate(rows), np.concatenate(cols)
+#: Queries that one scan of the documents answers, and the frequent terms whose weights are multiplied as a matrix.
+QUERIES, FREQUENT = 16_384, 64
 
 
 def _order(ids: pa.Array) -> np.ndarray:
@@ -48,6 +37,55 @@ def _order(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
 
 
+class _Lists:
+    """The ``top`` best items of each of ``many`` lists, fed piece by piece; ties by id, null first.
+
+    Scores below the last one of a full list are left out at once, so a task holds and sends
+    on little more than its lists, however many items it reads.
+    """
+
+    def __init__(self, many: int, top: int):
+        self.top, self.room = top, max(CELLS // 16, 4 * many * top)
+        self.least, self.parts, self.held = np.full(many, -np.inf), [], 0
+
+    def add(self, ids: pa.Array, score: np.ndarray, first: int = 0, low: float = -np.inf, digits: int | None = None) -> None:
+        """``score``: items x lists from number ``first`` on; scores over ``low`` count, rounded (half up) to ``digits``."""
+        least, slack = self.least[first : first + score.shape[1]], 0.0 if digits is None else 10.0**-digits
+        fit = (score >= least - slack) & (score > low)
+        if len(score) > self.top > 0 and np.count_nonzero(fit) > 2 * self.top * score.shape[1]:
+            fit &= score >= np.partition(score, -self.top, axis=0)[-self.top] - slack
+        rows, cols = np.nonzero(fit)
+        s = score[rows, cols]
+        if digits is not None:
+            s = np.floor(s * 10.0**digits + 0.5) / 10.0**digits
+            rows, cols, s = (x[(s >= least[cols]) & (s > low)] for x in (rows, cols, s))
+        if len(rows):
+            self.parts.append((cols + first, ids.take(pa.array(rows)), s))
+            self.held += len(rows)
+            if self.held > self.room:
+                self.cut()
+
+    def cut(self) -> None:
+        lists, ids, score = np.concatenate([p[0] for p in self.parts]), pa.concat_arrays([p[1] for p in self.parts]), np.concatenate([p[2] for p in self.parts])
+        order = np.lexsort((_order(ids), -score, lists))
+        at = lists[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+        last = order[place == self.top - 1]
+        self.least[lists[last]] = score[last]
+        kept = order[place < self.top]
+        self.parts, self.held = [(lists[kept], ids.take(pa.array(kept)), score[kept])], len(kept)
+
+    def batches(self, names: list[str], constant: int | None = None) -> Iterator[pa.RecordBatch]:
+        """(number of the list, item, score) of what is held, behind a column of a constant if one is given."""
+        if not self.parts:
+            return
+        self.cut()
+        lists, ids, score = self.parts[0]
+        before = [] if constant is None else [pa.array(np.full(len(lists), constant), pa.int32())]
+        for part in pieces([pa.RecordBatch.from_arrays([*before, pa.array(lists, pa.int32()), ids, pa.array(score)], names=names)], rows=10_000):
+            yield part
+
+
 def _named(found: DataFrame, ids: list, kind: str, query_id: str) -> DataFrame:
     """Puts the ids of the queries for their numbers in ``_q``."""
     names = found.sparkSession.createDataFrame(list(enumerate(ids)), f"_q int, `{query_id}` {kind}")
@@ -76,7 +114,7 @@ def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosin
     """The ``top`` nearest items of each query: query_id, item_id, score, rank.
 
     Items stay where they are. The queries, a stated set, are sent to them in blocks of
-    ``block``, each a scan; a task keeps the best of each of its batches, so no more than
+    ``block``, each a scan; a task keeps the best of all that it reads, so no more than
     these are shuffled. Ties go to the lower id. Scores are rounded to twelve digits.
     """
     metric = metric if metric in METRICS else "cosine"
@@ -87,13 +125,11 @@ def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosin
         sent = spark.sparkContext.broadcast([v for _, v in asked[i : i + block]])
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            step = max(1, CELLS // max(1, len(sent.value)))
-            for whole in batches if sent.value else ():
-                for at in range(0, whole.num_rows, step):
-                    b = whole.slice(at, step)
-                    score = _similarities(b.column(1).to_pylist(), sent.value, metric)
-                    rows, cols = _best(score, _order(b.column(0)), top, None if least is None else score >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows)), pa.array(score[rows, cols])], names=["_q", "item", "score"])
+            lists = _Lists(len(sent.value), top)
+            for b in pieces(batches, rows=min(ROWS, max(1, CELLS // len(sent.value)))) if sent.value else ():
+                score = _similarities(b.column(1).to_pylist(), sent.value, metric)
+                lists.add(b.column(0), score if least is None else np.where(score >= least, score, -np.inf))
+            yield from lists.batches(["_q", "item", "score"])
 
         found = items.select(F.col(item_id).alias("item"), F.col(vector).alias("vector")).mapInArrow(task, f"_q int, item {kinds[1]}, score double").withColumnRenamed("item", item_id)
         found = _named(found, [q for q, _ in asked[i : i + block]], kinds[0], query_id)
@@ -101,12 +137,42 @@ def nearest(queries: DataFrame, items: DataFrame, top: int, metric: str = "cosin
     return ranked(out, query_id, item_id, top).select(query_id, item_id, "score", "rank")
 
 
+class _Held:
+    """Which terms (without blanks) a text holds anywhere.
+
+    A term can only lie within one of the text's words, cut at blanks. A word's parts as long
+    as some term are looked up, so its cost does not grow with the number of terms, and what
+    short words hold is remembered.
+    """
+
+    def __init__(self, terms: dict[str, int], most: int = 100_000):
+        self.terms, self.most, self.known = terms, most, {}
+        self.lengths = sorted(set(map(len, terms)))
+
+    def _within(self, word: str) -> list[int]:
+        get, n = self.terms.get, len(word)
+        return list({i for k in self.lengths if k <= n for at in range(n - k + 1) if (i := get(word[at : at + k])) is not None})
+
+    def by(self, text: str) -> list[int]:
+        out: set[int] = set()
+        for word in set(text.split(" ")):
+            found = self.known.get(word)
+            if found is None:
+                found = self._within(word)
+                if len(word) <= 64:
+                    if len(self.known) >= self.most:
+                        self.known.clear()
+                    self.known[word] = found
+            out.update(found)
+        return sorted(out)
+
+
 def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """The ``top`` documents of each query by keyword overlap: query_id, doc_id, score, rank.
 
     The score is that of ``keyword_overlap``. The queries, a stated set, are sent to the
-    documents in blocks of bounded size, each a scan; a text is searched once for each
-    distinct term, and a task keeps the best of each of its batches.
+    documents in blocks of bounded size, each a scan; each distinct word of a text is
+    searched once for all terms, and a task keeps the best of all that it reads.
     """
     spark = docs.sparkSession
     asked = [(q, [t for t in (text or "").lower().split(" ") if t]) for q, text in queries.select(query_id, query_text).toLocalIterator()]
@@ -130,18 +196,13 @@ def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str
                 for t in mine:
                     share[at[t], q] += 1
             many = np.array([max(1, len(x)) for x in sent.value])
-            step = max(1, CELLS // max(1, len(sent.value)))
-            for whole in batches if sent.value else ():
-                for start in range(0, whole.num_rows, step):
-                    b = whole.slice(start, step)
-                    score = np.zeros((b.num_rows, len(sent.value)))
-                    for row, text in enumerate(b.column(1).to_pylist()):
-                        low = (text or "").lower()
-                        words = set(low.split(" "))
-                        score[row] = share[[i for i, t in enumerate(terms) if t in words or t in low]].sum(axis=0)
-                    score = np.floor(score / many * 1e6 + 0.5) / 1e6
-                    rows, cols = _best(score, _order(b.column(0)), top)
-                    yield pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(score[rows, cols])], names=["_q", "doc", "score"])
+            held, lists = _Held(at), _Lists(len(sent.value), top)
+            for b in pieces(batches, 1, min(ROWS, max(1, CELLS // len(sent.value)))) if sent.value else ():
+                score = np.zeros((b.num_rows, len(sent.value)))
+                for row, text in enumerate(b.column(1).to_pylist()):
+                    score[row] = share[held.by((text or "").lower())].sum(axis=0)
+                lists.add(b.column(0), np.floor(score / many * 1e6 + 0.5) / 1e6)
+            yield from lists.batches(["_q", "doc", "score"])
 
         found = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"_q int, doc {kinds[1]}, score double").withColumnRenamed("doc", doc_id)
         found = _named(found, [q for q, _ in block], kinds[0], query_id)
@@ -161,7 +222,7 @@ def _term_counts(docs: DataFrame, text_col: str, vocabulary: Broadcast) -> tuple
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs_, terms = np.zeros(len(vocabulary.value), dtype=np.int64), 0, 0
-        for b in batches:
+        for b in pieces(batches, 0):
             for text in b.column(0).to_pylist():
                 words = _terms(text)
                 docs_, terms = docs_ + 1, terms + len(words)
@@ -177,57 +238,87 @@ def _term_counts(docs: DataFrame, text_col: str, vocabulary: Broadcast) -> tuple
     return df, got.get(-1, 0), got.get(-2, 0)
 
 
+class _Asking:
+    """Which of some queries ask for each term. ``df``: in how many documents the terms occur.
+
+    The terms that most documents and queries share are one matrix; the others are added
+    term by term, for the documents and queries that have them.
+    """
+
+    def __init__(self, terms: list[np.ndarray], df: np.ndarray):
+        self.many = len(terms)
+        query = np.repeat(np.arange(self.many), [len(t) for t in terms])
+        term = np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        self.query, asked = query[order], np.bincount(term, minlength=len(df))
+        self.first = np.r_[0, np.cumsum(asked)]
+        shared = df * asked
+        often = np.argsort(-shared, kind="stable")[:FREQUENT]
+        often = np.sort(often[shared[often] > 0])
+        self.place = np.full(len(df), -1)
+        self.place[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.many))
+        mine = self.place[term] >= 0
+        self.matrix[self.place[term[mine]], query[mine]] = 1
+        self.rare = (asked > 0) & (self.place < 0)
+
+    def scores(self, docs: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Documents x queries: the sum of the weights (of ``rows`` and ``terms``) of the query's terms."""
+        dense, at = np.zeros((docs, len(self.matrix))), self.place[terms]
+        dense[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
+        out = dense @ self.matrix
+        rare = np.flatnonzero(self.rare[terms])
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        cuts = np.flatnonzero(np.diff(terms[rare])) + 1
+        for part in np.split(rare, cuts) if len(rare) else ():
+            t = terms[part[0]]
+            out[rows[part][:, None], self.query[self.first[t] : self.first[t + 1]]] += weights[part][:, None]
+        return out
+
+
 def bm25_lists(queries: DataFrame, docs: DataFrame, top: int, rankings: list[tuple[float, float]], query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """Okapi BM25 over all documents, once for each (k1, b): list, query_id, doc_id, score, rank.
 
-    Two scans, one for the frequencies and one for the scores of all rankings; documents
-    are not shuffled, whatever words they hold. The queries, a stated set, are sent to them
-    in blocks of bounded size (a scan each); a task keeps the best of each of its batches.
-    Repeated terms of a query count once, rows with one query id are one query. Documents
-    without any of a query's terms are not in its lists. Scores are rounded to six digits.
+    Two scans for each ``QUERIES`` queries, one for the frequencies and one for the scores of
+    all rankings; documents are not shuffled, whatever words they hold. The queries of a
+    scan are sent to the documents; a task scores some documents and queries at a time and
+    keeps the best of all that it reads. Repeated terms of a query count once, rows with one
+    query id are one query. Documents without any of a query's terms are not in its lists.
+    Scores are rounded to six digits.
     """
     spark = docs.sparkSession
-    asked: dict = {}
-    for q, text in queries.select(query_id, query_text).toLocalIterator():
-        asked.setdefault(q, set()).update(_terms(text))
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*asked.values())))}
-    known = spark.sparkContext.broadcast(vocabulary)
-    df, n, total = _term_counts(docs, doc_text, known)
-    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
-    blocks: list[list] = [[]]
-    for q in asked:
-        if blocks[-1] and len(vocabulary) * (len(blocks[-1]) + 1) > CELLS:
-            blocks.append([])
-        blocks[-1].append(q)
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, query_id), (docs, doc_id))]
-    out = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast((idf, [[vocabulary[w] for w in sorted(asked[q])] for q in block]))
-
-        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            idf, terms = sent.value
-            holds = np.zeros((len(idf), len(terms)))
-            for q, at in enumerate(terms):
-                holds[at, q] = 1
-            step = max(1, CELLS // max(1, len(terms) * len(rankings)))
-            for whole in batches if terms else ():
-                for at in range(0, whole.num_rows, step):
-                    b = whole.slice(at, step)
-                    score = np.zeros((len(rankings), b.num_rows, len(terms)))
-                    for row, text in enumerate(b.column(1).to_pylist()):
-                        words = _terms(text)
-                        found, tf = np.unique([known.value[w] for w in words if w in known.value], return_counts=True)
-                        if len(found):
-                            part = np.array([idf[found] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * len(words) / mean)) for k1, b_ in rankings])
-                            score[:, row] = part @ holds[found]
-                    score = np.floor(score * 1e6 + 0.5) / 1e6
-                    order = _order(b.column(0))
-                    for i in range(len(rankings)):
-                        rows, cols = _best(score[i], order, top, score[i] > 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i), pa.int32()), pa.array(cols, pa.int32()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(score[i][rows, cols])], names=["list", "_q", "doc", "score"])
+    texts = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("text")).groupBy("q").agg(F.collect_list("text").alias("texts"))
+    out, rows = None, iter(texts.toLocalIterator())
+    while (asked := [(r[0], sorted(set().union(*map(_terms, r[1])))) for r in islice(rows, QUERIES)]) or out is None:
+        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(terms for _, terms in asked))))}
+        known = spark.sparkContext.broadcast(vocabulary)
+        df, n, total = _term_counts(docs, doc_text, known)
+        idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
+        sent = spark.sparkContext.broadcast([np.array([vocabulary[w] for w in terms], dtype=np.int32) for _, terms in asked])
+
+        def task(batches: Iterator[pa.RecordBatch], known=known, sent=sent, df=df, idf=idf, mean=mean) -> Iterator[pa.RecordBatch]:
+            if not sent.value:
+                return
+            step = max(1, CELLS // (ROWS * len(rankings)))
+            groups = [(at, _Asking(sent.value[at : at + step], df)) for at in range(0, len(sent.value), step)]
+            lists = [_Lists(len(sent.value), top) for _ in rankings]
+            for b in pieces(batches, 1):
+                counted = []
+                for row, text in enumerate(b.column(1).to_pylist()):
+                    words = _terms(text)
+                    found, tf = np.unique([i for w in words if (i := known.value.get(w)) is not None], return_counts=True)
+                    counted.append((np.full(len(found), row), found.astype(np.int64), tf, np.full(len(found), len(words))))
+                rows, terms, tf, length = map(np.concatenate, zip(*counted, strict=True))
+                for (k1, b_), mine in zip(rankings, lists, strict=True):
+                    weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length / mean))
+                    for at, asking in groups:
+                        mine.add(b.column(0), asking.scores(b.num_rows, rows, terms, weights), at, 0.0, 6)
+            for i, mine in enumerate(lists):
+                yield from mine.batches(["list", "_q", "doc", "score"], i)
 
         found = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"list int, _q int, doc {kinds[1]}, score double").withColumnRenamed("doc", doc_id)
-        found = _named(found, block, kinds[0], query_id)
+        found = _named(found, [q for q, _ in asked], kinds[0], query_id)
         out = found if out is None else out.unionByName(found)
     place = F.row_number().over(Window.partitionBy("list", query_id).orderBy(F.col("score").desc(), doc_id))
     return out.withColumn("rank", place).filter(F.col("rank") <= top).select("list", query_id, doc_id, "score", "rank")

@@ -36,5 +36,18 @@ class Catalogue:
         return add
 
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 512
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts go to Python workers: sets the session's Arrow batches to ``TEXT_ROWS``.
+
+    Texts are long, so that batches of 10,000 rows take hundreds of MB in each worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return table(spark, sf_dir, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

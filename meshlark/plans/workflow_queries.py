@@ -9,7 +9,7 @@ from ..functions.text import backoff_schedule, word_count
 from ..operators import retrieval
 from ..operators import workflow as W
 from ..streaming import folds
-from .base import Catalogue, table
+from .base import Catalogue, table, texts
 from .retrieval_queries import BM25
 
 C = Catalogue()
@@ -140,7 +140,7 @@ FIRST_ASKED = "asked AS (SELECT conv_id AS item_id, arg_min(text, turn) AS text
 SELECT conv_id, sha256(string_agg(content, chr(10) || chr(10) ORDER BY place)) AS prompt_sha256 FROM (SELECT conv_id, place, string_agg(content, chr(10) || '---' || chr(10) ORDER BY item, content) AS content FROM segments GROUP BY ALL) GROUP BY conv_id""")
 def context_with_retrieval(spark, sf_dir):
     """A prompt for each conversation: its system texts, the best documents in a language that fit a budget, the question."""
-    c, docs = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
+    c, docs = table(spark, sf_dir, "conversations"), texts(spark, sf_dir, "documents")
     asked = c.filter("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     found = retrieval.bm25(asked, docs.filter("lang = 'en'"), 5, query_id="conv_id").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     kept = W.within_budget(found, "conv_id", "rank", word_count(F.col("content")), 400)
