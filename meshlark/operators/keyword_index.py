@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import pieces
 from ..sources.lineage import cut_lineage
 
 CHUNK = 4096
@@ -48,7 +50,7 @@ class KeywordIndex:
         chunks = max(1, -(-docs.count() // chunk))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, 2):
                 counts = [Counter(_terms(t)) for t in b.column(2).to_pylist()]
                 at = np.repeat(np.arange(b.num_rows), [max(1, len(c)) for c in counts])
                 lens = np.array([sum(c.values()) for c in counts], dtype=np.int32)
@@ -118,19 +120,16 @@ class KeywordIndex:
         def best(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             qs = sorted({q for _, asking, *_ in held for q in asking})
             at = {q: i for i, q in enumerate(qs)}
-            docs = [d for *_, these, _, _ in held for d in these]
-            place: dict = {}
-            for d in docs:
-                place.setdefault(d, len(place))
-            score = np.zeros((len(place), len(qs)))
+            named = pa.concat_arrays([these for *_, these, _, _ in held]).dictionary_encode(null_encoding="encode")
+            ids, places, start = named.dictionary, named.indices.to_numpy(), 0
+            score = np.zeros((len(ids), len(qs)))
             for idf, asking, these, tfs, lens in held:
-                tf = np.array(tfs, dtype=float)
-                part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.array(lens) / mean))
-                for q in asking:
-                    score[[place[d] for d in these], at[q]] += part
+                tf = tfs.to_numpy().astype(float)
+                part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens.to_numpy() / mean))
+                mine, start = places[start : start + len(these)], start + len(these)
+                score[mine[:, None], [at[q] for q in asking]] += part[:, None]
             score = np.floor(score * 1e6 + 0.5) / 1e6
-            ids = list(place)
-            order = np.argsort(np.argsort(np.array(ids, dtype=object) if kind == "string" else np.array(ids), kind="stable"))
+            order = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
             for q, i in at.items():
                 s = score[:, i]
                 some = np.flatnonzero(s > 0)
@@ -138,17 +137,19 @@ class KeywordIndex:
                     some = some[s[some] >= np.partition(s[some], -top)[-top]]
                 some = some[np.lexsort((order[some], -s[some]))[:top]]
                 if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q), pa.int32()), pa.array([ids[j] for j in some.tolist()]), pa.array(s[some])], names=["_q", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q), pa.int32()), ids.take(pa.array(some)), pa.array(s[some])], names=["_q", "doc_id", "score"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = None, []
             for batch in batches:
-                for chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lists = [(c.values, c.offsets.to_numpy()) for c in batch.columns[3:]]
+                for i, (chunk, idf, asking) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
                     if chunk != now:
                         if held:
                             yield from best(held)
                         now, held = chunk, []
-                    held.append(row)
+                    # Postings stay Arrow slices: as Python numbers they take some ten times the memory.
+                    held.append((idf, asking, *(values.slice(ends[i], ends[i + 1] - ends[i]) for values, ends in lists)))
             if held:
                 yield from best(held)
 
