@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import vector_literal
 from ..operators import chunking, keyword_index, retrieval, vector_index
 from ..sources.lineage import cut_lineage, shared_folder
-from .base import Catalogue, table
+from .base import Catalogue, table, texts
 from .domain import graph
 
 C = Catalogue()
@@ -80,7 +80,7 @@ bm_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sc
 
 def _keywords(spark, sf_dir, top, rankings):
     """Lists of documents for each benchmark item, one for each ranking, from the same two scans."""
-    found = retrieval.bm25_lists(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top, rankings, query_id="item_id")
+    found = retrieval.bm25_lists(table(spark, sf_dir, "benchmark"), texts(spark, sf_dir, "documents"), top, rankings, query_id="item_id")
     if len(rankings) == 1:
         return [found.drop("list")]
     found = cut_lineage(found)  # the best of each item, read once a list
@@ -100,7 +100,7 @@ ov_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sc
 @C.query(f"WITH {OVERLAP} SELECT item_id, doc_id, score, rank FROM ov_ranked WHERE rank <= 5")
 def keyword_overlap_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return retrieval.overlap_scores(q, table(spark, sf_dir, "documents"), 5, query_id="item_id", query_text="question")
+    return retrieval.overlap_scores(q, texts(spark, sf_dir, "documents"), 5, query_id="item_id", query_text="question")
 
 
 # A second ranking of the same documents, without regard to their lengths.
@@ -147,7 +147,7 @@ dense_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY
 
 def _dense(spark, sf_dir, top):
     """The nearest documents of each benchmark item by embedded texts."""
-    vectors = lambda name, key: chunking.embed(table(spark, sf_dir, name).select(key, "text"), "text", chunking.hashing_embedder(64, unit=False)).select(key, F.col("embedding").alias("vector"))
+    vectors = lambda name, key: chunking.embed(texts(spark, sf_dir, name).select(key, "text"), "text", chunking.hashing_embedder(64, unit=False)).select(key, F.col("embedding").alias("vector"))
     return retrieval.nearest(vectors("benchmark", "item_id"), vectors("documents", "doc_id"), top, query_id="item_id", item_id="doc_id")
 
 
@@ -187,7 +187,7 @@ def word_counts(spark, sf_dir):
 
 @C.query(r"SELECT doc_id, CAST(CASE WHEN n = 0 AND length(text) = 0 THEN 0 WHEN n <= 682 THEN 1 ELSE ceil(n / 597.0) END AS BIGINT) AS chunks FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS n FROM documents)")
 def chunk_fixed_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     n = chunking.chunk(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chunks"))
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
 
@@ -215,14 +215,14 @@ _PLACES = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS
 
 @C.query(f"WITH RECURSIVE units AS (SELECT doc_id AS uid, text FROM documents), {_sentence_sql('units', 170, 21, 'sc')} SELECT uid AS doc_id, {_PLACES.format(order='first, sub').replace('PARTITION BY doc_id', 'PARTITION BY uid')} FROM sc")
 def chunk_sentences(spark, sf_dir):
-    return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 128, 16).drop("content")
+    return chunking.chunk(texts(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 128, 16).drop("content")
 
 
 @C.query(C.sql["chunk_sentences"])
 def chunk_in_sql(spark, sf_dir):
     """The chunker as a table function, called from SQL for each row."""
     table_functions.register(spark)
-    table(spark, sf_dir, "documents").createOrReplaceTempView("meshlark_texts")
+    texts(spark, sf_dir, "documents").createOrReplaceTempView("meshlark_texts")
     return spark.sql("SELECT d.doc_id, c.chunk, c.start, c.end FROM meshlark_texts d, LATERAL chunk_text(d.text, 'sentence', 128, 16) c")
 
 
@@ -240,7 +240,7 @@ spans AS (SELECT doc_id, 0 AS par, 0 AS first, 0 AS sub, 0 AS a, len(text) AS b
   UNION ALL SELECT doc, units.par, sc.first, sub, base + a, base + b FROM sc JOIN units USING (uid))
 SELECT doc_id, {_PLACES.format(order='par, first, sub')}, 64 AS dimensions FROM spans""")
 def ingest_embeddings(spark, sf_dir):
-    rows = chunking.embed(chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "paragraph"), "content", chunking.hashing_embedder())
+    rows = chunking.embed(chunking.chunk(texts(spark, sf_dir, "documents"), "doc_id", "text", "paragraph"), "content", chunking.hashing_embedder())
     return rows.select("doc_id", "chunk", "start", "end", F.size("embedding").alias("dimensions"))
 
 
@@ -281,7 +281,7 @@ def vector_index_filtered(spark, sf_dir):
 @C.query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 10")
 def keyword_index_topk(spark, sf_dir):
     """BM25 from a stored index of two segments; the search reads postings, not documents."""
-    index, docs = keyword_index.KeywordIndex(spark, shared_folder(spark)), table(spark, sf_dir, "documents")
+    index, docs = keyword_index.KeywordIndex(spark, shared_folder(spark)), texts(spark, sf_dir, "documents")
     index.append(docs.filter("lang = 'en'"))
     index.append(docs.filter("lang <> 'en' OR lang IS NULL"))
     return index.search(table(spark, sf_dir, "benchmark"), 10, query_id="item_id")
