@@ -10,7 +10,7 @@ from ..operators import bandit, ledger, loops, retrieval
 from ..operators import decisions as D
 from ..operators import workflow as W
 from ..operators.relate import EDGE, relate_attributed, unrelate_attributed
-from .base import Catalogue, table
+from .base import Catalogue, table, texts
 from .domain import model, outcomes
 from .ledger_queries import OUT
 from .retrieval_queries import BM25, OVERLAP
@@ -35,7 +35,7 @@ def approval_outcomes(spark, sf_dir):
 SELECT item_id, CASE WHEN n > 0 THEN 'answer' ELSE 'abstain' END AS outcome, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) FILTER (score >= 0.9 OR (n = 0 AND rank <= 3)) AS records FROM top JOIN hit USING (item_id) GROUP BY item_id, n""")
 def answer_or_abstain(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    scored = retrieval.overlap_scores(q, table(spark, sf_dir, "documents"), 5, query_id="item_id", query_text="question")
+    scored = retrieval.overlap_scores(q, texts(spark, sf_dir, "documents"), 5, query_id="item_id", query_text="question")
     rows = D.answer_or_abstain(q, scored, 0.9, question_id="item_id")
     return rows.select("item_id", "outcome", F.array_join(F.transform("records", lambda x: x.cast("string")), ",").alias("records"))
 
@@ -151,7 +151,7 @@ def task_features(spark, sf_dir):
 
 @C.query(f"WITH {ENGLISH} SELECT item_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 5")
 def keyword_metadata(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
     return retrieval.keyword_search(table(spark, sf_dir, "benchmark"), {"documents": docs}, "documents", 5, {"lang": "en"}, query_id="item_id")
 
 
