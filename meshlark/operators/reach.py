@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import project_id
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import shared_folder
 from .objectset import Graph
 
 #: Columns of an edge: the types and ids of its ends.
@@ -40,31 +41,48 @@ def association_edges(graph: Graph, association: str, source_role: str, target_r
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Edges and their inverses."""
-    return edges.select(*EDGE).unionByName(edges.select(F.col("tgt_type").alias("src_type"), F.col("tgt_id").alias("src_id"), F.col("src_type").alias("tgt_type"), F.col("src_id").alias("tgt_id")))
+    """Edges and their inverses, from one run of ``edges``."""
+    ends = lambda *columns: F.struct(*(F.col(c).alias(name) for c, name in zip(columns, EDGE, strict=True)))
+    return edges.select(F.inline(F.array(ends(*EDGE), ends(*EDGE[2:], *EDGE[:2]))))
 
 
 def reachable(start: DataFrame, edges: list[DataFrame], max_depth: int | None = None) -> DataFrame:
     """Every object that a walk from ``start`` (type, id) leads to: type, id, depth (of the shortest walk).
 
     Each round follows the edges of the objects found in the round before, and only of
-    these; what was reached earlier is left out by an anti-join, so cycles end the walk and
-    an object keeps its least depth. Rounds are checkpointed, and the walk ends with the
-    round that finds nothing, or at ``max_depth``. Edges are dealt by their source once.
-    Start objects have depth 0, also those without edges; null ids are no objects. Repeated
-    edges and starts count once.
+    these; what was reached earlier is left out by the grouping that takes each end once, so
+    cycles end the walk and an object keeps its least depth. The walk ends with the round that finds nothing, or at
+    ``max_depth``. Edges are dealt and sorted by their source once, and held in columns on
+    the executors' disks until the walk ends; a round reads those of its own types alone,
+    and its finds are a table in the shared folder. Start objects have depth 0, also those
+    without edges; null ids are no objects. Repeated edges and starts count once.
     """
     if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth is at least 0")
-    links = cut_lineage(reduce(DataFrame.unionByName, (e.select(*EDGE) for e in edges)).dropna().distinct().repartition("src_type", "src_id"))
-    frontier = cut_lineage(start.select(F.col("type").cast("string").alias("type"), F.col("id").cast("string").alias("id")).dropna().distinct())
-    found = [frontier.withColumn("depth", F.lit(0))]
-    depth = 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        known = reduce(DataFrame.unionByName, found).select("type", "id")
-        steps = links.join(frontier.select(F.col("type").alias("src_type"), F.col("id").alias("src_id")), ["src_type", "src_id"], "left_semi")
-        next_ = steps.select(F.col("tgt_type").alias("type"), F.col("tgt_id").alias("id")).distinct()
-        frontier = cut_lineage(next_.join(known, ["type", "id"], "left_anti"))
-        found.append(frontier.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, found)
+    spark = start.sparkSession
+    folder, kind, found = shared_folder(spark), "type string, id string, depth int", []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        path = f"{folder}/depth-{len(found)}"
+        rows.select("type", "id", F.lit(len(found)).alias("depth")).write.parquet(path)
+        found.append(path)
+        return spark.read.schema(kind).parquet(path)
+
+    # With a number of its own, the dealing stays as it is and the joins below needn't repeat it.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = reduce(DataFrame.unionByName, (e.select(*EDGE) for e in edges)).dropna()
+    links = links.repartition(parts, "src_type", "src_id").sortWithinPartitions("src_type", "src_id").persist(StorageLevel.DISK_ONLY)
+    try:
+        links.count()
+        frontier = kept(start.select(F.col("type").cast("string").alias("type"), F.col("id").cast("string").alias("id")).dropna().distinct())
+        while max_depth is None or len(found) <= max_depth:
+            types = [r[0] for r in frontier.select("type").distinct().collect()]  # as many as the model has at most
+            if not types:
+                break
+            steps = links.filter(F.col("src_type").isin(types)).join(frontier.select(F.col("type").alias("src_type"), F.col("id").alias("src_id")), ["src_type", "src_id"], "left_semi")
+            ends = steps.select(F.col("tgt_type").alias("type"), F.col("tgt_id").alias("id"), F.lit(False).alias("known"))
+            known = spark.read.schema(kind).parquet(*found).select("type", "id", F.lit(True).alias("known"))
+            frontier = kept(ends.unionByName(known).groupBy("type", "id").agg(F.max("known").alias("known")).filter("not known"))
+    finally:
+        links.unpersist()
+    return spark.read.schema(kind).parquet(*found)

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from meshlark.operators import reach, temporal
 
@@ -44,6 +45,30 @@ def test_walk_without_edges_or_start(spark):
         reach.reachable(start, [none], max_depth=-1)
 
 
+def test_a_round_does_not_deal_the_edges_again(spark, monkeypatch):
+    """Edges are read from the tables once and dealt once; a round's plan scans what is held, for its own types."""
+    rows = [(("a", str(i)), ("b", str(i % 40))) for i in range(200)] + [(("b", str(i)), ("c", "1")) for i in range(40)]
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large frontiers
+    try:
+        got = reach.reachable(spark.createDataFrame([("a", str(i)) for i in range(100)], "type string, id string"), [edge_frame(spark, rows)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["depth"], r["count"]) for r in got.groupBy("depth").count().collect()) == [(0, 100), (1, 40), (2, 1)]
+    assert len(plans) == 4  # the start, two rounds that find something, and one that does not
+    for plan in plans[1:]:
+        above, held = plan.split("InMemoryRelation", 1)
+        assert "Exchange hashpartitioning(src_type" not in above and "InMemoryTableScan" in above and "REPARTITION_BY_NUM" in held
+        assert "(src_type" in above.rsplit("InMemoryTableScan", 1)[1]
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_conflicts_equal_all_pairs(spark, seed):
     """Lengths from seconds to years, open, empty and inverted intervals, equal beginnings, repeated ids and null keys."""
