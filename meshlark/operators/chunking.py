@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,6 @@ from ..functions.batches import pieces
 
 WORDS_PER_TOKEN = 1 / 0.75
 _WORD = re.compile(r"\S+")
-_PLAIN_WORD = re.compile(r"\S+", re.A)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s|$)|$(?![\s\S]))", re.S)
 _PARAGRAPH = re.compile(r"(?:\r\n\r\n|\n\n)")
 
@@ -144,10 +142,29 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, method: str = "fixed", to
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, chunk int, content string, start int, end int").withColumnRenamed("id", id_col)
 
 
-@lru_cache(maxsize=100_000)
-def _digest(word: str) -> tuple[int, int]:
-    h = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).digest()
-    return h[0], h[1]
+class _Codes(dict):
+    """The first nine bits of the MD5 digest of each word asked for.
+
+    Words are UTF-8. At most ``most`` words of up to ``longest`` bytes are remembered, so
+    that long words, of which texts can hold any number, take no memory.
+    """
+
+    def __init__(self, most: int = 100_000, longest: int = 64):
+        super().__init__()
+        self.most, self.longest = most, longest
+
+    def __missing__(self, word: bytes) -> int:
+        h = hashlib.md5(word, usedforsecurity=False).digest()
+        code = h[0] << 1 | h[1] >> 7
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = code
+        return code
+
+
+#: One for all batches of a worker.
+_CODES = _Codes()
 
 
 def hashing_embedder(dimensions: int = 64, unit: bool = True) -> Callable[[list[str]], np.ndarray]:
@@ -158,11 +175,11 @@ def hashing_embedder(dimensions: int = 64, unit: bool = True) -> Callable[[list[
     """
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), dtype=np.float32)
+        out, code = np.zeros((len(texts), dimensions), dtype=np.float32), _CODES.__getitem__
         for i, t in enumerate(texts):
-            for w in _PLAIN_WORD.findall(t.lower()):
-                first, second = _digest(w)
-                out[i, first % dimensions] += 1 if second >> 7 else -1
+            words = t.lower().encode("utf-8", "replace").split()  # bytes are cut at ASCII blanks only
+            n = np.bincount(np.fromiter(map(code, words), np.int64, len(words)), minlength=512)
+            np.add.at(out[i], np.arange(256) % dimensions, n[1::2] - n[::2])
             if unit:
                 out[i] /= max(1e-12, float(np.linalg.norm(out[i])))
         return out

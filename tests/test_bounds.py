@@ -1,10 +1,14 @@
 """Work and memory of tasks over long texts: pieces, lists and searches stay in bounds."""
 
+import hashlib
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meshlark.functions import batches
-from meshlark.operators import retrieval
+from meshlark.operators import chunking, retrieval
 from meshlark.plans import retrieval_queries
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +61,22 @@ def test_terms_within_words():
     held = retrieval._Held({t: i for i, t in enumerate(terms)}, most=2)
     for text in ("", "abcd", "zbc ü", "x\ny", "  a  ", "ab cd", "x\nybc" * 30):
         assert held.by(text) == [i for i, t in enumerate(terms) if t in text]
+
+
+def test_embedder_keeps_no_long_words():
+    """Memory of an embedder does not grow with the words of the texts; the vectors are those of each word's digest."""
+    embed = chunking.hashing_embedder(64, unit=False)
+    words = ["Ab\u00a0c", "İx", "\x1cy", "a" * 65, "ab", "ab"]
+    want = np.zeros(64)
+    for w in words:
+        h = hashlib.md5(w.lower().encode(), usedforsecurity=False).digest()
+        want[h[0] % 64] += 1 if h[1] >> 7 else -1
+    assert embed([" \t".join(words) + "\n", ""]).tolist() == [want.tolist(), [0] * 64]
+    tracemalloc.start()
+    for i in range(300):
+        embed([f"{i}" + "z" * 100_000])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2_000_000  # 30 MB where every word was remembered
+    codes = chunking._Codes(most=10)
+    assert [codes[str(i % 15).encode()] for i in range(60)] == [chunking._Codes()[str(i % 15).encode()] for i in range(60)] and len(codes) <= 10
