@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -210,23 +209,25 @@ def overlap_scores(queries: DataFrame, docs: DataFrame, top: int, query_id: str
     return ranked(out, query_id, doc_id, top).select(query_id, doc_id, "score", "rank")
 
 
-_TERM = re.compile(r"[^ \t\n\x0b\f\r.,;:!?]+")
+_STOPS = bytes.maketrans(b".,;:!?", b"      ")
 
 
-def _terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+def _terms(text: str | None) -> list[bytes]:
+    """Runs without ASCII blanks and stops, in lower case and UTF-8."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_STOPS).split()
 
 
 def _term_counts(docs: DataFrame, text_col: str, vocabulary: Broadcast) -> tuple[np.ndarray, int, int]:
     """In how many documents each term occurs, how many documents there are, and their terms; summed by Spark."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs_, terms = np.zeros(len(vocabulary.value), dtype=np.int64), 0, 0
+        known = vocabulary.value
+        seen, docs_, terms = np.zeros(len(known), dtype=np.int64), 0, 0
         for b in pieces(batches, 0):
             for text in b.column(0).to_pylist():
                 words = _terms(text)
                 docs_, terms = docs_ + 1, terms + len(words)
-                seen[list({vocabulary.value[w] for w in words if w in vocabulary.value})] += 1
+                seen[list(set(map(known.get, words)) - {None})] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2], pa.int64()), pa.array(np.r_[seen[at], docs_, terms], pa.int64())], names=["term", "n"])
 
@@ -303,13 +304,17 @@ def bm25_lists(queries: DataFrame, docs: DataFrame, top: int, rankings: list[tup
             step = max(1, CELLS // (ROWS * len(rankings)))
             groups = [(at, _Asking(sent.value[at : at + step], df)) for at in range(0, len(sent.value), step)]
             lists = [_Lists(len(sent.value), top) for _ in rankings]
+            place, many = known.value.get, max(1, len(known.value))
             for b in pieces(batches, 1):
-                counted = []
-                for row, text in enumerate(b.column(1).to_pylist()):
+                found, ends, length = [], [0], []
+                for text in b.column(1).to_pylist():
                     words = _terms(text)
-                    found, tf = np.unique([i for w in words if (i := known.value.get(w)) is not None], return_counts=True)
-                    counted.append((np.full(len(found), row), found.astype(np.int64), tf, np.full(len(found), len(words))))
-                rows, terms, tf, length = map(np.concatenate, zip(*counted, strict=True))
+                    found += [i for i in map(place, words) if i is not None]
+                    ends.append(len(found))
+                    length.append(len(words))
+                key, tf = np.unique(np.repeat(np.arange(b.num_rows), np.diff(ends)) * many + np.array(found, dtype=np.int64), return_counts=True)
+                rows, terms = np.divmod(key, many)
+                length = np.array(length)[rows]
                 for (k1, b_), mine in zip(rankings, lists, strict=True):
                     weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length / mean))
                     for at, asking in groups:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions import batches
 from meshlark.operators import chunking, retrieval
-from meshlark.plans import retrieval_queries
+from meshlark.plans import base, retrieval_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,20 @@ def test_embedder_keeps_no_long_words():
     assert held < 2_000_000  # 30 MB where every word was remembered
     codes = chunking._Codes(most=10)
     assert [codes[str(i % 15).encode()] for i in range(60)] == [chunking._Codes()[str(i % 15).encode()] for i in range(60)] and len(codes) <= 10
+
+
+def test_arrow_batches_of_long_texts(spark):
+    """Texts of 1 MB come in batches of some MB, to functions of batches and of columns."""
+    base.texts(spark, SF, "documents")
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def task(bs):
+        for b in bs:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    @F.arrow_udf("long")
+    def rows(texts: pa.Array) -> pa.Array:
+        return pa.array([len(texts)] * len(texts), pa.int64())
+
+    assert docs.mapInArrow(task, "n long").agg(F.max("n")).head()[0] <= 10
+    assert docs.select(rows("text").alias("n")).agg(F.max("n")).head()[0] <= 10
