@@ -1,6 +1,7 @@
 """Work and memory of tasks over long texts: pieces, lists and searches stay in bounds."""
 
 import hashlib
+import re
 import tracemalloc
 
 import numpy as np
@@ -97,3 +98,9 @@ def test_arrow_batches_of_long_texts(spark):
 
     assert docs.mapInArrow(task, "n long").agg(F.max("n")).head()[0] <= 10
     assert docs.select(rows("text").alias("n")).agg(F.max("n")).head()[0] <= 10
+
+
+def test_terms_are_cut_at_ascii_blanks_and_stops():
+    text = "The, own\x1cTERM. İx!\x0b\x0c a b?:;\r\nÜ \x85z\x00 "
+    assert [w.decode() for w in retrieval._terms(text)] == re.findall(r"[^ \t\n\x0b\f\r.,;:!?]+", text.lower())
+    assert retrieval._terms(None) == []
