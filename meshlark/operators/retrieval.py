@@ -9,9 +9,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from py4j.protocol import Py4JError
 from pyspark import Broadcast
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -418,7 +416,8 @@ def hybrid(dense: DataFrame, sparse: DataFrame | None, top: int, options: Hybrid
     """Dense rows in fused order, with their dense score, and what was done.
 
     Both lists have query, document, score, rank. Documents of the keyword list alone are
-    left out. Without a keyword list, or with an empty one, the dense order stays.
+    left out. Without a keyword list, or with an empty one, the dense order stays. A list
+    that fails fails the call: dense rows alone would look like a fused result.
     """
     o = options or HybridOptions()
     dense = dense.withColumn("_first", F.row_number().over(Window.partitionBy(query_id, doc_id).orderBy("rank"))).filter("_first = 1").drop("_first").filter(F.col("rank") <= max(o.dense_top, top))
@@ -427,11 +426,8 @@ def hybrid(dense: DataFrame, sparse: DataFrame | None, top: int, options: Hybrid
         return plain, {"hybrid": False, "degraded": None}
     if sparse is None:
         return plain, {"hybrid": False, "degraded": "no-keyword-provider"}
-    try:
-        # At most ``sparse_top`` rows a query, computed once for the test and for the fusion.
-        sparse = cut_lineage(sparse.filter(F.col("rank") <= o.sparse_top))
-    except (PySparkException, Py4JError) as e:  # the keyword leg may be a foreign source
-        return plain, {"hybrid": False, "degraded": "sparse-failed", "error": str(e)}
+    # At most ``sparse_top`` rows a query, computed once for the test and for the fusion.
+    sparse = cut_lineage(sparse.filter(F.col("rank") <= o.sparse_top))
     if sparse.isEmpty():
         return plain, {"hybrid": False, "degraded": "sparse-empty"}
     lists, weights = [dense, sparse], list(o.weights) if o.weights else None
