@@ -32,3 +32,7 @@ def fails_with_its_list(spark, monkeypatch, name):
 
 def test_hybrid_dbsf_fails_with_its_keyword_list(spark, monkeypatch):
     fails_with_its_list(spark, monkeypatch, "hybrid_dbsf")
+
+
+def test_hybrid_rrf_fails_with_its_keyword_list(spark, monkeypatch):
+    fails_with_its_list(spark, monkeypatch, "hybrid_rrf")
