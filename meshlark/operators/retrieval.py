@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 
 from ..functions.batches import ROWS, pieces
 from ..functions.vectors import METRICS
-from ..sources.lineage import cut_lineage
+from ..sources.lineage import cut_lineage, shared_folder
+from .keyword_tiles import Asking, blocks
 
 
 class UnknownCollection(KeyError):
@@ -25,8 +26,8 @@ class UnknownCollection(KeyError):
 
 #: Numbers in one matrix of scores or weights: about 32 MB.
 CELLS = 4_000_000
-#: Queries that one scan of the documents answers, and the frequent terms whose weights are multiplied as a matrix.
-QUERIES, FREQUENT = 16_384, 64
+#: Sets of terms that one reading of the texts looks for, those that a task answers, and the entries of all their lists.
+SETS, QUERIES, ENTRIES = 1 << 20, 65_536, 819_200
 
 
 def _order(ids: pa.Array) -> np.ndarray:
@@ -62,6 +63,13 @@ class _Lists:
             if self.held > self.room:
                 self.cut()
 
+    def put(self, lists: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        """Single items of lists, with their final scores."""
+        self.parts.append((lists, ids, score))
+        self.held += len(lists)
+        if self.held > self.room:
+            self.cut()
+
     def cut(self) -> None:
         lists, ids, score = np.concatenate([p[0] for p in self.parts]), pa.concat_arrays([p[1] for p in self.parts]), np.concatenate([p[2] for p in self.parts])
         order = np.lexsort((_order(ids), -score, lists))
@@ -215,116 +223,114 @@ def _terms(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_STOPS).split()
 
 
-def _term_counts(docs: DataFrame, text_col: str, vocabulary: Broadcast) -> tuple[np.ndarray, int, int]:
-    """In how many documents each term occurs, how many documents there are, and their terms; summed by Spark."""
+def _term_sets(queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of terms of queries with a number each (_q, terms), and the queries that ask for them (_q, q)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [b" ".join(sorted(set().union(*map(_terms, texts)))) for texts in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["q", "terms"])
+
+    texts = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("text")).groupBy("q").agg(F.collect_list("text").alias("texts"))
+    asked = cut_lineage(texts.mapInArrow(task, f"q {queries.schema[query_id].dataType.simpleString()}, terms binary").filter(F.length("terms") > 0))
+    sets = cut_lineage(asked.select("terms").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    return sets, asked.join(sets, "terms").select("_q", "q")
+
+
+def _counted(docs: DataFrame, doc_id: str, doc_text: str, vocabulary: Broadcast) -> DataFrame:
+    """Documents as doc, len (in terms), terms and tf (of those in the vocabulary), written to the shared folder."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        seen, docs_, terms = np.zeros(len(known), dtype=np.int64), 0, 0
-        for b in pieces(batches, 0):
-            for text in b.column(0).to_pylist():
+        place, many = vocabulary.value.get, max(1, len(vocabulary.value))
+        for b in pieces(batches, 1):
+            found, ends, length = [], [0], []
+            for text in b.column(1).to_pylist():
                 words = _terms(text)
-                docs_, terms = docs_ + 1, terms + len(words)
-                seen[list(set(map(known.get, words)) - {None})] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2], pa.int64()), pa.array(np.r_[seen[at], docs_, terms], pa.int64())], names=["term", "n"])
+                found += [i for i in map(place, words) if i is not None]
+                ends.append(len(found))
+                length.append(len(words))
+            key, tf = np.unique(np.repeat(np.arange(b.num_rows), np.diff(ends)) * many + np.array(found, dtype=np.int64), return_counts=True)
+            rows, terms = np.divmod(key, many)
+            first = pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(first, pa.array(x, pa.int32())) for x in (terms, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int32()), *lists], names=["doc", "len", "terms", "tf"])
 
-    got = dict(docs.select(F.col(text_col).alias("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    df = np.zeros(len(vocabulary.value))
-    for term, n in got.items():
-        if term >= 0:
-            df[term] = n
-    return df, got.get(-1, 0), got.get(-2, 0)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out, path = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"doc {kind}, len int, terms array<int>, tf array<int>"), shared_folder(docs.sparkSession)
+    out.write.parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
-class _Asking:
-    """Which of some queries ask for each term. ``df``: in how many documents the terms occur.
+def _frequencies(counted: DataFrame, many: int) -> tuple[np.ndarray, int, int]:
+    """In how many documents each of ``many`` terms occurs, how many documents there are, and their terms; summed by Spark."""
 
-    The terms that most documents and queries share are one matrix; the others are added
-    term by term, for the documents and queries that have them.
-    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs, terms = np.zeros(many, dtype=np.int64), 0, 0
+        for b in batches:
+            seen += np.bincount(b.column(1).flatten().to_numpy(), minlength=many)
+            docs, terms = docs + b.num_rows, terms + (pc.sum(b.column(0)).as_py() or 0)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2], pa.int64()), pa.array(np.r_[seen[at], docs, terms], pa.int64())], names=["term", "n"])
 
-    def __init__(self, terms: list[np.ndarray], df: np.ndarray):
-        self.many = len(terms)
-        query = np.repeat(np.arange(self.many), [len(t) for t in terms])
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.query, asked = query[order], np.bincount(term, minlength=len(df))
-        self.first = np.r_[0, np.cumsum(asked)]
-        shared = df * asked
-        often = np.argsort(-shared, kind="stable")[:FREQUENT]
-        often = np.sort(often[shared[often] > 0])
-        self.place = np.full(len(df), -1)
-        self.place[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.many))
-        mine = self.place[term] >= 0
-        self.matrix[self.place[term[mine]], query[mine]] = 1
-        self.rare = (asked > 0) & (self.place < 0)
-
-    def scores(self, docs: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Documents x queries: the sum of the weights (of ``rows`` and ``terms``) of the query's terms."""
-        dense, at = np.zeros((docs, len(self.matrix))), self.place[terms]
-        dense[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
-        out = dense @ self.matrix
-        rare = np.flatnonzero(self.rare[terms])
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        cuts = np.flatnonzero(np.diff(terms[rare])) + 1
-        for part in np.split(rare, cuts) if len(rare) else ():
-            t = terms[part[0]]
-            out[rows[part][:, None], self.query[self.first[t] : self.first[t + 1]]] += weights[part][:, None]
-        return out
+    got = counted.select("len", "terms").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (got.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(many)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term == -1].sum()), int(n[term == -2].sum())
 
 
 def bm25_lists(queries: DataFrame, docs: DataFrame, top: int, rankings: list[tuple[float, float]], query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """Okapi BM25 over all documents, once for each (k1, b): list, query_id, doc_id, score, rank.
 
-    Two scans for each ``QUERIES`` queries, one for the frequencies and one for the scores of
-    all rankings; documents are not shuffled, whatever words they hold. The queries of a
-    scan are sent to the documents; a task scores some documents and queries at a time and
-    keeps the best of all that it reads. Repeated terms of a query count once, rows with one
-    query id are one query. Documents without any of a query's terms are not in its lists.
-    Scores are rounded to six digits.
+    Texts are read and cut once for each ``SETS`` distinct sets of query terms; what counts of
+    them is a table in the shared folder. Documents are dealt by their ids, whatever words they
+    hold. Sets of terms are sent to them, ``QUERIES`` or fewer to a task, which keeps the best
+    of all documents that it reads (``keyword_tiles``). Repeated terms of a query count once,
+    rows with one query id are one query, queries with the same terms are answered once.
+    Documents without any of a query's terms are not in its lists. Scores are rounded to six digits.
     """
     spark = docs.sparkSession
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, query_id), (docs, doc_id))]
-    texts = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("text")).groupBy("q").agg(F.collect_list("text").alias("texts"))
-    out, rows = None, iter(texts.toLocalIterator())
-    while (asked := [(r[0], sorted(set().union(*map(_terms, r[1])))) for r in islice(rows, QUERIES)]) or out is None:
-        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(terms for _, terms in asked))))}
-        known = spark.sparkContext.broadcast(vocabulary)
-        df, n, total = _term_counts(docs, doc_text, known)
-        idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
-        sent = spark.sparkContext.broadcast([np.array([vocabulary[w] for w in terms], dtype=np.int32) for _, terms in asked])
-
-        def task(batches: Iterator[pa.RecordBatch], known=known, sent=sent, df=df, idf=idf, mean=mean) -> Iterator[pa.RecordBatch]:
-            if not sent.value:
-                return
-            step = max(1, CELLS // (ROWS * len(rankings)))
-            groups = [(at, _Asking(sent.value[at : at + step], df)) for at in range(0, len(sent.value), step)]
-            lists = [_Lists(len(sent.value), top) for _ in rankings]
-            place, many = known.value.get, max(1, len(known.value))
-            for b in pieces(batches, 1):
-                found, ends, length = [], [0], []
-                for text in b.column(1).to_pylist():
-                    words = _terms(text)
-                    found += [i for i in map(place, words) if i is not None]
-                    ends.append(len(found))
-                    length.append(len(words))
-                key, tf = np.unique(np.repeat(np.arange(b.num_rows), np.diff(ends)) * many + np.array(found, dtype=np.int64), return_counts=True)
-                rows, terms = np.divmod(key, many)
-                length = np.array(length)[rows]
-                for (k1, b_), mine in zip(rankings, lists, strict=True):
-                    weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length / mean))
-                    for at, asking in groups:
-                        mine.add(b.column(0), asking.scores(b.num_rows, rows, terms, weights), at, 0.0, 6)
-            for i, mine in enumerate(lists):
-                yield from mine.batches(["list", "_q", "doc", "score"], i)
-
-        found = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).mapInArrow(task, f"list int, _q int, doc {kinds[1]}, score double").withColumnRenamed("doc", doc_id)
-        found = _named(found, [q for q, _ in asked], kinds[0], query_id)
-        out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("list", query_id).orderBy(F.col("score").desc(), doc_id))
-    return out.withColumn("rank", place).filter(F.col("rank") <= top).select("list", query_id, doc_id, "score", "rank")
+    sets, links = _term_sets(queries, query_id, query_text)
+    many = min(QUERIES, max(1, ENTRIES // (max(1, top) * len(rankings))))
+    schema = f"list int, _q long, doc {docs.schema[doc_id].dataType.simpleString()}, score double"
+    out, rows = None, iter(sets.toLocalIterator())
+    while asked := [(r["_q"], r["terms"]) for r in islice(rows, SETS)]:
+        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(terms.split(b" ") for _, terms in asked))))}
+        counted = _counted(docs, doc_id, doc_text, spark.sparkContext.broadcast(vocabulary))
+        df, n, total = _frequencies(counted, len(vocabulary))
+        mean = total / n if n else 1.0
+        shared = spark.sparkContext.broadcast((df, np.log(1 + (n - df + 0.5) / (df + 0.5))))
+        parts = max(1, min(spark.sparkContext.defaultParallelism, n // ROWS))
+        # Lengths near the mean come first: lists fill with good scores, and a block's weights are alike.
+        dealt = counted.filter(F.size("terms") > 0).repartition(parts, "doc").sortWithinPartitions(F.abs(F.col("len") - mean))
+        for at in range(0, len(asked), many):
+            terms = [np.array([vocabulary[w] for w in terms.split(b" ")], dtype=np.int32) for _, terms in asked[at : at + many]]
+            numbers = np.array([q for q, _ in asked[at : at + many]], dtype=np.int64)
+            sent = spark.sparkContext.broadcast((numbers, np.concatenate(terms), np.cumsum([0, *map(len, terms)])))
+
+            def task(batches: Iterator[pa.RecordBatch], sent=sent, shared=shared, n=n, mean=mean) -> Iterator[pa.RecordBatch]:
+                if top <= 0:
+                    return
+                (numbers, terms, ends), (df, idf) = sent.value, shared.value
+                asking = Asking(terms, ends, df, n, top)
+                lists = [(_Lists(len(numbers), top), asking.lists()) for _ in rankings]
+                for b in blocks(batches, asking.docs, 2):
+                    rows, terms, tf = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+                    length = b.column(1).to_numpy()[rows]
+                    for (k1, b_), (mine, best) in zip(rankings, lists, strict=True):
+                        weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length / mean))
+                        for q, d, score in asking.found(best, b.num_rows, rows, terms, weights):
+                            mine.put(q, b.column(0).take(pa.array(d)), score)
+                for i, (mine, _) in enumerate(lists):
+                    for part in mine.batches(["list", "_q", "doc", "score"], i):
+                        yield part.set_column(1, "_q", pa.array(numbers[part.column(1).to_numpy()]))
+
+            found = dealt.mapInArrow(task, schema)
+            out = found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], schema) if out is None else out
+    place = F.row_number().over(Window.partitionBy("list", "_q").orderBy(F.col("score").desc(), "doc"))
+    best = out.withColumn("rank", place).filter(F.col("rank") <= top).join(links, "_q")
+    return best.select("list", F.col("q").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, top: int, query_id: str = "query_id", query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:

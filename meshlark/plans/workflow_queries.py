@@ -142,8 +142,8 @@ def context_with_retrieval(spark, sf_dir):
     """A prompt for each conversation: its system texts, the best documents in a language that fit a budget, the question."""
     c, docs = table(spark, sf_dir, "conversations"), texts(spark, sf_dir, "documents")
     asked = c.filter("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    found = retrieval.bm25(asked, docs.filter("lang = 'en'"), 5, query_id="conv_id").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
-    kept = W.within_budget(found, "conv_id", "rank", word_count(F.col("content")), 400)
+    found = retrieval.bm25(asked, docs.filter("lang = 'en'"), 5, query_id="conv_id").join(docs.select("doc_id", word_count(F.col("text")).alias("words")), "doc_id")
+    kept = W.within_budget(found, "conv_id", "rank", F.col("words"), 400).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     system = c.filter("role = 'system'").select("conv_id", F.lit(0).alias("place"), F.col("turn").alias("item"), F.col("text").alias("content"))
     question = asked.select("conv_id", F.lit(2).alias("place"), F.lit(0).cast("long").alias("item"), F.col("text").alias("content"))
     prompts = W.assemble_context(system.unionByName(W.retrieved_segments(kept, "conv_id", "rank", "content", 1)).unionByName(question), "conv_id")
